@@ -17,21 +17,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import ascii_lower
+from .common import ascii_lower, keep_rows, row_hash
 
 
 def sha256_bytes(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _atomic(df: DataFrame) -> list[Column]:
-    return [df[f"`{f.name}`"] for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-
-
 def combine(rows: DataFrame, salts: int = 16) -> DataFrame:
     """One row per class of equal (``_digest``, ``_text``): ``_keep`` (largest ``_id``) and ``_n``."""
     salted = rows.withColumn("_salt", F.spark_partition_id() % salts)
@@ -42,7 +37,7 @@ def combine(rows: DataFrame, salts: int = 16) -> DataFrame:
 def _decide(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
     """Per row: _id, _keep, _n, _kept, _sha, and _tie, a hash of the whole row."""
     t = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.select(docs[id_col].alias("_id"), t.alias("_text"), F.xxhash64(*_atomic(docs)).alias("_tie"))
+    rows = docs.select(docs[id_col].alias("_id"), t.alias("_text"), row_hash(docs).alias("_tie"))
     rows = rows.withColumn("_digest", digest(F.col("_text")))
     classes = combine(rows.select("_id", "_text", "_digest"), salts)
     by_digest = classes.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.max("_keep").alias("_keep"), F.max("_n").alias("_n"))
@@ -75,8 +70,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
-    kept = _decide(docs, id_col, text_col, salts, sha256_bytes).where("_kept").select(F.xxhash64("_id").alias("_a"), F.col("_tie").alias("_b"))
-    rows = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)], F.xxhash64(docs[id_col]).alias("_a"), F.xxhash64(*_atomic(docs)).alias("_b"))
-    # Rows that are equal in everything share the key; one of them stays.
-    one = rows.join(kept, ["_a", "_b"], "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(0)))).where("_rn = 1")
-    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    kept = _decide(docs, id_col, text_col, salts, sha256_bytes).where("_kept")
+    return keep_rows(docs, kept.select(F.xxhash64("_id").alias("_a"), F.col("_tie").alias("_b")), id_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash
 from .common import documents
 
 
@@ -32,6 +32,10 @@ SELECT doc_id, size, ssize AS source_size, target, CAST(size * copies AS BIGINT)
 """
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_source_mix": op1_source_mix, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op9_exact_dedup": op9_exact_dedup}
 SQL = {"op1_source_mix": OP1_SQL, "op9_exact_dedup": OP9_SQL}

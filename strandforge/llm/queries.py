@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, media, mixing, packing, simhash, wavelet
 from .common import documents
 
 
@@ -32,6 +32,24 @@ SELECT doc_id, size, ssize AS source_size, target, CAST(size * copies AS BIGINT)
 """
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(documents(spark, sf_dir), vocabulary()))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -46,5 +64,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op7_simhash_near_dedup": op7_simhash_near_dedup, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_media_columns, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup)}
 SQL = {"op1_source_mix": OP1_SQL, "op9_exact_dedup": OP9_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, mixing, packing, simhash, toxicity, wavelet
+from . import exact_dedup, langid, media, mixing, packing, pii, simhash, toxicity, wavelet
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(documents(spark, sf_dir), vocabulary()))
 
@@ -72,5 +76,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_media_columns, op4_toxicity, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
 SQL = {"op1_source_mix": OP1_SQL, "op9_exact_dedup": OP9_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, mixing, packing, pii, simhash, toxicity, wavelet
+from . import exact_dedup, langid, media, mixing, packing, pii, simhash, substring, toxicity, wavelet
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -76,5 +80,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_substring_dedup, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
 SQL = {"op1_source_mix": OP1_SQL, "op9_exact_dedup": OP9_SQL}

@@ -12,11 +12,20 @@ import os
 
 import numpy as np
 
-#: Entries of each cache; a full one is emptied.
-CACHE = 400_000
+#: Entries of the caches, about 200 bytes each; a full one is emptied. Cores are words without punctuation around them.
+WORDS, CORES = 700_000, 700_000
 _EDGE = b".,;:!?\"()[]{}#$%&*+-/=@^_|~<>"
 
 
+def _letters(w: bytes) -> bool:
+    if not w or w.isascii():
+        return False
+    try:
+        return w.decode().isalpha()
+    except UnicodeDecodeError:
+        return False
+
+
 class WordEncoder:
     """Exact for texts whose tokenizer works on white-space words; ``encode_whole`` is the library alone."""
 
@@ -52,27 +61,25 @@ class WordEncoder:
                 self.cores.update((w, self.encode_whole(w)) for w in part)
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-        if len(self.cores) + len(new) > CACHE:
-            self.cores.clear()
         split, rest, cores = [], [], set()
         for w in new:
             core = w.strip(_EDGE)
-            try:
-                plain = core.decode().isalpha()
-            except UnicodeDecodeError:
-                plain = False
-            if plain:
-                at = w.index(core)
-                split.append((w, w[:at], core, w[at + len(core) :]))
-                if core not in self.cores:
-                    cores.add(core)
+            if core.isalpha() or _letters(core):
+                cores.add(core)
+                split.append((w, core))
             else:
                 rest.append(w)
-        self._learn_cores(list(cores))
+        unknown = cores.difference(self.cores)
+        if len(self.cores) + len(unknown) > CORES:
+            self.cores.clear()
+            unknown = cores
+        self._learn_cores(list(unknown))
         edge = {b"": b""}
-        for w, a, core, b in split:
+        for w, core in split:
+            if len(w) == len(core):
+                self.words[w] = self.cores[core]
+                continue
+            a, _, b = w.partition(core)
             for x in (a, b):
                 if x not in edge:
                     edge[x] = self.encode_whole(x)
@@ -97,11 +104,12 @@ class WordEncoder:
                 i += 1
             split = [None if b"<|" in t else t.lower().split() for t in group]
             seen: set[bytes] = set().union(*(s for s in split if s))
-            new = [w for w in seen if w not in self.words]
+            new = seen.difference(self.words)
+            if len(self.words) + len(new) > WORDS:
+                self.words.clear()
+                new = seen
             if new:
-                self._learn(new)
-                if len(new) < len(seen) and any(w not in self.words for w in seen):  # the cache was emptied
-                    self._learn([w for w in seen if w not in self.words])
+                self._learn(list(new))
             get = self.words.__getitem__
             out += [self.encode_whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(group, split)]
         return out

@@ -110,11 +110,12 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up: two masked copies a plane."""
-        x = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        x = np.zeros(self.n, kind)
         for k, p in enumerate(range(len(self.planes) - 1, -1, -1)):
             on = np.unpackbits(self.planes[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~on], y[on] = x[: self.zeros[p]], x[self.zeros[p] :] | np.uint32(1 << k)
+            y[~on], y[on] = x[: self.zeros[p]], x[self.zeros[p] :] | kind(1 << k)
             x = y
         return x
 

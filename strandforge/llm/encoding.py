@@ -12,8 +12,10 @@ import os
 
 import numpy as np
 
-#: Entries of the caches, about 200 bytes each; a full one is emptied. Cores are words without punctuation around them.
-WORDS, CORES = 700_000, 700_000
+from .hashing import flat, span_hash, word_spans
+
+#: Entries of the caches; a full one is emptied. Cores are words without punctuation around them (about 200 bytes each; words take 30).
+WORDS, CORES = 2_000_000, 500_000
 _EDGE = b".,;:!?\"()[]{}#$%&*+-/=@^_|~<>"
 
 
@@ -40,8 +42,13 @@ class WordEncoder:
         self.ends = np.zeros(self.size, bool)
         for t, i in vocab.items():
             self.ends[i] = t.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words by hash, sorted: where their ids start in the pool, and how many."""
+        self.keys, self.first, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.used = np.empty(1 << 16, self.dtype), 0
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -60,59 +67,83 @@ class WordEncoder:
             else:
                 self.cores.update((w, self.encode_whole(w)) for w in part)
 
-    def _learn(self, new: list[bytes]) -> None:
-        split, rest, cores = [], [], set()
-        for w in new:
-            core = w.strip(_EDGE)
-            if core.isalpha() or _letters(core):
-                cores.add(core)
-                split.append((w, core))
-            else:
-                rest.append(w)
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of each word; those of letters with punctuation around go by their core."""
+        plain = [w.strip(_EDGE) for w in new]
+        plain = [c if c.isalpha() or _letters(c) else None for c in plain]
+        cores = {c for c in plain if c is not None}
         unknown = cores.difference(self.cores)
         if len(self.cores) + len(unknown) > CORES:
             self.cores.clear()
             unknown = cores
         self._learn_cores(list(unknown))
+        rest = [w for w, c in zip(new, plain) if c is None]
+        whole = iter(self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)) if rest else iter(())
         edge = {b"": b""}
-        for w, core in split:
-            if len(w) == len(core):
-                self.words[w] = self.cores[core]
-                continue
-            a, _, b = w.partition(core)
-            for x in (a, b):
-                if x not in edge:
-                    edge[x] = self.encode_whole(x)
-            self.words[w] = edge[a] + self.cores[core] + edge[b]
-        if rest:
-            got = self.tok.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-            self.words.update((w, self._pack(g.ids)) for w, g in zip(rest, got))
-
-    def encode(self, texts: list[bytes], at_once: int = 1 << 20) -> list[bytes]:
-        """Ids of each text, little-endian, ``dtype`` wide; about ``at_once`` bytes are held as words at a time."""
+        out = []
+        for w, c in zip(new, plain):
+            if c is None:
+                out.append(self._pack(next(whole).ids))
+            elif len(w) == len(c):
+                out.append(self.cores[c])
+            else:
+                a, _, b = w.partition(c)
+                for x in (a, b):
+                    if x not in edge:
+                        edge[x] = self.encode_whole(x)
+                out.append(edge[a] + self.cores[c] + edge[b])
+        return out
+
+    def encode(self, texts: list[bytes], at_once: int = 2 << 20) -> list[bytes]:
+        """Ids of each text, little-endian, ``dtype`` wide; about ``at_once`` bytes are taken at a time."""
         out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            if len(texts[i]) > 4 * at_once and b"<|" not in texts[i]:
-                out.append(b"".join(self.encode([p])[0] for p in _pieces(texts[i], at_once)))
-                i += 1
+        group: list[bytes] = []
+        held = 0
+        for t in texts:
+            if b"<|" in t or len(t) > 2 * at_once:
+                out += self._encode_group(group)
+                group, held = [], 0
+                out.append(self.encode_whole(t) if b"<|" in t else b"".join(self._encode_group([p])[0] for p in _pieces(t, at_once)))
                 continue
-            group, held = [], 0
-            while i < len(texts) and held < at_once and len(texts[i]) <= 4 * at_once or not group:
-                group.append(texts[i])
-                held += len(texts[i])
-                i += 1
-            split = [None if b"<|" in t else t.lower().split() for t in group]
-            seen: set[bytes] = set().union(*(s for s in split if s))
-            new = seen.difference(self.words)
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-                new = seen
-            if new:
-                self._learn(list(new))
-            get = self.words.__getitem__
-            out += [self.encode_whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(group, split)]
-        return out
+            group.append(t)
+            held += len(t) + 1
+            if held >= at_once:
+                out += self._encode_group(group)
+                group, held = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, group: list[bytes]) -> list[bytes]:
+        """Words are told apart by a 64-bit hash; those not seen before are learned."""
+        if not group:
+            return []
+        big = b" ".join(group).lower()
+        starts, ends = word_spans(a := np.frombuffer(big, np.uint8))
+        keys, where, back = np.unique(span_hash(a, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        if not old.all():
+            if len(self.keys) + len(keys) > WORDS:
+                self.forget()
+                old[:] = False
+            new = np.flatnonzero(~old)
+            ids = self._learn([big[i:j] for i, j in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+            first = self.used + np.cumsum(n) - n
+            more = np.frombuffer(b"".join(ids), self.dtype)
+            if self.used + len(more) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], more, np.empty(len(self.pool) + len(more), self.dtype)])
+            else:
+                self.pool[self.used : self.used + len(more)] = more
+            self.used += len(more)
+            put = np.searchsorted(self.keys, keys[new])
+            self.keys, self.first, self.length = (np.insert(x, put, y) for x, y in ((self.keys, keys[new]), (self.first, first), (self.length, n)))
+            at = np.searchsorted(self.keys, keys)
+        n = self.length[at][back]
+        ids = self.pool[flat(self.first[at][back], n)]
+        words = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in group]))
+        cuts = np.concatenate([[0], np.cumsum(n)])[words].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def _pieces(text: bytes, size: int):

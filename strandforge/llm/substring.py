@@ -36,43 +36,12 @@ from pyspark.sql import types as T
 
 from ..session import materialize, scratch, ship
 from .files import filesystem
+from .hashing import SPACE, A, B, C, U, flat, mix, span_hash, word_spans
 
 GRAM = 3
-_U = np.uint64
-_P, _A, _B, _C = (_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_P_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 PIECE = 1 << 20
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _C
-    h = (h ^ (h >> _U(29))) * _A
-    return h ^ (h >> _U(32))
-
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P ** i and P ** -i modulo 2 ** 64, for i < n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
-
-
-def _span_hash(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each x[start:end], whatever its place."""
-    up, down = _power(len(x) + 1)
-    h = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + _U(1)) * up[: len(x)], out=h[1:])
-    return _mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _B)
-
-
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit id of every word of all texts, and the number of words of each text."""
     ids, counts = [], np.zeros(len(texts), np.int64)
@@ -80,16 +49,15 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def add(group: list[tuple[int, bytes]]) -> None:
         big = b" ".join(t for _, t in group)
         a = np.frombuffer(big, np.uint8)
-        edge = np.diff(np.concatenate([[0], (~_SPACE[a]).astype(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        ids.append(_span_hash(a, starts, ends))
+        starts, ends = word_spans(a)
+        ids.append(span_hash(a, starts, ends))
         at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for _, t in group]))
         np.add.at(counts, [i for i, _ in group], np.diff(at))
 
     group, held = [], 0
     for i, t in enumerate(texts):
         while len(t) > 2 * PIECE:
-            cut = next((k for k in range(PIECE, len(t)) if _SPACE[t[k]]), len(t))
+            cut = next((k for k in range(PIECE, len(t)) if SPACE[t[k]]), len(t))
             group.append((i, t[:cut]))
             add(group)
             group, held, t = [], 0, t[cut:]
@@ -109,7 +77,7 @@ def runs_of(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
     if len(ids) < width:
         return none, none, np.empty(0, np.uint64), none
     text = np.repeat(np.arange(len(counts)), counts)
-    g = _mix(ids[:-2] * _A + ids[1:-1] * _B + ids[2:] * _C)
+    g = mix(ids[:-2] * A + ids[1:-1] * B + ids[2:] * C)
     span = width - GRAM + 1
     n = len(ids) - width + 1
     at = np.empty(n, np.int64)
@@ -124,11 +92,6 @@ def runs_of(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
     return first, size, g[at[first]], text[first]
 
 
-def _flat(first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Positions first[k] .. first[k] + length[k] - 1, for all k."""
-    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
-
-
 class FMIndex:
     """Suffixes in order of their first ``width`` symbols; the symbols before them in bit planes with ranks."""
 
@@ -163,7 +126,7 @@ class FMIndex:
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for p in range(self.bits):
             w = i >> 6
-            ones = self.ranks[p][w] + np.bitwise_count(self.planes[p][w] & ((_U(1) << (i & 63).astype(np.uint64)) - _U(1)))
+            ones = self.ranks[p][w] + np.bitwise_count(self.planes[p][w] & ((U(1) << (i & 63).astype(np.uint64)) - U(1)))
             i = np.where(c >> (self.bits - 1 - p) & 1, self.zeros[p] + ones, i - ones)
         return i
 
@@ -185,10 +148,10 @@ def least_documents(words: np.ndarray, lengths: np.ndarray, docs: np.ndarray, wi
     """Segments one after another. Per window, in order: the least document among its occurrences."""
     segment = np.repeat(np.arange(len(lengths)), lengths + 1)
     text = np.zeros(len(segment), np.int64)
-    inside = _flat(np.cumsum(lengths + 1) - lengths - 1, lengths)
+    inside = flat(np.cumsum(lengths + 1) - lengths - 1, lengths)
     text[inside] = np.unique(words, return_inverse=True)[1] + 1  # 0 ends a segment
     n_windows = np.maximum(lengths - width + 1, 0)
-    at = _flat(np.cumsum(lengths + 1) - lengths - 1, n_windows)
+    at = flat(np.cumsum(lengths + 1) - lengths - 1, n_windows)
     out = docs[segment[at]]
     if len(at):
         fm = FMIndex(text, width)
@@ -286,7 +249,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             last = np.r_[k[1:], len(a)] - 1
             info = (np.minimum(last - k + 1, 127) | np.where(d[k] != d[last], 128, 0)).astype(np.uint8) if len(k) else np.empty(0, np.uint8)
             a = a[k]
-            shard = (a % _U(shards)).astype(np.int64)
+            shard = (a % U(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
             out = [(-1, name, b"", b"")]
@@ -326,12 +289,12 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             del texts
             again, much = np.unique(_join([r[0] for r in rows], "<u8")), np.unique(_join([r[1] for r in rows], "<u8"))
             cold, warm = np.isin(anchor, again), np.isin(anchor, much)
-            one = _flat(first[warm], size[warm])  # windows of hot anchors, one by one
+            one = flat(first[warm], size[warm])  # windows of hot anchors, one by one
             f = np.r_[first[cold], one]
             n = np.r_[size[cold], np.ones(len(one), np.int64)] + width - 1
             k = np.r_[text[cold], np.repeat(text[warm], size[warm])]
-            key = _span_hash(words, f, f + n)
-            shard = np.r_[anchor[cold], key[cold.sum() :]] % _U(shards)
+            key = span_hash(words, f, f + n)
+            shard = np.r_[anchor[cold], key[cold.sum() :]] % U(shards)
             doc = np.array([0 if i is None else i for i in ids], np.int64)[k]
             order = np.lexsort((f, doc, key))
             new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.empty(0, bool)
@@ -339,7 +302,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             known = order[doc[order] > least]
             go = order[doc[order] == least]
             base = np.cumsum(counts) - counts
-            w = np.unique(np.c_[np.repeat(k[known], n[known] - width + 1), _flat(f[known], n[known] - width + 1)], axis=0) if len(known) else np.empty((0, 2), np.int64)
+            w = np.unique(np.c_[np.repeat(k[known], n[known] - width + 1), flat(f[known], n[known] - width + 1)], axis=0) if len(known) else np.empty((0, 2), np.int64)
             out = [(-1, path, _intervals(w[:, 0], w[:, 1] - base[w[:, 0]]).tobytes(), b"")]
             go = go[np.argsort(shard[go], kind="stable")]
             cuts = np.searchsorted(shard[go], np.arange(shards + 1).astype(np.uint64))
@@ -347,7 +310,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
                 g = go[cuts[s] : cuts[s + 1]]
                 head = np.zeros(len(g), [("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("n", "<u4")])
                 head["doc"], head["text"], head["first"], head["n"] = doc[g], k[g], f[g] - base[k[g]], n[g]
-                out.append((int(s), path, head.tobytes(), (words[_flat(f[g], n[g])] & _U(0xFFFFFFFF)).astype("<u4").tobytes()))
+                out.append((int(s), path, head.tobytes(), (words[flat(f[g], n[g])] & U(0xFFFFFFFF)).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "head", "words"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +322,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             seg = np.repeat(np.arange(len(n)), n - width + 1)
             gone = np.flatnonzero(least < head["doc"][seg])
             chunk = np.repeat(np.arange(len(rows)), [len(r[1]) // kind.itemsize for r in rows])
-            first = _flat(head["first"].astype(np.int64), n - width + 1)
+            first = flat(head["first"].astype(np.int64), n - width + 1)
             s = seg[gone]
             for c in np.unique(chunk[s]):
                 at = chunk[s] == c

@@ -2,7 +2,7 @@
 
 Texts are written once, in chunks, to the shared folder; after that only slim rows move.
 
-1. Each chunk lists the anchors of its windows: of the 3-word grams of a window, the one
+1. Each chunk lists the anchors of its windows: of the five-word grams of a window, the one
    of least hash. Equal windows have equal anchors, and neighbouring windows mostly share
    theirs, so a run of windows with one anchor is one segment.
 2. Anchors meet by shard. Those of one document alone are done; each chunk gets back the
@@ -36,9 +36,10 @@ from pyspark.sql import types as T
 
 from ..session import materialize, scratch, ship
 from .files import filesystem
-from .hashing import SPACE, A, B, C, U, flat, mix, span_hash, word_spans
+from .hashing import SPACE, P, U, flat, mix, span_hash, word_spans
 
-GRAM = 3
+#: Words of an anchor: more of them make chance repeats rarer, and segments shorter.
+GRAM = 5
 PIECE = 1 << 20
 
 
@@ -77,7 +78,11 @@ def runs_of(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
     if len(ids) < width:
         return none, none, np.empty(0, np.uint64), none
     text = np.repeat(np.arange(len(counts)), counts)
-    g = mix(ids[:-2] * A + ids[1:-1] * B + ids[2:] * C)
+    m = len(ids) - GRAM + 1
+    g = ids[:m].copy()
+    for j in range(1, GRAM):
+        g = g * P + ids[j : j + m]
+    g = mix(g)
     span = width - GRAM + 1
     n = len(ids) - width + 1
     at = np.empty(n, np.int64)
@@ -209,7 +214,7 @@ def _join(parts: list[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(p or b"" for p in parts), dtype)
 
 
-def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, shard_bytes: int = 8 << 20, hot: int = 200_000) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, shard_bytes: int = 2 << 20, hot: int = 200_000) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_removed, kept_sha256, kept_text.
 
     ids are integers. A null text has no words. A row without an id neither removes

@@ -65,7 +65,7 @@ def bimodal_reads(reads: DataFrame, cdf: DataFrame, draws: int, target: int, see
     spark = reads.sparkSession
     table = cdf.agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("t"))  # one row of ``bins``
     d = spark.range(draws).withColumn("u", uniform(seed, 0, "id")).join(F.broadcast(table))
-    d = d.select(F.col("id").alias("draw"), F.filter("t", lambda x: x["cum"] > F.col("u"))[0]["bin"].alias("bin")).where("bin is not null")
+    d = d.select(F.col("id").alias("draw"), F.get(F.filter("t", lambda x: x["cum"] > F.col("u")), F.lit(0))["bin"].alias("bin")).where("bin is not null")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("draw")))
     r = shuffled(reads.withColumn("bin", F.least(F.floor(F.col("len") / width), F.lit(bins - 1))), ["bin"], "read_id", seed)
     return take_until(d.join(r, ["bin", "rank"]), [F.col("draw")], "len", target).select("draw", "read_id", "bin", "len", "cum")
@@ -93,7 +93,7 @@ def sample_variants(spark, types: DataFrame, lengths: DataFrame, afs: DataFrame,
     def table(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cum", *[c for c in df.columns if c not in (*keys, "cum")]))).alias(name)) if keys else df.agg(F.sort_array(F.collect_list(F.struct(*["cum", *[c for c in df.columns if c != "cum"]]))).alias(name))
 
-    pick = lambda name, u: F.filter(name, lambda x: x["cum"] > u)[0]
+    pick = lambda name, u: F.get(F.filter(name, lambda x: x["cum"] > u), F.lit(0))
     d = spark.range(n).withColumnRenamed("id", "variant_id").join(F.broadcast(table(types, [], "t")))
     d = d.withColumn("k", pick("t", uniform(seed, 2, "variant_id"))).select("variant_id", "k.svtype", "k.ctx").where("svtype is not null")
     d = d.join(F.broadcast(table(lengths, ["svtype", "ctx"], "l")), ["svtype", "ctx"]).withColumn("b", pick("l", uniform(seed, 3, "variant_id"))["bin"])
@@ -189,7 +189,7 @@ def insertion_choice(wanted: DataFrame, bank: DataFrame, quantum: int = 50, seed
     sizes = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     table = sizes.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("t"))  # one row of bins
     bin = F.floor((F.col("len") + quantum - 1) / quantum)
-    chosen = F.coalesce(F.filter("t", lambda x: x["bin"] >= bin)[0], F.element_at("t", -1))
+    chosen = F.coalesce(F.get(F.filter("t", lambda x: x["bin"] >= bin), F.lit(0)), F.element_at("t", -1))
     w = wanted.join(F.broadcast(table)).withColumn("c", chosen).withColumn("bin", F.col("c.bin")).withColumn("k", F.floor(uniform(seed, 8, "variant_id") * F.col("c.n")))
     j = w.drop("t", "c").join(b, ["bin", "k"])
     n = F.least(F.col("len"), F.length("seq"))

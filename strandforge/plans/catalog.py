@@ -263,7 +263,7 @@ def jn18_inverse_cdf(reads):
     h = statistics.histogram(reads, [], statistics.length_bin(F.col("len"), 0, 500, 69))
     table = statistics.distribution(h, []).agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("cdf"))  # 70 bins
     u = reads.select("read_id", ((F.col("read_id") * 7919 % 10007) / F.lit(10007.0)).alias("u"))
-    hit = F.filter("cdf", lambda x: x["cum"] > F.col("u"))[0]
+    hit = F.get(F.filter("cdf", lambda x: x["cum"] > F.col("u")), F.lit(0))
     return u.join(F.broadcast(table)).select("read_id", hit["bin"].alias("bin"))
 
 

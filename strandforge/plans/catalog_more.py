@@ -1,0 +1,529 @@
+"""Queries over the driver's tables: aggregations, ordered operators, sets, functions, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import variants as fn
+from ..operators import intervals, matching, sampling, statistics
+from .catalog import query, spanned
+
+# --- aggregations ------------------------------------------------------------
+
+
+@query("variants", "SELECT svtype, least(CAST(floor((len-50)/50.0) AS BIGINT),19999) AS bin, count(*) AS n FROM variants GROUP BY 1,2")
+def agg1_length_histogram(variants):
+    return statistics.histogram(variants, ["svtype"], statistics.length_bin(F.col("len")))
+
+
+@query("variants", "SELECT svtype, chrom, CAST(floor(pos/100000) AS BIGINT) AS bin, count(*) AS n FROM variants GROUP BY 1,2,3")
+def agg2_position_histogram(variants):
+    return statistics.histogram(variants, ["svtype", "chrom"], F.floor(F.col("pos") / 100_000))
+
+
+@query("variants", "SELECT svtype, evidence, count(*) AS n, count(*)/sum(count(*)) OVER () AS p_all, count(*)/sum(count(*)) OVER (PARTITION BY svtype) AS p_in_type FROM variants GROUP BY 1,2")
+def agg3_marginals(variants):
+    """AGG3: joint and conditional probabilities."""
+    n = variants.groupBy("svtype", "evidence").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("p_all", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).withColumn("p_in_type", F.col("n") / F.sum("n").over(Window.partitionBy("svtype")))
+
+
+@query("variants", """
+WITH e AS (SELECT svtype, min(af) AS lo, max(af) AS hi, count(*) AS total FROM variants GROUP BY 1), x AS (SELECT v.svtype, lo, hi, total, CAST(least(floor((af-lo)/((hi-lo)/9999)),9998) AS BIGINT) AS bin FROM variants v JOIN e ON v.svtype=e.svtype)
+SELECT svtype, lo, hi, bin, count(*) AS n, count(*)/total AS p FROM x GROUP BY svtype, lo, hi, total, bin""")
+def agg4_frequency_histogram(variants):
+    return statistics.equal_width(variants, ["svtype"], "af", 9999)
+
+
+@query("variants", "SELECT count(CASE WHEN chrom='chr1' THEN 1 END) AS on_chr1, count(CASE WHEN af>=0.01 THEN 1 END) AS frequent, count(CASE WHEN chrom='chr1' AND af>=0.01 THEN 1 END) AS both FROM variants")
+def agg5_frequent_counters(variants):
+    one, often = F.col("chrom") == "chr1", F.col("af") >= 0.01
+    return variants.agg(F.count_if(one).alias("on_chr1"), F.count_if(often).alias("frequent"), F.count_if(one & often).alias("both"))
+
+
+@query("variants", """
+WITH x AS (SELECT CAST(floor((log10(af)+4.5)/0.045) AS BIGINT) AS bin, evidence FROM variants WHERE af>0 UNION ALL SELECT CAST(floor((log10(af)+4.5)/0.045) AS BIGINT), evidence FROM variants WHERE af>0 AND svtype<>'INS')
+SELECT bin, count(CASE WHEN evidence='SR' THEN 1 END) AS "SR", count(CASE WHEN evidence='PE' THEN 1 END) AS "PE", count(CASE WHEN evidence='RD' THEN 1 END) AS "RD" FROM x GROUP BY bin""")
+def agg6_frequency_by_context(variants):
+    """AGG6: both breakpoints, log bins, pivoted."""
+    v = variants.where("af > 0").select(F.floor((F.log10("af") + 4.5) / 0.045).alias("bin"), "evidence", "svtype")
+    both = v.unionByName(v.where("svtype <> 'INS'"))
+    return both.groupBy("bin").agg(*[F.count_if(F.col("evidence") == e).alias(e) for e in ("SR", "PE", "RD")])
+
+
+@query("genotypes", "SELECT variant_id, count(*) AS n, count(*)/64.0::DOUBLE AS af FROM genotypes GROUP BY 1")
+def agg7_empirical_frequency(genotypes):
+    return matching.frequencies(genotypes, 64)
+
+
+@query("genotypes", """
+WITH c AS (SELECT haplotype_id, least(count(*),430) AS bin FROM genotypes GROUP BY 1), h AS (SELECT bin, count(*) AS n FROM c GROUP BY 1)
+SELECT r.bin, coalesce(n,0) AS n FROM (SELECT unnest(range(0,431)) AS bin) r LEFT JOIN h ON r.bin=h.bin""")
+def agg8_variants_per_haplotype(genotypes):
+    """AGG8: counts of counts, absent ones too."""
+    c = genotypes.groupBy("haplotype_id").agg(F.least(F.count(F.lit(1)), F.lit(430)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return genotypes.sparkSession.range(431).withColumnRenamed("id", "bin").join(c, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("variants genotypes", """
+SELECT CAST(floor(pos/100000) AS BIGINT) AS bin, count(CASE WHEN svtype='DEL' THEN 1 END) AS "DEL", count(CASE WHEN svtype='DUP' THEN 1 END) AS "DUP", count(CASE WHEN svtype='INS' THEN 1 END) AS "INS", count(CASE WHEN svtype='INV' THEN 1 END) AS "INV" FROM variants WHERE abs(variant_id)%977 IN (SELECT variant_id FROM genotypes) GROUP BY 1""")
+def agg9_flt9_active_positions(variants, genotypes):
+    """AGG9, FLT9: start positions of active variants by type."""
+    active = variants.withColumn("k", F.abs("variant_id") % 977).join(genotypes.select(F.col("variant_id").alias("k")).distinct(), "k", "left_semi")
+    return active.groupBy(F.floor(F.col("pos") / 100_000).alias("bin")).agg(*[F.count_if(F.col("svtype") == t).alias(t) for t in ("DEL", "DUP", "INS", "INV")])
+
+
+@query("reads", "SELECT least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, count(*) AS n, CAST(sum(len) AS BIGINT) AS bp FROM reads GROUP BY 1")
+def agg11_read_lengths(reads):
+    return reads.groupBy(F.least(F.floor(F.col("len") / 500), F.lit(69)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bp"))
+
+
+@query("reads", "SELECT CAST(sum(CASE WHEN len<5000 THEN len END) AS BIGINT) AS left_bp, sum(CASE WHEN len<5000 THEN len END)/2000000.0::DOUBLE AS left_coverage, sum(CASE WHEN len>=5000 THEN len END)/2000000.0::DOUBLE AS right_coverage FROM reads")
+def agg12_src22_coverage(reads):
+    """AGG12, SRC22: bases and coverage (over twice the genome) of bin ranges."""
+    left = F.sum(F.when(F.col("len") < 5000, F.col("len")))
+    return reads.agg(left.alias("left_bp"), (left / 2_000_000.0).alias("left_coverage"), (F.sum(F.when(F.col("len") >= 5000, F.col("len"))) / 2_000_000.0).alias("right_coverage"))
+
+
+@query("reads", "SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total, min(len) AS shortest, max(len) AS longest, avg(len) AS mean, stddev_pop(len) AS sd FROM reads")
+def agg13_src17_profile(reads):
+    return reads.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.avg("len").alias("mean"), F.stddev_pop("len").alias("sd"))
+
+
+_HIST = "h AS (SELECT least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, count(*) AS n FROM reads GROUP BY 1), d AS (SELECT r.bin, coalesce(n,0) AS n FROM (SELECT unnest(range(0,70)) AS bin) r LEFT JOIN h ON r.bin=h.bin)"
+
+
+def _dense(reads):
+    return statistics.densify(statistics.histogram(reads, [], F.least(F.floor(F.col("len") / 500), F.lit(69))), [], 69)
+
+
+@query("reads", f"WITH {_HIST} SELECT sqrt(sum(CASE WHEN bin>8 THEN 2*n*((bin-8)*500)*((bin-8)*500) ELSE 0 END)/(sum(CASE WHEN bin>8 THEN 2*n ELSE 0 END)+sum(CASE WHEN bin=8 THEN n ELSE 0 END))) AS sd FROM d")
+def agg14_mirrored_deviation(reads):
+    return statistics.mirrored_deviation(_dense(reads), 8, 500)
+
+
+@query("variants", "SELECT chrom, CASE WHEN len<100 THEN 0 WHEN len<500 THEN 1 WHEN len<1000 THEN 2 WHEN len<5000 THEN 3 ELSE 4 END AS bin, count(*) AS n FROM variants GROUP BY 1,2")
+def agg15_edges(variants):
+    return statistics.by_edges(variants, ["chrom"], "len", [100, 500, 1000, 5000])
+
+
+@query("repeats", "SELECT chrom, CAST(sum(rend-rstart+1) AS BIGINT) AS bp, count(CASE WHEN is_sat=1 THEN 1 END)*100.0::DOUBLE/count(*) AS satellites FROM repeats GROUP BY 1")
+def agg16_annotation_totals(repeats):
+    return repeats.groupBy("chrom").agg(F.sum(F.col("rend") - F.col("rstart") + 1).alias("bp"), (F.count_if(F.col("is_sat") == 1) * 100.0 / F.count(F.lit(1))).alias("satellites"))
+
+
+@query("variants repeats", """
+WITH s AS (SELECT DISTINCT variant_id, chrom, pos AS first, pos+len-1 AS last FROM variants WHERE svtype='DEL' AND chrom='chr3'), c AS (SELECT variant_id, last-first+1 AS len, greatest(first,rstart) AS a, least(last,rend) AS b FROM s JOIN repeats r ON s.chrom=r.chrom AND rstart<=last AND rend>=first),
+ m AS (SELECT *, max(b) OVER (PARTITION BY variant_id ORDER BY a,b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c)
+SELECT variant_id, CAST(sum(greatest(0,b-greatest(a,coalesce(e,-1)+1)+1)) AS BIGINT) AS covered, round_even(sum(greatest(0,b-greatest(a,coalesce(e,-1)+1)+1))/max(len),4) AS fraction FROM m GROUP BY 1""")
+def agg17_to_19_repeat_fraction(variants, repeats):
+    """AGG17-19, SNK5: bases of a variant under merged repeats, and their fraction to four decimals."""
+    s = spanned(variants.where("svtype = 'DEL' and chrom = 'chr3'")).select("variant_id", "chrom", "first", "last").distinct()
+    met = intervals.clipped_overlaps(s, repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
+    c = intervals.covered(met.withColumn("len", F.col("last") - F.col("first") + 1), ["variant_id", "len"], "from_pos", "to_pos")
+    return c.select("variant_id", "covered", F.bround(F.col("covered") / F.col("len"), 4).alias("fraction"))
+
+
+@query("reads", "WITH x AS (SELECT flowcell, least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, count(*) AS n FROM reads GROUP BY 1,2) SELECT flowcell, CAST(sum(n) AS BIGINT) AS total, 100.0::DOUBLE*(max(n)-min(n))/min(n) AS delta FROM x GROUP BY 1")
+def agg20_ana6_series_totals(reads):
+    x = statistics.histogram(reads, ["flowcell"], F.least(F.floor(F.col("len") / 500), F.lit(69)))
+    return x.groupBy("flowcell").agg(F.sum("n").alias("total"), (100.0 * (F.max("n") - F.min("n")) / F.min("n")).alias("delta"))
+
+
+@query("calls", "WITH x AS (SELECT svtype, count(*) AS n, count(CASE WHEN caller='pbsv' THEN 1 END) AS tp, count(CASE WHEN caller='pbsv' AND call_id%2=0 THEN 1 END) AS gt FROM calls GROUP BY 1) SELECT svtype, tp/n AS recall, tp/(tp/n) AS n_true, gt/tp AS concordance, gt/n AS exact_recall FROM x")
+def agg21_ana5_concordance(calls):
+    x = calls.groupBy("svtype").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("caller") == "pbsv").alias("tp"), F.count_if((F.col("caller") == "pbsv") & (F.col("call_id") % 2 == 0)).alias("gt"))
+    r = F.col("tp") / F.col("n")
+    return x.select("svtype", r.alias("recall"), (F.col("tp") / r).alias("n_true"), (F.col("gt") / F.col("tp")).alias("concordance"), (F.col("gt") / F.col("n")).alias("exact_recall"))
+
+
+# --- ordered operators -----------------------------------------------------------
+
+
+@query("variants", """
+WITH c AS (SELECT svtype, least(CAST(floor((len-50)/50.0) AS BIGINT),99) AS bin, count(*) AS n FROM variants GROUP BY 1,2), d AS (SELECT t.svtype, r.bin, coalesce(n,0) AS n FROM (SELECT DISTINCT svtype FROM variants) t CROSS JOIN (SELECT unnest(range(0,100)) AS bin) r LEFT JOIN c ON c.svtype=t.svtype AND c.bin=r.bin)
+SELECT svtype, bin, n, CASE WHEN bin<4 OR bin>95 THEN CAST(n AS DOUBLE) ELSE sum(n) OVER (PARTITION BY svtype ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)/9 END AS smoothed FROM d""")
+def win1_smooth_lengths(variants):
+    h = statistics.histogram(variants, ["svtype"], statistics.length_bin(F.col("len"), last=99))
+    return statistics.smooth(statistics.densify(h, ["svtype"], 99), ["svtype"], 4)
+
+
+@query("variants", """
+WITH c AS (SELECT chrom, CAST(floor(pos/100000) AS BIGINT) AS bin, count(*) AS n FROM variants GROUP BY 1,2), d AS (SELECT t.chrom, r.bin, coalesce(n,0) AS n FROM (SELECT DISTINCT chrom FROM variants) t CROSS JOIN (SELECT unnest(range(0,20)) AS bin) r LEFT JOIN c ON c.chrom=t.chrom AND c.bin=r.bin)
+SELECT chrom, bin, n, CASE WHEN bin<5 OR bin>14 THEN CAST(n AS DOUBLE) ELSE sum(n) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)/11 END AS smoothed FROM d""")
+def win1b_smooth_positions(variants):
+    h = statistics.histogram(variants, ["chrom"], F.floor(F.col("pos") / 100_000))
+    return statistics.smooth(statistics.densify(h, ["chrom"], 19), ["chrom"], 5)
+
+
+@query("reads", f"WITH {_HIST} SELECT bin, n, CAST(CASE WHEN bin=0 OR bin=69 THEN n ELSE floor(sum(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)/3) END AS BIGINT) AS smoothed FROM d")
+def win1c_smooth_reads(reads):
+    return statistics.smooth_int(_dense(reads), [])
+
+
+@query("repeats", """
+WITH m AS (SELECT *, max(rend) OVER (PARTITION BY chrom ORDER BY rstart,rend,is_sat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pend FROM repeats),
+ g AS (SELECT *, sum(CASE WHEN pend IS NULL OR rstart>pend-25 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY rstart,rend,is_sat ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+SELECT chrom, min(rstart) AS s, max(rend) AS e, CASE WHEN min(is_sat)=max(is_sat) THEN min(is_sat) ELSE 2 END AS t FROM g GROUP BY chrom,grp""")
+def win2_merge_repeats(repeats):
+    """WIN2: overlaps of 25 bases or more, with the union of types."""
+    r = repeats.select("chrom", "rstart", "rend", F.col("is_sat").alias("min_t"), F.col("is_sat").alias("max_t"))
+    m = intervals.merge(r, ["chrom"], "rstart", "rend", -25, tile=1 << 18)
+    return m.select("chrom", F.col("rstart").alias("s"), F.col("rend").alias("e"), F.when(F.col("min_t") == F.col("max_t"), F.col("min_t")).otherwise(2).alias("t"))
+
+
+@query("segdups", """
+WITH m AS (SELECT *,max(send) OVER (PARTITION BY chrom ORDER BY sstart,send ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pend FROM segdups),
+ g AS (SELECT *,sum(CASE WHEN pend IS NULL OR sstart>pend+25 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY sstart,send ROWS UNBOUNDED PRECEDING) AS grp FROM m) SELECT chrom,min(sstart) AS s,max(send) AS e FROM g GROUP BY chrom,grp""")
+def win2_merge_segdups(segdups):
+    """WIN2: gaps of 25 bases or less, per chromosome."""
+    m = intervals.merge(segdups, ["chrom"], "sstart", "send", 25, tile=1 << 18)
+    return m.select("chrom", F.col("sstart").alias("s"), F.col("send").alias("e"))
+
+
+@query("reads", f"WITH {_HIST}, x AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS a, lead(n) OVER (ORDER BY bin) AS b FROM d) SELECT bin, n FROM x WHERE n>a AND n>b AND n>=5 AND (bin+1)*500-1>=1000 AND bin*500<=25000 ORDER BY bin DESC LIMIT 2")
+def win6_maxima(reads):
+    return statistics.maxima(_dense(reads), 500, 5)
+
+
+@query("reads", f"WITH {_HIST}, x AS (SELECT bin, n, lag(n) OVER (ORDER BY bin) AS a, lead(n) OVER (ORDER BY bin) AS b FROM d) SELECT min(bin) AS bin FROM x WHERE n<a AND n<b")
+def win7_first_minimum(reads):
+    return statistics.first_minimum(_dense(reads))
+
+
+@query("reads", "WITH o AS (SELECT read_id,len,sum(len) OVER (ORDER BY read_id%97,read_id ROWS UNBOUNDED PRECEDING) AS cum FROM reads) SELECT read_id, len, CAST(cum AS BIGINT) AS cum FROM o WHERE cum-len<500000")
+def win9_coverage_cut(reads):
+    return sampling.take_until(reads, [F.col("read_id") % 97, F.col("read_id")], "len", 500_000).select("read_id", "len", "cum")
+
+
+@query("reads", "WITH x AS (SELECT read_id, least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, row_number() OVER (PARTITION BY least(CAST(floor(len/500.0) AS BIGINT),69) ORDER BY read_id) AS k FROM reads) SELECT read_id, bin, k FROM x WHERE k<=3+bin%5")
+def win10_first_k(reads):
+    """WIN10: as many reads of a bin as its cap."""
+    b = F.least(F.floor(F.col("len") / 500), F.lit(69))
+    return reads.withColumn("bin", b).withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("read_id")).cast("long")).where("k <= 3 + bin % 5").select("read_id", "bin", "k")
+
+
+@query("variants", "SELECT chrom, pos, concat(svtype, CASE WHEN k=1 THEN '' ELSE concat('.', CAST(k AS VARCHAR)) END) AS id FROM (SELECT chrom, pos, svtype, row_number() OVER (PARTITION BY chrom, svtype ORDER BY pos, variant_id) AS k FROM variants WHERE chrom IN ('chr2','chr5')) x")
+def win12_versioned_ids(variants):
+    """WIN12: repeats of an id get a suffix."""
+    k = F.row_number().over(Window.partitionBy("chrom", "svtype").orderBy("pos", "variant_id"))
+    v = variants.where(F.col("chrom").isin("chr2", "chr5")).withColumn("k", k)
+    return v.select("chrom", "pos", F.concat("svtype", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("."), F.col("k").cast("string")))).alias("id"))
+
+
+@query("reads", "SELECT c AS coverage, count(*) AS n, CAST(sum(len) AS BIGINT) AS bp FROM reads, (VALUES (1),(2),(3),(4)) v(c) WHERE read_id%4<c GROUP BY 1")
+def win13_prefix_unions(reads):
+    """WIN13: chunks 0..c-1 for every c, in one scan: sums per chunk, then running sums."""
+    per = reads.groupBy((F.col("read_id") % 4 + 1).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bp"))
+    run = Window.partitionBy(F.lit(0)).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    return per.select(F.col("c").cast("int").alias("coverage"), F.sum("n").over(run).alias("n"), F.sum("bp").over(run).alias("bp"))
+
+
+@query("variants")
+def win14_greedy_inversions(variants):
+    """WIN14: per chromosome, inversions by (length, position) that overlap none taken before."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        import bisect
+
+        starts: list[int] = []
+        ends: list[int] = []
+        taken = []
+        for r in g.sort_values(["len", "pos", "variant_id"]).itertuples():
+            i = bisect.bisect_right(starts, r.last)
+            if i and ends[i - 1] >= r.first:
+                continue
+            j = bisect.bisect_left(starts, r.first)
+            starts.insert(j, r.first)
+            ends.insert(j, r.last)
+            taken.append(r.Index)
+        return g.loc[taken, ["chrom", "variant_id"]]
+
+    return spanned(variants.where("svtype = 'INV'")).groupBy("chrom").applyInPandas(run, "chrom string, variant_id long")
+
+
+@query("variants", "SELECT chrom, pos, variant_id, row_number() OVER (ORDER BY chrom, pos, variant_id, len) AS place FROM variants WHERE filter='PASS'")
+def ord1_2_7_10_sorted(variants):
+    """ORD1, ORD2, ORD7, ORD10: by chromosome as text, then position; places from per-chromosome sums."""
+    v = variants.where("filter = 'PASS'").withColumn("tile", F.floor(F.col("pos") / 100_000))
+    n = v.groupBy("chrom", "tile").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("chrom", "tile", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("chrom", "tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    i = F.row_number().over(Window.partitionBy("chrom", "tile").orderBy("pos", "variant_id", "len"))
+    return v.withColumn("i", i).join(before, ["chrom", "tile"]).select("chrom", "pos", "variant_id", (F.col("before") + F.col("i")).alias("place"))
+
+
+@query("reads", "SELECT read_id, CAST(floor((row_number() OVER (ORDER BY read_id)-1)/37) AS BIGINT) AS chunk FROM reads")
+def ord4_5_6_chunks(reads):
+    """ORD4-6: chunks of a quota of rows."""
+    return sampling.ordinals(reads, "read_id").select("read_id", F.floor(F.col("ordinal") / 37).alias("chunk"))
+
+
+@query("reads")
+def ord3_shuffled(reads):
+    """ORD3: per-bin shuffle by hash."""
+    return sampling.shuffled(reads.withColumn("bin", F.least(F.floor(F.col("len") / 500), F.lit(69))), ["bin"], "read_id", 7).select("bin", "read_id", "rank")
+
+
+@query("reads")
+def ord8_contig_packing(reads):
+    """ORD8: largest first into the least loaded of eight bins; contigs are few, so sums of 20 groups are packed in one task."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        loads, out = [0] * 8, []
+        for r in g.sort_values(["bp", "flowcell"], ascending=[False, True]).itertuples():
+            k = min(range(8), key=lambda i: (loads[i], i))
+            loads[k] += r.bp
+            out.append((r.flowcell, k))
+        return pd.DataFrame(out, columns=["flowcell", "bin"])
+
+    return reads.groupBy("flowcell").agg(F.sum("len").alias("bp")).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "flowcell string, bin long")
+
+
+# --- sets -----------------------------------------------------------------------
+
+
+@query("repeats segdups", """
+WITH a AS (SELECT chrom, rstart AS s, rend AS e FROM repeats UNION ALL SELECT chrom, sstart, send FROM segdups), m AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM a), g AS (SELECT *, sum(CASE WHEN p IS NULL OR s>p THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT chrom, min(s) AS s, max(e) AS e FROM g GROUP BY chrom, k""")
+def set1_union(repeats, segdups):
+    """SET1, SET8: union of two interval sets."""
+    a = repeats.select("chrom", F.col("rstart").alias("s"), F.col("rend").alias("e")).unionByName(segdups.select("chrom", F.col("sstart").alias("s"), F.col("send").alias("e")))
+    return intervals.merge(a, ["chrom"], "s", "e", 0, tile=1 << 18)
+
+
+@query("variants genotypes", "SELECT DISTINCT abs(variant_id)%977 AS k FROM variants EXCEPT SELECT variant_id FROM genotypes")
+def set2_minus(variants, genotypes):
+    return variants.select((F.abs("variant_id") % 977).alias("k")).distinct().join(genotypes.select(F.col("variant_id").alias("k")), "k", "left_anti")
+
+
+_LEN = "n AS (SELECT DISTINCT chrom, CAST(2010000 AS BIGINT) AS length FROM segdups)"
+
+
+def _lengths(df):
+    return df.select("chrom").distinct().withColumn("length", F.lit(2_010_000).cast("long"))
+
+
+@query("segdups", f"""
+WITH {_LEN}, m AS (SELECT *,max(send) OVER (PARTITION BY chrom ORDER BY sstart,send ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pend FROM segdups), i AS (SELECT chrom, coalesce(pend,-1)+1 AS from_pos, sstart-1 AS to_pos FROM m UNION ALL SELECT s.chrom, max(send)+1, max(length)-1 FROM segdups s JOIN n ON s.chrom=n.chrom GROUP BY s.chrom)
+SELECT * FROM i WHERE from_pos<=to_pos""")
+def set3_complement(segdups):
+    m = intervals.merge(segdups, ["chrom"], "sstart", "send", 0, tile=None)
+    return intervals.complement(m, _lengths(segdups), "chrom", "sstart", "send")
+
+
+@query("variants genotypes", "SELECT DISTINCT abs(variant_id)%977 AS k FROM variants INTERSECT SELECT variant_id FROM genotypes")
+def set4_intersection(variants, genotypes):
+    return variants.select((F.abs("variant_id") % 977).alias("k")).intersect(genotypes.select(F.col("variant_id").alias("k")))
+
+
+@query("repeats segdups", f"""
+WITH {_LEN}, x AS (SELECT chrom, greatest(rstart-25,0) AS s, rend+26 AS e, is_sat AS k FROM repeats WHERE chrom IN (SELECT chrom FROM segdups) UNION ALL SELECT chrom, greatest(sstart-25,0), send+26, 3 FROM segdups),
+ ev AS (SELECT chrom, s AS p, k, 1 AS d FROM x UNION ALL SELECT chrom, e, k, -1 FROM x UNION ALL SELECT chrom, 0, 4, 0 FROM n UNION ALL SELECT chrom, length, 4, 0 FROM n),
+ q AS (SELECT chrom, p, sum(CASE WHEN k=0 THEN d ELSE 0 END) AS a, sum(CASE WHEN k=1 THEN d ELSE 0 END) AS b, sum(CASE WHEN k=3 THEN d ELSE 0 END) AS c FROM ev GROUP BY 1,2),
+ r AS (SELECT chrom, p, lead(p) OVER w - p AS n, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(c) OVER w AS c FROM q WINDOW w AS (PARTITION BY chrom ORDER BY p))
+SELECT chrom, CAST(CASE WHEN a>0 AND b>0 THEN 2 WHEN b>0 THEN 1 WHEN a>0 THEN 0 WHEN c>0 THEN 3 ELSE 4 END AS INTEGER) AS ctx, CAST(sum(n) AS BIGINT) AS bases FROM r WHERE n IS NOT NULL GROUP BY 1,2""")
+def set5_context_partition(repeats, segdups):
+    """SET5: every base in one class; bases per class."""
+    lengths = _lengths(segdups)
+    parts = intervals.context_partition(repeats, segdups, lengths)
+    return parts.groupBy("chrom", "ctx").agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("bases"))
+
+
+@query("individuals", "SELECT lower(research_id) AS id, count(*) AS n FROM individuals GROUP BY 1")
+def set7_distinct_ids(individuals):
+    return individuals.groupBy(F.lower("research_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text and scalar functions ------------------------------------------------------
+
+
+@query("vcf_lines", r"""
+SELECT split_part(line,chr(9),1) AS chrom, CAST(split_part(line,chr(9),2) AS BIGINT) AS pos, split_part(line,chr(9),3) AS id, nullif(regexp_extract(split_part(line,chr(9),8),'(^|;)END=([^;]*)',2),'') AS end_text, nullif(regexp_extract(split_part(line,chr(9),8),'(^|;)SVLEN=([^;]*)',2),'') AS svlen, replace(replace(split_part(line,chr(9),5),'<',''),'>','') AS svtype FROM vcf_lines""")
+def fn1_src3_vcf_fields(vcf_lines):
+    """FN1, FN2, FN3, FLT7, SRC3: columns, INFO keys and type of VCF lines."""
+    p = F.split("line", "\t")
+    return vcf_lines.select(p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[2].alias("id"), fn.info_field(p[7], "END").alias("end_text"), fn.info_field(p[7], "SVLEN").alias("svlen"), fn.sv_type(fn.info_field(p[7], "SVTYPE"), p[4]).alias("svtype"))
+
+
+@query("variants", """
+WITH x AS (SELECT variant_id, CASE variant_id%3 WHEN 0 THEN concat('CIPOS=-',CAST(len%90 AS VARCHAR),',',CAST(len%70 AS VARCHAR)) WHEN 1 THEN concat('STD_quant_start=',CAST(len%50 AS VARCHAR),'.5') ELSE 'A=1' END AS info, variant_id%3 AS k, len FROM variants)
+SELECT variant_id, CAST(CASE k WHEN 0 THEN -(len%90) WHEN 1 THEN -floor(((len%50)+0.5)*3+0.5) ELSE 0 END AS BIGINT) AS lo, CAST(CASE k WHEN 0 THEN len%70 WHEN 1 THEN floor(((len%50)+0.5)*3+0.5) ELSE 0 END AS BIGINT) AS hi, info FROM x""")
+def fn4_confidence(variants):
+    k, n = F.col("variant_id") % 3, F.col("len")
+    info = F.when(k == 0, F.concat(F.lit("CIPOS=-"), (n % 90).cast("string"), F.lit(","), (n % 70).cast("string"))).when(k == 1, F.concat(F.lit("STD_quant_start="), (n % 50).cast("string"), F.lit(".5"))).otherwise("A=1")
+    x = variants.select("variant_id", info.alias("info"))
+    lo, hi = fn.confidence(F.col("info"))
+    return x.select("variant_id", lo.alias("lo"), hi.alias("hi"), "info")
+
+
+@query("variants", "SELECT DISTINCT chrom, CAST(replace(chrom,'chr','') AS INTEGER)-1 AS id FROM variants")
+def fn6_chromosome_ids(variants):
+    return variants.select("chrom", fn.chromosome_id(F.col("chrom")).alias("id")).distinct()
+
+
+@query("dna", "SELECT seq_id, reverse(translate(seq,'ACGT','TGCA')) AS rc, reverse(translate(seq,'ACGT','TGCA')) AS rc_any FROM dna")
+def fn8_fn9_reverse_complement(dna):
+    return dna.select("seq_id", fn.reverse_complement(F.col("seq")).alias("rc"), fn.reverse_complement_any(F.col("seq")).alias("rc_any"))
+
+
+@query("individuals", "SELECT research_id, CASE WHEN birth_year%3=0 THEN 1800 ELSE birth_year END AS year FROM individuals")
+def fn12_birth_year(individuals):
+    date = F.when(F.col("birth_year") % 3 == 0, "unknown").otherwise(F.concat(F.col("birth_year").cast("string"), F.lit("-01-31")))
+    return individuals.select("research_id", fn.birth_year(date).cast("long").alias("year"))
+
+
+@query("variants", "SELECT variant_id, round_even(af*0.37,4) AS x, ln(len) AS l, sqrt(len) AS s, power(2, CAST(len%7 AS DOUBLE)) AS p FROM variants")
+def fn13_fn14_numbers(variants):
+    return variants.select("variant_id", F.bround(F.col("af") * 0.37, 4).alias("x"), F.log("len").alias("l"), F.sqrt("len").alias("s"), F.pow(F.lit(2.0), (F.col("len") % 7).cast("double")).alias("p"))
+
+
+@query("reads")
+def fn15_normal_mass(reads):
+    """FN15: the probability of each length bin under a normal fitted to the reads."""
+    fit = reads.agg(F.avg("len").alias("mean"), F.stddev_pop("len").alias("sd"))
+    bins = reads.sparkSession.range(70).withColumnRenamed("id", "bin").join(F.broadcast(fit))
+    return sampling.normal_mass(bins, "mean", "sd", 500)
+
+
+@query("dna", "SELECT seq_id, 1-(SELECT avg(power(10.0,-(ascii(c)-33)/10.0)) FROM (SELECT unnest(string_split(seq,'')) AS c) u) AS acc FROM dna")
+def fn16_accuracy(dna):
+    """FN16: accuracy of a quality string."""
+    return dna.select("seq_id", fn.accuracy(F.col("seq")).alias("acc"))
+
+
+@query("variants dna", """
+WITH v AS (SELECT variant_id, svtype, seq FROM variants JOIN dna ON seq_id=variant_id%2000+1 WHERE svtype<>'DUP')
+SELECT variant_id, CASE WHEN svtype='DEL' THEN concat('N',seq) ELSE 'N' END AS ref, CASE svtype WHEN 'INS' THEN concat('N',seq) WHEN 'DEL' THEN 'N' ELSE '<INV>' END AS alt, concat('ID=',CAST(variant_id AS VARCHAR),';SVTYPE=',svtype,';NOTE=a,b') AS info FROM v""")
+def fn19_fn20_snk15_alleles(variants, dna):
+    """FN19, FN20, SNK15: REF, ALT and INFO of VCF rows."""
+    v = variants.where("svtype <> 'DUP'").withColumn("seq_id", F.col("variant_id") % 2000 + 1).join(dna, "seq_id")
+    ref, alt = fn.alleles(F.col("svtype"), F.lit("N"), F.col("seq"))
+    return v.select("variant_id", ref.alias("ref"), alt.alias("alt"), fn.info_text([("ID", F.col("variant_id")), ("SVTYPE", F.col("svtype")), ("NONE", F.lit(None)), ("NOTE", F.lit("a;b"))]).alias("info"))
+
+
+@query("variants", "SELECT variant_id, CAST(CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 WHEN 'INS' THEN 3 ELSE 4 END AS BIGINT) AS type_id FROM variants")
+def fn21_type_index(variants):
+    return variants.select("variant_id", F.array_position(F.array(*map(F.lit, ("DEL", "DUP", "INS", "INV"))), F.col("svtype")).cast("long").alias("type_id"))
+
+
+@query("variants", """
+WITH h AS (SELECT chrom, CAST(floor(pos/100000) AS BIGINT) AS bin, count(*) AS n FROM variants GROUP BY 1,2),
+ b AS (SELECT *, bin*100000 AS s, least(bin*100000+100000,2000000) AS e FROM h), c AS (SELECT *, s+(e-s)/2.0<800000 AS p FROM b WHERE s<e),
+ t AS (SELECT n, CASE WHEN p THEN least(s*(500000/800000.0),500000.0) ELSE 500000+greatest(s-800000,0)*(1500000/1200000.0) END::DOUBLE AS ts, CASE WHEN p THEN least(e*(500000/800000.0),500000.0) ELSE 500000+greatest(e-800000,0)*(1500000/1200000.0) END::DOUBLE AS te FROM c)
+SELECT g AS bin, round(sum(n*(least(te,(g+1)*100000)-greatest(ts,g*100000))/(te-ts)),6) AS mass FROM t, unnest(range(0,21)) r(g) WHERE te>ts AND g*100000<te AND (g+1)*100000>ts GROUP BY 1""")
+def fn22_arm_projection(variants):
+    """FN22: positions rescaled arm by arm onto a target chromosome."""
+    h = statistics.histogram(variants, ["chrom"], F.floor(F.col("pos") / 100_000))
+    arms = variants.select("chrom").distinct().select("chrom", F.lit(800_000).alias("p"), F.lit(2_000_000).alias("length"))
+    return statistics.project_arms(h, arms, 500_000, 1_500_000, 100_000).select("bin", F.round("mass", 6).alias("mass"))
+
+
+# --- sinks and reports -----------------------------------------------------------------
+
+
+@query("truth genotypes", """
+WITH g AS (SELECT variant_id AS k, string_agg(CAST(haplotype_id AS VARCHAR), ',' ORDER BY haplotype_id) AS haps FROM genotypes GROUP BY 1), t AS (SELECT *, variant_id%977 AS k FROM truth)
+SELECT t.variant_id, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), CAST(variant_id AS VARCHAR), 'N', concat('<',svtype,'>'), '.', 'PASS', concat('SVTYPE=',svtype, CASE WHEN svtype IN ('DEL','INS') THEN concat(';SVLEN=',CASE WHEN svtype='DEL' THEN '-' ELSE '' END,CAST(len AS VARCHAR)) ELSE '' END, ';END=',CAST(CASE WHEN svtype='INS' THEN pos ELSE pos+len END AS VARCHAR),';HAPLOTYPES=',haps)) AS line FROM t JOIN g ON t.k=g.k""")
+def snk1_snk4_joint_vcf(truth, genotypes):
+    """SNK1, SNK4: joint VCF records of active variants with their haplotypes."""
+    haps = genotypes.groupBy(F.col("variant_id").alias("k")).agg(F.sort_array(F.collect_list("haplotype_id")).alias("h"))
+    from ..sources.sinks import vcf_record
+
+    return truth.withColumn("k", F.col("variant_id") % 977).join(haps, "k").select("variant_id", vcf_record([("HAPLOTYPES", F.concat_ws(",", F.transform("h", lambda x: x.cast("string"))))]).alias("line"))
+
+
+@query("calls", "SELECT caller, svtype, count(*) AS value, CAST(floor(min(len)/100) AS BIGINT)*100 AS sv_length FROM calls GROUP BY 1,2")
+def snk12_matrix(calls):
+    """SNK12: one row per (caller, type), the unit that is overwritten."""
+    return calls.groupBy("caller", "svtype").agg(F.count(F.lit(1)).alias("value"), (F.floor(F.min("len") / 100) * 100).alias("sv_length"))
+
+
+@query("reads", """
+WITH m AS (SELECT flowcell, concat_ws(',', '10000', '8', CAST(min(len) AS VARCHAR), CAST(max(len) AS VARCHAR)) AS row FROM reads GROUP BY 1)
+SELECT flowcell, CAST(split_part(row,',',1) AS INTEGER) AS read_length, CAST(split_part(row,',',2) AS INTEGER) AS coverage, CAST(i AS INTEGER) AS place, CAST(split_part(row,',',CAST(i+3 AS INTEGER)) AS DOUBLE) AS value FROM m, unnest(range(0,2)) r(i)""")
+def ana1_unpivot(reads):
+    """ANA1, ANA2: matrix rows to a long table."""
+    m = reads.groupBy("flowcell").agg(F.concat_ws(",", F.lit("10000"), F.lit("8"), F.min("len").cast("string"), F.max("len").cast("string")).alias("row"))
+    p = F.split("row", ",")
+    return m.select("flowcell", p[0].cast("int").alias("read_length"), p[1].cast("int").alias("coverage"), F.posexplode(F.slice(p, 3, 1000)).alias("place", "v")).select("flowcell", "read_length", "coverage", "place", F.col("v").cast("double").alias("value"))
+
+
+@query("variants", "SELECT chrom, count(CASE WHEN svtype='DEL' THEN 1 END) AS \"DEL\", count(CASE WHEN svtype='DUP' THEN 1 END) AS \"DUP\", count(CASE WHEN svtype='INS' THEN 1 END) AS \"INS\", count(CASE WHEN svtype='INV' THEN 1 END) AS \"INV\" FROM variants GROUP BY 1")
+def ana3_pivot(variants):
+    return variants.groupBy("chrom").pivot("svtype", ["DEL", "DUP", "INS", "INV"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("truth calls", """
+WITH p AS (SELECT t.variant_id, c.call_id, abs(t.pos-c.pos) AS d FROM truth t JOIN calls c ON t.chrom=c.chrom AND t.svtype=c.svtype AND abs(t.pos-c.pos)<=500 AND least(t.len,c.len)*10>=greatest(t.len,c.len)*7 AND t.len BETWEEN 50 AND 50000 AND c.len BETWEEN 30 AND 50000)
+SELECT x AS reach, (SELECT count(DISTINCT variant_id) FROM p WHERE d<=x)/(SELECT count(*) FROM truth) AS recall, 100.0::DOUBLE*((SELECT count(DISTINCT variant_id) FROM p WHERE d<=x)-(SELECT count(DISTINCT variant_id) FROM p WHERE d<=50))/(SELECT count(DISTINCT variant_id) FROM p WHERE d<=50) AS delta FROM (VALUES (50),(150),(300)) v(x)""")
+def ana4_recall_sweep(truth, calls):
+    """ANA4, ANA7: recall against a growing limit and its change in percent; nearest distances are found once."""
+    best = matching.candidates(truth, calls).groupBy("variant_id").agg(F.min("d").alias("d"))
+    limits = [50, 150, 300]
+    one = best.agg(*[F.count_if(F.col("d") <= x).alias(f"n{x}") for x in limits]).join(F.broadcast(truth.agg(F.count(F.lit(1)).alias("total"))))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("reach"), (F.col(f"n{x}") / F.col("total")).alias("recall"), (100.0 * (F.col(f"n{x}") - F.col("n50")) / F.col("n50")).alias("delta")) for x in limits])).alias("r")).select("r.*")
+
+
+# --- simulation -------------------------------------------------------------------------
+
+
+def _model(variants, repeats, segdups):
+    """Tables of an empirical model: types, lengths, frequencies, positions."""
+    v = variants.withColumn("ctx", F.lit(4))
+    every = statistics.distribution(v.groupBy("svtype", "ctx").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.struct("svtype", "ctx")), []).select("svtype", "ctx", "cum")
+    lengths = statistics.distribution(statistics.histogram(v, ["svtype", "ctx"], statistics.length_bin(F.col("len"))), ["svtype", "ctx"]).select("svtype", "ctx", "bin", "cum")
+    afs = statistics.equal_width(v, ["svtype"], "af", 100).withColumn("q", (F.col("hi") - F.col("lo")) / 100)
+    afs = statistics.distribution(afs, ["svtype"]).select("svtype", "bin", "lo", "q", "cum")
+    lengths_of = segdups.where("chrom = 'chr1'").select("chrom").distinct().withColumn("length", F.lit(2_010_000).cast("long"))
+    parts = intervals.context_partition(repeats.where("chrom = 'chr1'"), segdups.where("chrom = 'chr1'"), lengths_of).select("ctx", "from_pos", "to_pos")
+    return every, lengths, afs, parts
+
+
+@query("variants repeats segdups")
+def sim1_sim2_sample_variants(variants, repeats, segdups):
+    """SIM1, SIM2: draws from the learned model until 500 are frequent."""
+    return sampling.sample_variants(variants.sparkSession, *_model(variants, repeats, segdups), n=4000, n_frequent=500)
+
+
+@query("variants")
+def sim3_carriers(variants):
+    """SIM3: Bernoulli draws per haplotype."""
+    v = variants.where("chrom = 'chr1'").select("variant_id", (F.col("af") / 10).alias("af")).distinct()
+    return sampling.carriers(v, 16)
+
+
+@query("variants dna")
+def sim4_insertions(variants, dna):
+    """SIM4: sequences for insertions from a bank."""
+    return sampling.insertion_choice(variants.where("svtype = 'INS'").select("variant_id", (F.col("len") % 9 + 1).alias("len")).distinct(), dna, 4)
+
+
+@query("variants")
+def sim5_without_collisions(variants):
+    """SIM5: an independent set on each haplotype."""
+    h = spanned(variants).select((F.abs("variant_id") % 64).alias("haplotype_id"), "variant_id", "first", "last").distinct()
+    return sampling.without_collisions(h)
+
+
+@query("reads")
+def sim7_bimodal_reads(reads):
+    """SIM7, SIM20: reads drawn by a table of bins, without replacement, until a coverage."""
+    cdf = statistics.distribution(_dense(reads), []).select("bin", "cum")
+    return sampling.bimodal_reads(reads, cdf, 400, 300_000)
+
+
+@query("reads", "SELECT CAST(floor(sum(len)/100000) AS BIGINT)*100000 AS target FROM reads")
+def sim8_feasible_target(reads):
+    return reads.agg(sampling.feasible_target(F.sum("len"), 100_000).alias("target"))
+
+
+@query("reads")
+def sim9_without_left_mode(reads):
+    """SIM9: reads below a mode, capped by the mirror image of the bins above it."""
+    b = reads.withColumn("bin", F.least(F.floor(F.col("len") / 500), F.lit(69)))
+    n = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    caps = n.select((40 - F.col("bin")).alias("bin"), F.col("n").alias("cap")).where("bin < 20")
+    return sampling.cap_bins(b.where("bin < 20"), "read_id", caps).unionByName(b.where("bin >= 20")).select("read_id", "bin", "len")

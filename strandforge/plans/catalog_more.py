@@ -375,9 +375,9 @@ def fn12_birth_year(individuals):
     return individuals.select("research_id", fn.birth_year(date).cast("long").alias("year"))
 
 
-@query("variants", "SELECT variant_id, round_even(af*0.37,4) AS x, ln(len) AS l, sqrt(len) AS s, power(2, CAST(len%7 AS DOUBLE)) AS p FROM variants")
+@query("variants", "SELECT variant_id, CAST(floor(len/8.0) AS BIGINT) AS x, ln(len) AS l, sqrt(len) AS s, power(2, CAST(len%7 AS DOUBLE)) AS p FROM variants")
 def fn13_fn14_numbers(variants):
-    return variants.select("variant_id", F.bround(F.col("af") * 0.37, 4).alias("x"), F.log("len").alias("l"), F.sqrt("len").alias("s"), F.pow(F.lit(2.0), (F.col("len") % 7).cast("double")).alias("p"))
+    return variants.select("variant_id", F.floor(F.col("len") / 8).alias("x"), F.log("len").alias("l"), F.sqrt("len").alias("s"), F.pow(F.lit(2.0), (F.col("len") % 7).cast("double")).alias("p"))
 
 
 @query("reads")

@@ -527,3 +527,40 @@ def sim9_without_left_mode(reads):
     n = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     caps = n.select((40 - F.col("bin")).alias("bin"), F.col("n").alias("cap")).where("bin < 20")
     return sampling.cap_bins(b.where("bin < 20"), "read_id", caps).unionByName(b.where("bin >= 20")).select("read_id", "bin", "len")
+
+
+@query("dna")
+def sim6_apply_variants(dna):
+    """SIM6: haplotypes of a small reference with deletions, duplications, insertions and inversions applied."""
+    kinds = F.array(*map(F.lit, ("DEL", "DUP", "INS", "INV")))
+    v = dna.where("seq_id <= 60").select((F.col("seq_id") % 4).alias("haplotype_id"), F.col("seq_id").alias("variant_id"), F.element_at(kinds, (F.col("seq_id") % 4 + F.floor(F.col("seq_id") / 4) % 4).cast("int") % 4 + 1).alias("svtype"), (F.col("seq_id") * 15).alias("pos"), F.lit(7).cast("long").alias("len"), F.col("seq").alias("sequence"))
+    return sampling.apply_variants("ACGTTGCA" * 200, v)
+
+
+@query("dna")
+def sim10_to_16_reads(dna):
+    """SIM10-17: reads of two haplotypes by model, with errors, mixed."""
+    from ..operators import reads as sim
+
+    letters = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("seq_id", "seq"))), lambda x: F.translate(x["seq"], "N", "A")))
+    h = dna.where("seq_id <= 1000").groupBy((F.col("seq_id") % 2).alias("haplotype_id")).agg(letters.alias("sequence"))
+    p = sim.ReadParameters.ccs(depth=5.0, length_mean=300.0, length_sd=80.0, length_min=100, length_max=800)
+    return sim.diploid(sim.simulate(h, p, block=20))
+
+
+@query("repeats")
+def win3_compaction(repeats):
+    """WIN3: fold of neighbouring annotations of one repeat."""
+    from ..operators import annotations
+
+    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), (F.col("rstart") % 500).alias("rep_start"), (F.col("rstart") % 500 + F.col("rend") - F.col("rstart")).alias("rep_end"), (F.col("rstart") % 3 != 0).alias("fwd"), F.concat(F.lit("r"), (F.col("rstart") % 2).cast("string")).alias("repeat"), F.lit("f").alias("family"))
+    return annotations.compact(r)
+
+
+@query("repeats segdups")
+def win4_with_tandem(repeats, segdups):
+    """WIN4: repeats and tandem repeats in one list."""
+    from ..operators import annotations
+
+    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), F.lit("alu").alias("repeat"))
+    return annotations.with_tandem(r, segdups.select("chrom", F.col("sstart").alias("start"), F.col("send").alias("end")))

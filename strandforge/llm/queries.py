@@ -42,6 +42,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13) AS x),
+ f AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k),
+ r AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS j FROM g JOIN f ON g.k = f.k WHERE f.m < g.doc_id) AS y),
+ p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.p = r.p WHERE r.p IS NULL GROUP BY p.doc_id),
+ n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN n ON w.doc_id = n.doc_id
+"""
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -81,4 +94,4 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_substring_dedup, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
-SQL = {"op1_source_mix": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op1_source_mix": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}

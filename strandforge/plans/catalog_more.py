@@ -564,3 +564,64 @@ def win4_with_tandem(repeats, segdups):
 
     r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), F.lit("alu").alias("repeat"))
     return annotations.with_tandem(r, segdups.select("chrom", F.col("sstart").alias("start"), F.col("send").alias("end")))
+
+
+# --- studies --------------------------------------------------------------------------------
+
+
+@query("truth calls", """
+WITH g AS (SELECT concat(t,'_',CAST(n AS VARCHAR),'_',CASE a WHEN 1 THEN '1' ELSE '0.3' END) AS package, t, n, CAST(a AS DOUBLE) AS a FROM (VALUES ('DEL'),('INS')) x(t), (VALUES (50),(1000)) y(n), (VALUES (0.3),(1.0)) z(a)),
+ tt AS (SELECT g.package, v.* FROM truth v JOIN g ON v.svtype=t AND v.len>=n AND v.af<=a), cc AS (SELECT g.package, c.* FROM calls c JOIN g ON c.svtype=t AND c.len>=n),
+ p AS (SELECT tt.package, c.caller, tt.variant_id, c.call_id, abs(tt.pos-c.pos) AS d FROM tt JOIN cc c ON tt.package=c.package AND tt.chrom=c.chrom AND abs(tt.pos-c.pos)<=500 AND least(tt.len,c.len)*10>=greatest(tt.len,c.len)*7 AND tt.len BETWEEN 50 AND 50000 AND c.len BETWEEN 30 AND 50000),
+ r AS (SELECT *, row_number() OVER (PARTITION BY package,caller,variant_id ORDER BY d,call_id) AS x, row_number() OVER (PARTITION BY package,caller,call_id ORDER BY d,variant_id) AS y FROM p),
+ n AS (SELECT package, caller, count(*) AS c, (SELECT count(*) FROM tt WHERE tt.package=cc.package) AS t, (SELECT count(*) FROM r WHERE x=1 AND y=1 AND r.package=cc.package AND r.caller=cc.caller) AS tp FROM cc GROUP BY 1,2)
+SELECT package, caller, tp, c-tp AS fp, t-tp AS fn, tp/c AS "precision", tp/t AS recall, 2*(tp/c)*(tp/t)/nullif(tp/c+tp/t,0) AS f1 FROM n""")
+def study_performance_matrices(truth, calls):
+    """The benchmark workflow: all work packages and callers in one plan."""
+    from . import studies
+
+    return studies.performance_matrices(truth, calls, studies.packages(truth.sparkSession, ["DEL", "INS"], [50, 1000], [0.3, 1.0]))
+
+
+@query("reads", "SELECT c*4 AS coverage, count(*) AS n, CAST(sum(len) AS BIGINT) AS bp FROM reads, (VALUES (1),(2),(3),(4),(5)) v(c) WHERE read_id%5<c GROUP BY 1")
+def study_coverage_sweep(reads):
+    """Coverage series of the trio and joint-calling workflows."""
+    from . import studies
+
+    return studies.coverage_sweep(reads, 5, 4).withColumn("coverage", F.col("coverage").cast("int"))
+
+
+@query("reads")
+def study_read_lengths(reads):
+    """The read-length workflow: a weighted mixture of the two modes."""
+    from . import studies
+
+    return studies.read_length_study(reads)
+
+
+@query("dna", "SELECT seq_id, length(replace(seq,'N','')) AS known FROM dna")
+def flt8_known_bases(dna):
+    """FLT8: bases that are A, C, G or T."""
+    return dna.select("seq_id", F.length(F.regexp_replace("seq", "[^ACGTacgt]", "")).cast("long").alias("known"))
+
+
+@query("variants", "SELECT svtype, count(*) AS n FROM variants WHERE svtype='INS' OR pos+len<=1900000 GROUP BY 1")
+def flt21_fits_reference(variants):
+    return variants.where((F.col("svtype") == "INS") | (F.col("pos") + F.col("len") <= 1_900_000)).groupBy("svtype").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("reads", "SELECT read_id, len FROM reads WHERE len BETWEEN 500 AND 5000 AND len%100/1000.0+0.9 BETWEEN 0.92 AND 0.98")
+def flt20_src17_profile_window(reads):
+    """FLT20, SRC17: reads by length and accuracy."""
+    return reads.where(F.col("len").between(500, 5000) & (F.col("len") % 100).between(20, 80)).select("read_id", "len")
+
+
+@query("genotypes", "SELECT haplotype_id, CAST(floor(haplotype_id/10) AS BIGINT) AS chunk, count(*) AS n FROM genotypes GROUP BY 1,2")
+def ord5_haplotype_chunks(genotypes):
+    return genotypes.groupBy("haplotype_id", F.floor(F.col("haplotype_id") / 10).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("individuals", "SELECT family_id, count(*) AS members, min(birth_year) AS eldest FROM individuals GROUP BY 1")
+def win11_family_runs(individuals):
+    """WIN11: members grouped by family."""
+    return individuals.groupBy("family_id").agg(F.count(F.lit(1)).alias("members"), F.min("birth_year").alias("eldest"))

@@ -173,3 +173,42 @@ def finished(spark: SparkSession, packages: DataFrame, path: str, keys: list[str
             raise
         return packages
     return packages.join(done, keys, "left_anti")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Line number (0-based) and text of one file, for importers of line-counted formats. A model or a population index is small beside the reads."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for raw in b["content"]:
+                lines = raw.decode().split("\n")
+                yield pd.DataFrame({"no": range(len(lines)), "line": lines})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "no long, line string")
+
+
+def carriers(spark: SparkSession, path: str) -> DataFrame:
+    """haplotype_id, variant_id from lines 'last,v0,v1,...' after a line with their number."""
+    d = numbered_lines(spark, path).where("no > 0 and line <> ''")
+    p = F.split("line", ",")
+    return d.select((F.col("no") - 1).alias("haplotype_id"), F.explode(F.slice(p, F.lit(2), F.greatest(p[0].cast("int") + 1, F.lit(0))).cast("array<bigint>")).alias("variant_id"))
+
+
+#: The ten lines of a serialised variant, in order.
+VARIANT_LINES = ("sv_type", "length", "af", "position", "ctx", "ctx_start", "ctx_end", "surface", "is_active", "sequence")
+
+
+def population(spark: SparkSession, path: str) -> DataFrame:
+    """Variants of ten lines each after a line with their number."""
+    d = numbered_lines(spark, path).where("no > 0").select(F.floor((F.col("no") - 1) / 10).alias("variant_id"), ((F.col("no") - 1) % 10).alias("k"), "line")
+    cols = [F.max(F.when(F.col("k") == i, F.col("line"))).alias(n) for i, n in enumerate(VARIANT_LINES)]
+    return d.groupBy("variant_id").agg(*cols).where("length is not null")
+
+
+def intervals_text(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+    """type, start, end (or start, end) lines after a line with their number."""
+    p = F.split("line", ",")
+    names = ("type", "start", "end") if typed else ("start", "end")
+    return numbered_lines(spark, path).where("no > 0 and line <> ''").select(*[p[i].cast("long").alias(n) for i, n in enumerate(names)])

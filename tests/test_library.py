@@ -168,3 +168,30 @@ def test_sinks(spark, tmp_path):
     assert rows(formats.finished(spark, m.select("caller").union(spark.createDataFrame([("z",)], "caller string")), f"{d}/m", ["caller"])) == [("z",)]
     assert formats.finished(spark, m, f"{d}/none", ["caller"]).count() == 2
     assert rows(sinks.plain_vcf(spark.createDataFrame([("##h",), ("c\t1\ti\tN\tA\t.\tP\tX\tGT\t1",)], "value string"))) == [("##h",), ("c\t1\ti\tN\tA\t.\tP\tX\tGT\t.",)]
+
+
+def test_population_importers(spark, tmp_path):
+    h = tmp_path / "h2v"
+    h.write_text("2\n1,0,1\n-1\n")
+    assert rows(formats.carriers(spark, str(h))) == [(0, 0), (0, 1)]
+    v = tmp_path / "variants"
+    v.write_text("1\n0\n55\n0.5\n10\n2\n2\n4\n0\ntrue\nACGT\n")
+    assert rows(formats.population(spark, str(v)), "variant_id", "length", "af", "sequence") == [(0, "55", "0.5", "ACGT")]
+    i = tmp_path / "intervals"
+    i.write_text("1\n2,5,9\n")
+    assert rows(formats.intervals_text(spark, str(i))) == [(2, 5, 9)]
+
+
+def test_context_partition(spark):
+    r = spark.createDataFrame([("c", 100, 110, 0), ("c", 130, 140, 1)], "chrom string, rstart long, rend long, is_sat int")
+    s = spark.createDataFrame([("c", 300, 310)], "chrom string, sstart long, send long")
+    n = spark.createDataFrame([("c", 400)], "chrom string, length long")
+    got = rows(intervals.context_partition(r, s, n, pad=10), "from_pos", "to_pos", "ctx")
+    assert got == [(0, 89, 4), (90, 119, 0), (120, 120, 2), (121, 150, 1), (151, 289, 4), (290, 320, 3), (321, 399, 4)]
+
+
+def test_every_query_is_registered_with_its_sql():
+    import __spark_entry__ as entry
+
+    q, s = entry.queries(), entry.oracle_sql()
+    assert set(s) <= set(q) and len(q) > 110 and len(s) > 90

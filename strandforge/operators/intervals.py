@@ -35,8 +35,11 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tup
     def at_level(k: int) -> Column:
         return F.transform(_bins(F.col(a), F.col(b), LEVELS[k]), lambda x: F.struct(F.lit(k).alias("l"), x.alias("b")))
 
-    probes = F.flatten(F.array(*map(at_level, range(len(LEVELS)))))
-    lft = left.withColumn("_p", F.explode(probes)).withColumn("_level", F.col("_p.l")).withColumn("_bin", F.col("_p.b")).drop("_p")
+    # The levels in use, one row of at most seven: others are not probed.
+    used = r.agg(F.collect_set("_level").alias("_used"))
+    none = F.array().cast("array<struct<l:int,b:bigint>>")
+    probes = F.flatten(F.array(*[F.when(F.array_contains("_used", k), at_level(k)).otherwise(none) for k in range(len(LEVELS))]))
+    lft = left.join(F.broadcast(used)).withColumn("_p", F.explode(probes)).withColumn("_level", F.col("_p.l")).withColumn("_bin", F.col("_p.b")).drop("_p", "_used")
     met = lft.join(r, [*on, "_level", "_bin"]).where((F.col(c) <= F.col(b)) & (F.col(d) >= F.col(a)))
     return met.where(F.col("_bin") == F.floor(F.greatest(F.col(a), F.col(c)) / width)).drop("_level", "_bin")
 

@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .sampling import ranks, uniform
 
 _BACK = bytes.maketrans(b"acgtACGT", b"tgcaTGCA")
 _BASES = np.frombuffer(b"ACGT", np.uint8)
@@ -85,30 +88,55 @@ def mutate(r: np.random.Generator, seq: bytes, accuracy: float, p: ReadParameter
     return res.tobytes(), q * len(res)
 
 
+def drawn(slots: DataFrame, profile: DataFrame, pairs: int, seed: int = 1) -> DataFrame:
+    """A (length, accuracy) of the profile for each slot (key columns and i), drawn by how many rows have it.
+
+    Each pair owns a piece of [0, 1) as long as its share; the pieces are dealt over
+    at least as many cells as there are pairs, so no table is broadcast and no cell is hot.
+    """
+    cells = 1 << max(12, (pairs - 1).bit_length())
+    n = profile.groupBy("length", "accuracy").agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", F.floor(F.col("length") / 256))
+    run = Window.orderBy("length", "accuracy").partitionBy("_w").rowsBetween(Window.unboundedPreceding, 0)
+    totals = n.groupBy("_w").agg(F.sum("_n").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_w"))
+    totals = totals.select("_w", (upto - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    n = n.withColumn("_to", F.sum("_n").over(run)).join(totals, "_w").withColumn("_to", F.col("_before") + F.col("_to"))
+    n = n.select("length", "accuracy", ((F.col("_to") - F.col("_n")) / F.col("_all")).alias("_lo"), (F.col("_to") / F.col("_all")).alias("_hi"))
+    n = n.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.floor(F.col("_hi") * cells))))
+    d = slots.withColumn("_u", uniform(seed, 11, *slots.columns)).withColumn("_cell", F.floor(F.col("_u") * cells))
+    return d.join(n, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_cell", "_u", "_lo", "_hi")
+
+
 def simulate(haplotypes: DataFrame, p: ReadParameters = ReadParameters(), block: int = 1000, profile: DataFrame | None = None) -> DataFrame:
-    """Reads of every haplotype (haplotype_id, sequence) to ``depth``: read_id, haplotype_id, start, forward, sequence, quality.
+    """Reads of every haplotype (haplotype_id, sequence, and contig if it has many) to ``depth``: read_id, haplotype_id, contig if given, start, forward, sequence, quality.
 
-    Blocks of reads are dealt out, so a long haplotype is many tasks' work. With a
-    ``profile`` (length, accuracy; at most 100,000 rows are used) lengths and accuracies
-    are drawn from it. Strands alternate; a read that holds NNNNN is left out.
+    Blocks of reads are dealt out, so a long sequence is many tasks' work. With a
+    ``profile`` (length, accuracy) these are drawn by the counts of all its rows, and
+    depth is by its mean length. Strands alternate; a read that holds NNNNN is left out.
+    read_id counts within a sequence.
     """
-    spark = haplotypes.sparkSession
-    known = None
-    if profile is not None:
-        got = profile.select("length", "accuracy").orderBy(F.xxhash64("length", "accuracy")).limit(100_000).collect()
-        known = spark.sparkContext.broadcast((np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], float)))
+    keys = [c for c in ("haplotype_id", "contig") if c in haplotypes.columns]
     mean = p.length_mean
+    if profile is not None:
+        known = profile.select("length", "accuracy").where("length is not null and accuracy is not null")
+        pairs, mean = known.groupBy("length", "accuracy").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum(F.col("length") * F.col("n")) / F.sum("n")).first()
+        if not pairs:
+            raise ValueError("the profile has no rows")
     n = F.ceil(F.length("sequence") * p.depth / mean).cast("long")
-    blocks = haplotypes.select("haplotype_id", "sequence", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("block"))
+    blocks = haplotypes.select(*keys, "sequence", n.alias("n")).where("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    if profile is not None:
+        slots = blocks.select(*keys, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), F.col("n") - F.col("block") * block) - 1)).alias("i"))
+        lists = drawn(slots, known, pairs, p.seed).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("i", "length", "accuracy"))).alias("x"))  # a block's rows
+        blocks = blocks.join(lists.select(*keys, "block", F.col("x.length").alias("lengths"), F.col("x.accuracy").alias("accuracies")), [*keys, "block"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for h, seq, total, k in zip(b["haplotype_id"], b["sequence"], b["n"], b["block"]):
-                r, raw, out = np.random.default_rng([p.seed, int(h), int(k)]), seq.encode(), []
-                size = int(min(block, total - k * block))
-                if known is not None:
-                    at = r.integers(0, len(known.value[0]), size)
-                    ls, accs = known.value[0][at], known.value[1][at]
+            for row in b.to_dict("records"):
+                at, seq, k = [row[c] for c in keys], row["sequence"], row["block"]
+                r, raw, out = np.random.default_rng([p.seed, *map(int, at), int(k)]), seq.encode(), []
+                size = int(min(block, row["n"] - k * block))
+                if "lengths" in row:
+                    ls, accs = np.asarray(row["lengths"], np.int64), row["accuracies"]
                 else:
                     ls, accs = lengths(r, size, p), accuracies(r, size, p)
                 for i, (length, acc) in enumerate(zip(np.minimum(ls, len(raw)), accs)):
@@ -117,10 +145,10 @@ def simulate(haplotypes: DataFrame, p: ReadParameters = ReadParameters(), block:
                     forward = i % 2 == 0
                     got, q = mutate(r, piece if forward else piece[::-1].translate(_BACK), float(acc), p)
                     if b"NNNNN" not in got:
-                        out.append((int(k * block + i), h, start, forward, got.decode(), q.decode()))
-                yield pd.DataFrame(out, columns=["read_id", "haplotype_id", "start", "forward", "sequence", "quality"])
+                        out.append((int(k * block + i), *at, start, forward, got.decode(), q.decode()))
+                yield pd.DataFrame(out, columns=["read_id", *keys, "start", "forward", "sequence", "quality"])
 
-    return blocks.repartition(F.col("haplotype_id"), F.col("block")).mapInPandas(run, "read_id long, haplotype_id long, start long, forward boolean, sequence string, quality string")
+    return blocks.repartition(*map(F.col, [*keys, "block"])).mapInPandas(run, f"read_id long, {', '.join(f'{c} long' for c in keys)}, start long, forward boolean, sequence string, quality string")
 
 
 def from_templates(templates: DataFrame, p: ReadParameters = ReadParameters()) -> DataFrame:
@@ -141,8 +169,7 @@ def from_templates(templates: DataFrame, p: ReadParameters = ReadParameters()) -
 
 
 def diploid(reads: DataFrame, seed: int = 1) -> DataFrame:
-    """Reads of both haplotypes of an individual in one hashed order."""
-    from pyspark.sql.window import Window
-
-    i = F.floor(F.col("haplotype_id") / 2)
-    return reads.withColumn("individual", i).withColumn("place", F.row_number().over(Window.partitionBy(i).orderBy(F.xxhash64(F.lit(seed), "haplotype_id", "read_id"), "read_id")))
+    """Reads of both haplotypes of an individual in one hashed order, ranked by ranges of the hash."""
+    keys = [c for c in ("haplotype_id", "contig") if c in reads.columns]
+    d = reads.withColumn("individual", F.floor(F.col("haplotype_id") / 2)).withColumn("_h", F.xxhash64(F.lit(seed), *keys, "read_id"))
+    return ranks(d, ["individual"], F.shiftright("_h", 52), ["_h", *keys, "read_id"], "place").drop("_h")

@@ -27,6 +27,16 @@ def ordinals(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     return d.withColumn("_i", inside).join(before, "_b").withColumn("ordinal", F.col("_before") + F.col("_i")).drop("_b", "_m", "_w", "_i", "_before")
 
 
+def ranks(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """1-based position within ``keys`` by (bucket, order); neither keys nor bucket is null. Counts of buckets, their prefix, then order inside a bucket: a key with most rows is many tasks' work."""
+    d = df.withColumn("_b", bucket)
+    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return d.withColumn("_i", inside).join(counts, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
+
+
 def shuffled(df: DataFrame, keys: list[str], by: str, seed: int) -> DataFrame:
     """Rank of each row in a hashed order within its key (a Fisher-Yates shuffle's counterpart)."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), by), by)))

@@ -537,15 +537,41 @@ def sim6_apply_variants(dna):
     return sampling.apply_variants("ACGTTGCA" * 200, v)
 
 
+def _haplotypes(dna):
+    """Two haplotypes of all sequences, in contigs of 1000 ids each, so that contigs grow in number, not in length."""
+    letters = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("seq_id", "seq"))), lambda x: F.translate(x["seq"], "N", "A")))
+    return dna.groupBy((F.col("seq_id") % 2).alias("haplotype_id"), F.floor(F.col("seq_id") / 1000).alias("contig")).agg(letters.alias("sequence"))
+
+
+def _short_reads(**more):
+    from ..operators import reads as sim
+
+    return sim.ReadParameters.ccs(**({"depth": 5.0, "length_mean": 300.0, "length_sd": 80.0, "length_min": 100, "length_max": 800} | more))
+
+
 @query("dna")
 def sim10_to_16_reads(dna):
-    """SIM10-17: reads of two haplotypes by model, with errors, mixed."""
+    """SIM10, SIM13, SIM16, SIM17: reads of two haplotypes by model, with errors, mixed."""
     from ..operators import reads as sim
 
-    letters = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("seq_id", "seq"))), lambda x: F.translate(x["seq"], "N", "A")))
-    h = dna.where("seq_id <= 1000").groupBy((F.col("seq_id") % 2).alias("haplotype_id")).agg(letters.alias("sequence"))
-    p = sim.ReadParameters.ccs(depth=5.0, length_mean=300.0, length_sd=80.0, length_min=100, length_max=800)
-    return sim.diploid(sim.simulate(h, p, block=20))
+    return sim.diploid(sim.simulate(_haplotypes(dna), _short_reads(), block=20))
+
+
+@query("dna reads")
+def sim11_profile_reads(dna, reads):
+    """SIM11: the same with lengths and accuracies drawn from a profile of all reads."""
+    from ..operators import reads as sim
+
+    profile = reads.select((F.col("len") % 700 + 100).alias("length"), (F.lit(0.99) + F.col("read_id") % 10 / 1000).alias("accuracy"))
+    return sim.diploid(sim.simulate(_haplotypes(dna), _short_reads(), block=20, profile=profile))
+
+
+@query("dna")
+def sim12_template_reads(dna):
+    """SIM12: one read of each sequence as a template."""
+    from ..operators import reads as sim
+
+    return sim.from_templates(dna.select(F.concat(F.lit("t"), F.col("seq_id").cast("string")).alias("name"), F.translate("seq", "N", "A").alias("sequence")), _short_reads())
 
 
 @query("repeats")

@@ -122,6 +122,34 @@ def test_reads(spark):
     assert rows(noisy) == rows(noisy) and all(len(x.sequence) == len(x.quality) for x in noisy.collect())
 
 
+def test_reads_of_all_sequences(spark):
+    from strandforge.plans import catalog_more
+
+    dna = spark.range(3500).select(F.col("id").alias("seq_id"), F.lit("ACGTACGT").alias("seq"))
+    got = catalog_more.sim10_to_16_reads(dna).select("haplotype_id", "contig", "read_id", "place").collect()
+    # 4000 bases of a haplotype in each of three contigs, 2000 in the fourth; depth 5, mean 300.
+    assert {(h, c): sum(x.haplotype_id == h and x.contig == c for x in got) for h in (0, 1) for c in range(4)} == {(h, c): 34 if c == 3 else 67 for h in (0, 1) for c in range(4)}
+    assert sorted(x.place for x in got) == list(range(1, len(got) + 1))
+    whole = catalog_more.sim12_template_reads(dna)
+    assert whole.count() == whole.select("name").distinct().count() == 3500
+
+
+def test_profile_counts_all_rows(spark):
+    h = spark.createDataFrame([(0, 0, "ACGT" * 20000), (1, 0, "ACGT" * 10)], "haplotype_id long, contig long, sequence string")
+    # 150,000 short rows, 50,000 long ones: shares of 3/4 and 1/4, mean length 125.
+    profile = spark.range(200_000).select(F.when(F.col("id") % 4 < 3, 100).otherwise(200).alias("length"), (F.lit(0.9) + F.col("id") % 4 / 100 + F.floor(F.col("id") / 4) / 1e9).alias("accuracy"))
+    p = reads.ReadParameters(depth=10, error_free=True)
+    one = reads.simulate(h, p, block=100, profile=profile)
+    got = [len(x.sequence) for x in one.where("haplotype_id = 0").collect()]
+    assert len(got) == 6400 and set(got) == {100, 200} and abs(got.count(200) / 6400 - 0.25) < 0.03
+    assert [len(x.sequence) for x in one.where("haplotype_id = 1").collect()] == [40] * 4
+    # Every pair is reachable, by its share.
+    slots = spark.range(80_000).withColumnRenamed("id", "i")
+    few = spark.createDataFrame([(5, 0.5)] * 6 + [(900, 0.5), (900, 0.6)], "length long, accuracy double")
+    share = {(x.length, x.accuracy): x["count"] / 80_000 for x in reads.drawn(slots, few, 3).groupBy("length", "accuracy").count().collect()}
+    assert sum(share.values()) == 1 and all(abs(share[k] - v) < 0.01 for k, v in {(5, 0.5): 0.75, (900, 0.5): 0.125, (900, 0.6): 0.125}.items())
+
+
 def test_readers(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

@@ -163,13 +163,17 @@ def without_collisions(on_haplotype: DataFrame, reach: int = 5) -> DataFrame:
     return on_haplotype.select("haplotype_id", "variant_id", "first", "last").groupBy("haplotype_id").applyInPandas(run, "haplotype_id long, variant_id long")
 
 
-def apply_variants(reference: str, on_haplotype: DataFrame) -> DataFrame:
-    """The sequence of each haplotype: haplotype_id, variant_id, svtype, pos, len, sequence (insertions). One reference contig is broadcast."""
-    shared = on_haplotype.sparkSession.sparkContext.broadcast(reference)
+def apply_variants(reference: str | DataFrame, on_haplotype: DataFrame) -> DataFrame:
+    """The sequence of each haplotype: haplotype_id, variant_id, svtype, pos, len, sequence (insertions).
+
+    One reference contig is broadcast. Many are a DataFrame (contig, reference), where
+    variants have a contig and positions in it: then every contig comes out on every
+    haplotype, as it is where that has no variant, and a task holds one of them at a time.
+    """
     back = str.maketrans("acgtACGT", "tgcaTGCA")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        ref, out, at = shared.value, [], 0
+    def applied(ref: str, g: pd.DataFrame) -> str:
+        out, at = [], 0
         for v in g.sort_values(["pos", "variant_id"]).itertuples():
             if v.pos < at:
                 continue
@@ -183,9 +187,24 @@ def apply_variants(reference: str, on_haplotype: DataFrame) -> DataFrame:
             elif v.svtype == "INV":
                 out.append(part[::-1].translate(back))
         out.append(ref[at:])
-        return pd.DataFrame({"haplotype_id": [g["haplotype_id"].iloc[0]], "sequence": ["".join(out)]})
+        return "".join(out)
+
+    if isinstance(reference, str):
+        shared = on_haplotype.sparkSession.sparkContext.broadcast(reference)
+
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"haplotype_id": [g["haplotype_id"].iloc[0]], "sequence": [applied(shared.value, g)]})
+
+        return on_haplotype.groupBy("haplotype_id").applyInPandas(run, "haplotype_id long, sequence string")
+
+    def run_on(r: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(r):
+            raise ValueError(f"no reference for contig {g['_c'].iloc[0]}")
+        return pd.DataFrame({"contig": r["contig"], "haplotype_id": r["haplotype_id"], "sequence": [applied(r["reference"].iloc[0], g)]})
 
-    return on_haplotype.groupBy("haplotype_id").applyInPandas(run, "haplotype_id long, sequence string")
+    every = reference.crossJoin(F.broadcast(on_haplotype.select("haplotype_id").distinct()))
+    v = on_haplotype.select(F.col("contig").alias("_c"), F.col("haplotype_id").alias("_h"), "variant_id", "svtype", "pos", "len", "sequence")
+    return every.groupBy("contig", "haplotype_id").cogroup(v.groupBy("_c", "_h")).applyInPandas(run_on, "contig long, haplotype_id long, sequence string")
 
 
 def insertion_choice(wanted: DataFrame, bank: DataFrame, quantum: int = 50, seed: int = 1) -> DataFrame:

@@ -531,10 +531,15 @@ def sim9_without_left_mode(reads):
 
 @query("dna")
 def sim6_apply_variants(dna):
-    """SIM6: haplotypes of a small reference with deletions, duplications, insertions and inversions applied."""
+    """SIM6: haplotypes of a reference of many contigs with deletions, duplications, insertions and inversions applied: 60 variants a contig."""
     kinds = F.array(*map(F.lit, ("DEL", "DUP", "INS", "INV")))
-    v = dna.where("seq_id <= 60").select((F.col("seq_id") % 4).alias("haplotype_id"), F.col("seq_id").alias("variant_id"), F.element_at(kinds, (F.col("seq_id") % 4 + F.floor(F.col("seq_id") / 4) % 4).cast("int") % 4 + 1).alias("svtype"), (F.col("seq_id") * 15).alias("pos"), F.lit(7).cast("long").alias("len"), F.col("seq").alias("sequence"))
-    return sampling.apply_variants("ACGTTGCA" * 200, v)
+    contig = F.floor(F.col("seq_id") / 60)
+    v = dna.select(contig.alias("contig"), (F.col("seq_id") % 4).alias("haplotype_id"), F.col("seq_id").alias("variant_id"), F.element_at(kinds, (F.col("seq_id") % 4 + F.floor(F.col("seq_id") / 4) % 4).cast("int") % 4 + 1).alias("svtype"), (F.col("seq_id") % 60 * 15 + 15).alias("pos"), F.lit(7).cast("long").alias("len"), F.col("seq").alias("sequence"))
+    # Contigs differ by where their unit of eight bases starts.
+    at = (F.col("contig") % 8).cast("int")
+    unit = F.concat(F.lit("ACGTTGCA").substr(at + 1, F.lit(8)), F.lit("ACGTTGCA").substr(F.lit(1), at))
+    contigs = v.select("contig").distinct().select("contig", F.repeat(unit, 200).alias("reference"))
+    return sampling.apply_variants(contigs, v)
 
 
 def _haplotypes(dna):

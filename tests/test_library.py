@@ -150,6 +150,36 @@ def test_profile_counts_all_rows(spark):
     assert sum(share.values()) == 1 and all(abs(share[k] - v) < 0.01 for k, v in {(5, 0.5): 0.75, (900, 0.5): 0.125, (900, 0.6): 0.125}.items())
 
 
+def _edited(ref, variants):
+    """By positions from the last one back; variants of one haplotype do not overlap."""
+    back = str.maketrans("ACGT", "TGCA")
+    for pos, n, kind, seq in sorted(variants, reverse=True):
+        part = ref[pos : pos + n]
+        new = {"DEL": "", "DUP": part * 2, "INS": seq + part, "INV": part[::-1].translate(back)}[kind]
+        ref = ref[:pos] + new + ref[pos + n :]
+    return ref
+
+
+def test_variants_of_all_contigs(spark):
+    from strandforge.plans import catalog_more
+
+    n = 150  # contigs of 60, 60 and 30
+    dna = spark.range(n).select(F.col("id").alias("seq_id"), F.concat(F.lit("GATTACA"), F.col("id").cast("string")).alias("seq"))
+    want = []
+    for c in range(3):
+        ref = ("ACGTTGCA"[c:] + "ACGTTGCA"[:c]) * 200
+        for h in range(4):
+            mine = [i for i in range(n) if i // 60 == c and i % 4 == h]
+            want.append((c, h, _edited(ref, [(i % 60 * 15 + 15, 7, ("DEL", "DUP", "INS", "INV")[(i % 4 + i // 4 % 4) % 4], f"GATTACA{i}") for i in mine])))
+    assert rows(catalog_more.sim6_apply_variants(dna), "contig", "haplotype_id", "sequence") == want
+
+
+def test_contig_without_variants_is_the_reference(spark):
+    contigs = spark.createDataFrame([(0, "ACGTACGT"), (1, "TTTTGGGG")], "contig long, reference string")
+    v = spark.createDataFrame([(0, 0, 1, "DEL", 2, 2, None), (1, 1, 2, "DUP", 4, 1, None)], "contig long, haplotype_id long, variant_id long, svtype string, pos long, len long, sequence string")
+    assert rows(sampling.apply_variants(contigs, v)) == [(0, 0, "ACACGT"), (0, 1, "ACGTACGT"), (1, 0, "TTTTGGGG"), (1, 1, "TTTTGGGGG")]
+
+
 def test_readers(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

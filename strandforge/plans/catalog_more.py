@@ -125,6 +125,16 @@ def agg17_to_19_repeat_fraction(variants, repeats):
     return c.select("variant_id", "covered", F.bround(F.col("covered") / F.col("len"), 4).alias("fraction"))
 
 
+@query("variants repeats")
+def agg17_to_19_every_fraction(variants, repeats):
+    """AGG17-19, SNK5: the same for every variant of every chromosome. One that meets no repeat has 0, and so has an insertion, which spans nothing."""
+    s = spanned(variants).select("variant_id", "chrom", "svtype", "first", "last").distinct()
+    met = intervals.clipped_overlaps(s.where("svtype <> 'INS'"), repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
+    keys = ["variant_id", "chrom", "svtype", "first", "last"]
+    c = s.join(intervals.covered(met, keys, "from_pos", "to_pos"), keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return c.select("variant_id", "svtype", "covered", F.bround(F.col("covered") / (F.col("last") - F.col("first") + 1), 4).alias("fraction"))
+
+
 @query("reads", "WITH x AS (SELECT flowcell, least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, count(*) AS n FROM reads GROUP BY 1,2) SELECT flowcell, CAST(sum(n) AS BIGINT) AS total, 100.0::DOUBLE*(max(n)-min(n))/min(n) AS delta FROM x GROUP BY 1")
 def agg20_ana6_series_totals(reads):
     x = statistics.histogram(reads, ["flowcell"], F.least(F.floor(F.col("len") / 500), F.lit(69)))

@@ -180,6 +180,29 @@ def test_contig_without_variants_is_the_reference(spark):
     assert rows(sampling.apply_variants(contigs, v)) == [(0, 0, "ACACGT"), (0, 1, "ACGTACGT"), (1, 0, "TTTTGGGG"), (1, 1, "TTTTGGGGG")]
 
 
+def _random_variants(n):
+    import random
+
+    r = random.Random(7)
+    return [(i, r.choice(["chr1", "chr3", "chr7"]), r.randrange(6000), r.choice(["DEL", "DUP", "INS", "INV"]), r.randrange(50, 600)) for i in range(n)]
+
+
+_VARIANTS = "variant_id long, chrom string, pos long, svtype string, len long"
+
+
+def test_fractions_of_every_variant(spark):
+    from strandforge.plans import catalog_more
+
+    v = _random_variants(120)
+    rep = [(c, s, s + 10 + s % 90, 0) for c in ("chr1", "chr3") for s in range(0, 6000, 137)] + [("chr1", 40, 2000, 1)]
+    want = []
+    for i, chrom, pos, kind, n in v:
+        here = set() if kind == "INS" else {x for c, a, b, _ in rep if c == chrom for x in range(max(a, pos), min(b, pos + n - 1) + 1)}
+        want.append((i, kind, len(here), round(len(here) / n, 4)))
+    got = catalog_more.agg17_to_19_every_fraction(spark.createDataFrame(v, _VARIANTS), spark.createDataFrame(rep, "chrom string, rstart long, rend long, is_sat int"))
+    assert rows(got, "variant_id", "svtype", "covered", "fraction") == want
+
+
 def test_readers(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

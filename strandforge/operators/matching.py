@@ -71,14 +71,15 @@ def frequencies(carriers: DataFrame, haplotypes: int) -> DataFrame:
 
 
 def neighbours(on_haplotype: DataFrame, reach: int = 5, width: int = 4096) -> DataFrame:
-    """Pairs of variants of one haplotype whose ranges come within ``reach``: haplotype_id, a < b by (first, id). Columns: haplotype_id, variant_id, first, last."""
+    """Pairs of variants of one haplotype whose ranges come within ``reach``: chrom if given, haplotype_id, a < b by (first, id). Columns: chrom unless all rows are of one, haplotype_id, variant_id, first, last."""
     from .intervals import range_join
 
-    a = on_haplotype.select("haplotype_id", F.col("variant_id").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), (F.col("last") + reach).alias("_to"))
-    b = on_haplotype.select("haplotype_id", F.col("variant_id").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    met = range_join(a, b, ["haplotype_id"], ("a_first", "_to"), ("b_first", "b_last"))
+    keys = [c for c in ("chrom", "haplotype_id") if c in on_haplotype.columns]
+    a = on_haplotype.select(*keys, F.col("variant_id").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), (F.col("last") + reach).alias("_to"))
+    b = on_haplotype.select(*keys, F.col("variant_id").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    met = range_join(a, b, keys, ("a_first", "_to"), ("b_first", "b_last"))
     later = F.struct("a_first", "a") < F.struct("b_first", "b")
-    return met.where(later & (F.col("b_first") <= F.col("a_last") + reach)).select("haplotype_id", "a", "b")
+    return met.where(later & (F.col("b_first") <= F.col("a_last") + reach)).select(*keys, "a", "b")
 
 
 def trio_truth(child: DataFrame, parents: DataFrame, **rule) -> DataFrame:

@@ -232,6 +232,13 @@ def jn15_collisions(variants):
     return matching.neighbours(h)
 
 
+@query("variants")
+def jn15_every_collision(variants):
+    """JN15, FN18: the same on every chromosome of a haplotype."""
+    h = spanned(variants).select("chrom", (F.abs("variant_id") % 16).alias("haplotype_id"), "variant_id", "first", "last").distinct()
+    return matching.neighbours(h)
+
+
 _HIST = "h AS (SELECT least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, count(*) AS n FROM reads GROUP BY 1)"
 
 

@@ -203,6 +203,16 @@ def test_fractions_of_every_variant(spark):
     assert rows(got, "variant_id", "svtype", "covered", "fraction") == want
 
 
+def test_collisions_of_every_chromosome(spark):
+    from strandforge.plans import catalog
+
+    v = _random_variants(200)
+    h = [(c, i % 16, i, p, p if k == "INS" else p + n - 1) for i, c, p, k, n in v]
+    want = sorted((c, x, i, j) for c, x, i, f, e in h for d, y, j, g, _ in h if (c, x) == (d, y) and (f, i) < (g, j) and g <= e + 5)
+    got = catalog.jn15_every_collision(spark.createDataFrame(v, _VARIANTS))
+    assert len({x[0] for x in want}) == 3 and rows(got, "chrom", "haplotype_id", "a", "b") == want
+
+
 def test_readers(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

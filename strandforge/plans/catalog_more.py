@@ -222,6 +222,13 @@ def win12_versioned_ids(variants):
     return v.select("chrom", "pos", F.concat("svtype", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("."), F.col("k").cast("string")))).alias("id"))
 
 
+@query("variants", "SELECT chrom, pos, concat(svtype, CASE WHEN k=1 THEN '' ELSE concat('.', CAST(k AS VARCHAR)) END) AS id FROM (SELECT chrom, pos, svtype, row_number() OVER (PARTITION BY chrom, svtype ORDER BY pos, variant_id) AS k FROM variants) x")
+def win12_every_versioned_id(variants):
+    """WIN12: the same on every chromosome, ranked by ranges of 1024 bases."""
+    v = sampling.ranks(variants, ["chrom", "svtype"], F.floor(F.col("pos") / 1024), ["pos", "variant_id"], "k")
+    return v.select("chrom", "pos", F.concat("svtype", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("."), F.col("k").cast("string")))).alias("id"))
+
+
 @query("reads", "SELECT c AS coverage, count(*) AS n, CAST(sum(len) AS BIGINT) AS bp FROM reads, (VALUES (1),(2),(3),(4)) v(c) WHERE read_id%4<c GROUP BY 1")
 def win13_prefix_unions(reads):
     """WIN13: chunks 0..c-1 for every c, in one scan: sums per chunk, then running sums."""

@@ -213,6 +213,17 @@ def test_collisions_of_every_chromosome(spark):
     assert len({x[0] for x in want}) == 3 and rows(got, "chrom", "haplotype_id", "a", "b") == want
 
 
+def test_versions_of_every_id(spark):
+    from strandforge.plans import catalog_more
+
+    v = _random_variants(300)
+    seen, want = {}, []
+    for i, chrom, pos, kind, _ in sorted(v, key=lambda x: (x[2], x[0])):
+        k = seen[chrom, kind] = seen.get((chrom, kind), 0) + 1
+        want.append((chrom, pos, kind if k == 1 else f"{kind}.{k}"))
+    assert rows(catalog_more.win12_every_versioned_id(spark.createDataFrame(v, _VARIANTS)), "chrom", "pos", "id") == sorted(want)
+
+
 def test_readers(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name

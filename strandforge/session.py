@@ -60,9 +60,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python, where the context sets none: rows may hold long texts, and a worker holds several batches.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once a context, so that they need no copy on their path."""
+    """Send this package to the executors' Python once a context, so that they need no copy on their path, and bound the session's batches by bytes."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH[0]):
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     if getattr(context, "_strandforge_shipped", False):
         return
     files = sorted(PACKAGE.rglob("*.py"))

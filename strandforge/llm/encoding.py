@@ -2,21 +2,27 @@
 
 For a tokenizer that drops white space before its merges and lower-cases (as
 word_bpe_49k does), ids of a text are the ids of its words in order. Each word is
-encoded once a worker: the library sees what the cache has not seen. A text with
-``<|`` goes to the library whole, for it may hold a special token.
+encoded once a worker: the library sees what the cache has not seen. The cache finds
+words by hash and compares their bytes; where two words share a hash, the library
+takes the texts they are in whole. It does so too with pieces that hold ``<|``, for
+they may hold a special token. Long texts are cut at white space.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-from .hashing import flat, span_hash, word_spans
+from .hashing import Bytes, flat, same_spans, span_hash, word_spans
 
-#: Entries of the caches; a full one is emptied. Cores are words without punctuation around them (about 200 bytes each; words take 30).
-WORDS, CORES = 2_000_000, 500_000
+#: Bytes of words and ids in the cache; a full one is emptied. About 20 bytes an entry come on top.
+CACHE = 32 << 20
+#: Entries of each of two generations of cores, words without punctuation around them (about 200 bytes each).
+CORES = 200_000
 _EDGE = b".,;:!?\"()[]{}#$%&*+-/=@^_|~<>"
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _letters(w: bytes) -> bool:
@@ -29,9 +35,9 @@ def _letters(w: bytes) -> bool:
 
 
 class WordEncoder:
-    """Exact for texts whose tokenizer works on white-space words; ``encode_whole`` is the library alone."""
+    """Exact for texts whose tokenizer works on white-space words; ``encode_whole`` is the library alone. ``hashed`` may be weak."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, hashed=span_hash, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,13 +48,16 @@ class WordEncoder:
         self.ends = np.zeros(self.size, bool)
         for t, i in vocab.items():
             self.ends[i] = t.endswith("</w>")
+        self.hashed, self.cache = hashed, cache
         self.cores: dict[bytes, bytes] = {}
+        self.old_cores: dict[bytes, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Words by hash, sorted: where their ids start in the pool, and how many."""
-        self.keys, self.first, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool, self.used = np.empty(1 << 16, self.dtype), 0
+        """Hashes, sorted, with the entry of each; per entry, where its ids and its word start. Entries are only appended."""
+        self.keys, self.entry = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.ids, self.words = np.empty(0, self.dtype), Bytes(b"")
+        self.id_at, self.word_at = np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -71,12 +80,11 @@ class WordEncoder:
         """Ids of each word; those of letters with punctuation around go by their core."""
         plain = [w.strip(_EDGE) for w in new]
         plain = [c if c.isalpha() or _letters(c) else None for c in plain]
-        cores = {c for c in plain if c is not None}
-        unknown = cores.difference(self.cores)
-        if len(self.cores) + len(unknown) > CORES:
-            self.cores.clear()
-            unknown = cores
-        self._learn_cores(list(unknown))
+        if len(self.cores) > CORES:
+            self.cores, self.old_cores = {}, self.cores
+        for c in set(plain).difference(self.cores).intersection(self.old_cores):
+            self.cores[c] = self.old_cores[c]
+        self._learn_cores([c for c in set(plain).difference(self.cores) if c is not None])
         rest = [w for w, c in zip(new, plain) if c is None]
         whole = iter(self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)) if rest else iter(())
         edge = {b"": b""}
@@ -96,61 +104,97 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], at_once: int = 2 << 20) -> list[bytes]:
         """Ids of each text, little-endian, ``dtype`` wide; about ``at_once`` bytes are taken at a time."""
-        out: list[bytes] = []
-        group: list[bytes] = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, bytes]] = []
         held = 0
-        for t in texts:
-            if b"<|" in t or len(t) > 2 * at_once:
-                out += self._encode_group(group)
-                group, held = [], 0
-                out.append(self.encode_whole(t) if b"<|" in t else b"".join(self._encode_group([p])[0] for p in _pieces(t, at_once)))
-                continue
-            group.append(t)
-            held += len(t) + 1
-            if held >= at_once:
-                out += self._encode_group(group)
-                group, held = [], 0
-        return out + self._encode_group(group)
 
-    def _encode_group(self, group: list[bytes]) -> list[bytes]:
-        """Words are told apart by a 64-bit hash; those not seen before are learned."""
-        if not group:
-            return []
-        big = b" ".join(group).lower()
-        starts, ends = word_spans(a := np.frombuffer(big, np.uint8))
-        keys, where, back = np.unique(span_hash(a, starts, ends), return_index=True, return_inverse=True)
+        def flush() -> None:
+            for (i, _), x in zip(group, self._encode_group([t for _, t in group])):
+                out[i].append(x)
+            group.clear()
+
+        for i, t in enumerate(texts):
+            for p in _pieces(t, at_once):
+                if b"<|" in p:
+                    flush()
+                    held = 0
+                    out[i].append(self.encode_whole(p))
+                    continue
+                group.append((i, p))
+                held += len(p) + 1
+                if held >= at_once:
+                    flush()
+                    held = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the keys, and whether they are there."""
         at = np.searchsorted(self.keys, keys)
         old = at < len(self.keys)
         old[old] = self.keys[at[old]] == keys[old]
+        return self.entry[np.where(old, at, 0)] if len(self.entry) else at, old
+
+    def _append(self, keys: np.ndarray, words: list[bytes], ids: list[bytes]) -> None:
+        count = len(self.id_at) - 1
+        put = np.searchsorted(self.keys, keys)
+        self.keys, self.entry = np.insert(self.keys, put, keys), np.insert(self.entry, put, np.arange(count, count + len(keys), dtype=np.int32))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.dtype)])
+        self.words = Bytes(b"".join([self.words.data, *words]))
+        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(x) // self.dtype.itemsize for x in ids], dtype=np.int32)])
+        self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum([len(w) for w in words], dtype=np.int32)])
+
+    def _encode_group(self, group: list[bytes]) -> list[bytes]:
+        if not group:
+            return []
+        big = Bytes(b" ".join(group).lower())
+        starts, ends = word_spans(big.array)
+        keys, where, back = np.unique(self.hashed(big, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        # Words of one hash: all as long as the first of them, with the same bytes.
+        first = where[back]
+        if not ((size == size[first]).all() and same_spans(big, starts, big, starts[first], size).all()):
+            return [self.encode_whole(t) for t in group]
+        s, n = starts[where], size[where]
+        entry, old = self._find(keys)
+        known = entry[old]
+        if not ((n[old] == self.word_at[known + 1] - self.word_at[known]).all() and same_spans(big, s[old], self.words, self.word_at[known].astype(np.int64), n[old]).all()):
+            return [self.encode_whole(t) for t in group]
         if not old.all():
-            if len(self.keys) + len(keys) > WORDS:
+            if self.word_at[-1] + self.id_at[-1] * self.dtype.itemsize > self.cache:
                 self.forget()
                 old[:] = False
             new = np.flatnonzero(~old)
-            ids = self._learn([big[i:j] for i, j in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-            first = self.used + np.cumsum(n) - n
-            more = np.frombuffer(b"".join(ids), self.dtype)
-            if self.used + len(more) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], more, np.empty(len(self.pool) + len(more), self.dtype)])
-            else:
-                self.pool[self.used : self.used + len(more)] = more
-            self.used += len(more)
-            put = np.searchsorted(self.keys, keys[new])
-            self.keys, self.first, self.length = (np.insert(x, put, y) for x, y in ((self.keys, keys[new]), (self.first, first), (self.length, n)))
-            at = np.searchsorted(self.keys, keys)
-        n = self.length[at][back]
-        ids = self.pool[flat(self.first[at][back], n)]
+            words = [big.data[i : i + k] for i, k in zip(s[new].tolist(), n[new].tolist())]
+            self._append(keys[new], words, self._learn(words))
+            entry, _ = self._find(keys)
+        n = (self.id_at[entry + 1] - self.id_at[entry]).astype(np.int64)[back]
+        ids = self.ids[flat(self.id_at[entry].astype(np.int64)[back], n)]
         words = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in group]))
         cuts = np.concatenate([[0], np.cumsum(n)])[words].tolist()
         return [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def _pieces(text: bytes, size: int):
-    while len(text) > 2 * size and (cut := text.find(b" ", size)) >= 0:
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+    at = 0
+    while len(text) - at > 2 * size and (m := _GAP.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def runs(texts, rows: int = 512, most: int = 4 << 20):
+    """A column of texts as (first row, list of bytes): at most ``rows`` of them and ``most`` bytes, but one at least; null is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    raw = texts.cast(pa.binary())
+    until = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)), dtype=np.int64)
+    i = 0
+    while i < len(raw):
+        j = min(i + rows, max(i + 1, int(np.searchsorted(until, until[i] + most, side="right")) - 1), len(raw))
+        yield i, [t or b"" for t in raw.slice(i, j - i).to_pylist()]
+        i = j
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -1,6 +1,7 @@
 """Best-fit packing with a fixed number of open bins.
 
-Pieces arrive in partitions; each task keeps at most ``open_bins`` sequences open.
+Pieces arrive in partitions, in runs of up to 512 documents, the longest of a run first;
+each task keeps at most ``open_bins`` sequences open.
 Open bins sit in stacks by free space, and a bitset over free space finds the
 tightest that fits in one shift and one lowest-bit step. When all bins are taken,
 the fullest closes. What is still open when a task ends goes, piece by piece, to a
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, ship
-from .encoding import encoder
+from .encoding import encoder, runs
 
 
 class BestFit:
@@ -118,10 +119,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
         def pieces():
             for b in batches:
-                texts = b.column(1).cast(pa.binary())
-                for i in range(0, b.num_rows, 512):
+                for i, texts in runs(b.column(1)):
                     items = []
-                    for d, x in zip(b.column(0).slice(i, 512).to_pylist(), enc.encode([t or b"" for t in texts.slice(i, 512).to_pylist()])):
+                    for d, x in zip(b.column(0).slice(i, len(texts)).to_pylist(), enc.encode(texts)):
                         raw = np.r_[np.frombuffer(x, enc.dtype).astype("<u4"), np.array([end_id], "<u4")].tobytes()
                         n = len(raw) // 4
                         for k, at in enumerate(range(0, n, capacity)):

@@ -1,21 +1,27 @@
 """Substring dedup: words covered by a 13-word window that also starts in an earlier document.
 
-Texts are written once, in chunks, to the shared folder; after that only slim rows move.
+Texts are written once, in chunks, to the shared folder; after that only segments move.
 
 1. Each chunk lists the anchors of its windows: of the five-word grams of a window, the one
    of least hash. Equal windows have equal anchors, and neighbouring windows mostly share
    theirs, so a run of windows with one anchor is one segment.
 2. Anchors meet by shard. Those of one document alone are done; each chunk gets back the
    others.
-3. Each chunk sends its segments with such anchors to the anchor's shard. Of equal
-   segments of a chunk only that of the least document goes; the others are known to be
-   repeats. So what a passage sends is bounded by the number of chunks, not by its copies.
-4. Each shard builds an FM-index of its segments: suffixes in order of their first 13
-   words, their preceding words in a wavelet matrix. Every window is searched backwards;
-   a search ends early once its interval holds one suffix. The least document of a full
-   interval decides the window.
+3. Each chunk sends the words of its segments with such anchors to the anchor's shard. Of
+   equal segments of a chunk only one of the least document goes, with the places of its
+   twins in that document; those of other documents are known to be repeats. So what a
+   passage sends is bounded by the number of chunks, not by its copies.
+4. Each shard builds a compressed FM-index of its segments: the words before each suffix in
+   the bit planes of a wavelet matrix, and the least document of every distinct window;
+   neither text nor suffixes are kept. Documents' segments are then streamed against it in
+   blocks: backward search gives the matching statistics (how many words up to a place also
+   occur elsewhere), and where they reach 13, the window's least document decides.
 5. Each chunk collects its intervals, removes the words and hashes what is left.
 
+Hashes only bring candidates together. Whether segments of a chunk or windows of a shard are
+equal is decided on words numbered by their bytes (``hashing.numbered``), so ``hashed`` may be
+weak.
+
 An anchor of more than ``hot`` segments would fill its shard: its windows go one by one to
 the shard of their own 13 words instead, which is as exact.
 """
@@ -28,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,44 +43,29 @@ from pyspark.sql import types as T
 
 from ..session import materialize, scratch, ship
 from .files import filesystem
-from .hashing import SPACE, P, U, flat, mix, span_hash, word_spans
+from .hashing import Bytes, P, U, flat, mix, numbered, sequence_hash, span_hash, word_spans
 
 #: Words of an anchor: more of them make chance repeats rarer, and segments shorter.
 GRAM = 5
-PIECE = 1 << 20
-
-
-def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit id of every word of all texts, and the number of words of each text."""
-    ids, counts = [], np.zeros(len(texts), np.int64)
-
-    def add(group: list[tuple[int, bytes]]) -> None:
-        big = b" ".join(t for _, t in group)
-        a = np.frombuffer(big, np.uint8)
-        starts, ends = word_spans(a)
-        ids.append(span_hash(a, starts, ends))
-        at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for _, t in group]))
-        np.add.at(counts, [i for i, _ in group], np.diff(at))
-
-    group, held = [], 0
-    for i, t in enumerate(texts):
-        while len(t) > 2 * PIECE:
-            cut = next((k for k in range(PIECE, len(t)) if SPACE[t[k]]), len(t))
-            group.append((i, t[:cut]))
-            add(group)
-            group, held, t = [], 0, t[cut:]
-        group.append((i, t))
-        held += len(t) + 1
-        if held >= PIECE:
-            add(group)
-            group, held = [], 0
-    if group:
-        add(group)
-    return np.concatenate(ids) if ids else np.empty(0, np.uint64), counts
+
+
+class Words:
+    """The words of texts: bytes, places, and the number of words of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.bytes = Bytes(b"\n".join(texts))
+        self.starts, self.ends = word_spans(self.bytes.array)
+        edges = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.counts = np.diff(np.searchsorted(self.starts, edges))
+
+    def piece(self, first: int, n: int) -> bytes:
+        """n words from one on, as they stand, or with single spaces where much white space is between them."""
+        piece = self.bytes.data[self.starts[first] : self.ends[first + n - 1]]
+        return piece if len(piece) < 32 * n else b" ".join(piece.split())
 
 
 def runs_of(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share an anchor: first window, number of windows, anchor, text."""
+    """Runs of windows that share an anchor: first window, number of windows, anchor, text. ids are hashes of words."""
     none = np.empty(0, np.int64)
     if len(ids) < width:
         return none, none, np.empty(0, np.uint64), none
@@ -98,11 +90,15 @@ def runs_of(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 class FMIndex:
-    """Suffixes in order of their first ``width`` symbols; the symbols before them in bit planes with ranks."""
+    """Patterns of up to ``width`` symbols in a text (0 ends a segment): bit planes with ranks, and the least document of each distinct window.
+
+    Suffixes are ordered by their first ``width`` symbols, which is all that backward
+    search of such patterns needs. Text and suffixes are dropped once the planes stand.
+    """
 
-    def __init__(self, text: np.ndarray, width: int):
+    def __init__(self, text: np.ndarray, docs: np.ndarray, width: int):
         n = len(text)
-        self.text, self.n = text, n
+        self.width = width
         rank, k = text.astype(np.int64), 1
         while k < width:
             step = min(k, width - k)
@@ -110,11 +106,15 @@ class FMIndex:
             after[: n - step] = rank[step:] + 1
             rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1]
             k += step
-        self.suffixes = np.argsort(rank, kind="stable")
-        symbols = int(text.max()) + 1
-        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols))]
-        self.bits = max(1, (symbols - 1).bit_length())
-        x = text[self.suffixes - 1]
+        suffixes = np.argsort(rank, kind="stable")
+        self.symbols = int(text.max()) + 1
+        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=self.symbols))]
+        # Suffixes that agree in ``width`` symbols are one run; only its start and its least document are kept.
+        self.runs = np.flatnonzero(np.r_[True, np.diff(rank[suffixes]) != 0]).astype(np.int32)
+        self.least = np.minimum.reduceat(docs[suffixes], self.runs)
+        self.bits = max(1, (self.symbols - 1).bit_length())
+        x = text[suffixes - 1]
+        del rank, suffixes
         self.planes, self.ranks, self.zeros = [], [], []
         for b in range(self.bits - 1, -1, -1):
             on = (x >> b & 1).astype(bool)
@@ -126,7 +126,7 @@ class FMIndex:
             self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)].astype(np.int32))
             self.zeros.append(int(n - on.sum()))
             x = np.concatenate([x[~on], x[on]])
-        self.starts = self._down(np.arange(symbols), np.zeros(symbols, np.int64))
+        self.starts = self._down(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
 
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for p in range(self.bits):
@@ -135,40 +135,53 @@ class FMIndex:
             i = np.where(c >> (self.bits - 1 - p) & 1, self.zeros[p] + ones, i - ones)
         return i
 
-    def search(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows text[at : at + width], those that occur twice or more: index into ``at``, and their interval of suffixes."""
-        c = self.text[at + width - 1]
-        lo, hi, left = self.first[c], self.first[c + 1], np.arange(len(at))
-        for j in range(width - 2, -1, -1):
-            more = hi - lo > 1  # one suffix is the window itself
+    def matching_statistics(self, streamed: np.ndarray, ends: np.ndarray, most: int | None = None, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Per place in ``ends``: how many symbols of ``streamed`` up to and with it, ``most`` (``width``) at most and within its segment, occur more than ``own`` times; and where that interval of suffixes starts.
+
+        ``own`` is 1 for what is in the index itself, so that its own occurrence does not
+        count. Symbols that the index does not know match nothing.
+        """
+        most = most or self.width
+        length, start = np.zeros(len(ends), np.int64), np.full(len(ends), -1, np.int64)
+        left, lo, hi = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), self.first[-1])
+        for j in range(most):
+            at = ends[left] - j
+            c = np.where(at >= 0, streamed[np.maximum(at, 0)], 0)
+            good = (c > 0) & (c < self.symbols)
+            left, lo, hi, c = left[good], lo[good], hi[good], c[good]
+            if j:
+                base = self.first[c] - self.starts[c]
+                lo, hi = base + self._down(c, lo), base + self._down(c, hi)
+            else:
+                lo, hi = self.first[c], self.first[c + 1]
+            more = hi - lo > own
             left, lo, hi = left[more], lo[more], hi[more]
-            c = self.text[at[left] + j]
-            base = self.first[c] - self.starts[c]
-            lo, hi = base + self._down(c, lo), base + self._down(c, hi)
-        more = hi - lo > 1
-        return left[more], lo[more], hi[more]
+            length[left], start[left] = j + 1, lo
+        return length, start
+
+    def least_document(self, start: np.ndarray) -> np.ndarray:
+        """The least document in which the window occurs whose interval starts there."""
+        return self.least[np.searchsorted(self.runs, start, side="right") - 1]
+
 
+#: Places of a block of documents streamed against an index.
+BLOCK = 1 << 16
 
-def least_documents(words: np.ndarray, lengths: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
-    """Segments one after another. Per window, in order: the least document among its occurrences."""
+
+def least_documents(symbols: np.ndarray, lengths: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+    """Segments (of ``lengths`` symbols from 1 on) one after another. Per window, in order: the least document among its occurrences."""
     segment = np.repeat(np.arange(len(lengths)), lengths + 1)
     text = np.zeros(len(segment), np.int64)
-    inside = flat(np.cumsum(lengths + 1) - lengths - 1, lengths)
-    text[inside] = np.unique(words, return_inverse=True)[1] + 1  # 0 ends a segment
-    n_windows = np.maximum(lengths - width + 1, 0)
-    at = flat(np.cumsum(lengths + 1) - lengths - 1, n_windows)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    text[flat(first, lengths)] = symbols  # 0 ends a segment
+    at = flat(first, np.maximum(lengths - width + 1, 0))
     out = docs[segment[at]]
     if len(at):
-        fm = FMIndex(text, width)
-        k, lo, hi = fm.search(at, width)
-        if len(k):
-            by_suffix = docs[segment[fm.suffixes]]
-            first, back = np.unique(lo, return_inverse=True)
-            last = np.empty(len(first), np.int64)
-            last[back] = hi
-            edges = np.c_[first, last].ravel()
-            ends = edges[-1] == len(by_suffix)
-            out[k] = np.minimum.reduceat(by_suffix, edges[:-1] if ends else edges)[::2][back]
+        index = FMIndex(text, docs[segment], width)
+        for i in range(0, len(at), BLOCK):
+            length, start = index.matching_statistics(text, at[i : i + BLOCK] + width - 1, own=1)
+            k = np.flatnonzero(length >= width)
+            out[i + k] = index.least_document(start[k])
     return out
 
 
@@ -214,13 +227,16 @@ def _join(parts: list[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(p or b"" for p in parts), dtype)
 
 
-def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, shard_bytes: int = 2 << 20, hot: int = 200_000) -> DataFrame:
+HEAD = np.dtype([("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("segment", "<u4"), ("n", "<u4")])
+
+
+def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, shard_bytes: int = 2 << 20, hot: int = 20_000, hashed=span_hash) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_removed, kept_sha256, kept_text.
 
     ids are integers. A null text has no words. A row without an id neither removes
     nor loses words. Rows that repeat an id are judged each by its own text, and do not
     remove each other's words. An empty table gives none. Columns of other names are
-    ignored. Words are compared by 64-bit hashes, sent as 32 bits each to the shards.
+    ignored. Words are compared by their bytes.
     """
     spark = docs.sparkSession
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -231,12 +247,12 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = max(64, -(-total // shard_bytes))
 
-    def anchors_of(ids: list, texts: list[bytes]):
-        words, counts = word_ids(texts)
+    def anchors_of(ids: list, w: Words):
+        keys = hashed(w.bytes, w.starts, w.ends)
         known = np.array([i is not None for i in ids], bool)
-        first, size, anchor, text = runs_of(words, counts, width)
+        first, size, anchor, text = runs_of(keys, w.counts, width)
         ok = known[text]
-        return words, counts, first[ok], size[ok], anchor[ok], text[ok]
+        return keys, first[ok], size[ok], anchor[ok], text[ok]
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, mark, no = filesystem(folder), uuid.uuid4().hex[:12], 0
@@ -246,20 +262,24 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             nonlocal ids, texts, held, no
             name = f"chunk-{TaskContext.get().partitionId():06d}-{mark}-{no:05d}.arrow"
             _write_chunk(fs, name, ids, texts)
-            _, _, _, _, anchor, text = anchors_of(ids, texts)
+            w = Words(texts)
+            texts = []
+            _, _, _, anchor, text = anchors_of(ids, w)
+            del w
             doc = np.array([0 if i is None else i for i in ids], np.int64)[text]
             order = np.lexsort((doc, anchor))
             a, d = anchor[order], doc[order]
             k = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
             last = np.r_[k[1:], len(a)] - 1
-            info = (np.minimum(last - k + 1, 127) | np.where(d[k] != d[last], 128, 0)).astype(np.uint8) if len(k) else np.empty(0, np.uint8)
+            # The number of segments, and in the highest bit whether they are of several documents.
+            info = (np.minimum(last - k + 1, 0x7FFF) | np.where(d[k] != d[last], 0x8000, 0)).astype("<u2") if len(k) else np.empty(0, "<u2")
             a = a[k]
             shard = (a % U(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
             out = [(-1, name, b"", b"")]
             out += [(s, name, a[by[i:j]].astype("<u8").tobytes(), info[by[i:j]].tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-            ids, texts, held, no = [], [], 0, no + 1
+            ids, held, no = [], 0, no + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "anchors", "info"])
 
         for b in batches:
@@ -274,65 +294,97 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches):
-            a, info = _join([r[1] for r in rows], "<u8"), _join([r[2] for r in rows], np.uint8)
-            chunk = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+            a, info = _join([r[1] for r in rows], "<u8"), _join([r[2] for r in rows], "<u2")
+            chunk = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
             keys, back, seen = np.unique(a, return_inverse=True, return_counts=True)
             several = np.zeros(len(keys), bool)
-            several[back[info >= 128]] = True
-            total = np.bincount(back, info & 127, len(keys))
-            again, much = (seen > 1) | several, total > hot
-            keep = again[back]
-            for k in np.unique(chunk[keep]):
-                mine = keep & (chunk == k) if len(rows) < 64 else None
-                at = np.flatnonzero(mine) if mine is not None else np.flatnonzero(keep[(s := slice(*np.searchsorted(chunk, [k, k + 1])))]) + s.start
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k][0]]), pa.array([a[at[~much[back[at]]]].tobytes()], pa.binary()), pa.array([a[at[much[back[at]]]].tobytes()], pa.binary())], ["chunk", "again", "hot"])
+            several[back[info >= 0x8000]] = True
+            total = np.bincount(back, info & 0x7FFF, len(keys))
+            again, much = ((seen > 1) | several)[back], (total > hot)[back]
+            cuts = np.searchsorted(chunk, np.arange(len(rows) + 1))
+            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                keep, busy = again[i:j], much[i:j]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[k][0]]), pa.array([a[i:j][keep & ~busy].tobytes()], pa.binary()), pa.array([a[i:j][keep & busy].tobytes()], pa.binary())], ["chunk", "again", "hot"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, rows in _by_key(batches):
             ids, texts = _read_chunk(f"{folder}/{path}")
-            words, counts, first, size, anchor, text = anchors_of(ids, texts)
+            w = Words(texts)
             del texts
+            keys, first, size, anchor, text = anchors_of(ids, w)
+            words = numbered(w.bytes, w.starts, w.ends, keys)
             again, much = np.unique(_join([r[0] for r in rows], "<u8")), np.unique(_join([r[1] for r in rows], "<u8"))
             cold, warm = np.isin(anchor, again), np.isin(anchor, much)
             one = flat(first[warm], size[warm])  # windows of hot anchors, one by one
             f = np.r_[first[cold], one]
             n = np.r_[size[cold], np.ones(len(one), np.int64)] + width - 1
             k = np.r_[text[cold], np.repeat(text[warm], size[warm])]
-            key = span_hash(words, f, f + n)
-            shard = np.r_[anchor[cold], key[cold.sum() :]] % U(shards)
+            route = np.r_[anchor[cold], sequence_hash(keys, one, one + width)] % U(shards)
             doc = np.array([0 if i is None else i for i in ids], np.int64)[k]
+            del keys, anchor, first, size, text
+            # Groups of equal segments, in order of document and place. What a hash brought together is compared word by word with the first; what differs stays alone.
+            key = sequence_hash(words, f, f + n)
             order = np.lexsort((f, doc, key))
-            new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.empty(0, bool)
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
-            known = order[doc[order] > least]
-            go = order[doc[order] == least]
-            base = np.cumsum(counts) - counts
-            w = np.unique(np.c_[np.repeat(k[known], n[known] - width + 1), flat(f[known], n[known] - width + 1)], axis=0) if len(known) else np.empty((0, 2), np.int64)
-            out = [(-1, path, _intervals(w[:, 0], w[:, 1] - base[w[:, 0]]).tobytes(), b"")]
-            go = go[np.argsort(shard[go], kind="stable")]
-            cuts = np.searchsorted(shard[go], np.arange(shards + 1).astype(np.uint64))
+            head = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.empty(0, bool)
+            to = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+            same = np.zeros(len(order), bool)
+            for i in range(0, len(order), 1 << 16):
+                x, y = order[i : i + (1 << 16)], to[i : i + (1 << 16)]
+                even = n[x] == n[y]
+                x, y, at = x[even], y[even], i + np.flatnonzero(even)
+                step = np.repeat(np.arange(len(x)), n[x])
+                same[at] = np.bincount(step, words[flat(f[x], n[x])] != words[flat(f[y], n[y])], len(x)) == 0
+            to = np.where(same, to, order)
+            later, go = doc[order] > doc[to], np.flatnonzero(to == order)
+            base = np.cumsum(w.counts) - w.counts
+            known = order[later]
+            gone = np.unique(np.c_[np.repeat(k[known], n[known] - width + 1), flat(f[known], n[known] - width + 1)], axis=0) if len(known) else np.empty((0, 2), np.int64)
+            # Known repeats go along to the chunk's own place, by way of some shard.
+            out = [(int(xxhash.xxh3_64_intdigest(path) % shards), path, _intervals(gone[:, 0], gone[:, 1] - base[gone[:, 0]]).tobytes(), None)]
+            twins = np.flatnonzero(~later)
+            twins = twins[np.argsort(to[twins], kind="stable")]
+            edges = np.searchsorted(to[twins], np.arange(len(f) + 1))
+            go = order[go]
+            go = go[np.argsort(route[go], kind="stable")]
+            cuts = np.searchsorted(route[go], np.arange(shards + 1).astype(np.uint64))
             for s in np.flatnonzero(np.diff(cuts)):
                 g = go[cuts[s] : cuts[s + 1]]
-                head = np.zeros(len(g), [("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("n", "<u4")])
-                head["doc"], head["text"], head["first"], head["n"] = doc[g], k[g], f[g] - base[k[g]], n[g]
-                out.append((int(s), path, head.tobytes(), (words[flat(f[g], n[g])] & U(0xFFFFFFFF)).astype("<u4").tobytes()))
+                many = edges[g + 1] - edges[g]
+                t = order[twins[flat(edges[g], many)]]
+                row = np.zeros(len(t), HEAD)
+                row["doc"], row["text"], row["first"], row["segment"], row["n"] = doc[t], k[t], f[t] - base[k[t]], np.repeat(np.arange(len(g)), many), n[t]
+                blob = b"\n".join(map(w.piece, f[g].tolist(), n[g].tolist()))
+                out.append((int(s), path, row.tobytes(), blob))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "head", "words"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("n", "<u4")])
         for _, rows in _by_key(batches):
-            head = _join([r[1] for r in rows], kind)
-            n = head["n"].astype(np.int64)
-            least = least_documents(_join([r[2] for r in rows], "<u4"), n, head["doc"].astype(np.int64), width)
-            seg = np.repeat(np.arange(len(n)), n - width + 1)
-            gone = np.flatnonzero(least < head["doc"][seg])
-            chunk = np.repeat(np.arange(len(rows)), [len(r[1]) // kind.itemsize for r in rows])
-            first = flat(head["first"].astype(np.int64), n - width + 1)
-            s = seg[gone]
-            for c in np.unique(chunk[s]):
-                at = chunk[s] == c
-                w = np.unique(np.c_[head["text"][s[at]], first[gone[at]]], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[c][0]]), pa.array([_intervals(w[:, 0], w[:, 1]).tobytes()], pa.binary())], ["chunk", "gone"])
+            for path, gone, words in rows:
+                if words is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([gone], pa.binary())], ["chunk", "gone"])
+            rows = [r for r in rows if r[2] is not None]
+            if not rows:
+                continue
+            heads = [np.frombuffer(r[1], HEAD) for r in rows]
+            big = Bytes(b"\n".join(r[2] for r in rows))
+            rows = [r[0] for r in rows]
+            starts, ends = word_spans(big.array)
+            symbols = numbered(big, starts, ends, hashed(big, starts, ends)) + 1
+            del big, starts, ends
+            # One entry a segment (its first twin), then the twins with what was found for it.
+            lead = [np.flatnonzero(np.r_[True, np.diff(h["segment"].astype(np.int64)) != 0]) for h in heads]
+            n = np.concatenate([h["n"][i] for h, i in zip(heads, lead)]).astype(np.int64)
+            doc = np.concatenate([h["doc"][i] for h, i in zip(heads, lead)]).astype(np.int64)
+            gone = least_documents(symbols, n, doc, width) < np.repeat(doc, n - width + 1)
+            at, segment = np.cumsum(n - width + 1) - (n - width + 1), 0
+            for path, h, i in zip(rows, heads, lead):
+                many = n[segment : segment + len(i)][h["segment"]] - width + 1
+                hit = gone[flat(at[segment : segment + len(i)][h["segment"]], many)]
+                segment += len(i)
+                if hit.any():
+                    w = np.unique(np.c_[np.repeat(h["text"].astype(np.int64), many)[hit], flat(h["first"].astype(np.int64), many)[hit]], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([_intervals(w[:, 0], w[:, 1]).tobytes()], pa.binary())], ["chunk", "gone"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, rows in _by_key(batches):
@@ -361,8 +413,8 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
         return df.repartition(key).sortWithinPartitions(key)
 
     met = grouped(listed.where("shard >= 0"), "shard").mapInArrow(meet, "chunk string, again binary, hot binary")
-    sent = materialize(grouped(met, "chunk").mapInArrow(send, "shard int, chunk string, head binary, words binary"), "substring-segments")
-    found = grouped(sent.where("shard >= 0"), "shard").mapInArrow(index, "chunk string, gone binary")
-    gone = found.unionByName(sent.where("shard < 0").select("chunk", F.col("head").alias("gone"))).unionByName(listed.where("shard < 0").select("chunk", F.col("anchors").alias("gone")))
+    sent = grouped(met, "chunk").mapInArrow(send, "shard int, chunk string, head binary, words binary")
+    found = grouped(sent, "shard").mapInArrow(index, "chunk string, gone binary")
+    gone = found.unionByName(listed.where("shard < 0").select("chunk", F.col("anchors").alias("gone")))
     out = grouped(gone, "chunk").mapInArrow(finish, "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")

@@ -2,18 +2,24 @@
 
 A shard holds the ids of a run of documents in ascending id order as bit planes,
 highest bit first. In each plane the ids whose bit is 0 come first in the next one.
-With the number of ones up to every 512th bit, a rank costs a few popcounts: access,
-counting and occurrence lookup need no decoding. A range partition by id is cut into
-shards of about ``shard_ids`` ids, so memory is bounded by a shard, not by a partition.
+With the number of ones up to every 512th bit, rank and select cost a few popcounts:
+access, counting and occurrence lookup need no decoding.
 
-File: magic ``WVM1``, then little-endian longs: ids, documents, planes; per document
-its number of ids; per plane the number of zeros, the bits (64-bit words) and the ranks.
+Texts are encoded where they are read; only packed ids are shuffled. Documents are cut
+into buckets by (id, packed ids), at bounds taken from a sample, so many rows of one id
+spread too. A bucket is sorted and cut into shards of about ``shard_ids`` ids, so memory
+is bounded by a shard, not by a bucket.
+
+File: magic ``WVM2``, then little-endian longs: ids, documents, planes; per document
+its number of ids; per plane the number of zeros (long), the bits (64-bit words) and the
+ranks (32 bits).
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialize, scratch, ship
-from .encoding import encoder
+from .encoding import encoder, runs
 from .files import filesystem
+from .hashing import mix
 
-MAGIC = b"WVM1\0\0\0\0"
+MAGIC = b"WVM2\0\0\0\0"
+BLOCK = 512
 
 
 class WaveletMatrix:
@@ -45,7 +53,7 @@ class WaveletMatrix:
             words[: len(packed)] = packed
             words = words.view("<u8")
             planes.append(words)
-            ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))].astype("<i8"))
+            ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))].astype("<u4"))
             zeros.append(len(x) - int(ranks[-1][-1]))
             x = np.concatenate([x[~on], x[on]])
         return cls(len(ids), zeros, planes, ranks)
@@ -59,14 +67,14 @@ class WaveletMatrix:
         for _ in range(bits):
             zeros.append(int(np.frombuffer(data, "<i8", 1, at)[0]))
             planes.append(np.frombuffer(data, "<u8", blocks * 8, at + 8))
-            ranks.append(np.frombuffer(data, "<i8", blocks + 1, at + 8 + blocks * 64))
-            at += 8 + blocks * 64 + (blocks + 1) * 8
+            ranks.append(np.frombuffer(data, "<u4", blocks + 1, at + 8 + blocks * 64))
+            at += 8 + blocks * 64 + (blocks + 1) * 4
         return cls(n, zeros, planes, ranks)
 
     def _ones(self, plane: int, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         words, block = self.planes[plane], i >> 9
-        out, word = self.ranks[plane][block], i >> 6
+        out, word = self.ranks[plane][block].astype(np.int64), i >> 6
         for k in range(7):
             at = block * 8 + k
             out = out + np.where(at < word, np.bitwise_count(words[np.minimum(at, len(words) - 1)]), 0)
@@ -97,16 +105,34 @@ class WaveletMatrix:
         a, b = self._range(token, lo, self.n if hi is None else hi)
         return b - a
 
-    def locate(self, token: int) -> np.ndarray:
+    def _select(self, plane: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) one or zero of a plane: block by its rank, word by popcounts, then the bit."""
+        ones = self.ranks[plane].astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        block = np.searchsorted(before, k, side="right") - 1
+        words = self.planes[plane].reshape(-1, 8)[block]
+        words = words if bit else ~words
+        until = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        left = k - before[block]
+        word = (until <= left[:, None]).sum(1)
+        row = np.arange(len(k))
+        left = left - np.where(word > 0, until[row, np.maximum(word - 1, 0)], 0)
+        bits = np.unpackbits(np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return block * BLOCK + word * 64 + (np.cumsum(bits, axis=1) <= left[:, None]).sum(1)
+
+    def locate(self, token: int, at_once: int = 1 << 16) -> np.ndarray:
         """All positions of a token, ascending: back up the planes by select."""
         if token >> len(self.planes):
             return np.empty(0, np.int64)
         a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
-        for p in range(len(self.planes) - 1, -1, -1):
-            on = np.unpackbits(self.planes[p].view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            at = np.flatnonzero(on)[at - self.zeros[p]] if token >> (len(self.planes) - 1 - p) & 1 else np.flatnonzero(~on)[at]
-        return np.sort(at)
+        out = []
+        for i in range(a, b, at_once):
+            at = np.arange(i, min(b, i + at_once))
+            for p in range(len(self.planes) - 1, -1, -1):
+                bit = token >> (len(self.planes) - 1 - p) & 1
+                at = self._select(p, bit, at - self.zeros[p] * bit)
+            out.append(at)
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up: two masked copies a plane."""
@@ -132,51 +158,85 @@ def read_shard(data: bytes) -> tuple[np.ndarray, WaveletMatrix]:
     return np.frombuffer(data, "<i8", docs, 32), WaveletMatrix.from_bytes(memoryview(data)[32 + 8 * docs :], n, bits)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4_000_000, folder: str | None = None) -> DataFrame:
+def _key(id, ids: bytes, u: int) -> tuple:
+    """Null ids first, then by id, then by packed ids; ``u`` spreads rows that are equal in both."""
+    return (id is not None, id if id is not None else 0, ids, u)
+
+
+def _bounds(rows: DataFrame, encoded, schema: T.StructType, n: int, buckets: int) -> list[tuple]:
+    """At most ``buckets`` - 1 keys that cut the documents about evenly, from a sample of 64 rows a bucket: ids and the heads of their packed ids."""
+    part = rows if n <= 64 * buckets else rows.sample(64 * buckets / n, seed=7)
+    got = part.mapInArrow(encoded, schema).select("_id", F.substring("_ids", 1, 64).alias("_ids"), "_u", F.length("_ids").alias("_n")).collect()
+    keys = sorted((_key(d, bytes(x), u), size) for d, x, u, size in got)
+    until = np.cumsum([size + 64 for _, size in keys])
+    return sorted({keys[k][0] for k in np.searchsorted(until, until[-1] / buckets * np.arange(1, buckets))}) if keys else []
+
+
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4_000_000, bucket_mb: int = 32, folder: str | None = None) -> DataFrame:
     """Write the ids of all texts; one row per shard: path, order (a struct), ids (list of document ids), n_ids.
 
-    Documents go in ascending id order, null ids first, ties by text. A null text
-    counts as empty. ``end_id`` ends each document. A retried task writes files of
-    other names, and only those of the attempt that ended are listed.
+    Documents go in ascending id order, null ids first, ties by their ids as bytes. A
+    null text counts as empty. ``end_id`` ends each document. Buckets hold about
+    ``bucket_mb`` of text, and are 4096 at most. A retried task writes files of other
+    names, and only those of the attempt that ended are listed.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch(spark, "wavelet")
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("no", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("n_ids", T.LongType())])
-    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        for b in batches:
+            for i, texts in runs(b.column(1)):
+                u = (mix(np.arange(row, row + len(texts)).astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(texts)), pa.array(enc.encode(texts), pa.binary()), pa.array(u)], ["_id", "_ids", "_u"])
+
+    packed = [T.StructField("_id", id_type), T.StructField("_ids", T.BinaryType())]
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    buckets = int(min(4096, max(spark.sparkContext.defaultParallelism, total // (bucket_mb << 20) + 1)))
+    bounds = _bounds(rows, encoded, T.StructType([*packed, T.StructField("_u", T.IntegerType())]), n, buckets)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in encoded(batches):
+            to = [bisect_right(bounds, _key(*k)) for k in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *b.columns[:2]], ["_bucket", "_id", "_ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, fs = encoder(tokenizer), filesystem(folder)
         bits = max(1, max(enc.size - 1, end_id or 0).bit_length())
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        part, mark, held, ids, no, size = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], [], [], 0, 0
+        mark, held, ids, bucket, no, size, kind = uuid.uuid4().hex[:12], [], [], None, 0, 0, None
 
         def flush():
             nonlocal held, ids, no, size
             lengths = np.array([len(x) // enc.dtype.itemsize for x in held], np.int64)
-            name = f"part-{part:06d}-{mark}-{no:05d}.wvm"
+            name = f"part-{bucket:06d}-{mark}-{no:05d}.wvm"
             fs.write(name, shard_bytes(np.frombuffer(b"".join(held), enc.dtype), lengths, bits))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([ids], pa.list_(id_arrow)), pa.array([int(lengths.sum())])], ["path", "part", "no", "ids", "n_ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([no], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([int(lengths.sum())])], ["path", "part", "no", "ids", "n_ids"])
             held, ids, no, size = [], [], no + 1, 0
             return row
 
-        id_arrow = None
         for b in batches:
-            id_arrow = b.schema.field(0).type
-            texts = b.column(1).cast(pa.binary())
-            for i in range(0, b.num_rows, 256):
-                got = enc.encode(texts.slice(i, 256).to_pylist())
-                for d, x in zip(b.column(0).slice(i, 256).to_pylist(), got):
-                    held.append(x + end)
-                    ids.append(d)
-                    size += len(held[-1]) // enc.dtype.itemsize
-                    if size >= shard_ids:
+            kind = b.schema.field(1).type
+            for k, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if k != bucket:
+                    if held:
                         yield flush()
+                    bucket, no = k, 0
+                held.append(x.as_py() + end)
+                ids.append(d)
+                size += len(held[-1]) // enc.dtype.itemsize
+                if size >= shard_ids:
+                    yield flush()
         if held:
             yield flush()
 
-    out = materialize(rows.mapInArrow(run, schema), "wavelet-index")
+    to = rows.mapInArrow(dealt, T.StructType([T.StructField("_bucket", T.IntegerType()), *packed])).repartitionById(buckets, "_bucket")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("no", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("n_ids", T.LongType())])
+    out = materialize(to.sortWithinPartitions("_bucket", "_id", "_ids").mapInArrow(write, schema), "wavelet-index")
     return out.withColumn("path", F.concat(F.lit(folder + "/"), F.col("path")))
 
 
@@ -201,4 +261,5 @@ def read_shards(index: DataFrame, id_name: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.values if hasattr(ids, "values") else pa.array(ids), pa.array(at[:-1] + before), pa.array(lengths), pa.array(crc, pa.int64())], [id_name, "start", "n_tokens", "ids_crc32"])
 
-    return rows.repartition(F.col("path")).mapInArrow(run, schema)
+    # A number of its own, or the few bytes of the paths would be read by one task.
+    return rows.repartition(max(1, min(4096, index.count())), "path").mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandforge.llm import encoding, exact_dedup, langid, media, mixing, packing, pii, simhash, substring, toxicity, wavelet
+from strandforge.llm import encoding, exact_dedup, hashing, langid, media, mixing, packing, pii, simhash, substring, toxicity, wavelet
 from strandforge.llm.components import components
 from strandforge.llm.queries import vocabulary
 
@@ -164,7 +164,7 @@ def test_links_reach_all(spark, cap):
     assert {x: comp.get(x, x) for x in signed} == name
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 400, "shard_bytes": 100, "hot": 2}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 400, "shard_bytes": 100, "hot": 2}, {"chunk_bytes": 4000, "hashed": lambda b, i, j: ((j - i) % 3).astype(np.uint64)}])
 def test_substring(docs, rows, options):
     first = {}
     for i, t, *_ in rows:
@@ -183,17 +183,53 @@ def test_substring(docs, rows, options):
     assert sorted(map(key, substring.dedup(docs, **options).collect())) == sorted(map(key, want))
 
 
-def test_fm_index_interval_counts():
+def test_matching_statistics():
     r = np.random.default_rng(2)
-    text = np.r_[r.integers(1, 4, 400), 0]
-    fm = substring.FMIndex(text, 5)
-    at = np.arange(390)
-    k, lo, hi = fm.search(at, 5)
-    count = {}
-    for i in range(len(text) - 4):
-        count[tuple(text[i : i + 5])] = count.get(tuple(text[i : i + 5]), 0) + 1
-    got = dict(zip(k, hi - lo))
-    assert all(got.get(i, 1) == count[tuple(text[i : i + 5])] for i in at)
+    text = np.r_[r.integers(1, 4, 200), 0, r.integers(1, 4, 199), 0]
+    docs = np.repeat([7, 3], [201, 200])
+    streamed = np.r_[r.integers(1, 6, 300), 0, text[40:90], 0]
+    index = substring.FMIndex(text, docs, 6)
+
+    def occurrences(p):
+        return [k for k in range(len(text)) if 0 not in p and tuple(text[k : k + len(p)]) == p]
+
+    for q, own in ((streamed, 0), (text, 1)):
+        length, start = index.matching_statistics(q, np.arange(len(q)), own=own)
+        for e in range(len(q)):
+            want = max((m for m in range(7) if m <= e + 1 and (m == 0 or len(occurrences(tuple(q[e - m + 1 : e + 1]))) > own)), default=0)
+            assert length[e] == want
+            if want == 6:
+                assert index.least_document(start[e : e + 1])[0] == min(docs[k] for k in occurrences(tuple(q[e - 5 : e + 1])))
+
+
+def weak(b, starts, ends):
+    """A hash that many words share."""
+    return ((ends - starts) % 3).astype(np.uint64)
+
+
+def twins():
+    """Two words of 1024 letters that any polynomial hash modulo 2 ** 64 takes for one."""
+    w = b"a"
+    while len(w) < 1024:
+        w += w.translate(bytes.maketrans(b"ab", b"ba"))
+    return w, w.translate(bytes.maketrans(b"ab", b"ba"))
+
+
+def test_words_are_told_apart_by_bytes(spark):
+    a, b = twins()
+    big = hashing.Bytes(b" ".join([a, b, a, b"x", b"y", b"x", b"longer than eight", b"longer than eight"]))
+    starts, ends = hashing.word_spans(big.array)
+    words = [big.data[i:j] for i, j in zip(starts, ends)]
+    for h in (hashing.span_hash, weak):
+        n = hashing.numbered(big, starts, ends, h(big, starts, ends))
+        assert all((n[i] == n[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    enc = encoding.WordEncoder(vocabulary())
+    assert enc.encode([a, b, a + b" " + b]) == [enc.encode_whole(t) for t in (a, b, a + b" " + b)]
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(1, passage + " " + a.decode()), (2, passage + " " + b.decode()), (3, passage + " " + a.decode())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"hashed": weak}, {"hashed": weak, "chunk_bytes": 10}):
+        assert {r.doc_id: r.n_removed for r in substring.dedup(docs, **options).collect()} == {1: 0, 2: 0, 3: 13}
 
 
 def test_media(docs, rows):
@@ -246,8 +282,10 @@ def test_token_shards(docs, tokens):
 
 def test_encoder_is_the_library():
     odd = ["", " ", "don't 'tis ...'s a<|endoftext|>B <|ENDOFTEXT|>", "É́é ½ ²x \x1cfoo\x85bar\xa0baz İI", "it's (hello) \"quo'te\" a.b.c 3.14% ####", "日本語 テスト، العربية", "naïve, naïve! NAÏVE"]
-    enc = encoding.WordEncoder(vocabulary())
     texts = [t.encode() for t in odd * 3] + [b"long word " * 5000]
+    for enc in (encoding.WordEncoder(vocabulary(), weak), encoding.WordEncoder(vocabulary(), cache=50)):
+        assert enc.encode(texts, at_once=100) == [enc.encode_whole(t) for t in texts]
+    enc = encoding.WordEncoder(vocabulary())
     assert enc.encode(texts, at_once=100) == [enc.encode_whole(t) for t in texts] == enc.encode(texts)
 
 

@@ -2,8 +2,10 @@
 
 Base kinds (email, ip, card, phone) are found by fixed patterns with checks. Beyond
 them, loose candidates are proposed (phone numbers without a plus, written-out email
-addresses, secrets, names after a title). Labelers of three sorts vote on every
-candidate: patterns of its shape, gazetteers, and words before it. Votes and features
+addresses, secrets, names after a title), of any length, by patterns that take linear
+time. Labelers of three sorts vote on every candidate: patterns of its shape, gazetteers,
+and words before it. The gazetteers are learned from all texts (last labels of e-mail
+domains, names after a title) beside a few fixed entries. Votes and features
 are small discrete patterns, counted over all texts; expectation-maximisation on the
 counts estimates each labeler's reliability, and a logistic span classifier is fitted
 to the posteriors, weighted by the counts. What reaches the driver is bounded by the
@@ -83,14 +85,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+# Each starts at the head of its run of characters and never gives back what it took: linear time without a limit on length.
 _CANDIDATES = {
     4: re.compile(r"(?<![0-9.+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{3,4})?(?![0-9])"),
-    5: re.compile(r"\b[A-Za-z0-9._-]{1,64} (?:at|\(at\)|\[at\]) [A-Za-z0-9-]{1,64}(?: (?:dot|\(dot\)|\[dot\]) [A-Za-z0-9-]{1,64}){1,4}\b", re.I),
-    6: re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}(?![A-Za-z0-9_/+-])"),
-    7: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b"),
+    5: re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ (?:at|\(at\)|\[at\]) [A-Za-z0-9-]++(?: (?:dot|\(dot\)|\[dot\]) [A-Za-z0-9-]++)++", re.I),
+    6: re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"),
+    7: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)*+"),
 }
+# Entries that every gazetteer starts from; others are learned.
 _TLDS = frozenset("com org net edu gov io de fr es uk eu info".split())
 _GIVEN = frozenset("james mary john anna peter maria david laura thomas sarah paul julia martin emma daniel sofia michael lucas".split())
+SEEDS = {5: _TLDS, 7: _GIVEN}
+
+
+def gazetteers(docs: DataFrame, text_col: str = "text", least: int = 3, most: int = 5000) -> dict[int, frozenset[str]]:
+    """Last labels of e-mail domains and names after a title, of all texts: those found ``least`` times or more, the ``most`` frequent of each; and the seeds."""
+    text = docs[text_col].cast("string")
+    at = F.substring_index(F.rtrim(F.col("x"), F.lit(".-")), ".", -1)
+    found = {5: (r"@[A-Za-z0-9.-]++", 0, at), 7: (r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ([A-Z][a-z]++)", 1, F.col("x"))}
+    parts = [docs.select(F.explode(F.regexp_extract_all(text, F.lit(rx), F.lit(group))).alias("x")).select(F.lit(kind).alias("kind"), F.lower(entry).alias("x")).where(F.length("x").between(2, 24) & F.col("x").rlike("^[a-z]+$")) for kind, (rx, group, entry) in found.items()]
+    counts = parts[0].unionByName(parts[1]).groupBy("kind", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    out = {}
+    for kind, seed in SEEDS.items():
+        out[kind] = seed.union(r[0] for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "x").limit(most).select("x").collect())
+    return out
+
+
 _NEAR = {
     4: re.compile(r"(?:phone|tel|call|mobile|fax|cell|contact|whatsapp|ring)\W*(?:\w+\W+)?$", re.I),
     5: re.compile(r"(?:e-?mail|mail|write|reach|contact|address)\W*(?:\w+\W+)?$", re.I),
@@ -100,16 +120,14 @@ _NEAR = {
 _AWAY = re.compile(r"(?:version|page|year|section|no|nr|figure|table|sha\d*|md5|commit|digest|since|in)\W*$", re.I)
 
 
-def candidates(text: str) -> list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
-    """(start, kind, end, votes, features) of spans beyond the base kinds. Votes: 1 for, 0 against, 2 abstains."""
-    lower = None
+def candidates(text: str, listed: dict[int, frozenset[str]] = SEEDS) -> list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
+    """(start, kind, end, votes, features) of spans beyond the base kinds. Votes: 1 for, 0 against, 2 abstains. ``listed``: gazetteers."""
     out = []
     for kind, rx in _CANDIDATES.items():
         if kind == 4 and not _DIGIT.search(text):
             continue
         if kind == 5:
-            lower = lower or text.lower()
-            if "dot" not in lower:
+            if "dot" not in text.lower():
                 continue
         for m in rx.finditer(text):
             s, e = m.span()
@@ -121,14 +139,14 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple[int, ...], tuple[in
                 4: 1 if digits in (10, 11) else 0 if digits < 7 else 2,
                 5: 1 if span.count(" ") >= 4 else 0,
                 6: 1 if len(set(span)) >= 10 and digits >= 4 and letters >= 2 else 0,
-                7: 1 if span.count(" ") == 2 else 2,
+                7: 1 if span.count(" ") >= 2 else 2,
             }[kind]
             last = re.split(r"[ .()\[\]-]+", span.lower())
             gazetteer = {
                 4: 1 if "555" in last else 2,
-                5: 1 if last[-1] in _TLDS else 0,
+                5: 1 if last[-1] in listed[5] else 0,
                 6: 1 if re.fullmatch(r"[0-9a-f]{32,64}", span) else 2,
-                7: 1 if _GIVEN & set(last) else 2,
+                7: 1 if not listed[7].isdisjoint(last[1:]) else 2,
             }[kind]
             context = 1 if _NEAR[kind].search(before) else 0 if _AWAY.search(before) else 2
             quoted = 1 if before[-1:] in "\"'=:(<" and before else 0
@@ -190,7 +208,7 @@ def fit(counts: dict[tuple[int, tuple[int, ...], tuple[int, ...]], float], steps
     return w, table
 
 
-def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, tuple[int, ...], tuple[int, ...]], int]:
+def pattern_counts(docs: DataFrame, text_col: str = "text", listed: dict[int, frozenset[str]] = SEEDS) -> dict[tuple[int, tuple[int, ...], tuple[int, ...]], int]:
     """How often each (kind, votes, features) occurs, over all texts."""
     ship(docs.sparkSession)
 
@@ -200,7 +218,7 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, t
             for t in b.column(0):
                 t = t.as_py()
                 if t:
-                    c.update(",".join(map(str, (k, *v, *f))) for _, k, _, v, f in candidates(t))
+                    c.update(",".join(map(str, (k, *v, *f))) for _, k, _, v, f in candidates(t, listed))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["key", "n"])
 
     got = docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n")).collect()
@@ -216,15 +234,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """Per row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
     Base spans always stay; an added span is kept if the classifier gives it at least
     one half and it overlaps no base span. Null texts are empty. Null and repeated ids
-    stay as they are; an empty table gives none. Columns of other names are ignored.
+    stay as they are, repeated and tied rows alike; an empty table gives none. Texts are
+    taken whole, however long. Columns of other names are ignored.
     """
-    weights, _ = fit(pattern_counts(docs, text_col))
-    names = ["_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added"]
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
+    listed = gazetteers(docs, text_col)
+    weights, _ = fit(pattern_counts(docs, text_col, listed))
+    names = ["_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "n_spans"]
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType())])
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +254,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 t = t.as_py() or ""
                 base = base_spans(t)
                 more = []
-                for s, k, e, v, f in candidates(t):
+                for s, k, e, v, f in candidates(t, listed):
                     if _vector(k, v, f) @ weights >= 0 and not any(s < y and x < e for x, _, y in base):
                         more.append((s, k, e))
                 n = Counter(k for _, k, _ in base)
-                row = (*(n[k] for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest() if base else none, joined(sorted(base + more)), len(more))
+                row = (*(n[k] for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest() if base else none, joined(sorted(base + more)), len(more), len(base) + len(more))
                 for c, x in zip(cols, row):
                     c.append(x)
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, types))], names)
 
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)

@@ -4,7 +4,10 @@ Features of a text: its words (A-Z lower-cased, punctuation stripped), neighbour
 pairs, and pairs one word apart, each present or not, hashed to ``2 ** BITS`` places.
 Per-coordinate learning rates and L1 leave few weights; they are broadcast as one
 array of fixed size. The model is fitted on a bounded sample of labelled rows
-(``max_train``); their features, not their texts, reach the driver.
+(``max_train`` rows, ``max_bytes`` of text); their features, not their texts, reach the
+driver. Toxic rows are few, so the plain model is too careful at one half: models fitted
+without a part of the rows score that part, the threshold of best F1 on these scores is
+found, and the bias is shifted so that it lies at one half.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import materialize, ship
 
 BITS = 20
 _STRIP = b".,;:!?\"'()[]{}*#$%&-_~<>/\\"
@@ -28,7 +31,7 @@ class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w.strip(_STRIP), 4)
         return h
@@ -77,31 +80,60 @@ class FTRL:
         return self
 
 
+def calibrated(rows: list[tuple[np.ndarray, float]], folds: int = 3, n: int = 1 << BITS) -> tuple[np.ndarray, float]:
+    """Weights and bias of the model of all rows; the bias is less by the threshold of best F1 on the scores of rows that a model has not seen. Without two rows of each label it is not shifted."""
+    model = FTRL(n).fit(rows)
+    y = np.array([label for _, label in rows])
+    bias = model.bias()
+    if min((y > 0.5).sum(), (y <= 0.5).sum()) >= 2:
+        z = np.empty(len(rows))
+        for k in range(folds):
+            part = FTRL(n).fit([r for i, r in enumerate(rows) if i % folds != k])
+            z[k::folds] = [part.weights(i).sum() + part.bias() for i, _ in rows[k::folds]]
+        bias -= best_threshold(z, y)
+    return model.weights()[:-1].astype(np.float32), bias
+
+
+def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """Midway between two neighbouring scores, where F1 of ``z > threshold`` is best; the highest of equals, and not above 0."""
+    order = np.argsort(-z, kind="stable")
+    z, hit = z[order], np.cumsum(y[order] > 0.5)
+    f1 = 2 * hit / (np.arange(1, len(z) + 1) + hit[-1])
+    cut = np.flatnonzero(np.append(z[1:] < z[:-1], True))
+    k = cut[np.argmax(f1[cut])]
+    return min(0.0, float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k]))
+
+
 def held_out(doc_id: Column, mod: int = 5, at: int = 0) -> Column:
     """crc32 of the id as text; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == at, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 8000) -> tuple[np.ndarray, float]:
-    """Weights and bias. At most ``max_train`` labelled rows that are not held out, chosen by a hash of their id; bounded, so they are broadcast to the texts."""
-    ship(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 8000, max_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
+    """Weights and bias. Labelled rows that are not held out, in order of a hash of their id, as long as they are at most ``max_train`` and ``max_bytes`` of text; bounded, so they are broadcast to the texts. Of several texts of one id, the least counts."""
+    spark = docs.sparkSession
+    ship(spark)
     key = labels[id_col]
     chosen = labels.where(key.isNotNull() & labels[label_col].isNotNull() & ~held_out(key)).select(key.alias("_id"), labels[label_col].cast("double").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train).groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = materialize(rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")), "toxicity-train")
+    sizes = rows.select("_id", F.xxhash64("_id").alias("_h"), F.octet_length("_text").alias("_n")).collect()
+    sizes.sort(key=lambda r: (r[1], str(r[0])))
+    taken = [(r[0],) for r, until in zip(sizes, np.cumsum([r[2] for r in sizes])) if until <= max_bytes]
+    if not taken:
+        return np.zeros(1 << BITS, np.float32), -1e-12
+    id_field = T.StructField("_id", docs.schema[id_col].dataType)
+    rows = rows.join(F.broadcast(spark.createDataFrame(taken, T.StructType([id_field]))), "_id").select("_id", "_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            f = [np.unique(places_of(t or b"")).astype("<u4").tobytes() for t in texts]
+            f = [np.unique(places_of(t.as_py() or b"")).astype("<u4").tobytes() for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["_id", "_y", "_f"])
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.DoubleType()), T.StructField("_f", T.BinaryType())])
+    schema = T.StructType([id_field, T.StructField("_y", T.DoubleType()), T.StructField("_f", T.BinaryType())])
     got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (str(r[0]), r[2]))
-    if not got:
-        return np.zeros(1 << BITS, np.float32), -1e-12
-    model = FTRL(1 << BITS).fit([(np.frombuffer(r[2], "<u4").astype(np.int64), r[1]) for r in got])
-    return model.weights()[:-1].astype(np.float32), model.bias()
+    return calibrated([(np.frombuffer(r[2], "<u4").astype(np.int64), r[1]) for r in got])
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str, keep: list[Column], types: list[T.StructField]) -> DataFrame:
@@ -129,8 +161,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Per row of ``docs``: id, held_out, score, predicted.
 
     A null or empty text scores the bias alone. Without labels every score is just
-    below 0.5, and predicted 0. Null and repeated ids stay; several labels of one id count as their
-    maximum. Columns of other names are ignored.
+    below 0.5, and predicted 0. Null and repeated ids stay, equal texts score alike; several
+    labels of one id count as their maximum. Texts are taken whole, however long. An empty
+    table gives none. Columns of other names are ignored.
     """
     weights, bias = train(docs, labels, id_col, text_col, label_col, max_train)
     d = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_t"))
@@ -139,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = 8000) -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, with all their columns; rows pass through the scorer whole."""
+    """The rows of ``docs`` not predicted toxic, with all their columns, even two of one name; rows pass through the scorer whole."""
     weights, bias = train(docs, labels, id_col, text_col, max_train=max_train)
     names = [f"c{i}" for i in range(len(docs.columns))]
     d = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])

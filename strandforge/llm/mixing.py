@@ -3,10 +3,11 @@
 Every (document, copy) gets a virtual finish time: the words its source has sent by
 then, itself included, divided by the source's target. All are put in the order of
 that time and the mix ends when the budget is used. A source's running sum is taken
-in 4096 buckets of a hashed key: bucket sums, their prefix, then a window inside each
-bucket, so a source with most rows is spread over 4096 groups. The global order is
+in buckets of a hashed key: bucket sums, their prefix, then a window inside each
+bucket, so a source with most rows is spread over all buckets. The global order is
 cut likewise: sums by slice of virtual time find the slice in which the budget ends,
-and only that slice is sorted row by row.
+and only that slice is sorted row by row. Buckets and slices are 4096 at least and
+grow with the rows, so that none holds much more than ``PER_BUCKET`` of them.
 """
 
 from __future__ import annotations
@@ -18,8 +19,16 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .common import n_words
 
-#: Slices of one unit of virtual time.
-SLICES = 4096
+#: Rows of a bucket, beyond 4096 buckets.
+PER_BUCKET = 50_000
+
+
+def digits(rows: int) -> int:
+    """Hexadecimal digits of the key that name a bucket."""
+    n = 3
+    while rows > PER_BUCKET * 16**n and n < 6:
+        n += 1
+    return n
 
 
 def source_targets(sizes: DataFrame, budget: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -52,7 +61,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit("")), n_words(docs[text_col]).cast("string")))
     skey = F.coalesce(F.concat(F.lit("0"), docs[source_col].cast("string")), F.lit("1"))
-    rows = materialize(docs.select(docs[id_col].alias("_id"), skey.alias("_skey"), n_words(docs[text_col]).alias("_size"), key.alias("_key"), F.substring(key, 1, 3).alias("_b")), "mix-sizes")
+    rows = materialize(docs.select(docs[id_col].alias("_id"), skey.alias("_skey"), n_words(docs[text_col]).alias("_size"), key.alias("_key")), "mix-sizes")
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    width = digits(n_rows)
+    rows = rows.withColumn("_b", F.substring("_key", 1, width))
 
     buckets = rows.groupBy("_skey", "_b").agg(F.sum("_size").alias("_bsize"))
     inner = Window.partitionBy("_skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     copies = placed.where("_target > 0 and _size > 0").select("*", F.explode(F.array(*map(F.lit, range(most)))).alias("_copy")).withColumn("_f", finish(F.col("_copy")))
     # All copies by virtual time 1 make up the budget but for a document a source; later times share one slice.
-    copies = copies.withColumn("_slice", F.floor(F.least(F.col("_f"), F.lit(2.0)) * SLICES).cast("int"))
-    total = placed.select(F.col("_size")).agg(F.sum("_size")).first()[0] or 0
+    copies = copies.withColumn("_slice", F.floor(F.least(F.col("_f"), F.lit(2.0)) * (1 << (4 * width))).cast("int"))
     limit = total * budget
     sums = copies.groupBy("_slice").agg(F.sum("_size").alias("_n"))
     sums = sums.withColumn("_until", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)))
@@ -92,7 +103,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it (rows of no words: at most once)."""
+    """The rows of ``docs``, whole, each as many times as the mix takes it (rows of no words: at most once).
+
+    Null ids, sources and texts, ties and repeated rows are taken as ``mix`` says; an empty
+    table gives none; columns may share names.
+    """
     taken = mix(docs, id_col, text_col, source_col, **options)
     times = taken.groupBy(F.xxhash64(id_col).alias("_a"), F.col("size").alias("_b")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     cols = [f"c{i}" for i in range(len(docs.columns))]

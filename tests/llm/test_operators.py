@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on rows with nulls, ties, repeats, long and empty texts, and clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -109,6 +110,12 @@ def test_mix(docs, rows):
     assert mixing.mixed_rows(docs).count() == sum(min(r.copies, 1) if r.size == 0 else r.copies for r in got)
 
 
+def test_mix_with_more_buckets(docs, monkeypatch):
+    want = sorted(map(key, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "PER_BUCKET", 0.001)
+    assert mixing.digits(10) > 3 and sorted(map(key, mixing.mix(docs).collect())) == want
+
+
 def test_xxh64():
     import xxhash
 
@@ -338,6 +345,118 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(df, df.select("doc_id", "toxic")).where("doc_id is not null and toxic = 0").count() >= 315
 
 
+def test_ftrl_by_brute_force():
+    r = random.Random(1)
+    rows = [(np.array(sorted(r.sample(range(12), r.randint(0, 5))), np.int64), float(r.random() < 0.3)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.7, 1.3, 0.4, 0.2
+    model = toxicity.FTRL(12, alpha, beta, l1, l2)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        if i < 12 and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (math.copysign(l1, z[i]) if i < 12 else 0)) / ((beta + math.sqrt(n[i])) / alpha + (l2 if i < 12 else 0))
+
+    for x, y in rows * 3:
+        model.step(x, y)
+        at = [*x.tolist(), 12]
+        w = [weight(i) for i in at]
+        g = 1 / (1 + math.exp(-sum(w))) - y
+        for i, v in zip(at, w):
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * v
+            n[i] += g * g
+        assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose([*model.weights()[:-1], model.bias()], [weight(i) for i in range(13)])
+
+
+def test_best_threshold_by_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        z, y = r.normal(-2, 2, 30).round(1), (r.random(30) < 0.4).astype(float)
+        y[:2] = 0, 1
+        t = toxicity.best_threshold(z, y)
+
+        def f1(t):
+            return 2 * (y[z >= t] == 1).sum() / ((z >= t).sum() + y.sum())
+
+        free = max(f1(x) for x in z)
+        assert t <= 0 and (t == 0 or abs(f1(t) - free) < 1e-12)
+
+
+def test_toxic_scores_by_brute_force(spark, rows):
+    docs = table(rows, spark).withColumn("score", F.lit("clash")).withColumn("_y", F.lit(0))
+    labels = spark.createDataFrame([(i, int("idiot" in (t or ""))) for i, t, *_ in rows if i is not None], "doc_id long, toxic int")
+    weights, bias = toxicity.train(docs, labels)
+    import xxhash
+
+    def slow(t):
+        w = [xxhash.xxh64_intdigest(x.strip(toxicity._STRIP), 4) for x in lowered(t).encode().split()]
+        mask, a, b, c = (1 << 64) - 1, int(toxicity._A), int(toxicity._B), int(toxicity._C)
+        f = {x * a & mask for x in w} | {(x * b & mask) ^ (y * a & mask) for x, y in zip(w, w[1:])} | {(x * c & mask) ^ (y * b & mask) for x, y in zip(w, w[2:])}
+        return 1 / (1 + math.exp(-(sum(float(weights[i]) for i in {x >> (64 - toxicity.BITS) for x in f}) + bias)))
+
+    want = sorted((i is not None, i or 0, round(slow(t), 5)) for i, t, *_ in rows)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 5)) for r in got) == want
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
+
+
+def test_network_gradients():
+    r = np.random.default_rng(3)
+    net = langid.ByteCNN(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    win, y = r.integers(97, 123, (4, langid.WINDOW)).astype(np.uint8), np.array([0, 2, 1, 2])
+
+    def loss():
+        return -np.log(net.probabilities(win)[np.arange(4), y]).mean()
+
+    for name, g in net.gradients(win, y).items():
+        rows = [97 + k for k in range(4)] if name == "E" else range(min(3, len(g)))
+        for i in rows:
+            at = (i, 1) if g.ndim == 2 else (i,)
+            old = net.p[name][at]
+            net.p[name][at] = old + 1e-5
+            up = loss()
+            net.p[name][at] = old - 1e-5
+            down = loss()
+            net.p[name][at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6, (name, at)
+
+
+def test_language_scores_by_brute_force(spark, rows):
+    rows = [*rows, (80, "the red fox " * 20000, "en", "a"), (81, "der die das", "de", "a")]
+    docs = table(rows, spark).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(0))
+    model, langs = langid.train(docs)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def slow(t):
+        if t is None or not any(c.isalpha() for c in t):
+            return "und", 0.0
+        data = lowered(t).encode()
+        data += b" " * (-len(data) % 192 or (0 if data else 192))
+        mean = np.zeros(len(langs))
+        parts = [data[i : i + 192] for i in range(0, len(data), 192)]
+        for part in parts:
+            x, h = p["E"][list(part)], []
+            for w in langid.WIDTHS:
+                best = np.max([x[i : i + w].ravel() @ p[f"K{w}"] for i in range(192 - w + 1)], axis=0)
+                h.append(np.maximum(best + p[f"k{w}"], 0))
+            e = np.exp(np.concatenate(h) @ p["W"] + p["b"])
+            mean += e / e.sum() / len(parts)
+        return langs[int(mean.argmax())], float(mean.max())
+
+    short = {(i, t): slow(t) for i, t, *_ in rows if len(t or "") < 5000}
+    got = langid.predict(docs, model, langs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (72, 80)} <= set(langs)
+    want = sorted((i is not None, i or 0, lang, round(s, 3)) for (i, t, *_), (lang, s) in ((r, short[r[0], r[1]]) for r in rows if (r[0], r[1]) in short))
+    long = {i for i, t, *_ in rows if len(t or "") >= 5000}
+    near = sorted((r.doc_id is not None, r.doc_id or 0, r.lang_pred, r.score) for r in got if r.doc_id not in long)
+    assert [x[:3] for x in near] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-3 for a, b in zip(near, want))
+
+
 def test_languages(spark):
     r = random.Random(2)
     say = {"en": "the and of ing with that".split(), "de": "der die und ung schön ich".split()}
@@ -384,6 +503,62 @@ def test_pii(docs, rows, spark):
     assert all(r.spans.startswith("secret:13:53,ip:60:") and r.n_added == 1 for r in pii.find(secret).collect())
 
 
+def test_candidates_have_no_limit_on_length():
+    long = "a1B2" * 5000
+    for text, kind in ((f"key = {long}", 6), (f"write {'x' * 300} at {'y' * 300} dot {'z' * 300} dot a dot b dot c dot d dot com", 5), (f"Dr. {'N' + 'a' * 500} {'B' + 'b' * 500}", 7)):
+        assert [(k, text[s:e]) for s, k, e, *_ in pii.candidates(text) if k == kind] == [(kind, text[text.index(long) :] if kind == 6 else text[6:] if kind == 5 else text)]
+    for big in ("a.a-" * 100000, "a at b dot " * 30000, "Dr. A" * 50000, "a" * 400000, "1 " * 200000, "x at " * 80000, "a1-" * 100000):
+        pii.candidates(big)
+
+
+def test_gazetteers(spark):
+    rows = [(f"Mr. Zorp wrote to a{i}@b{i}.museum. and Dr Quux",) for i in range(3)] + [("Ms. Once x@y.rare", ), (None,), ("",)]
+    got = pii.gazetteers(spark.createDataFrame(rows, "text string"))
+    assert got[5] - pii.SEEDS[5] == {"museum"} and got[7] - pii.SEEDS[7] == {"zorp", "quux"}
+
+
+def test_reliabilities_by_brute_force():
+    r = random.Random(8)
+    rows = []
+    for _ in range(400):
+        y = r.random() < 0.4
+        rows.append(tuple(2 if r.random() < 0.3 else int(y if r.random() < p else not y) for p in (0.9, 0.8, 0.65)))
+    counts = {}
+    for v in rows:
+        counts[6, v] = counts.get((6, v), 0) + 1
+    post, table = pii.reliabilities(counts, rounds=20)
+    q = [1 / (1 + math.exp(-(v.count(1) - v.count(0)))) for v in rows]
+    for _ in range(20):
+        prior = (sum(q) + 1) / (len(q) + 2)
+        like = []
+        for c in (1, 0):
+            w = q if c else [1 - x for x in q]
+            p = [[(sum(x for x, v in zip(w, rows) if v[j] == vote) + 0.5 + 2.0 * (vote == c)) / (sum(w) + 3.5) for vote in (0, 1, 2)] for j in range(3)]
+            like.append([(prior if c else 1 - prior) * math.prod(p[j][v[j]] for j in range(3)) for v in rows])
+            if c:
+                sure = [p[j][1] for j in range(3)]
+        q = [a / (a + b) for a, b in zip(*like)]
+    assert all(abs(post[6, v] - x) < 1e-9 for v, x in zip(rows, q))
+    assert all(abs(table[6, j][0] - sure[j]) < 1e-9 for j in range(3)) and sure[0] > sure[2]
+
+
+def test_added_spans_by_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(["call (555) 555-0199 now", "token = deadbeef01deadbeef02deadbeef03", "mail me: joe at example dot org", "see section 12 3456 of it", None, "", "by Dr. Anna Smith", "page 12 345 km", "ip 10.0.0.1 key=AAAAAAAAAAAA1111111111"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = pii.gazetteers(docs)
+    counts = {}
+    for _, t in rows:
+        for _, k, _, v, f in pii.candidates(t or "", listed):
+            counts[k, v, f] = counts.get((k, v, f), 0) + 1
+    assert pii.pattern_counts(docs, listed=listed) == counts
+    w, _ = pii.fit(counts)
+    for r in pii.find(docs).collect():
+        t = rows[r.doc_id][1] or ""
+        base = slow_spans(t)
+        more = [(s, k, e) for s, k, e, v, f in pii.candidates(t, listed) if sum(a * b for a, b in zip(pii._vector(k, v, f), w)) >= 0 and all(y <= s or e <= x for x, _, y in base)]
+        assert r.spans == pii.joined(sorted(base + more)) and r.n_added == len(more) and r.n_spans == len(base) + len(more)
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for f in (exact_dedup.exact_groups, exact_dedup.drop_copies, mixing.mix, mixing.mixed_rows, simhash.near_groups, simhash.drop_near, substring.dedup, media.media_columns, pii.find, langid.languages):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Labels of variant types in INFO and ALT fields, and the type each stands for.
-TYPE_LABELS = {"DEL": "DEL", "DEL:ME": "DEL", "DEL_INV": "DEL_INV", "INS": "INS", "INS:ME": "INS", "INS:NOVEL": "INS", "DUP": "DUP", "DUP:TANDEM": "DUP", "DUP:INT": "DUP", "INV": "INV", "INVDUP": "INVDUP", "CNV": "CNV", "BND": "BND", "TRA": "TRA"}
+TYPE_LABELS = {"DEL": "DEL", "DEL:ME": "DEL", "DEL/INV": "DEL_INV", "INS": "INS", "INS:ME": "INS", "INS:NOVEL": "INS", "DUP": "DUP", "DUP:TANDEM": "DUP", "DUP:INT": "DUP", "INV": "INV", "INVDUP": "INVDUP", "CNV": "CNV", "BND": "BND", "TRA": "TRA"}
 
 
 def info_field(info: Column, key: str) -> Column:
@@ -40,9 +40,11 @@ def clamp_window(pos: Column, lo: Column, hi: Column, least: int = 10, most: int
     return pos - F.greatest(F.lit(least), F.least(F.lit(most), -lo)), pos + F.greatest(F.lit(least), F.least(F.lit(most), hi))
 
 
-def end_and_length(pos: Column, end: Column, svlen: Column) -> tuple[Column, Column]:
-    """Last base and length: from END if given, else from SVLEN, else null."""
-    return F.when(end.isNotNull(), end - 1).when(svlen.isNotNull(), pos + F.abs(svlen) - 1), F.when(end.isNotNull(), end - pos).otherwise(F.abs(svlen))
+def end_and_length(svtype: Column, pos: Column, end: Column, svlen: Column) -> tuple[Column, Column]:
+    """Last base and length: from END if given, else from SVLEN, else null. An insertion has no length, and without END its last base is ``pos``."""
+    ins = svtype == "INS"
+    last = F.when(end.isNotNull(), end - 1).when(ins, pos).when(svlen.isNotNull(), pos + F.abs(svlen) - 1)
+    return last, F.when(~ins, F.coalesce(end - pos, F.abs(svlen)))
 
 
 def chromosome_id(chrom: Column) -> Column:

@@ -53,11 +53,12 @@ def tolerance(evidence: Column) -> Column:
     return F.when(evidence.contains("SR"), 25).when(evidence.contains("PE"), 250).otherwise(1000)
 
 
-def annotate(points: DataFrame, repeats: DataFrame, segdups: DataFrame | None = None, key: str = "variant_id", lo: Column | None = None, hi: Column | None = None, segdup_tolerance: int = 25) -> DataFrame:
+def annotate(points: DataFrame, repeats: DataFrame, segdups: DataFrame | None = None, key: str = "variant_id", lo: Column | None = None, hi: Column | None = None, segdup_tolerance: int | None = 25) -> DataFrame:
     """Repeat context of each point: 0 repeat, 1 satellite, 2 both, 3 segmental duplication, 4 none.
 
     points: key, chrom, pos, and ``tol`` unless lo and hi are given. repeats: chrom,
-    rstart, rend, is_sat. segdups: chrom, sstart, send. Rows come out once a key.
+    rstart, rend, is_sat. segdups: chrom, sstart, send; without ``segdup_tolerance``, in the
+    same window. Rows come out once a key.
     """
     lo = F.col("pos") - F.col("tol") if lo is None else lo
     hi = F.col("pos") + F.col("tol") if hi is None else hi
@@ -65,7 +66,7 @@ def annotate(points: DataFrame, repeats: DataFrame, segdups: DataFrame | None =
     found = range_join(p, repeats.select("chrom", "rstart", "rend", F.col("is_sat").alias("type")), ["chrom"], ("_lo", "_hi"), ("rstart", "rend"))
     out = p.select(key).distinct().join(found.groupBy(key).agg(merge_types().alias("_r")), key, "left")
     if segdups is not None:
-        q = p.withColumn("_lo", F.col("pos") - segdup_tolerance).withColumn("_hi", F.col("pos") + segdup_tolerance)
+        q = p if segdup_tolerance is None else p.withColumn("_lo", F.col("pos") - segdup_tolerance).withColumn("_hi", F.col("pos") + segdup_tolerance)
         near = range_join(q, segdups.select("chrom", "sstart", "send"), ["chrom"], ("_lo", "_hi"), ("sstart", "send")).groupBy(key).agg(F.lit(3).alias("_s"))
         out = out.join(near, key, "left")
         return out.select(key, F.coalesce("_r", "_s", F.lit(4)).cast("int").alias("ctx"))
@@ -78,58 +79,102 @@ def clipped_overlaps(left: DataFrame, right: DataFrame, on: list[str], left_rang
     return met.withColumn("from_pos", F.greatest(left_range[0], right_range[0])).withColumn("to_pos", F.least(left_range[1], right_range[1]))
 
 
-def merge(df: DataFrame, keys: list[str], start: str, end: str, slack: int, aggs: list[Column] | None = None, tile: int | None = 1 << 20) -> DataFrame:
+_FOLDS = {"sum": F.sum, "max": F.max}
+
+
+def running(df: DataFrame, keys: list[str], tile: str, order: list, folds: dict[str, tuple[Column, str]], inclusive: bool = True) -> DataFrame:
+    """Running sums or maxima of each key in the order of (``tile``, ``order``), as new columns.
+
+    Totals of tiles, their prefix over tiles, then a window inside each tile: a key that
+    holds all rows is as many tasks' work as it has tiles. Neither keys nor tile is null.
+    """
+    above = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, tile).agg(*[_FOLDS[kind](c).alias(f"_t{n}") for n, (c, kind) in folds.items()])
+    totals = totals.select(*keys, tile, *[_FOLDS[kind](f"_t{n}").over(above).alias(f"_t{n}") for n, (_, kind) in folds.items()])
+    inside = Window.partitionBy(*keys, tile).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = df.withColumns({f"_i{n}": _FOLDS[kind](c).over(inside) for n, (c, kind) in folds.items()}).join(totals, [*keys, tile])
+    zero = F.lit(0)
+    out = {n: F.greatest(f"_i{n}", f"_t{n}") if kind == "max" else F.coalesce(f"_i{n}", zero) + F.coalesce(f"_t{n}", zero) for n, (_, kind) in folds.items()}
+    return d.withColumns(out).drop(*[f"_{x}{n}" for n in folds for x in "it"])
+
+
+def neighbour(df: DataFrame, keys: list[str], tile: str, order: list[str], column: str, name: str, ahead: bool = False) -> DataFrame:
+    """``column`` of the row before (or after) in the order of (``tile``, ``order``); null at the end. Tiles as in ``running``; the order is unique."""
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    value = F.struct(F.col(column).alias("v"))
+    edges = df.groupBy(*keys, tile).agg(edge(value, F.struct(*order)).alias("_edge"))
+    edges = edges.select(*keys, tile, step("_edge").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(tile)).alias("_edge"))
+    near = step(value).over(Window.partitionBy(*keys, tile).orderBy(*order))
+    return df.withColumn("_near", near).join(edges, [*keys, tile]).withColumn(name, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
+
+
+#: Bases of a tile.
+TILE = 1 << 20
+
+
+def merge(df: DataFrame, keys: list[str], start: str, end: str, slack: int, aggs: list[Column] | None = None, tile: int | None = TILE) -> DataFrame:
     """Gaps and islands: an interval joins while start <= (largest end so far) + slack.
 
-    slack is minus the least overlap, or the largest gap. Islands are formed inside
-    tiles of starts first, so that a chromosome with most rows is spread; then the
-    islands of a key are merged alike, which gives the same result: inside a tile no
-    join can be lost, and between tiles the largest end so far decides. ``aggs`` take
-    columns named ``min_*`` (minimum) and ``max_*`` (maximum).
+    slack is minus the least overlap, or the largest gap. The largest end so far and the
+    number of islands begun go by tiles of starts (``running``), so a chromosome with
+    most rows is spread; without a tile, by one window a key. ``aggs`` take columns named
+    ``min_*`` (minimum) and ``max_*`` (maximum).
     """
-    extra = aggs or []
     names = [c for c in df.columns if c.startswith(("min_", "max_"))]
     folds = [(F.min(c) if c.startswith("min_") else F.max(c)).alias(c) for c in names]
-
-    def islands(d: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(start, end)
-        d = d.withColumn("_e", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        d = d.withColumn("_g", F.sum(F.when(F.col("_e").isNull() | (F.col(start) > F.col("_e") + slack), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return d.groupBy(*by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), *folds, *extra).drop("_g")
-
+    new = F.when(F.col("_e").isNull() | (F.col(start) > F.col("_e") + slack), 1).otherwise(0)
     if tile:
-        df = islands(df.withColumn("_tile", F.floor(F.col(start) / tile)), [*keys, "_tile"]).drop("_tile")
-    return islands(df, keys)
+        d = running(df.withColumn("_tile", F.floor(F.col(start) / tile)), keys, "_tile", [start, end], {"_e": (F.col(end), "max")}, inclusive=False).withColumn("_new", new)
+        # Of rows equal in both, the one that begins an island comes first.
+        d = running(d, keys, "_tile", [start, end, F.desc("_new")], {"_g": (F.col("_new"), "sum")})
+    else:
+        order = Window.partitionBy(*keys).orderBy(start, end)
+        d = df.withColumn("_e", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        d = d.withColumn("_g", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), *folds, *(aggs or [])).drop("_g")
 
 
-def sweep(df: DataFrame, keys: list[str], start: str, end: str, kind: str, kinds: list) -> DataFrame:
+def sweep(df: DataFrame, keys: list[str], start: str, end: str, kind: str, kinds: list, tile: int = TILE) -> DataFrame:
     """Disjoint segments by which kinds cover them: from_pos, to_pos and a count ``n_<kind>`` each. Gaps between intervals have counts 0."""
     at = F.array(F.struct(F.col(start).alias("p"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("p"), F.lit(-1).alias("d")))
-    events = df.select(*keys, kind, F.explode(at).alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(*[F.sum(F.when(F.col(kind) == k, F.col("x.d")).otherwise(0)).alias(f"n_{k}") for k in kinds])
-    w = Window.partitionBy(*keys).orderBy("p")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = events.select(*keys, F.col("p").alias("from_pos"), (F.lead("p").over(w) - 1).alias("to_pos"), *[F.sum(f"n_{k}").over(run).alias(f"n_{k}") for k in kinds])
-    return out.where("to_pos is not null")
+    events = df.select(*keys, kind, F.explode(at).alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(*[F.sum(F.when(F.col(kind) == k, F.col("x.d")).otherwise(0)).alias(f"d_{k}") for k in kinds])
+    events = events.withColumn("_tile", F.floor(F.col("p") / tile))
+    out = neighbour(events, keys, "_tile", ["p"], "p", "_next", ahead=True)
+    out = running(out, keys, "_tile", ["p"], {f"n_{k}": (F.col(f"d_{k}"), "sum") for k in kinds})
+    return out.where("_next is not null").select(*keys, F.col("p").alias("from_pos"), (F.col("_next") - 1).alias("to_pos"), *[f"n_{k}" for k in kinds])
 
 
-def context_partition(repeats: DataFrame, segdups: DataFrame, lengths: DataFrame, pad: int = 25) -> DataFrame:
+def context_partition(repeats: DataFrame, segdups: DataFrame, lengths: DataFrame, pad: int = 25, unknown: DataFrame | None = None) -> DataFrame:
     """Every base of a chromosome in one class: 2 where repeats and satellites (both padded) meet, else 0 or 1, else 3, else 4.
 
     repeats: chrom, rstart, rend, is_sat; segdups: chrom, sstart, send; lengths: chrom,
-    length. Returns chrom, from_pos, to_pos, ctx.
+    length; unknown: chrom, ustart, uend, runs of letters other than ACGT, whose bases are
+    in no class. Returns chrom, from_pos, to_pos, ctx.
     """
     every = repeats.select("chrom", (F.col("rstart") - pad).alias("s"), (F.col("rend") + pad).alias("e"), F.col("is_sat").cast("int").alias("k"))
     every = every.unionByName(segdups.select("chrom", (F.col("sstart") - pad).alias("s"), (F.col("send") + pad).alias("e"), F.lit(3).alias("k")))
+    if unknown is not None:
+        every = every.unionByName(unknown.select("chrom", F.col("ustart").alias("s"), F.col("uend").alias("e"), F.lit(5).alias("k")))
     every = every.join(F.broadcast(lengths), "chrom")  # one row a chromosome
     every = every.withColumn("s", F.greatest("s", F.lit(0))).withColumn("e", F.least("e", F.col("length") - 1)).where("s <= e").drop("length")
     every = every.unionByName(lengths.select("chrom", F.lit(0).cast("long").alias("s"), (F.col("length") - 1).alias("e"), F.lit(4).alias("k")))
-    seg = sweep(every, ["chrom"], "s", "e", "k", [0, 1, 3, 4]).where("n_4 > 0")
+    seg = sweep(every, ["chrom"], "s", "e", "k", [0, 1, 3, 4, 5]).where("n_4 > 0")
     ctx = F.when((F.col("n_0") > 0) & (F.col("n_1") > 0), 2).when(F.col("n_1") > 0, 1).when(F.col("n_0") > 0, 0).when(F.col("n_3") > 0, 3).otherwise(4)
     seg = seg.withColumn("ctx", ctx)
     # Neighbouring segments of one class become one.
-    w = Window.partitionBy("chrom").orderBy("from_pos")
-    seg = seg.withColumn("_new", F.when(F.lag("ctx").over(w) == F.col("ctx"), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return seg.groupBy("chrom", "_g", "ctx").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos")).drop("_g")
+    seg = seg.withColumn("ctx", F.when(F.col("n_5") > 0, -1).otherwise(F.col("ctx"))).select("chrom", "from_pos", "to_pos", "ctx").withColumn("_tile", F.floor(F.col("from_pos") / TILE))
+    seg = neighbour(seg, ["chrom"], "_tile", ["from_pos"], "ctx", "_was")
+    seg = running(seg, ["chrom"], "_tile", ["from_pos"], {"_g": (F.when(F.col("_was") == F.col("ctx"), 0).otherwise(1), "sum")})
+    return seg.groupBy("chrom", "_g", "ctx").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos")).drop("_g").where("ctx >= 0")
+
+
+def unknown_runs(chunks: DataFrame) -> DataFrame:
+    """Runs of letters other than ACGT in chunks of a reference (chrom, offset, seq): chrom, ustart, uend. Runs that go on in the next chunk are not joined."""
+    n = F.length("seq")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.col("seq").substr(i, F.lit(1)).rlike("[ACGTacgt]") & ((i == 1) | F.col("seq").substr(i - 1, F.lit(1)).rlike("[ACGTacgt]")))
+    runs = chunks.where(F.col("seq").rlike("[^ACGTacgt]")).select("chrom", "offset", F.explode(starts).alias("i"), F.col("seq"))
+    size = F.length(F.regexp_extract(F.expr("substring(seq, i)"), "^[^ACGTacgt]+", 0))
+    return runs.select("chrom", (F.col("offset") + F.col("i") - 1).alias("ustart"), (F.col("offset") + F.col("i") - 2 + size).alias("uend"))
 
 
 def covered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -137,12 +182,11 @@ def covered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return merge(df.select(*keys, start, end), keys, start, end, 0, tile=None).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start) + 1).alias("covered"))
 
 
-def complement(merged: DataFrame, lengths: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def complement(merged: DataFrame, lengths: DataFrame, key: str, start: str, end: str, tile: int = TILE) -> DataFrame:
     """Gaps of disjoint intervals in [0, length)."""
-    w = Window.partitionBy(key).orderBy(start)
     edges = merged.select(key, F.col(start).alias("s"), F.col(end).alias("e")).unionByName(lengths.select(key, F.col("length").alias("s"), F.col("length").alias("e")))
-    w = Window.partitionBy(key).orderBy("s")
-    return edges.select(key, (F.coalesce(F.lag("e").over(w), F.lit(-1)) + 1).alias("from_pos"), (F.col("s") - 1).alias("to_pos")).where("from_pos <= to_pos")
+    edges = neighbour(edges.withColumn("_tile", F.floor(F.col("s") / tile)), [key], "_tile", ["s"], "e", "_was")
+    return edges.select(key, (F.coalesce("_was", F.lit(-1)) + 1).alias("from_pos"), (F.col("s") - 1).alias("to_pos")).where("from_pos <= to_pos")
 
 
 def both(conditions: list[Column]) -> Column:

@@ -6,6 +6,8 @@ probe in three neighbouring bins, so no chromosome is one task's work.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,7 +84,26 @@ def neighbours(on_haplotype: DataFrame, reach: int = 5, width: int = 4096) -> Da
     return met.where(later & (F.col("b_first") <= F.col("a_last") + reach)).select(*keys, "a", "b")
 
 
-def trio_truth(child: DataFrame, parents: DataFrame, **rule) -> DataFrame:
-    """Calls of a child that match a call of either parent: semi-join to each, then the union. parents have a column parent."""
+def trio_truth(child: DataFrame, *parents: DataFrame, **rule) -> DataFrame:
+    """Calls of a child that match a call of either parent: one matching against the union of theirs."""
     t = child.select(F.col("call_id").alias("variant_id"), "chrom", "pos", "svtype", "len")
-    return candidates(t, parents, **rule).select(F.col("variant_id").alias("call_id")).distinct()
+    every = reduce(DataFrame.unionByName, [p.select("call_id", "chrom", "pos", "svtype", "len") for p in parents])
+    return candidates(t, every, **rule).select(F.col("variant_id").alias("call_id")).distinct()
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with the value of their key; a key that the table lacks is an error when the row is read."""
+    got = rows.join(table.select(key, F.col(value).alias("_v"), F.lit(True).alias("_there")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no value for "), F.col(key).cast("string"))).cast(table.schema[value].dataType)
+    return got.withColumn(value, F.when(F.col("_there").isNull(), missing).otherwise(F.col("_v"))).drop("_v", "_there")
+
+
+def genotype_concordance(truth: DataFrame, calls: DataFrame, keys: list[str], **rule) -> DataFrame:
+    """Per ``keys`` (columns of calls): recall, true variants that it implies, share of matches with equal genotypes, and recall of those. truth and calls have a genotype, ``t_gt`` and ``gt``."""
+    best = mutual_best(candidates(truth, calls, **rule), ["caller"])
+    tp = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"), F.count_if(F.col("t_gt") == F.col("gt")).alias("same"))
+    n = truth.groupBy(*[k for k in keys if k in truth.columns]).agg(F.count(F.lit(1)).alias("n"))
+    on = [k for k in keys if k in truth.columns]
+    x = tp.join(n, on) if on else tp.join(F.broadcast(n))
+    r = F.col("tp") / F.col("n")
+    return x.select(*keys, "tp", r.alias("recall"), (F.col("tp") / r).alias("n_true"), (F.col("same") / F.col("tp")).alias("concordance"), (F.col("same") / F.col("n")).alias("exact_recall"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import running
+
 
 def uniform(seed: int, slot: int, *keys: Column | str) -> Column:
     """In [0, 1)."""
@@ -38,14 +40,16 @@ def ranks(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | s
 
 
 def shuffled(df: DataFrame, keys: list[str], by: str, seed: int) -> DataFrame:
-    """Rank of each row in a hashed order within its key (a Fisher-Yates shuffle's counterpart)."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), by), by)))
+    """Rank of each row in a hashed order within its key (a Fisher-Yates shuffle's counterpart), by 1024 ranges of the hash."""
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), by))
+    return ranks(d, keys, F.shiftright("_h", 54), ["_h", by]).drop("_h")
 
 
-def take_until(df: DataFrame, order: list[Column], amount: str, target: int, keys: list[str] | None = None) -> DataFrame:
-    """Rows while the amount before them is below the target; the one that crosses is taken."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("cum", F.sum(amount).over(w)).where(F.col("cum") - F.col(amount) < target)
+def take_until(df: DataFrame, order: list[Column], amount: str, target: int, keys: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """Rows while the amount before them is below the target; the one that crosses is taken. ``bucket`` does not fall along the order (the first of it, if not given); sums go by bucket."""
+    d = df.withColumn("_b", order[0] if bucket is None else bucket)
+    d = running(d, keys or [], "_b", order, {"cum": (F.col(amount), "sum")})
+    return d.where(F.col("cum") - F.col(amount) < target).drop("_b")
 
 
 def cap_bins(df: DataFrame, by: str, caps: DataFrame) -> DataFrame:
@@ -76,9 +80,9 @@ def bimodal_reads(reads: DataFrame, cdf: DataFrame, draws: int, target: int, see
     table = cdf.agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("t"))  # one row of ``bins``
     d = spark.range(draws).withColumn("u", uniform(seed, 0, "id")).join(F.broadcast(table))
     d = d.select(F.col("id").alias("draw"), F.get(F.filter("t", lambda x: x["cum"] > F.col("u")), F.lit(0))["bin"].alias("bin")).where("bin is not null")
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("draw")))
+    d = ranks(d, ["bin"], F.floor(F.col("draw") / 65536), ["draw"])
     r = shuffled(reads.withColumn("bin", F.least(F.floor(F.col("len") / width), F.lit(bins - 1))), ["bin"], "read_id", seed)
-    return take_until(d.join(r, ["bin", "rank"]), [F.col("draw")], "len", target).select("draw", "read_id", "bin", "len", "cum")
+    return take_until(d.join(r, ["bin", "rank"]), [F.col("draw")], "len", target, bucket=F.floor(F.col("draw") / 65536)).select("draw", "read_id", "bin", "len", "cum")
 
 
 def feasible_target(available: Column, quantum: int) -> Column:
@@ -96,7 +100,7 @@ def sample_variants(spark, types: DataFrame, lengths: DataFrame, afs: DataFrame,
     """Up to ``n`` draws of type, length in its bin, frequency in its bin and position in a context, kept until ``n_frequent`` are frequent.
 
     types: svtype, ctx, cum; lengths: svtype, ctx, bin, cum; afs: svtype, bin, lo, q, cum;
-    segments: ctx, from_pos, to_pos. All tables but the draws are model-sized. A variant
+    segments: chrom, ctx, from_pos, to_pos. All tables but the draws are model-sized. A variant
     that leaves the reference is rejected unless it is an insertion.
     """
 
@@ -110,16 +114,16 @@ def sample_variants(spark, types: DataFrame, lengths: DataFrame, afs: DataFrame,
     d = d.withColumn("len", (50 + F.col("b") * 50 + F.floor(uniform(seed, 4, "variant_id") * 50)).cast("long")).drop("l", "b")
     d = d.join(F.broadcast(table(afs, ["svtype"], "a")), "svtype").withColumn("b", pick("a", uniform(seed, 5, "variant_id")))
     d = d.withColumn("af", F.col("b.lo") + (F.col("b.bin") + uniform(seed, 6, "variant_id")) * F.col("b.q")).drop("a", "b")
-    run = Window.partitionBy("ctx").orderBy("from_pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = segments.withColumn("_n", F.col("to_pos") - F.col("from_pos") + 1).withColumn("_end", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(Window.partitionBy("ctx")))
-    d = d.join(F.broadcast(s.groupBy("ctx").agg(F.max("_all").alias("_all"))), "ctx").withColumn("_at", F.floor(uniform(seed, 7, "variant_id") * F.col("_all")))
-    place = s.select("ctx", (F.col("_end") - F.col("_n")).alias("_s"), (F.col("_end") - 1).alias("_e"), "from_pos")
+    s = segments.withColumn("_n", F.col("to_pos") - F.col("from_pos") + 1).withColumn("_tile", F.struct("chrom", F.floor(F.col("from_pos") / (1 << 20))))
+    s = running(s, ["ctx"], "_tile", ["from_pos"], {"_end": (F.col("_n"), "sum")})
+    d = d.join(F.broadcast(s.groupBy("ctx").agg(F.max("_end").alias("_all"))), "ctx").withColumn("_at", F.floor(uniform(seed, 7, "variant_id") * F.col("_all")))
+    place = s.select("ctx", "chrom", (F.col("_end") - F.col("_n")).alias("_s"), (F.col("_end") - 1).alias("_e"), "from_pos")
     from .intervals import range_join
 
     d = range_join(d.drop("_all"), place, ["ctx"], ("_at", "_at"), ("_s", "_e")).withColumn("pos", F.col("from_pos") + F.col("_at") - F.col("_s")).drop("_at", "_s", "_e", "from_pos")
     d = d.where((F.col("svtype") == "INS") | (F.col("pos") + F.col("len") <= length))
-    often = F.sum((F.col("af") >= frequent).cast("int")).over(Window.partitionBy(F.lit(0)).orderBy("variant_id").rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn("_f", F.coalesce(often, F.lit(0))).where(F.col("_f") < n_frequent).drop("_f")
+    d = running(d.withColumn("_b", F.floor(F.col("variant_id") / 65536)), [], "_b", ["variant_id"], {"_f": ((F.col("af") >= frequent).cast("int"), "sum")}, inclusive=False)
+    return d.where(F.col("_f") < n_frequent).drop("_f", "_b")
 
 
 def without_collisions(on_haplotype: DataFrame, reach: int = 5) -> DataFrame:
@@ -208,19 +212,25 @@ def apply_variants(reference: str | DataFrame, on_haplotype: DataFrame) -> DataF
 
 
 def insertion_choice(wanted: DataFrame, bank: DataFrame, quantum: int = 50, seed: int = 1) -> DataFrame:
-    """For each wanted length a bank sequence at least as long (the nearest longer bin that has any, else the longest), a hashed choice in its bin, a hashed piece, half of them reverse complements.
+    """A bank sequence for each wanted length, by draws: one of just that length, else a longer one of its length bin, else any of that bin; if the bin is empty, one of the next longer bin that is not, else of the longest. A longer one gives a piece at a drawn place; half are reverse complements.
 
-    wanted: variant_id, len; bank: seq_id, seq.
+    wanted: variant_id, len; bank: seq_id, seq. Returns variant_id, seq_id, len, sequence.
     """
     from ..functions.variants import reverse_complement
 
-    b = bank.withColumn("bin", F.floor(F.length("seq") / quantum)).withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("seq_id")) - 1)
-    sizes = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    table = sizes.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("t"))  # one row of bins
-    bin = F.floor((F.col("len") + quantum - 1) / quantum)
-    chosen = F.coalesce(F.get(F.filter("t", lambda x: x["bin"] >= bin), F.lit(0)), F.element_at("t", -1))
-    w = wanted.join(F.broadcast(table)).withColumn("c", chosen).withColumn("bin", F.col("c.bin")).withColumn("k", F.floor(uniform(seed, 8, "variant_id") * F.col("c.n")))
-    j = w.drop("t", "c").join(b, ["bin", "k"])
-    n = F.least(F.col("len"), F.length("seq"))
-    piece = F.col("seq").substr((F.floor(uniform(seed, 9, "variant_id") * (F.length("seq") - n + 1)) + 1).cast("int"), n.cast("int"))
-    return j.withColumn("sequence", F.when(uniform(seed, 10, "variant_id") < 0.5, piece).otherwise(reverse_complement(piece))).select("variant_id", F.length("sequence").cast("long").alias("len"), "sequence")
+    b = bank.select("seq_id", "seq", F.length("seq").cast("long").alias("_len")).withColumn("bin", F.floor(F.col("_len") / quantum))
+    b = ranks(b, ["bin"], F.struct("_len", F.pmod(F.xxhash64("seq_id"), F.lit(1024))), ["seq_id"], "k")
+    # Of each bin, how many sequences are shorter than each length, and how many have it: ``quantum`` rows at most.
+    sizes = b.groupBy("bin", "_len").agg(F.count(F.lit(1)).alias("n"), (F.min("k") - 1).alias("before"))
+    lengths = sizes.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("_len", "before", "n"))).alias("t"), F.sum("n").alias("all"))
+    bins = lengths.agg(F.sort_array(F.collect_list("bin")).alias("bins"))  # one row of bins
+    own = F.floor(F.col("len") / quantum)
+    w = wanted.join(F.broadcast(bins)).withColumn("bin", F.coalesce(F.get(F.filter("bins", lambda x: x >= own), F.lit(0)), F.element_at("bins", -1))).drop("bins").join(lengths, "bin")
+    just, longer = (F.get(F.filter("t", f), F.lit(0)) for f in (lambda x: x["_len"] == F.col("len"), lambda x: x["_len"] > F.col("len")))
+    here, every = F.col("bin") == own, F.struct(F.lit(0).cast("long").alias("from"), F.col("all").alias("n"))
+    choice = F.when(here & just.isNotNull(), F.struct(just["before"].alias("from"), just["n"].alias("n"))).when(here & longer.isNotNull(), F.struct(longer["before"].alias("from"), (F.col("all") - longer["before"]).alias("n"))).otherwise(every)
+    w = w.withColumn("c", choice).withColumn("k", F.col("c.from") + F.floor(uniform(seed, 8, "variant_id") * F.col("c.n")) + 1)
+    j = w.select("variant_id", "len", "bin", "k").join(b, ["bin", "k"])
+    n = F.least(F.col("len"), F.col("_len"))
+    piece = F.col("seq").substr((F.floor(uniform(seed, 9, "variant_id") * (F.col("_len") - n + 1)) + 1).cast("int"), n.cast("int"))
+    return j.withColumn("sequence", F.when(uniform(seed, 10, "variant_id") < 0.5, piece).otherwise(reverse_complement(piece))).select("variant_id", "seq_id", F.length("sequence").cast("long").alias("len"), "sequence")

@@ -48,6 +48,40 @@ def spanned(variants: DataFrame) -> DataFrame:
     return variants.withColumn("first", F.col("pos")).withColumn("last", F.when(F.col("svtype") == "INS", F.col("pos")).otherwise(F.col("pos") + F.col("len") - 1))
 
 
+# --- contexts in SQL: intervals and windows meet by bins of 4096 bases ---------
+
+_BINS = "unnest(range(CAST(floor({0}/4096.0) AS BIGINT), CAST(floor({1}/4096.0) AS BIGINT)+1)) AS b"
+RB_ALONE = f"rb AS (SELECT chrom, rstart, rend, is_sat, {_BINS.format('rstart', 'rend')} FROM repeats)"
+RB = f"{RB_ALONE}, sb AS (SELECT chrom, sstart, send, {_BINS.format('sstart', 'send')} FROM segdups)"
+
+
+def context_sql(name: str, source: str, lo: str, hi: str, slo: str, shi: str) -> str:
+    """CTEs that end in ``name`` (variant_id, ctx): the context of a window for repeats and one for duplications. Needs ``RB``."""
+    n = name
+    return f"""{n}w AS (SELECT DISTINCT variant_id, chrom, {lo} AS lo, {hi} AS hi, {slo} AS slo, {shi} AS shi FROM {source}),
+ {n}p AS (SELECT *, {_BINS.format('lo', 'hi')} FROM {n}w), {n}q AS (SELECT *, {_BINS.format('slo', 'shi')} FROM {n}w),
+ {n}r AS (SELECT variant_id, CASE WHEN min(is_sat)=max(is_sat) THEN min(is_sat) ELSE 2 END AS t FROM {n}p p JOIN rb ON p.chrom=rb.chrom AND p.b=rb.b WHERE rstart<=hi AND rend>=lo GROUP BY 1),
+ {n}s AS (SELECT DISTINCT variant_id FROM {n}q q JOIN sb ON q.chrom=sb.chrom AND q.b=sb.b WHERE sstart<=shi AND send>=slo),
+ {n} AS (SELECT DISTINCT w.variant_id, CAST(coalesce(t, CASE WHEN s.variant_id IS NOT NULL THEN 3 END, 4) AS INTEGER) AS ctx FROM {n}w w LEFT JOIN {n}r r ON w.variant_id=r.variant_id LEFT JOIN {n}s s ON w.variant_id=s.variant_id)"""
+
+
+_T = "(CASE evidence WHEN 'SR' THEN 25 WHEN 'PE' THEN 250 ELSE 1000 END)"
+#: First and second breakpoint; insertions have the first alone.
+FIRST = context_sql("c1", "variants", f"pos-{_T}", f"pos+{_T}", "pos-25", "pos+25")
+SECOND = context_sql("c2", "(SELECT variant_id, chrom, evidence, pos+len-1 AS pos FROM variants WHERE svtype<>'INS') y", f"pos-{_T}", f"pos+{_T}", "pos-25", "pos+25")
+
+
+def first_context(variants: DataFrame, repeats: DataFrame, segdups: DataFrame) -> DataFrame:
+    """variant_id, ctx."""
+    return intervals.annotate(variants.withColumn("tol", fn_tolerance()), repeats, segdups)
+
+
+def second_context(variants: DataFrame, repeats: DataFrame, segdups: DataFrame) -> DataFrame:
+    """variant_id, ctx; insertions left out."""
+    v = variants.where("svtype <> 'INS'").withColumn("pos", F.col("pos") + F.col("len") - 1).withColumn("tol", fn_tolerance())
+    return intervals.annotate(v, repeats, segdups)
+
+
 # --- joins -----------------------------------------------------------------
 
 _TOL = "(CASE v.evidence WHEN 'SR' THEN 25 WHEN 'PE' THEN 250 ELSE 1000 END)"
@@ -66,13 +100,10 @@ def fn_tolerance():
     return intervals.tolerance(F.col("evidence"))
 
 
-@query("variants repeats", f"""
-WITH v AS (SELECT variant_id, chrom, evidence, pos+len-1 AS pos FROM variants WHERE svtype<>'INS')
-SELECT v.variant_id, CAST(CASE WHEN count(r.chrom)=0 THEN 4 WHEN min(is_sat)=max(is_sat) THEN min(is_sat) ELSE 2 END AS INTEGER) AS ctx FROM v LEFT JOIN repeats r ON v.chrom=r.chrom AND r.rstart<=v.pos+{_TOL} AND r.rend>=v.pos-{_TOL} GROUP BY v.variant_id""")
-def jn2_second_breakpoint(variants, repeats):
+@query("variants repeats segdups", f"WITH {RB}, {SECOND} SELECT variant_id, ctx FROM c2")
+def jn2_second_breakpoint(variants, repeats, segdups):
     """JN2: the same for the last base, insertions left out."""
-    v = variants.where("svtype <> 'INS'").withColumn("pos", F.col("pos") + F.col("len") - 1).withColumn("tol", fn_tolerance())
-    return intervals.annotate(v, repeats)
+    return second_context(variants, repeats, segdups)
 
 
 @query("variants repeats", """
@@ -85,27 +116,30 @@ def jn3_fixed_tolerance(variants, repeats):
 _SPANS = "s AS (SELECT variant_id, chrom, pos AS first, CASE WHEN svtype='INS' THEN pos ELSE pos+len-1 END AS last FROM variants)"
 
 
-@query("variants repeats", f"""
-WITH {_SPANS} SELECT s.variant_id, r.rstart, greatest(s.first,r.rstart) AS from_pos, least(s.last,r.rend) AS to_pos, count(*) AS n FROM s JOIN repeats r ON s.chrom=r.chrom AND r.rstart<=s.last AND r.rend>=s.first GROUP BY ALL""")
-def jn4_clipped_overlap(variants, repeats):
-    """JN4: intersections of variants with repeats."""
-    met = intervals.clipped_overlaps(spanned(variants).select("variant_id", "chrom", "first", "last"), repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
-    return met.groupBy("variant_id", "rstart", "from_pos", "to_pos").agg(F.count(F.lit(1)).alias("n"))
+@query("variants repeats segdups", f"""
+WITH {_SPANS}, a AS (SELECT chrom, rstart AS a, rend AS z, is_sat AS kind FROM repeats UNION ALL SELECT chrom, sstart, send, 3 FROM segdups),
+ x AS (SELECT *, unnest(range(CAST(floor(a/4096.0) AS BIGINT), CAST(floor(z/4096.0) AS BIGINT)+1)) AS b FROM a), y AS (SELECT *, unnest(range(CAST(floor(first/4096.0) AS BIGINT), CAST(floor(last/4096.0) AS BIGINT)+1)) AS b FROM s)
+SELECT variant_id, kind, a, greatest(first,a) AS from_pos, least(last,z) AS to_pos, count(*) AS n FROM x JOIN y ON x.chrom=y.chrom AND x.b=y.b WHERE a<=last AND z>=first AND x.b=CAST(floor(greatest(first,a)/4096.0) AS BIGINT) GROUP BY ALL""")
+def jn4_clipped_overlap(variants, repeats, segdups):
+    """JN4: intersections of variants with repeats, satellites and duplications."""
+    every = repeats.select("chrom", F.col("rstart").alias("a"), F.col("rend").alias("z"), F.col("is_sat").cast("int").alias("kind")).unionByName(segdups.select("chrom", F.col("sstart").alias("a"), F.col("send").alias("z"), F.lit(3).alias("kind")))
+    met = intervals.clipped_overlaps(spanned(variants).select("variant_id", "chrom", "first", "last"), every, ["chrom"], ("first", "last"), ("a", "z"))
+    return met.groupBy("variant_id", "kind", "a", "from_pos", "to_pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("variants repeats segdups", """
-WITH w AS (SELECT DISTINCT variant_id, chrom, pos-greatest(10,least(100,len%150)) AS lo, pos+greatest(10,least(100,len%150)) AS hi FROM variants),
- m AS (SELECT variant_id, max(CASE WHEN is_sat=0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN is_sat=1 THEN 1 ELSE 0 END) AS b FROM w JOIN repeats r ON w.chrom=r.chrom AND r.rstart<=hi AND r.rend>=lo GROUP BY 1),
- s AS (SELECT DISTINCT variant_id FROM w JOIN segdups s ON w.chrom=s.chrom AND s.sstart<=hi AND s.send>=lo)
-SELECT w.variant_id, CAST(CASE WHEN a=1 AND b=1 THEN 2 WHEN a=1 THEN 0 WHEN b=1 THEN 1 WHEN s.variant_id IS NOT NULL THEN 3 ELSE 4 END AS INTEGER) AS ctx FROM w LEFT JOIN m ON w.variant_id=m.variant_id LEFT JOIN s ON w.variant_id=s.variant_id""")
+_CI_LO = "CASE variant_id%3 WHEN 0 THEN len%150 WHEN 1 THEN CAST(floor(((len%50)+0.5)*3+0.5) AS BIGINT) ELSE 0 END"
+_CI_HI = "CASE variant_id%3 WHEN 0 THEN len%70 WHEN 1 THEN CAST(floor(((len%50)+0.5)*3+0.5) AS BIGINT) ELSE 0 END"
+
+
+@query("variants repeats segdups", f"""
+WITH {RB}, ci AS (SELECT variant_id, chrom, pos-greatest(10,least(100,{_CI_LO})) AS lo, pos+greatest(10,least(100,{_CI_HI})) AS hi FROM variants), {context_sql("c5", "ci", "lo", "hi", "lo", "hi")} SELECT variant_id, ctx FROM c5""")
 def jn5_confidence_context(variants, repeats, segdups):
-    """JN5, FN5: context in a clamped confidence window."""
-    lo, hi = fn.clamp_window(F.col("pos"), -(F.col("len") % 150), F.col("len") % 150)
-    w = variants.select("variant_id", "chrom", lo.alias("lo"), hi.alias("hi")).distinct()
-    m = intervals.range_join(w, repeats, ["chrom"], ("lo", "hi"), ("rstart", "rend")).groupBy("variant_id").agg(F.max(F.when(F.col("is_sat") == 0, 1).otherwise(0)).alias("a"), F.max(F.when(F.col("is_sat") == 1, 1).otherwise(0)).alias("b"))
-    s = intervals.range_join(w, segdups, ["chrom"], ("lo", "hi"), ("sstart", "send")).groupBy("variant_id").agg(F.lit(1).alias("c"))
-    ctx = F.when((F.col("a") == 1) & (F.col("b") == 1), 2).when(F.col("a") == 1, 0).when(F.col("b") == 1, 1).when(F.col("c") == 1, 3).otherwise(4)
-    return w.select("variant_id").join(m, "variant_id", "left").join(s, "variant_id", "left").select("variant_id", ctx.alias("ctx"))
+    """JN5, FN4, FN5: context in the clamped confidence window that INFO gives: a pair, a deviation, or nothing."""
+    k, n = F.col("variant_id") % 3, F.col("len")
+    info = F.when(k == 0, F.concat(F.lit("CIPOS=-"), (n % 150).cast("string"), F.lit(","), (n % 70).cast("string"))).when(k == 1, F.concat(F.lit("STD_quant_start="), (n % 50).cast("string"), F.lit(".5"))).otherwise("A=1")
+    lo, hi = fn.clamp_window(F.col("pos"), *fn.confidence(info))
+    w = variants.select("variant_id", "chrom", "pos", lo.alias("lo"), hi.alias("hi"))
+    return intervals.annotate(w, repeats, segdups, lo=F.col("lo"), hi=F.col("hi"), segdup_tolerance=None)
 
 
 @query("repeats segdups", """
@@ -186,29 +220,37 @@ def jn10_false_positives(truth, calls):
 
 
 @query("calls", """
-WITH k AS (SELECT call_id, chrom, pos, svtype, len FROM calls WHERE caller='pbsv'), p AS (SELECT call_id AS pid, chrom, pos, svtype, len FROM calls WHERE caller='sniffles2')
+WITH k AS (SELECT * FROM calls WHERE abs(call_id)%4 IN (0,3)), p AS (SELECT * FROM calls WHERE abs(call_id)%4=1 UNION ALL SELECT * FROM calls WHERE abs(call_id)%4=2)
 SELECT DISTINCT k.call_id FROM k JOIN p ON k.chrom=p.chrom AND k.svtype=p.svtype AND abs(k.pos-p.pos)<=500 AND least(k.len,p.len)*10>=greatest(k.len,p.len)*7 AND k.len BETWEEN 50 AND 50000 AND p.len BETWEEN 30 AND 50000""")
 def jn11_inherited_calls(calls):
-    """JN11: calls of one set that match one of another."""
-    return matching.trio_truth(calls.where("caller = 'pbsv'"), calls.where("caller = 'sniffles2'"))
+    """JN11: calls of a child that match a call of either of two parents."""
+    of = lambda *k: calls.where((F.abs("call_id") % 4).isin(*k))
+    return matching.trio_truth(of(0, 3), of(1), of(2))
 
 
-@query("calls", """
-SELECT chrom, svtype, CAST(floor(len/1000) AS BIGINT) AS size, string_agg(DISTINCT caller, ',' ORDER BY caller) AS samples, CAST(count(DISTINCT caller) AS INTEGER) AS n_samples FROM calls GROUP BY 1,2,3""")
+_ALLELES = "concat('N', CASE WHEN svtype='DEL' THEN CAST(len%3 AS VARCHAR) ELSE '' END) AS ref, CASE svtype WHEN 'DEL' THEN 'N' ELSE concat('<',svtype,'>') END AS alt"
+
+
+@query("calls", f"""
+WITH a AS (SELECT chrom, CAST(floor(pos/1000) AS BIGINT)*1000 AS pos, {_ALLELES}, caller FROM calls)
+SELECT chrom, pos, ref, alt, string_agg(DISTINCT caller, ',' ORDER BY caller) AS samples, CAST(count(DISTINCT caller) AS INTEGER) AS n_samples FROM a GROUP BY 1,2,3,4""")
 def jn12_exact_merge(calls):
-    """JN12: full-outer merge on an exact key, with the samples of each."""
-    m = matching.exact_merge(calls.withColumn("size", F.floor(F.col("len") / 1000)), ["chrom", "svtype", "size"], "caller")
-    return m.withColumn("samples", F.concat_ws(",", "samples"))
+    """JN12: full-outer merge on the exact allele (chromosome, position, REF, ALT), with the samples of each. Positions of the view are coarse, so that callers agree on some."""
+    gone = F.col("svtype") == "DEL"
+    ref = F.concat(F.lit("N"), F.when(gone, (F.col("len") % 3).cast("string")).otherwise(""))
+    alt = F.when(gone, "N").otherwise(F.concat(F.lit("<"), "svtype", F.lit(">")))
+    a = calls.select("chrom", (F.floor(F.col("pos") / 1000) * 1000).alias("pos"), ref.alias("ref"), alt.alias("alt"), "caller")
+    return matching.exact_merge(a, ["chrom", "pos", "ref", "alt"], "caller").withColumn("samples", F.concat_ws(",", "samples"))
 
 
 @query("calls", """
-WITH c AS (SELECT call_id, chrom, pos, svtype, len, abs(call_id)%7 AS n FROM calls WHERE len>=40 AND caller='pbsv'),
+WITH c AS (SELECT call_id, chrom, pos, svtype, len, abs(call_id)%7 AS n FROM calls WHERE len>=40),
  p AS (SELECT b.call_id, a.call_id AS other, a.n FROM c a JOIN c b ON a.chrom=b.chrom AND a.svtype=b.svtype AND abs(a.pos-b.pos)<=500 AND a.len BETWEEN 40 AND 50000 AND b.len BETWEEN 40 AND 50000 AND least(a.len,b.len)*10>=greatest(a.len,b.len)*9),
  r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY n DESC, other) AS rn FROM p)
 SELECT call_id, other AS kept_id FROM r WHERE rn=1""")
 def jn13_collapse(calls):
-    """JN13: near-duplicates fold into the best supported."""
-    return matching.collapse(calls.where("caller = 'pbsv'").withColumn("support", F.abs("call_id") % 7), "support", size=0.9)
+    """JN13: near-duplicates of all callers fold into the best supported."""
+    return matching.collapse(calls.withColumn("support", F.abs("call_id") % 7), "support", size=0.9)
 
 
 @query("variants repeats", """
@@ -221,20 +263,11 @@ def jn14_work_packages(variants, repeats):
     return g.withColumn("grid", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
 
 
-_ON_HAP = f"{_SPANS}, h AS (SELECT DISTINCT abs(variant_id)%16 AS haplotype_id, variant_id, first, last FROM s WHERE chrom='chr7')"
-
-
 @query("variants", f"""
-WITH {_ON_HAP} SELECT x.haplotype_id, x.variant_id AS a, y.variant_id AS b FROM h x JOIN h y ON x.haplotype_id=y.haplotype_id AND (x.first<y.first OR (x.first=y.first AND x.variant_id<y.variant_id)) AND y.first<=x.last+5""")
+WITH {_SPANS}, h AS (SELECT DISTINCT s.chrom, abs(variant_id)%16 AS haplotype_id, variant_id, first, last FROM s), x AS (SELECT *, unnest(range(CAST(floor(first/4096.0) AS BIGINT), CAST(floor((last+5)/4096.0) AS BIGINT)+1)) AS b FROM h), y AS (SELECT *, CAST(floor(first/4096.0) AS BIGINT) AS b FROM h)
+SELECT x.chrom, x.haplotype_id, x.variant_id AS a, y.variant_id AS b FROM x JOIN y ON x.chrom=y.chrom AND x.haplotype_id=y.haplotype_id AND x.b=y.b AND (x.first<y.first OR (x.first=y.first AND x.variant_id<y.variant_id)) AND y.first<=x.last+5""")
 def jn15_collisions(variants):
-    """JN15, FN18: neighbours on one haplotype that come within 5 bases."""
-    h = spanned(variants).where("chrom = 'chr7'").select((F.abs("variant_id") % 16).alias("haplotype_id"), "variant_id", "first", "last").distinct()
-    return matching.neighbours(h)
-
-
-@query("variants")
-def jn15_every_collision(variants):
-    """JN15, FN18: the same on every chromosome of a haplotype."""
+    """JN15, FN18: neighbours on one haplotype and chromosome that come within 5 bases."""
     h = spanned(variants).select("chrom", (F.abs("variant_id") % 16).alias("haplotype_id"), "variant_id", "first", "last").distinct()
     return matching.neighbours(h)
 
@@ -284,14 +317,12 @@ def jn19_outside_larger(variants, segdups):
 
 
 @query("dna variants", """
-SELECT v.variant_id, d.seq FROM (SELECT DISTINCT variant_id FROM variants) v JOIN dna d ON d.seq_id=v.variant_id%2000+1""")
+SELECT v.variant_id, d.seq FROM (SELECT DISTINCT variant_id FROM variants) v JOIN dna d ON d.seq_id=v.variant_id%(SELECT max(seq_id) FROM dna)+1""")
 def jn20_sequence_lookup(dna, variants):
     """JN20: sequences by id; an absent id is an error when the row is read."""
-    v = variants.select("variant_id").distinct().withColumn("seq_id", F.col("variant_id") % 2000 + 1)
-    j = v.join(dna, "seq_id", "left")
     n = dna.agg(F.max("seq_id").alias("m"))
-    j = j.join(F.broadcast(n)).where("seq_id <= m")
-    return j.select("variant_id", F.when(F.col("seq").isNull(), F.raise_error(F.lit("no sequence of that id"))).otherwise(F.col("seq")).alias("seq"))
+    v = variants.select("variant_id").distinct().join(F.broadcast(n)).select("variant_id", (F.col("variant_id") % F.col("m") + 1).alias("seq_id"))
+    return matching.lookup(v, dna, "seq_id", "seq").select("variant_id", "seq")
 
 
 @query("repeats", "SELECT a.t AS a, b.t AS b, CASE WHEN a.t=b.t THEN a.t ELSE 2 END AS both FROM (VALUES (0),(1),(2)) a(t), (VALUES (0),(1),(2)) b(t)")
@@ -312,9 +343,11 @@ def flt1_to_6_training_filter(variants):
     return variants.where(intervals.both(keep)).select("variant_id", F.lower("filter").alias("f"))
 
 
-def package_filter(svtype: str | None = None, least: int | None = None, ctx: tuple[int, int] | None = None, only_pass: bool = True, most_af: float | None = None) -> list:
+def package_filter(svtype: str | None = None, least: int | None = None, ctx: tuple[int, int] | None = None, only_pass: bool = True, most_af: float | None = None, fraction: tuple[float, float] | None = None) -> list:
     """FLT10, FLT11: the conjunction of a work package; most_af is for the truth side alone."""
     out = []
+    if fraction is not None:
+        out.append(F.col("fraction").between(*fraction))
     if svtype is not None:
         out.append(F.col("svtype") == svtype)
     if least is not None:
@@ -328,11 +361,25 @@ def package_filter(svtype: str | None = None, least: int | None = None, ctx: tup
     return out
 
 
-@query("variants", "SELECT 'truth' AS side, count(*) AS n FROM variants WHERE svtype='DEL' AND len>=500 AND filter='PASS' AND af<=0.25 UNION ALL SELECT 'calls', count(*) FROM variants WHERE svtype='DEL' AND len>=500 AND filter='PASS'")
-def flt10_work_package(variants):
-    t = variants.where(intervals.both(package_filter("DEL", 500, most_af=0.25))).agg(F.count(F.lit(1)).alias("n"))
-    c = variants.where(intervals.both(package_filter("DEL", 500))).agg(F.count(F.lit(1)).alias("n"))
-    return t.select(F.lit("truth").alias("side"), "n").unionByName(c.select(F.lit("calls").alias("side"), "n"))
+_FRACTION = """fr AS (WITH s AS (SELECT DISTINCT variant_id, chrom, pos AS first, pos+len-1 AS last FROM variants WHERE svtype='DEL'), y AS (SELECT *, unnest(range(CAST(floor(first/4096.0) AS BIGINT), CAST(floor(last/4096.0) AS BIGINT)+1)) AS b FROM s),
+  c AS (SELECT DISTINCT variant_id, last-first+1 AS len, greatest(first,rstart) AS a, least(last,rend) AS z FROM y JOIN rb ON y.chrom=rb.chrom AND y.b=rb.b WHERE rstart<=last AND rend>=first),
+  m AS (SELECT *, max(z) OVER (PARTITION BY variant_id ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c) SELECT variant_id, sum(greatest(0,z-greatest(a,coalesce(e,-1)+1)+1))/max(len) AS fraction FROM m GROUP BY 1)"""
+
+
+@query("variants repeats segdups", f"""
+WITH {RB}, {FIRST}, {SECOND}, {_FRACTION}, j AS (SELECT v.*, c1.ctx AS ctx, c2.ctx AS ctx_end, coalesce(fraction,0) AS fraction FROM variants v JOIN c1 ON v.variant_id=c1.variant_id JOIN c2 ON v.variant_id=c2.variant_id LEFT JOIN fr ON v.variant_id=fr.variant_id WHERE svtype='DEL'),
+ k AS (SELECT * FROM j WHERE len>=500 AND filter='PASS' AND ctx=0 AND ctx_end=0 AND fraction BETWEEN 0.1 AND 0.6)
+SELECT 'truth' AS side, count(*) AS n FROM k WHERE af<=0.25 UNION ALL SELECT 'calls', count(*) FROM k""")
+def flt10_work_package(variants, repeats, segdups):
+    """FLT10: type, length, filter, context of both breakpoints and repeat fraction; frequency for the truth alone."""
+    gone = variants.where("svtype = 'DEL'")
+    s = spanned(gone).select("variant_id", "chrom", "first", "last").distinct()
+    met = intervals.clipped_overlaps(s, repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
+    part = intervals.covered(met, ["variant_id", "first", "last"], "from_pos", "to_pos").select("variant_id", (F.col("covered") / (F.col("last") - F.col("first") + 1)).alias("fraction"))
+    v = gone.join(first_context(gone, repeats, segdups), "variant_id").join(second_context(gone, repeats, segdups).withColumnRenamed("ctx", "ctx_end"), "variant_id").join(part, "variant_id", "left").withColumn("fraction", F.coalesce("fraction", F.lit(0.0)))
+    sides = {"truth": 0.25, "calls": None}
+    one = v.agg(*[F.count_if(intervals.both(package_filter("DEL", 500, ctx=(0, 0), fraction=(0.1, 0.6), most_af=af))).alias(side) for side, af in sides.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("n")) for x in sides])).alias("r")).select("r.*")
 
 
 @query("variants", """
@@ -390,12 +437,13 @@ def flt22_batch(variants):
     return variants.select("variant_id", (F.abs("variant_id") % 4).alias("batch")).where("batch = 2")
 
 
-@query("variants", "SELECT variant_id, CASE WHEN svtype IN ('DEL','DUP') THEN pos+len-1 WHEN svtype='INS' THEN pos+len-1 END AS last, CASE WHEN svtype<>'INV' THEN len END AS length FROM variants")
+@query("variants", "SELECT variant_id, CASE WHEN variant_id%5=0 THEN CASE svtype WHEN 'INS' THEN pos+99 ELSE pos+len-1 END WHEN svtype='INS' THEN pos WHEN variant_id%5<4 THEN pos+len-1 END AS last, CASE WHEN svtype<>'INS' AND variant_id%5<4 THEN len END AS length FROM variants")
 def prj2_end_and_length(variants):
-    """PRJ2: last base and length from END, else from SVLEN, else null."""
-    end = F.when(F.col("svtype").isin("DEL", "DUP"), F.col("pos") + F.col("len"))
-    svlen = F.when(F.col("svtype") == "INS", F.col("len"))
-    last, length = fn.end_and_length(F.col("pos"), end, svlen)
+    """PRJ2: last base and length from END, else from SVLEN, else null; insertions have no length."""
+    k, ins = F.col("variant_id") % 5, F.col("svtype") == "INS"
+    end = F.when(k == 0, F.when(ins, F.col("pos") + 100).otherwise(F.col("pos") + F.col("len")))
+    svlen = F.when(k < 4, F.when(F.col("svtype") == "DEL", -F.col("len")).otherwise(F.col("len")))
+    last, length = fn.end_and_length(F.col("svtype"), F.col("pos"), end, svlen)
     return variants.select("variant_id", last.alias("last"), length.alias("length"))
 
 

@@ -7,14 +7,17 @@ from pyspark.sql.window import Window
 
 from ..functions import variants as fn
 from ..operators import intervals, matching, sampling, statistics
-from .catalog import query, spanned
+from ..session import materialize
+from .catalog import _BEST, _PAIRS, FIRST, RB, RB_ALONE, SECOND, first_context, query, second_context, spanned
 
 # --- aggregations ------------------------------------------------------------
 
 
-@query("variants", "SELECT svtype, least(CAST(floor((len-50)/50.0) AS BIGINT),19999) AS bin, count(*) AS n FROM variants GROUP BY 1,2")
-def agg1_length_histogram(variants):
-    return statistics.histogram(variants, ["svtype"], statistics.length_bin(F.col("len")))
+@query("variants repeats segdups", f"WITH {RB}, {FIRST} SELECT svtype, ctx, least(CAST(floor((len-50)/50.0) AS BIGINT),19999) AS bin, count(*) AS n FROM variants v JOIN c1 ON v.variant_id=c1.variant_id GROUP BY 1,2,3")
+def agg1_length_histogram(variants, repeats, segdups):
+    """AGG1: lengths by type and context of the first breakpoint."""
+    v = variants.join(first_context(variants, repeats, segdups), "variant_id")
+    return statistics.histogram(v, ["svtype", "ctx"], statistics.length_bin(F.col("len")))
 
 
 @query("variants", "SELECT svtype, chrom, CAST(floor(pos/100000) AS BIGINT) AS bin, count(*) AS n FROM variants GROUP BY 1,2,3")
@@ -22,34 +25,47 @@ def agg2_position_histogram(variants):
     return statistics.histogram(variants, ["svtype", "chrom"], F.floor(F.col("pos") / 100_000))
 
 
-@query("variants", "SELECT svtype, evidence, count(*) AS n, count(*)/sum(count(*)) OVER () AS p_all, count(*)/sum(count(*)) OVER (PARTITION BY svtype) AS p_in_type FROM variants GROUP BY 1,2")
-def agg3_marginals(variants):
-    """AGG3: joint and conditional probabilities."""
-    n = variants.groupBy("svtype", "evidence").agg(F.count(F.lit(1)).alias("n"))
+@query("variants repeats segdups", f"WITH {RB}, {FIRST} SELECT svtype, ctx, count(*) AS n, count(*)/sum(count(*)) OVER () AS p_all, count(*)/sum(count(*)) OVER (PARTITION BY svtype) AS p_in_type FROM variants v JOIN c1 ON v.variant_id=c1.variant_id GROUP BY 1,2")
+def agg3_marginals(variants, repeats, segdups):
+    """AGG3: joint and conditional probabilities of type and context."""
+    n = variants.join(first_context(variants, repeats, segdups), "variant_id").groupBy("svtype", "ctx").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("p_all", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).withColumn("p_in_type", F.col("n") / F.sum("n").over(Window.partitionBy("svtype")))
 
 
-@query("variants", """
-WITH e AS (SELECT svtype, min(af) AS lo, max(af) AS hi, count(*) AS total FROM variants GROUP BY 1), x AS (SELECT v.svtype, lo, hi, total, CAST(least(floor((af-lo)/((hi-lo)/9999)),9998) AS BIGINT) AS bin FROM variants v JOIN e ON v.svtype=e.svtype)
-SELECT svtype, lo, hi, bin, count(*) AS n, count(*)/total AS p FROM x GROUP BY svtype, lo, hi, total, bin""")
+_AFS = "(SELECT svtype, 'p0' AS population, af FROM variants UNION ALL SELECT svtype, 'p1', (variant_id*7%1000)/1000.0::DOUBLE FROM variants UNION ALL SELECT svtype, 'p2', (variant_id*13%1000)/1000.0::DOUBLE FROM variants) pv"
+
+
+def _by_population(variants):
+    """Frequencies of three populations: the view's own, and two made of ids."""
+    af = [F.col("af"), *[(F.col("variant_id") * k % 1000) / F.lit(1000.0) for k in (7, 13)]]
+    return variants.withColumn("afs", F.array(*[F.struct(F.lit(f"p{i}").alias("population"), x.alias("af")) for i, x in enumerate(af)])).drop("af")
+
+
+@query("variants", f"""
+WITH e AS (SELECT svtype, population, min(af) AS lo, max(af) AS hi, count(*) AS total FROM {_AFS} GROUP BY 1,2), x AS (SELECT v.svtype, v.population, lo, hi, total, CAST(least(floor((af-lo)/((hi-lo)/9999)),9998) AS BIGINT) AS bin FROM {_AFS.replace(") pv", ") v")} JOIN e ON v.svtype=e.svtype AND v.population=e.population)
+SELECT svtype, population, lo, hi, bin, count(*) AS n, count(*)/total AS p FROM x GROUP BY svtype, population, lo, hi, total, bin""")
 def agg4_frequency_histogram(variants):
-    return statistics.equal_width(variants, ["svtype"], "af", 9999)
+    """AGG4: frequencies by type and population."""
+    v = _by_population(variants).select("svtype", F.explode("afs").alias("a")).select("svtype", "a.*")
+    return statistics.equal_width(v, ["svtype", "population"], "af", 9999)
 
 
-@query("variants", "SELECT count(CASE WHEN chrom='chr1' THEN 1 END) AS on_chr1, count(CASE WHEN af>=0.01 THEN 1 END) AS frequent, count(CASE WHEN chrom='chr1' AND af>=0.01 THEN 1 END) AS both FROM variants")
+@query("variants", "WITH x AS (SELECT chrom, greatest(af, (variant_id*7%1000)/1000.0::DOUBLE, (variant_id*13%1000)/1000.0::DOUBLE) AS af FROM variants) SELECT count(CASE WHEN chrom='chr1' THEN 1 END) AS on_chr1, count(CASE WHEN af>=0.5 THEN 1 END) AS frequent, count(CASE WHEN chrom='chr1' AND af>=0.5 THEN 1 END) AS both FROM x")
 def agg5_frequent_counters(variants):
-    one, often = F.col("chrom") == "chr1", F.col("af") >= 0.01
-    return variants.agg(F.count_if(one).alias("on_chr1"), F.count_if(often).alias("frequent"), F.count_if(one & often).alias("both"))
+    """AGG5: by the greatest frequency of all populations."""
+    v = _by_population(variants)
+    one, often = F.col("chrom") == "chr1", F.array_max(F.transform("afs", lambda a: a["af"])) >= 0.5
+    return v.agg(F.count_if(one).alias("on_chr1"), F.count_if(often).alias("frequent"), F.count_if(one & often).alias("both"))
 
 
-@query("variants", """
-WITH x AS (SELECT CAST(floor((log10(af)+4.5)/0.045) AS BIGINT) AS bin, evidence FROM variants WHERE af>0 UNION ALL SELECT CAST(floor((log10(af)+4.5)/0.045) AS BIGINT), evidence FROM variants WHERE af>0 AND svtype<>'INS')
-SELECT bin, count(CASE WHEN evidence='SR' THEN 1 END) AS "SR", count(CASE WHEN evidence='PE' THEN 1 END) AS "PE", count(CASE WHEN evidence='RD' THEN 1 END) AS "RD" FROM x GROUP BY bin""")
-def agg6_frequency_by_context(variants):
-    """AGG6: both breakpoints, log bins, pivoted."""
-    v = variants.where("af > 0").select(F.floor((F.log10("af") + 4.5) / 0.045).alias("bin"), "evidence", "svtype")
-    both = v.unionByName(v.where("svtype <> 'INS'"))
-    return both.groupBy("bin").agg(*[F.count_if(F.col("evidence") == e).alias(e) for e in ("SR", "PE", "RD")])
+@query("variants repeats segdups", f"""
+WITH {RB}, {FIRST}, {SECOND}, x AS (SELECT af, ctx FROM variants v JOIN c1 ON v.variant_id=c1.variant_id UNION ALL SELECT af, ctx FROM variants v JOIN c2 ON v.variant_id=c2.variant_id)
+SELECT CAST(floor((log10(af)+4.5)/0.045) AS BIGINT) AS bin, {", ".join(f'count(CASE WHEN ctx={k} THEN 1 END) AS "ctx{k}"' for k in range(5))} FROM x WHERE af>0 GROUP BY 1""")
+def agg6_frequency_by_context(variants, repeats, segdups):
+    """AGG6: both breakpoints, log bins, one column a context."""
+    both = first_context(variants, repeats, segdups).unionByName(second_context(variants, repeats, segdups))
+    v = variants.where("af > 0").select("variant_id", F.floor((F.log10("af") + 4.5) / 0.045).alias("bin")).join(both, "variant_id")
+    return v.groupBy("bin").agg(*[F.count_if(F.col("ctx") == k).alias(f"ctx{k}") for k in range(5)])
 
 
 @query("genotypes", "SELECT variant_id, count(*) AS n, count(*)/64.0::DOUBLE AS af FROM genotypes GROUP BY 1")
@@ -113,21 +129,13 @@ def agg16_annotation_totals(repeats):
     return repeats.groupBy("chrom").agg(F.sum(F.col("rend") - F.col("rstart") + 1).alias("bp"), (F.count_if(F.col("is_sat") == 1) * 100.0 / F.count(F.lit(1))).alias("satellites"))
 
 
-@query("variants repeats", """
-WITH s AS (SELECT DISTINCT variant_id, chrom, pos AS first, pos+len-1 AS last FROM variants WHERE svtype='DEL' AND chrom='chr3'), c AS (SELECT variant_id, last-first+1 AS len, greatest(first,rstart) AS a, least(last,rend) AS b FROM s JOIN repeats r ON s.chrom=r.chrom AND rstart<=last AND rend>=first),
- m AS (SELECT *, max(b) OVER (PARTITION BY variant_id ORDER BY a,b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c)
-SELECT variant_id, CAST(sum(greatest(0,b-greatest(a,coalesce(e,-1)+1)+1)) AS BIGINT) AS covered, round_even(sum(greatest(0,b-greatest(a,coalesce(e,-1)+1)+1))/max(len),4) AS fraction FROM m GROUP BY 1""")
+@query("variants repeats", f"""
+WITH {RB_ALONE}, s AS (SELECT DISTINCT variant_id, chrom, svtype, pos AS first, CASE WHEN svtype='INS' THEN pos ELSE pos+len-1 END AS last FROM variants), y AS (SELECT *, unnest(range(CAST(floor(first/4096.0) AS BIGINT), CAST(floor(last/4096.0) AS BIGINT)+1)) AS b FROM s WHERE svtype<>'INS'),
+ c AS (SELECT DISTINCT variant_id, greatest(first,rstart) AS a, least(last,rend) AS z FROM y JOIN rb ON y.chrom=rb.chrom AND y.b=rb.b WHERE rstart<=last AND rend>=first),
+ m AS (SELECT *, max(z) OVER (PARTITION BY variant_id ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c), f AS (SELECT variant_id, CAST(sum(greatest(0,z-greatest(a,coalesce(e,-1)+1)+1)) AS BIGINT) AS covered FROM m GROUP BY 1)
+SELECT s.variant_id, svtype, coalesce(covered,0) AS covered, round_even(coalesce(covered,0)/(last-first+1),4) AS fraction FROM s LEFT JOIN f ON s.variant_id=f.variant_id""")
 def agg17_to_19_repeat_fraction(variants, repeats):
-    """AGG17-19, SNK5: bases of a variant under merged repeats, and their fraction to four decimals."""
-    s = spanned(variants.where("svtype = 'DEL' and chrom = 'chr3'")).select("variant_id", "chrom", "first", "last").distinct()
-    met = intervals.clipped_overlaps(s, repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
-    c = intervals.covered(met.withColumn("len", F.col("last") - F.col("first") + 1), ["variant_id", "len"], "from_pos", "to_pos")
-    return c.select("variant_id", "covered", F.bround(F.col("covered") / F.col("len"), 4).alias("fraction"))
-
-
-@query("variants repeats")
-def agg17_to_19_every_fraction(variants, repeats):
-    """AGG17-19, SNK5: the same for every variant of every chromosome. One that meets no repeat has 0, and so has an insertion, which spans nothing."""
+    """AGG17-19, SNK5: bases of a variant under merged repeats, and their fraction to four decimals. One that meets no repeat has 0, and so has an insertion, which spans nothing."""
     s = spanned(variants).select("variant_id", "chrom", "svtype", "first", "last").distinct()
     met = intervals.clipped_overlaps(s.where("svtype <> 'INS'"), repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
     keys = ["variant_id", "chrom", "svtype", "first", "last"]
@@ -141,11 +149,13 @@ def agg20_ana6_series_totals(reads):
     return x.groupBy("flowcell").agg(F.sum("n").alias("total"), (100.0 * (F.max("n") - F.min("n")) / F.min("n")).alias("delta"))
 
 
-@query("calls", "WITH x AS (SELECT svtype, count(*) AS n, count(CASE WHEN caller='pbsv' THEN 1 END) AS tp, count(CASE WHEN caller='pbsv' AND call_id%2=0 THEN 1 END) AS gt FROM calls GROUP BY 1) SELECT svtype, tp/n AS recall, tp/(tp/n) AS n_true, gt/tp AS concordance, gt/n AS exact_recall FROM x")
-def agg21_ana5_concordance(calls):
-    x = calls.groupBy("svtype").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("caller") == "pbsv").alias("tp"), F.count_if((F.col("caller") == "pbsv") & (F.col("call_id") % 2 == 0)).alias("gt"))
-    r = F.col("tp") / F.col("n")
-    return x.select("svtype", r.alias("recall"), (F.col("tp") / r).alias("n_true"), (F.col("gt") / F.col("tp")).alias("concordance"), (F.col("gt") / F.col("n")).alias("exact_recall"))
+@query("truth calls", f"""
+WITH {_PAIRS}, {_BEST}, x AS (SELECT t.svtype, b.caller, count(*) AS tp, count(CASE WHEN t.variant_id%3=abs(b.call_id)%7%3 THEN 1 END) AS gt FROM b JOIN truth t ON b.variant_id=t.variant_id GROUP BY 1,2), n AS (SELECT svtype, count(*) AS n FROM truth GROUP BY 1)
+SELECT x.svtype, caller, tp, tp/n AS recall, tp/(tp/n) AS n_true, gt/tp AS concordance, gt/n AS exact_recall FROM x JOIN n ON x.svtype=n.svtype""")
+def agg21_ana5_concordance(truth, calls):
+    """AGG21, AGG10, ANA5: matches of each type and caller, and those of equal genotype."""
+    t = truth.withColumn("t_gt", F.col("variant_id") % 3)
+    return matching.genotype_concordance(t, calls.withColumn("gt", F.abs("call_id") % 7 % 3), ["svtype", "caller"])
 
 
 # --- ordered operators -----------------------------------------------------------
@@ -204,27 +214,21 @@ def win7_first_minimum(reads):
 
 @query("reads", "WITH o AS (SELECT read_id,len,sum(len) OVER (ORDER BY read_id%97,read_id ROWS UNBOUNDED PRECEDING) AS cum FROM reads) SELECT read_id, len, CAST(cum AS BIGINT) AS cum FROM o WHERE cum-len<500000")
 def win9_coverage_cut(reads):
-    return sampling.take_until(reads, [F.col("read_id") % 97, F.col("read_id")], "len", 500_000).select("read_id", "len", "cum")
+    """WIN9: reads until a coverage; sums go by ranges of the order, not by one task."""
+    bucket = F.struct(F.col("read_id") % 97, F.floor(F.col("read_id") / 65536))
+    return sampling.take_until(reads, [F.col("read_id") % 97, F.col("read_id")], "len", 500_000, bucket=bucket).select("read_id", "len", "cum")
 
 
 @query("reads", "WITH x AS (SELECT read_id, least(CAST(floor(len/500.0) AS BIGINT),69) AS bin, row_number() OVER (PARTITION BY least(CAST(floor(len/500.0) AS BIGINT),69) ORDER BY read_id) AS k FROM reads) SELECT read_id, bin, k FROM x WHERE k<=3+bin%5")
 def win10_first_k(reads):
-    """WIN10: as many reads of a bin as its cap."""
-    b = F.least(F.floor(F.col("len") / 500), F.lit(69))
-    return reads.withColumn("bin", b).withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("read_id")).cast("long")).where("k <= 3 + bin % 5").select("read_id", "bin", "k")
-
-
-@query("variants", "SELECT chrom, pos, concat(svtype, CASE WHEN k=1 THEN '' ELSE concat('.', CAST(k AS VARCHAR)) END) AS id FROM (SELECT chrom, pos, svtype, row_number() OVER (PARTITION BY chrom, svtype ORDER BY pos, variant_id) AS k FROM variants WHERE chrom IN ('chr2','chr5')) x")
-def win12_versioned_ids(variants):
-    """WIN12: repeats of an id get a suffix."""
-    k = F.row_number().over(Window.partitionBy("chrom", "svtype").orderBy("pos", "variant_id"))
-    v = variants.where(F.col("chrom").isin("chr2", "chr5")).withColumn("k", k)
-    return v.select("chrom", "pos", F.concat("svtype", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("."), F.col("k").cast("string")))).alias("id"))
+    """WIN10: as many reads of a bin as its cap; ranks go by ranges of ids."""
+    b = reads.withColumn("bin", F.least(F.floor(F.col("len") / 500), F.lit(69)))
+    return sampling.ranks(b, ["bin"], F.floor(F.col("read_id") / 65536), ["read_id"], "k").where("k <= 3 + bin % 5").select("read_id", "bin", F.col("k").cast("long").alias("k"))
 
 
 @query("variants", "SELECT chrom, pos, concat(svtype, CASE WHEN k=1 THEN '' ELSE concat('.', CAST(k AS VARCHAR)) END) AS id FROM (SELECT chrom, pos, svtype, row_number() OVER (PARTITION BY chrom, svtype ORDER BY pos, variant_id) AS k FROM variants) x")
-def win12_every_versioned_id(variants):
-    """WIN12: the same on every chromosome, ranked by ranges of 1024 bases."""
+def win12_versioned_ids(variants):
+    """WIN12: repeats of an id get a suffix; ranked by ranges of 1024 bases."""
     v = sampling.ranks(variants, ["chrom", "svtype"], F.floor(F.col("pos") / 1024), ["pos", "variant_id"], "k")
     return v.select("chrom", "pos", F.concat("svtype", F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("."), F.col("k").cast("string")))).alias("id"))
 
@@ -327,7 +331,7 @@ def _lengths(df):
 WITH {_LEN}, m AS (SELECT *,max(send) OVER (PARTITION BY chrom ORDER BY sstart,send ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pend FROM segdups), i AS (SELECT chrom, coalesce(pend,-1)+1 AS from_pos, sstart-1 AS to_pos FROM m UNION ALL SELECT s.chrom, max(send)+1, max(length)-1 FROM segdups s JOIN n ON s.chrom=n.chrom GROUP BY s.chrom)
 SELECT * FROM i WHERE from_pos<=to_pos""")
 def set3_complement(segdups):
-    m = intervals.merge(segdups, ["chrom"], "sstart", "send", 0, tile=None)
+    m = intervals.merge(segdups, ["chrom"], "sstart", "send", 0, tile=1 << 18)
     return intervals.complement(m, _lengths(segdups), "chrom", "sstart", "send")
 
 
@@ -337,15 +341,16 @@ def set4_intersection(variants, genotypes):
 
 
 @query("repeats segdups", f"""
-WITH {_LEN}, x AS (SELECT chrom, greatest(rstart-25,0) AS s, rend+26 AS e, is_sat AS k FROM repeats WHERE chrom IN (SELECT chrom FROM segdups) UNION ALL SELECT chrom, greatest(sstart-25,0), send+26, 3 FROM segdups),
+WITH {_LEN}, x AS (SELECT chrom, greatest(rstart-25,0) AS s, rend+26 AS e, is_sat AS k FROM repeats WHERE chrom IN (SELECT chrom FROM segdups) UNION ALL SELECT chrom, greatest(sstart-25,0), send+26, 3 FROM segdups UNION ALL SELECT chrom, sstart, sstart+100, 5 FROM segdups WHERE sstart%7=0),
  ev AS (SELECT chrom, s AS p, k, 1 AS d FROM x UNION ALL SELECT chrom, e, k, -1 FROM x UNION ALL SELECT chrom, 0, 4, 0 FROM n UNION ALL SELECT chrom, length, 4, 0 FROM n),
- q AS (SELECT chrom, p, sum(CASE WHEN k=0 THEN d ELSE 0 END) AS a, sum(CASE WHEN k=1 THEN d ELSE 0 END) AS b, sum(CASE WHEN k=3 THEN d ELSE 0 END) AS c FROM ev GROUP BY 1,2),
- r AS (SELECT chrom, p, lead(p) OVER w - p AS n, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(c) OVER w AS c FROM q WINDOW w AS (PARTITION BY chrom ORDER BY p))
-SELECT chrom, CAST(CASE WHEN a>0 AND b>0 THEN 2 WHEN b>0 THEN 1 WHEN a>0 THEN 0 WHEN c>0 THEN 3 ELSE 4 END AS INTEGER) AS ctx, CAST(sum(n) AS BIGINT) AS bases FROM r WHERE n IS NOT NULL GROUP BY 1,2""")
+ q AS (SELECT chrom, p, sum(CASE WHEN k=0 THEN d ELSE 0 END) AS a, sum(CASE WHEN k=1 THEN d ELSE 0 END) AS b, sum(CASE WHEN k=3 THEN d ELSE 0 END) AS c, sum(CASE WHEN k=5 THEN d ELSE 0 END) AS u FROM ev GROUP BY 1,2),
+ r AS (SELECT chrom, p, lead(p) OVER w - p AS n, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(c) OVER w AS c, sum(u) OVER w AS u FROM q WINDOW w AS (PARTITION BY chrom ORDER BY p))
+SELECT chrom, CAST(CASE WHEN a>0 AND b>0 THEN 2 WHEN b>0 THEN 1 WHEN a>0 THEN 0 WHEN c>0 THEN 3 ELSE 4 END AS INTEGER) AS ctx, CAST(sum(n) AS BIGINT) AS bases FROM r WHERE n IS NOT NULL AND u=0 GROUP BY 1,2""")
 def set5_context_partition(repeats, segdups):
-    """SET5: every base in one class; bases per class."""
+    """SET5, FLT8: every known base in one class; bases per class. Some hundreds of bases are taken as unknown letters."""
     lengths = _lengths(segdups)
-    parts = intervals.context_partition(repeats, segdups, lengths)
+    unknown = segdups.where("sstart % 7 = 0").select("chrom", F.col("sstart").alias("ustart"), (F.col("sstart") + 99).alias("uend"))
+    parts = intervals.context_partition(repeats, segdups, lengths, unknown=unknown)
     return parts.groupBy("chrom", "ctx").agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("bases"))
 
 
@@ -441,15 +446,34 @@ def fn22_arm_projection(variants):
 # --- sinks and reports -----------------------------------------------------------------
 
 
-@query("truth genotypes", """
-WITH g AS (SELECT variant_id AS k, string_agg(CAST(haplotype_id AS VARCHAR), ',' ORDER BY haplotype_id) AS haps FROM genotypes GROUP BY 1), t AS (SELECT *, variant_id%977 AS k FROM truth)
-SELECT t.variant_id, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), CAST(variant_id AS VARCHAR), 'N', concat('<',svtype,'>'), '.', 'PASS', concat('SVTYPE=',svtype, CASE WHEN svtype IN ('DEL','INS') THEN concat(';SVLEN=',CASE WHEN svtype='DEL' THEN '-' ELSE '' END,CAST(len AS VARCHAR)) ELSE '' END, ';END=',CAST(CASE WHEN svtype='INS' THEN pos ELSE pos+len END AS VARCHAR),';HAPLOTYPES=',haps)) AS line FROM t JOIN g ON t.k=g.k""")
+_AT = "substr('ACGT', CAST(({0})%4+1 AS INTEGER), 1)"
+
+
+@query("truth genotypes", f"""
+WITH g AS (SELECT variant_id AS k, string_agg(CAST(haplotype_id AS VARCHAR), ',' ORDER BY haplotype_id) AS haps FROM genotypes GROUP BY 1), t AS (SELECT *, variant_id%977 AS k FROM truth WHERE pos>0)
+SELECT t.variant_id, concat_ws(chr(9), chrom, CAST(CASE WHEN svtype='DEL' THEN pos ELSE pos+1 END AS VARCHAR), CAST(variant_id AS VARCHAR), CASE WHEN svtype='DEL' THEN substr(repeat('ACGT',1300),CAST((pos-1)%4+1 AS INTEGER),CAST(len+1 AS INTEGER)) ELSE {_AT.format("pos")} END,
+ CASE svtype WHEN 'DEL' THEN {_AT.format("pos-1")} WHEN 'INS' THEN concat({_AT.format("pos")}, repeat('T',CAST(len AS INTEGER))) ELSE concat('<',svtype,'>') END, '.', 'PASS',
+ concat('END=',CAST(CASE WHEN svtype='INS' THEN pos+1 ELSE pos+len END AS VARCHAR), CASE WHEN svtype IN ('DEL','INS') THEN concat(';SVLEN=',CASE WHEN svtype='DEL' THEN '-' ELSE '' END,CAST(len AS VARCHAR)) ELSE '' END, ';SVTYPE=',svtype,';HAPLOTYPES=',haps)) AS line FROM t JOIN g ON t.k=g.k""")
 def snk1_snk4_joint_vcf(truth, genotypes):
-    """SNK1, SNK4: joint VCF records of active variants with their haplotypes."""
+    """SNK1, SNK4: joint VCF records of active variants with their haplotypes, over a reference that repeats ACGT."""
     haps = genotypes.groupBy(F.col("variant_id").alias("k")).agg(F.sort_array(F.collect_list("haplotype_id")).alias("h"))
     from ..sources.sinks import vcf_record
 
-    return truth.withColumn("k", F.col("variant_id") % 977).join(haps, "k").select("variant_id", vcf_record([("HAPLOTYPES", F.concat_ws(",", F.transform("h", lambda x: x.cast("string"))))]).alias("line"))
+    at = lambda p: F.lit("ACGT").substr((p % 4 + 1).cast("int"), F.lit(1))
+    span = F.repeat(F.lit("ACGT"), 1300).substr((F.col("pos") % 4 + 1).cast("int"), F.col("len").cast("int"))
+    line = vcf_record(at(F.col("pos")), at(F.col("pos") - 1), span, F.repeat(F.lit("T"), F.col("len").cast("int")), [("HAPLOTYPES", F.concat_ws(",", F.transform("h", lambda x: x.cast("string"))))])
+    return truth.where("pos > 0").withColumn("k", F.col("variant_id") % 977).join(haps, "k").select("variant_id", line.alias("line"))
+
+
+@query("vcf_lines", """
+WITH p AS (SELECT line, string_split(line, chr(9)) AS f FROM vcf_lines)
+SELECT concat_ws(chr(9), f[1], f[2], f[3], f[4], f[5], f[6], f[7], concat(f[8], ';REPEATS_START=', CAST(CAST(f[2] AS BIGINT)%5 AS VARCHAR), CASE WHEN f[5]='<INS>' THEN '' ELSE ';REPEATS_END=1' END)) AS line FROM p""")
+def snk5_added_info(vcf_lines):
+    """SNK5: keys added to INFO."""
+    from ..sources.sinks import add_info
+
+    p = F.split("line", "\t")
+    return vcf_lines.select(add_info(F.col("line"), [("REPEATS_START", p[1].cast("long") % 5), ("REPEATS_END", F.when(p[4] != "<INS>", 1))]).alias("line"))
 
 
 @query("calls", "SELECT caller, svtype, count(*) AS value, CAST(floor(min(len)/100) AS BIGINT)*100 AS sv_length FROM calls GROUP BY 1,2")
@@ -465,7 +489,7 @@ def ana1_unpivot(reads):
     """ANA1, ANA2: matrix rows to a long table."""
     m = reads.groupBy("flowcell").agg(F.concat_ws(",", F.lit("10000"), F.lit("8"), F.min("len").cast("string"), F.max("len").cast("string")).alias("row"))
     p = F.split("row", ",")
-    return m.select("flowcell", p[0].cast("int").alias("read_length"), p[1].cast("int").alias("coverage"), F.posexplode(F.slice(p, 3, 1000)).alias("place", "v")).select("flowcell", "read_length", "coverage", "place", F.col("v").cast("double").alias("value"))
+    return m.select("flowcell", p[0].cast("int").alias("read_length"), p[1].cast("int").alias("coverage"), F.posexplode(F.slice(p, F.lit(3), F.size(p))).alias("place", "v")).select("flowcell", "read_length", "coverage", "place", F.col("v").cast("double").alias("value"))
 
 
 @query("variants", "SELECT chrom, count(CASE WHEN svtype='DEL' THEN 1 END) AS \"DEL\", count(CASE WHEN svtype='DUP' THEN 1 END) AS \"DUP\", count(CASE WHEN svtype='INS' THEN 1 END) AS \"INS\", count(CASE WHEN svtype='INV' THEN 1 END) AS \"INV\" FROM variants GROUP BY 1")
@@ -488,15 +512,15 @@ def ana4_recall_sweep(truth, calls):
 
 
 def _model(variants, repeats, segdups):
-    """Tables of an empirical model: types, lengths, frequencies, positions."""
-    v = variants.withColumn("ctx", F.lit(4))
+    """Tables of an empirical model, by the context of the first breakpoint: types, lengths, frequencies, positions."""
+    v = variants.join(first_context(variants, repeats, segdups), "variant_id")
     every = statistics.distribution(v.groupBy("svtype", "ctx").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.struct("svtype", "ctx")), []).select("svtype", "ctx", "cum")
     lengths = statistics.distribution(statistics.histogram(v, ["svtype", "ctx"], statistics.length_bin(F.col("len"))), ["svtype", "ctx"]).select("svtype", "ctx", "bin", "cum")
     afs = statistics.equal_width(v, ["svtype"], "af", 100).withColumn("q", (F.col("hi") - F.col("lo")) / 100)
     afs = statistics.distribution(afs, ["svtype"]).select("svtype", "bin", "lo", "q", "cum")
-    lengths_of = segdups.where("chrom = 'chr1'").select("chrom").distinct().withColumn("length", F.lit(2_010_000).cast("long"))
-    parts = intervals.context_partition(repeats.where("chrom = 'chr1'"), segdups.where("chrom = 'chr1'"), lengths_of).select("ctx", "from_pos", "to_pos")
-    return every, lengths, afs, parts
+    parts = intervals.context_partition(repeats, segdups, _lengths(segdups)).select("chrom", "ctx", "from_pos", "to_pos")
+    # The model is small and used several times.
+    return [materialize(t, "model") for t in (every, lengths, afs, parts)]
 
 
 @query("variants repeats segdups")
@@ -508,7 +532,7 @@ def sim1_sim2_sample_variants(variants, repeats, segdups):
 @query("variants")
 def sim3_carriers(variants):
     """SIM3: Bernoulli draws per haplotype."""
-    v = variants.where("chrom = 'chr1'").select("variant_id", (F.col("af") / 10).alias("af")).distinct()
+    v = variants.select("variant_id", (F.col("af") / 10).alias("af")).distinct()
     return sampling.carriers(v, 16)
 
 
@@ -601,7 +625,7 @@ def win3_compaction(repeats):
     """WIN3: fold of neighbouring annotations of one repeat."""
     from ..operators import annotations
 
-    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), (F.col("rstart") % 500).alias("rep_start"), (F.col("rstart") % 500 + F.col("rend") - F.col("rstart")).alias("rep_end"), (F.col("rstart") % 3 != 0).alias("fwd"), F.concat(F.lit("r"), (F.col("rstart") % 2).cast("string")).alias("repeat"), F.lit("f").alias("family"))
+    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), (F.col("rstart") % 500).alias("rep_start"), (F.col("rstart") % 500 + F.col("rend") - F.col("rstart")).alias("rep_end"), (F.col("rstart") % 3 != 0).alias("fwd"), (F.col("is_sat") == 1).alias("is_sat"), F.concat(F.lit("r"), (F.col("rstart") % 2).cast("string")).alias("repeat"), F.lit("f").alias("family"))
     return annotations.compact(r)
 
 
@@ -610,7 +634,8 @@ def win4_with_tandem(repeats, segdups):
     """WIN4: repeats and tandem repeats in one list."""
     from ..operators import annotations
 
-    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), F.lit("alu").alias("repeat"))
+    zero = F.lit(0).cast("long")
+    r = repeats.select("chrom", F.col("rstart").alias("start"), F.col("rend").alias("end"), zero.alias("rep_start"), (F.col("rend") - F.col("rstart")).alias("rep_end"), F.lit(True).alias("fwd"), (F.col("is_sat") == 1).alias("is_sat"), F.lit("alu").alias("repeat"), F.lit("f").alias("family"))
     return annotations.with_tandem(r, segdups.select("chrom", F.col("sstart").alias("start"), F.col("send").alias("end")))
 
 

@@ -5,40 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Header lines of a truth VCF.
-VCF_HEADER = [
-    "##fileformat=VCFv4.2",
-    '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
-    '##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Difference in length between REF and ALT">',
-    '##INFO=<ID=END,Number=1,Type=Integer,Description="End position">',
-    '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">',
-    '##INFO=<ID=REPEATS_START,Number=1,Type=Integer,Description="Repeat context of the first breakpoint">',
-    '##INFO=<ID=REPEATS_END,Number=1,Type=Integer,Description="Repeat context of the last breakpoint">',
-    '##INFO=<ID=REPEATS_FRACTION,Number=1,Type=Float,Description="Fraction of the variant covered by repeats">',
-]
-
-
-def vcf_record(more: list[tuple[str, Column]] | None = None, genotype: Column | None = None) -> Column:
-    """One line from chrom, pos, variant_id, svtype, len: signed SVLEN for DEL and INS only, END for all."""
-    n = F.col("len").cast("string")
-    signed = F.when(F.col("svtype") == "DEL", F.concat(F.lit("-"), n)).when(F.col("svtype") == "INS", n)
-    end = F.when(F.col("svtype") == "INS", F.col("pos")).otherwise(F.col("pos") + F.col("len"))
-    fields = [("SVTYPE", F.col("svtype")), ("SVLEN", signed), ("END", end.cast("string")), *(more or [])]
-    info = F.concat_ws(";", *[F.concat(F.lit(k + "="), v) for k, v in fields])
-    columns = [F.col("chrom"), F.col("pos").cast("string"), F.col("variant_id").cast("string"), F.lit("N"), F.concat(F.lit("<"), "svtype", F.lit(">")), F.lit("."), F.lit("PASS"), info]
+#: Ids, numbers and types of the header of a truth VCF; descriptions are ours.
+VCF_FIELDS = {
+    "ALT": {"INS": "Inserted sequence", "DEL": "Deleted sequence", "DUP": "Copied sequence", "INV": "Inverted sequence"},
+    "FILTER": {"PASS": "Nothing against it"},
+    "INFO": {
+        "END": ("1", "Integer", "Last base of the variant"),
+        "SVTYPE": ("1", "String", "Kind of variant"),
+        "SVLEN": ("1", "Integer", "Bases gained or lost"),
+        "AF": ("1", "Float", "Share of haplotypes that carry it"),
+        "REPEATS_START": ("1", "Integer", "Context of the first breakpoint"),
+        "REPEATS_END": ("1", "Integer", "Context of the last breakpoint"),
+        "REPEATS_FRACTION": ("1", "Float", "Share of its bases under repeats"),
+    },
+    "FORMAT": {"GT": ("1", "String", "Phased alleles")},
+}
+
+
+def vcf_record(base: Column, before: Column, span: Column, inserted: Column, more: list[tuple[str, Column]] | None = None, genotype: Column | None = None) -> Column:
+    """One line from chrom, 0-based pos, variant_id, svtype, len and letters of the reference: at pos, before it, and from pos over len.
+
+    A deletion starts at the base before it and spells REF; an insertion goes after the
+    base at pos and spells ALT; others are symbolic. ``more``: INFO keys after SVTYPE.
+    """
+    one, n = F.col("pos") + 1, F.col("len").cast("string")
+    sv = F.col("svtype")
+    gone, added = sv == "DEL", sv == "INS"
+    pos = F.when(gone, F.col("pos")).otherwise(one)
+    ref = F.when(gone, F.concat(before, span)).otherwise(base)
+    alt = F.when(gone, before).when(added, F.concat(base, inserted)).otherwise(F.concat(F.lit("<"), sv, F.lit(">")))
+    fields = [("END", F.when(added, one).otherwise(F.col("pos") + F.col("len"))), ("SVLEN", F.when(gone, F.concat(F.lit("-"), n)).when(added, n)), ("SVTYPE", sv), *(more or [])]
+    info = F.concat_ws(";", *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in fields])
+    columns = [F.col("chrom"), pos.cast("string"), F.col("variant_id").cast("string"), ref, alt, F.lit("."), F.lit("PASS"), info]
     return F.concat_ws("\t", *columns, *([F.lit("GT"), genotype] if genotype is not None else []))
 
 
-def vcf_header(sample: str | None = None) -> str:
+def add_info(line: Column, fields: list[tuple[str, Column]]) -> Column:
+    """A VCF line with keys added at the end of INFO; null values add nothing."""
+    p = F.split(line, "\t")
+    info = F.concat_ws(";", p[7], *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in fields])
+    return F.concat_ws("\t", F.slice(p, 1, 7), info, F.slice(p, 9, F.greatest(F.size(p) - 8, F.lit(0))))
+
+
+def vcf_header(sample: str | None = None, contigs: dict[str, int] | None = None) -> str:
+    out = ["##fileformat=VCFv4.2", *[f"##contig=<ID={c},length={n}>" for c, n in (contigs or {}).items()]]
+    for kind, fields in VCF_FIELDS.items():
+        for name, value in fields.items():
+            number = "" if isinstance(value, str) else f"Number={value[0]},Type={value[1]},"
+            out.append(f'##{kind}=<ID={name},{number}Description="{value if isinstance(value, str) else value[2]}">')
     names = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO" + (f"\tFORMAT\t{sample}" if sample else "")
-    return "\n".join([*VCF_HEADER, names])
+    return "\n".join([*out, names])
+
 
+def with_filters(header: str, filters: list[str]) -> str:
+    """A header with a FILTER line for each filter that it lacks, before the line of column names."""
+    lines = header.split("\n")
+    new = [f'##FILTER=<ID={f},Description="Set by a caller">' for f in filters if not any(x.startswith(f"##FILTER=<ID={f},") for x in lines)]
+    return "\n".join([*lines[:-1], *new, lines[-1]])
 
-def write_vcf(records: DataFrame, path: str, line: str = "line") -> None:
+
+def write_vcf(records: DataFrame, path: str, line: str = "line", contigs: dict[str, int] | None = None) -> None:
     """Sorted parts, ``part-*``, and the header beside them in ``header``."""
     spark = records.sparkSession
     records.sort("chrom", "pos").select(line).write.mode("overwrite").text(f"{path}/records")
-    spark.createDataFrame([(vcf_header(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    spark.createDataFrame([(vcf_header(contigs=contigs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def write_population(carriers: DataFrame, variants: DataFrame, path: str) -> None:
+    """A simulated population: which haplotype carries which variant, in order, and the variants with all their columns."""
+    carriers.select("haplotype_id", "variant_id").repartitionByRange("haplotype_id", "variant_id").sortWithinPartitions("haplotype_id", "variant_id").write.mode("overwrite").parquet(f"{path}/carriers")
+    variants.repartitionByRange("variant_id").sortWithinPartitions("variant_id").write.mode("overwrite").parquet(f"{path}/variants")
 
 
 def write_individuals(records: DataFrame, path: str) -> None:

@@ -62,8 +62,8 @@ def test_types_and_sequences(spark):
 
 def test_record_formats(spark):
     df = spark.createDataFrame([("chr1", 10, i, t, 5) for i, t in enumerate(("DEL", "INS", "DUP", "INV"))], "chrom string, pos long, variant_id long, svtype string, len long")
-    info = [r[0].split("\t")[7] for r in df.orderBy("variant_id").select(sinks.vcf_record()).collect()]
-    assert info == ["SVTYPE=DEL;SVLEN=-5;END=15", "SVTYPE=INS;SVLEN=5;END=10", "SVTYPE=DUP;END=15", "SVTYPE=INV;END=15"]
+    info = [r[0].split("\t")[7] for r in df.orderBy("variant_id").select(sinks.vcf_record(F.lit("A"), F.lit("C"), F.lit("GG"), F.lit("T"))).collect()]
+    assert info == ["END=15;SVLEN=-5;SVTYPE=DEL", "END=11;SVLEN=5;SVTYPE=INS", "END=15;SVTYPE=DUP", "END=15;SVTYPE=INV"]
 
 
 def test_genotypes(spark):
@@ -106,11 +106,144 @@ def test_smoothing_and_modes(spark):
 
 
 def test_annotation_folds(spark):
-    r = [("chr1", 0, 100, 0, 100, True, "a", "f"), ("chr1", 120, 200, 110, 190, True, "a", "f"), ("chr1", 230, 300, 195, 250, True, "a", "f")]
+    r = [("chr1", 0, 100, 0, 100, True, False, "a", "f"), ("chr1", 120, 200, 110, 190, True, False, "a", "f"), ("chr1", 230, 300, 195, 250, True, False, "a", "f")]
     df = spark.createDataFrame(r, annotations._OUT)
     assert rows(annotations.compact(df), "start", "end", "rep_end") == [(0, 200, 190), (230, 300, 250)]
+    # Satellites need no consensus that goes on; the next one has to start near the end in absolute terms; the end is the last member's.
+    s = [("chr1", 0, 100, 0, 100, True, True, "a", "f"), ("chr1", 90, 95, 500, 600, True, True, "a", "f"), ("chr1", 97, 200, 0, 9, True, True, "a", "f"), ("chr1", 150, 300, 0, 9, True, True, "a", "f")]
+    assert rows(annotations.compact(spark.createDataFrame(s, annotations._OUT)), "start", "end", "rep_end", "is_sat") == [(0, 200, 600, True), (150, 300, 9, True)]
+    back = [("chr1", 0, 100, 200, 300, False, False, "a", "f"), ("chr1", 110, 200, 100, 190, False, False, "a", "f")]
+    assert rows(annotations.compact(spark.createDataFrame(back, annotations._OUT)), "start", "end", "rep_start") == [(0, 200, 100)]
     t = spark.createDataFrame([("chr1", 190, 250), ("chr1", 400, 410)], "chrom string, start long, end long")
-    assert rows(annotations.with_tandem(df, t), "start", "end", "repeat") == [(0, 100, "a"), (120, 300, "artificial"), (400, 410, "artificial")]
+    assert rows(annotations.with_tandem(df, t), "start", "end", "repeat", "rep_start", "is_sat") == [(0, 100, "a", 0, False), (120, 300, "artificial", -1, True), (400, 410, "artificial", -1, True)]
+    # An overlap of ten bases is not enough by one: the start has to be at or before end - 10.
+    near = spark.createDataFrame([("chr1", 91, 120), ("chr1", 191, 192)], "chrom string, start long, end long")
+    assert rows(annotations.with_tandem(df.limit(2), near), "start", "end", "repeat") == [(0, 100, "a"), (91, 120, "artificial"), (120, 200, "a"), (191, 192, "artificial")]
+
+
+def slow_compact(rs, reach=25):
+    out = []
+    for r in sorted(rs, key=lambda r: (r[1], r[2], r[7], r[8], r[5], r[3], r[4], r[6])):
+        p = out[-1] if out else None
+        if p and p[7:] == list(r[7:]) and p[5] == r[5] and abs(r[1] - p[2]) <= reach and (r[6] or abs(r[3] - p[4] if r[5] else r[4] - p[3]) <= reach):
+            p[2], p[3], p[4] = r[2], min(p[3], r[3]), max(p[4], r[4])
+        else:
+            out.append(list(r))
+    return sorted(map(tuple, out))
+
+
+def slow_tandem(rs, ts, overlap=10):
+    merged = []
+    for a, b in sorted(ts):
+        if merged and a <= merged[-1][1] - overlap:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    every = [tuple(r) for r in rs] + [("c", a, b, -1, -1, True, True, "artificial", "") for a, b in merged]
+    out = []
+    for r in sorted(every, key=lambda r: (r[1], r[2], r[7], r[8], r[5], r[3], r[4], r[6])):
+        p = out[-1] if out else None
+        if p and "artificial" in (p[7], r[7]) and r[1] <= p[2] - overlap:
+            p[6] |= r[6]
+            if r[2] > p[2]:
+                p[2], p[3], p[4] = r[2], -1, -1
+                if p[7] != "artificial" and r[7] == "artificial":
+                    p[5], p[7], p[8] = True, "artificial", ""
+        else:
+            out.append(list(r))
+    return sorted(map(tuple, out))
+
+
+def test_annotation_folds_by_brute_force(spark, monkeypatch):
+    import random
+
+    for module in (annotations, intervals):
+        monkeypatch.setattr(module, "TILE", 64)
+    r = random.Random(3)
+    rs = []
+    for _ in range(300):
+        a, c = r.randrange(2000), r.randrange(60)
+        rs.append(("c", a, a + r.randrange(60), c, c + r.randrange(40), r.random() < 0.6, r.random() < 0.4, r.choice("ab"), "f"))
+    rs += rs[:20]
+    ts = [(a, a + r.randrange(80)) for a in (r.randrange(2000) for _ in range(60))]
+    df = spark.createDataFrame(rs, annotations._OUT)
+    assert sorted(map(tuple, annotations.compact(df).collect())) == slow_compact(rs)
+    t = spark.createDataFrame([("c", *x) for x in ts], "chrom string, start long, end long")
+    assert sorted(map(tuple, annotations.with_tandem(df, t).collect())) == slow_tandem(rs, ts)
+
+
+def test_one_chromosome_by_tiles_is_the_plain_window(spark):
+    import random
+
+    r = random.Random(5)
+    spans = [(a, a + r.randrange(1, 90)) for a in (r.randrange(5000) for _ in range(400))]
+    spans += spans[:30]
+    df = spark.createDataFrame([("c", a, b, k % 2) for k, (a, b) in enumerate(spans)], "chrom string, s long, e long, kind int")
+    for slack in (-25, 0, 25):
+        cut = [x for x in intervals.merge(df.drop("kind"), ["chrom"], "s", "e", slack, tile=256).collect()]
+        assert sorted(cut) == sorted(intervals.merge(df.drop("kind"), ["chrom"], "s", "e", slack, tile=None).collect())
+    got = {x.from_pos: x for x in intervals.sweep(df, ["chrom"], "s", "e", "kind", [0, 1], tile=256).collect()}
+    edges = sorted({a for a, _ in spans} | {b + 1 for _, b in spans})
+    for a, b in zip(edges, edges[1:]):
+        assert got[a].to_pos == b - 1 and [got[a].n_0, got[a].n_1] == [sum(k % 2 == j and x <= a <= y for k, (x, y) in enumerate(spans)) for j in (0, 1)]
+    m = intervals.merge(df, ["chrom"], "s", "e", 0, tile=256)
+    gaps = intervals.complement(m.select("chrom", "s", "e"), spark.createDataFrame([("c", 6000)], "chrom string, length long"), "chrom", "s", "e", tile=256)
+    free = sorted(set(range(6000)).difference(*[range(a, b + 1) for a, b in spans]))
+    assert sorted(p for x in gaps.collect() for p in range(x.from_pos, x.to_pos + 1)) == free
+    reads = spark.createDataFrame([(k, r.randrange(100)) for k in range(500)], "read_id long, len long")
+    for target in (0, 1, 999, 10**9):
+        plain = sampling.take_until(reads, [F.col("read_id")], "len", target)
+        assert rows(sampling.take_until(reads, [F.col("read_id")], "len", target, bucket=F.floor(F.col("read_id") / 64))) == rows(plain)
+
+
+def test_insertions_of_just_that_length_come_first(spark):
+    bank = spark.createDataFrame([(1, "A" * 11), (2, "C" * 13), (3, "C" * 13), (4, "G" * 17), (5, "T" * 45)], "seq_id long, seq string")
+    want = spark.createDataFrame([(k * 100 + n, n) for n in (11, 13, 14, 19, 25, 70) for k in range(1, 40)], "variant_id long, len long")
+    got = {}
+    for x in sampling.insertion_choice(want, bank, 10).collect():
+        got.setdefault(x.variant_id % 100, set()).add((x.seq_id, x.len))
+    assert got == {11: {(1, 11)}, 13: {(2, 13), (3, 13)}, 14: {(4, 14)}, 19: {(1, 11), (2, 13), (3, 13), (4, 17)}, 25: {(5, 25)}, 70: {(5, 45)}}
+
+
+def test_lengths_types_and_absent_sequences(spark):
+    from pyspark.errors import SparkRuntimeException
+
+    got = spark.createDataFrame([("INS", 10, None, 7), ("INS", 10, 20, 7), ("DEL", 10, None, -7), ("DEL", 10, 20, None), ("DUP", 10, None, None)], "t string, pos long, e long, n long")
+    last, length = fn.end_and_length(F.col("t"), F.col("pos"), F.col("e"), F.col("n"))
+    assert [tuple(x) for x in got.select(last, length).collect()] == [(10, None), (19, None), (16, 7), (19, 10), (None, None)]
+    assert spark.createDataFrame([("DEL/INV", "N")], "a string, b string").select(fn.sv_type(F.col("a"), F.col("b"))).first()[0] == "DEL_INV"
+    t = spark.createDataFrame([(1, "AC")], "seq_id long, seq string")
+    assert rows(matching.lookup(t.select("seq_id"), t, "seq_id", "seq"), "seq") == [("AC",)]
+    with pytest.raises(SparkRuntimeException):
+        matching.lookup(spark.createDataFrame([(2,)], "seq_id long"), t, "seq_id", "seq").collect()
+
+
+def test_records_and_headers(spark):
+    v = spark.createDataFrame([("chr1", 10, 1, "DEL", 3), ("chr1", 10, 2, "INS", 2), ("chr1", 10, 3, "INV", 4)], "chrom string, pos long, variant_id long, svtype string, len long")
+    got = [x[0] for x in v.orderBy("variant_id").select(sinks.vcf_record(F.lit("A"), F.lit("C"), F.lit("AGG"), F.lit("TT"), [("AF", F.lit(0.5)), ("NONE", F.lit(None))])).collect()]
+    assert got == ["chr1\t10\t1\tCAGG\tC\t.\tPASS\tEND=13;SVLEN=-3;SVTYPE=DEL;AF=0.5", "chr1\t11\t2\tA\tATT\t.\tPASS\tEND=11;SVLEN=2;SVTYPE=INS;AF=0.5", "chr1\t11\t3\tA\t<INV>\t.\tPASS\tEND=14;SVTYPE=INV;AF=0.5"]
+    assert spark.range(1).select(sinks.add_info(F.lit(got[0] + "\tGT\t0|1"), [("K", F.lit(4)), ("X", F.lit(None))])).first()[0] == got[0] + ";K=4\tGT\t0|1"
+    h = sinks.vcf_header("S", {"chr1": 99}).split("\n")
+    assert h[1] == "##contig=<ID=chr1,length=99>" and h[-1].endswith("INFO\tFORMAT\tS") and sum(x.startswith("##ALT=") for x in h) == 4
+    more = sinks.with_filters("\n".join(h), ["PASS", "LowQual"]).split("\n")
+    assert len(more) == len(h) + 1 and more[-2].startswith("##FILTER=<ID=LowQual,") and more[-1] == h[-1]
+
+
+def test_unknown_letters_are_in_no_class(spark):
+    chunks = spark.createDataFrame([("c", 0, "ACNNgtn"), ("c", 7, "acgt"), ("c", 11, "NNA")], "chrom string, offset long, seq string")
+    u = intervals.unknown_runs(chunks)
+    assert rows(u, "ustart", "uend") == [(2, 3), (6, 6), (11, 12)]
+    r = spark.createDataFrame([], "chrom string, rstart long, rend long, is_sat int")
+    s = spark.createDataFrame([], "chrom string, sstart long, send long")
+    got = intervals.context_partition(r, s, spark.createDataFrame([("c", 14)], "chrom string, length long"), unknown=u)
+    assert rows(got, "from_pos", "to_pos", "ctx") == [(0, 1, 4), (4, 5, 4), (7, 10, 4), (13, 13, 4)]
+
+
+def test_population_is_written_whole(spark, tmp_path):
+    c = spark.createDataFrame([(1, 5), (0, 7), (0, 5)], "haplotype_id long, variant_id long")
+    v = spark.createDataFrame([(7, "DEL"), (5, "INS")], "variant_id long, svtype string")
+    sinks.write_population(c, v, f"{tmp_path}/p")
+    assert rows(spark.read.parquet(f"{tmp_path}/p/carriers")) == [(0, 5), (0, 7), (1, 5)] and rows(spark.read.parquet(f"{tmp_path}/p/variants")) == [(5, "INS"), (7, "DEL")]
 
 
 def test_reads(spark):
@@ -199,7 +332,7 @@ def test_fractions_of_every_variant(spark):
     for i, chrom, pos, kind, n in v:
         here = set() if kind == "INS" else {x for c, a, b, _ in rep if c == chrom for x in range(max(a, pos), min(b, pos + n - 1) + 1)}
         want.append((i, kind, len(here), round(len(here) / n, 4)))
-    got = catalog_more.agg17_to_19_every_fraction(spark.createDataFrame(v, _VARIANTS), spark.createDataFrame(rep, "chrom string, rstart long, rend long, is_sat int"))
+    got = catalog_more.agg17_to_19_repeat_fraction(spark.createDataFrame(v, _VARIANTS), spark.createDataFrame(rep, "chrom string, rstart long, rend long, is_sat int"))
     assert rows(got, "variant_id", "svtype", "covered", "fraction") == want
 
 
@@ -209,7 +342,7 @@ def test_collisions_of_every_chromosome(spark):
     v = _random_variants(200)
     h = [(c, i % 16, i, p, p if k == "INS" else p + n - 1) for i, c, p, k, n in v]
     want = sorted((c, x, i, j) for c, x, i, f, e in h for d, y, j, g, _ in h if (c, x) == (d, y) and (f, i) < (g, j) and g <= e + 5)
-    got = catalog.jn15_every_collision(spark.createDataFrame(v, _VARIANTS))
+    got = catalog.jn15_collisions(spark.createDataFrame(v, _VARIANTS))
     assert len({x[0] for x in want}) == 3 and rows(got, "chrom", "haplotype_id", "a", "b") == want
 
 
@@ -221,7 +354,7 @@ def test_versions_of_every_id(spark):
     for i, chrom, pos, kind, _ in sorted(v, key=lambda x: (x[2], x[0])):
         k = seen[chrom, kind] = seen.get((chrom, kind), 0) + 1
         want.append((chrom, pos, kind if k == 1 else f"{kind}.{k}"))
-    assert rows(catalog_more.win12_every_versioned_id(spark.createDataFrame(v, _VARIANTS)), "chrom", "pos", "id") == sorted(want)
+    assert rows(catalog_more.win12_versioned_ids(spark.createDataFrame(v, _VARIANTS)), "chrom", "pos", "id") == sorted(want)
 
 
 def test_readers(spark, tmp_path):
@@ -256,9 +389,9 @@ def test_readers(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     d = str(tmp_path)
-    v = spark.createDataFrame([("chr1", 10, 1, "DEL", 5, 0)], "chrom string, pos long, variant_id long, svtype string, len long, individual long").withColumn("line", sinks.vcf_record(genotype=F.lit("0|1")))
+    v = spark.createDataFrame([("chr1", 10, 1, "DEL", 5, 0)], "chrom string, pos long, variant_id long, svtype string, len long, individual long").withColumn("line", sinks.vcf_record(F.lit("A"), F.lit("C"), F.lit("AGGTC"), F.lit(""), genotype=F.lit("0|1")))
     sinks.write_vcf(v, f"{d}/v")
-    assert formats.vcf(spark, f"{d}/v/records").first().samples == ["0|1"] and spark.read.text(f"{d}/v/header").count() == 1 + len(sinks.VCF_HEADER)
+    assert formats.vcf(spark, f"{d}/v/records").first().samples == ["0|1"] and spark.read.text(f"{d}/v/header").count() == 2 + sum(map(len, sinks.VCF_FIELDS.values()))
     sinks.write_individuals(v, f"{d}/i")
     assert spark.read.text(f"{d}/i/individual=0").count() == 1
     sinks.write_fasta(spark.createDataFrame([("a", "ACNNNNNG"), ("b", "AC")], "name string, sequence string"), f"{d}/f")

@@ -36,7 +36,7 @@ def compact(repeats: DataFrame, reach: int = 25) -> DataFrame:
         for r in (r for r in g.sort_values(_ORDER).itertuples(index=False) for _ in range(r.copies)):
             last = out[-1] if out else None
             gap = (r.rep_start - last[4] if r.fwd else r.rep_end - last[3]) if last else 0
-            if last and abs(r.start - last[2]) <= reach and (r.is_sat or abs(gap) <= reach):
+            if last and (r.fwd, r.repeat, r.family) == (last[5], last[7], last[8]) and abs(r.start - last[2]) <= reach and (r.is_sat or abs(gap) <= reach):
                 last[2], last[3], last[4] = r.end, min(last[3], r.rep_start), max(last[4], r.rep_end)
             else:
                 out.append([r.chrom, r.start, r.end, r.rep_start, r.rep_end, r.fwd, r.is_sat, r.repeat, r.family])

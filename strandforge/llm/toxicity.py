@@ -12,6 +12,7 @@ found, and the bias is shifted so that it lies at one half.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,15 @@ def places_of(text: bytes) -> np.ndarray:
     return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Ascending places as compressed steps: about a third of their size, for the way to the driver."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.uint32)
+
+
 class FTRL:
     """Per-coordinate FTRL-proximal for logistic loss; the last coordinate is the bias, without L1."""
 
@@ -128,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [np.unique(places_of(t.as_py() or b"")).astype("<u4").tobytes() for t in b.column(2).cast(pa.binary())]
+            f = [_pack(np.unique(places_of(t.as_py() or b""))) for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["_id", "_y", "_f"])
 
     schema = T.StructType([id_field, T.StructField("_y", T.DoubleType()), T.StructField("_f", T.BinaryType())])
     got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (str(r[0]), r[2]))
-    return calibrated([(np.frombuffer(r[2], "<u4").astype(np.int64), r[1]) for r in got])
+    return calibrated([(_unpack(r[2]), r[1]) for r in got])
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str, keep: list[Column], types: list[T.StructField]) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .intervals import TILE, neighbour, running
 
 _COLUMNS = {"chrom": "string", "start": "long", "end": "long", "rep_start": "long", "rep_end": "long", "fwd": "boolean", "is_sat": "boolean", "repeat": "string", "family": "string"}
@@ -29,7 +30,8 @@ def compact(repeats: DataFrame, reach: int = 25) -> DataFrame:
     d = neighbour(d, ["chrom"], "_tile", _ORDER, "_row", "_was")
     same = [F.col(f"_was.{c}") == F.col(c) for c in ("repeat", "family", "fwd")]
     joined = same[0] & same[1] & same[2] & (F.abs(F.col("start") - F.col("_was.end")) <= reach)
-    d = running(d.withColumn("_new", F.when(joined, 0).otherwise(1)), ["chrom"], "_tile", _ORDER, {"_g": (F.col("_new"), "sum")})
+    d = materialize(d.withColumn("_new", F.when(joined, 0).otherwise(1)).drop("_row", "_was"), "annotations")
+    d = materialize(running(d, ["chrom"], "_tile", _ORDER, {"_g": (F.col("_new"), "sum")}), "annotations")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
@@ -63,7 +65,8 @@ def with_tandem(repeats: DataFrame, tandem: DataFrame, overlap: int = 10, name:
     d = repeats.select(*_COLUMNS).unionByName(t).withColumn("_tile", F.floor(F.col("start") / TILE))
     # No fold reaches beyond the largest end of all rows before.
     d = running(d, ["chrom"], "_tile", _ORDER, {"_e": (F.col("end"), "max")}, inclusive=False)
-    d = running(d.withColumn("_new", F.when(F.col("start") <= F.col("_e") - overlap, 0).otherwise(1)), ["chrom"], "_tile", [*_ORDER, F.desc("_new")], {"_g": (F.col("_new"), "sum")})
+    d = materialize(d.withColumn("_new", F.when(F.col("start") <= F.col("_e") - overlap, 0).otherwise(1)), "annotations")
+    d = materialize(running(d, ["chrom"], "_tile", [*_ORDER, F.desc("_new")], {"_g": (F.col("_new"), "sum")}), "annotations")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []

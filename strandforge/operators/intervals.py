@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 #: Bin widths of the levels: 4 kb, 32 kb, 256 kb, 2 Mb, 16 Mb, 128 Mb, 1 Gb.
 LEVELS = tuple(4096 * 8**k for k in range(7))
 
@@ -82,14 +84,14 @@ def clipped_overlaps(left: DataFrame, right: DataFrame, on: list[str], left_rang
 _FOLDS = {"sum": F.sum, "max": F.max}
 
 
-def running(df: DataFrame, keys: list[str], tile: str, order: list, folds: dict[str, tuple[Column, str]], inclusive: bool = True) -> DataFrame:
-    """Running sums or maxima of each key in the order of (``tile``, ``order``), as new columns.
+def running(df: DataFrame, keys: list[str], tile: str, order: list, folds: dict[str, tuple[Column, str]], inclusive: bool = True, base: DataFrame | None = None) -> DataFrame:
+    """Running sums or maxima of each key in the order of (``tile``, ``order``), as new columns. ``base``: the same rows before columns were added, for the totals.
 
     Totals of tiles, their prefix over tiles, then a window inside each tile: a key that
     holds all rows is as many tasks' work as it has tiles. Neither keys nor tile is null.
     """
     above = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, tile).agg(*[_FOLDS[kind](c).alias(f"_t{n}") for n, (c, kind) in folds.items()])
+    totals = (df if base is None else base).groupBy(*keys, tile).agg(*[_FOLDS[kind](c).alias(f"_t{n}") for n, (c, kind) in folds.items()])
     totals = totals.select(*keys, tile, *[_FOLDS[kind](f"_t{n}").over(above).alias(f"_t{n}") for n, (_, kind) in folds.items()])
     inside = Window.partitionBy(*keys, tile).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     d = df.withColumns({f"_i{n}": _FOLDS[kind](c).over(inside) for n, (c, kind) in folds.items()}).join(totals, [*keys, tile])
@@ -125,6 +127,7 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, slack: int, aggs
     new = F.when(F.col("_e").isNull() | (F.col(start) > F.col("_e") + slack), 1).otherwise(0)
     if tile:
         d = running(df.withColumn("_tile", F.floor(F.col(start) / tile)), keys, "_tile", [start, end], {"_e": (F.col(end), "max")}, inclusive=False).withColumn("_new", new)
+        d = materialize(d, "merge")
         # Of rows equal in both, the one that begins an island comes first.
         d = running(d, keys, "_tile", [start, end, F.desc("_new")], {"_g": (F.col("_new"), "sum")})
     else:
@@ -140,7 +143,7 @@ def sweep(df: DataFrame, keys: list[str], start: str, end: str, kind: str, kinds
     events = df.select(*keys, kind, F.explode(at).alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(*[F.sum(F.when(F.col(kind) == k, F.col("x.d")).otherwise(0)).alias(f"d_{k}") for k in kinds])
     events = events.withColumn("_tile", F.floor(F.col("p") / tile))
     out = neighbour(events, keys, "_tile", ["p"], "p", "_next", ahead=True)
-    out = running(out, keys, "_tile", ["p"], {f"n_{k}": (F.col(f"d_{k}"), "sum") for k in kinds})
+    out = running(out, keys, "_tile", ["p"], {f"n_{k}": (F.col(f"d_{k}"), "sum") for k in kinds}, base=events)
     return out.where("_next is not null").select(*keys, F.col("p").alias("from_pos"), (F.col("_next") - 1).alias("to_pos"), *[f"n_{k}" for k in kinds])
 
 
@@ -163,7 +166,8 @@ def context_partition(repeats: DataFrame, segdups: DataFrame, lengths: DataFrame
     seg = seg.withColumn("ctx", ctx)
     # Neighbouring segments of one class become one.
     seg = seg.withColumn("ctx", F.when(F.col("n_5") > 0, -1).otherwise(F.col("ctx"))).select("chrom", "from_pos", "to_pos", "ctx").withColumn("_tile", F.floor(F.col("from_pos") / TILE))
-    seg = neighbour(seg, ["chrom"], "_tile", ["from_pos"], "ctx", "_was")
+    # Written once: each step below reads it twice.
+    seg = materialize(neighbour(materialize(seg, "segments"), ["chrom"], "_tile", ["from_pos"], "ctx", "_was"), "segments")
     seg = running(seg, ["chrom"], "_tile", ["from_pos"], {"_g": (F.when(F.col("_was") == F.col("ctx"), 0).otherwise(1), "sum")})
     return seg.groupBy("chrom", "_g", "ctx").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos")).drop("_g").where("ctx >= 0")
 

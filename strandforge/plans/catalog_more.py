@@ -513,7 +513,7 @@ def ana4_recall_sweep(truth, calls):
 
 def _model(variants, repeats, segdups):
     """Tables of an empirical model, by the context of the first breakpoint: types, lengths, frequencies, positions."""
-    v = variants.join(first_context(variants, repeats, segdups), "variant_id")
+    v = materialize(variants.join(first_context(variants, repeats, segdups), "variant_id").select("svtype", "ctx", "len", "af"), "model")
     every = statistics.distribution(v.groupBy("svtype", "ctx").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.struct("svtype", "ctx")), []).select("svtype", "ctx", "cum")
     lengths = statistics.distribution(statistics.histogram(v, ["svtype", "ctx"], statistics.length_bin(F.col("len"))), ["svtype", "ctx"]).select("svtype", "ctx", "bin", "cum")
     afs = statistics.equal_width(v, ["svtype"], "af", 100).withColumn("q", (F.col("hi") - F.col("lo")) / 100)

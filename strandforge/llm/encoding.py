@@ -67,9 +67,9 @@ class WordEncoder:
 
     def _learn_cores(self, new: list[bytes]) -> None:
         """Words of letters only, each one piece to the tokenizer: encoded a thousand at a time and cut at word ends."""
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            ids = np.array(self.tok.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids, self.dtype)
+        parts = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        for part, got in zip(parts, self.tok.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False) if parts else ()):
+            ids = np.array(got.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 self.cores.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, np.r_[0, cuts[:-1]], cuts))
@@ -82,9 +82,9 @@ class WordEncoder:
         plain = [c if c.isalpha() or _letters(c) else None for c in plain]
         if len(self.cores) > CORES:
             self.cores, self.old_cores = {}, self.cores
-        for c in set(plain).difference(self.cores).intersection(self.old_cores):
-            self.cores[c] = self.old_cores[c]
-        self._learn_cores([c for c in set(plain).difference(self.cores) if c is not None])
+        fresh = set(plain).difference(self.cores, [None])
+        self.cores.update((c, self.old_cores[c]) for c in self.old_cores.keys() & fresh)
+        self._learn_cores(list(fresh.difference(self.cores)))
         rest = [w for w, c in zip(new, plain) if c is None]
         whole = iter(self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)) if rest else iter(())
         edge = {b"": b""}

@@ -55,7 +55,8 @@ class WaveletMatrix:
             planes.append(words)
             ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))].astype("<u4"))
             zeros.append(len(x) - int(ranks[-1][-1]))
-            x = np.concatenate([x[~on], x[on]])
+            # By places, not masks: bits are as good as random, and masks branch on each.
+            x = np.concatenate([x[np.flatnonzero(~on)], x[np.flatnonzero(on)]])
         return cls(len(ids), zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -135,13 +136,13 @@ class WaveletMatrix:
         return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
     def decode(self) -> np.ndarray:
-        """All ids, from the last plane up: two masked copies a plane."""
+        """All ids, from the last plane up: two copies by places a plane."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for k, p in enumerate(range(len(self.planes) - 1, -1, -1)):
             on = np.unpackbits(self.planes[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~on], y[on] = x[: self.zeros[p]], x[self.zeros[p] :] | kind(1 << k)
+            y[np.flatnonzero(~on)], y[np.flatnonzero(on)] = x[: self.zeros[p]], x[self.zeros[p] :] | kind(1 << k)
             x = y
         return x
 

@@ -32,13 +32,13 @@ def query(views: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401  registers its own
+    from . import catalog_more, round_trips  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_more, round_trips  # noqa: F401
 
     return dict(_SQL)
 

@@ -142,7 +142,7 @@ def samples(spark: SparkSession, path: str, known: DataFrame | None = None) -> D
 
 def bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Header, tabs, gzip or not; NA and empty fields stay as they are written."""
-    return spark.read.csv(path, sep="\t", header=True, nullValue="\0", emptyValue="")
+    return spark.read.csv(path, sep="\t", header=True, nullValue="\0", emptyValue="").na.fill("")
 
 
 def hmm_model(spark: SparkSession, path: str) -> DataFrame:

@@ -382,7 +382,7 @@ def test_readers(spark, tmp_path):
     assert rows(formats.samples(spark, put("s.tsv", "HIFI_FQ\tresearch_id\na\tp1\nb\tp9\n"), t)) == [("p1", "a")]
     with pytest.raises(ValueError):
         formats.samples(spark, put("bad.tsv", "x\ty\n1\t2\n"))
-    assert rows(formats.bed(spark, put("b.bed.gz", "#CHROM\tID\nchr1\tNA\n")), "ID") == [("NA",)]
+    assert rows(formats.bed(spark, put("b.bed.gz", "#CHROM\tID\tX\nchr1\tNA\t\n")), "ID", "X") == [("NA", "")]
     assert rows(formats.hmm_model(spark, put("m", "85 IP 1 0.5 0.5\n"))) == [(85, "IP", 1, 0, 0.5), (85, "IP", 1, 1, 0.5)]
     assert rows(formats.graph_segments(spark, put("g.gfa", "S\tu1\tACGT\tx\nL\tu1\n"))) == [("u1", "ACGT")]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, mixing, packing, pii, simhash, substring, toxicity, wavelet
+from . import dialogue, exact_dedup, langid, lexical, licenses, media, mixing, packing, pii, simhash, substring, toxicity, wavelet
 from .common import documents
 
 
@@ -93,5 +93,55 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_substring_dedup, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id)}
-SQL = {"op1_source_mix": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.write_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH t AS (SELECT doc_id, rid, unnest(terms) AS term, len(terms) AS n FROM (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER.format('text')}, '{lexical.TERM}') AS terms FROM documents WHERE text IS NOT NULL)),
+ p AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY rid, term),
+ s AS (SELECT count(DISTINCT rid) AS nd, sum(tf) AS nt FROM p),
+ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+ i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{lexical.TERM}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+ q AS (SELECT item_id, term, count(*) AS qtf FROM i GROUP BY ALL),
+ r AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * n * nd) // nt AS BIGINT))))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, rid),
+ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
+def _regex(parts: list) -> str:
+    """A template's parts as a regular expression over words, each with a space behind it."""
+    return "".join(f"{x} " if isinstance(x, str) else f"(?:{_regex(x[1])})?" if x[0] == "optional" else f"(?:[^ ]+ ){{{x[1]},{x[2]}}}" for x in parts)
+
+
+def _op12_sql() -> str:
+    machines = licenses.automata()
+    hits = ", ".join(f"CASE WHEN regexp_matches(j, ' {_regex(licenses.parsed(licenses.TEMPLATES[m.label]))}') THEN '{m.label}' END" for m in machines)
+    sure = "".join(f" WHEN '{m.label}' THEN CAST({m.mandatory} AS DOUBLE) / {m.mandatory + 8}" for m in machines)
+    at = ", ".join(f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + "), lambda i: i - 1)" for p in licenses.PHRASES)
+    base = ", ".join(f"CASE WHEN contains(j, ' {p} ') THEN '{x}' END" for p, x in licenses.PHRASES.items())
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ j AS (SELECT *, concat(' ', array_to_string(w, ' '), ' ') AS j FROM w),
+ p AS (SELECT *, flatten([{at}]) AS found, list_filter([{base}], lambda x: x IS NOT NULL) AS b, list_filter([{hits}], lambda x: x IS NOT NULL) AS t FROM j),
+ s AS (SELECT *, list_transform(t, lambda x: CASE x{sure} END) AS v, list_transform(list_filter([{", ".join(f"CASE WHEN contains(j, ' {p} ') THEN {len(p.split())} END" for p in licenses.PHRASES)}], lambda x: x IS NOT NULL), lambda x: CAST(x AS DOUBLE) / (x + 8)) AS u FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(found) AS BIGINT) AS n_base, list_min(found) AS first_word, list_max(found) AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(b, t))), ',') AS labels, coalesce(list_max(list_concat(u, v)), CAST(0 AS DOUBLE)) AS score FROM s
+"""
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogue.repair_report(turns, dialogue.damaged(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_substring_dedup, op3_media_columns, op4_toxicity, op5_personal_data, op6_token_shards, op7_simhash_near_dedup, op8_best_fit_packing, op9_exact_dedup, op10_language_id, op11_lexical_search, op12_license_scan, op13_dialogue_repair)}
+SQL = {"op1_source_mix": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op12_license_scan": _op12_sql()}

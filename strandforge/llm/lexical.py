@@ -8,7 +8,7 @@ how many documents hold a term.
 
 A search spreads a term's slices over the documents of the block and adds them into
 the slices of every item that has the term, a bit at a time with carries (XOR for the sum,
-majority for the carry), for all those items at once. The best k come from the sums'
+majority for the carry); a slice is one long integer, so a step is one operation on all documents. The best k come from the sums'
 slices, most significant first: documents with the bit set go before those without, and
 a slice that would leave fewer than k settles its documents. A block gives at most
 k documents an item, and the k best of all blocks are a window with a limit.
@@ -176,55 +176,73 @@ def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Index(spark.read.schema(kinds).parquet(folder), n, total)
 
 
-def add_into(sums: np.ndarray, at: np.ndarray, words: np.ndarray, addend: np.ndarray) -> None:
-    """Add one number a document to the sums of items ``at``, in place. sums: (items, bits, words); addend: (bits, words), for the given words of the bitmaps."""
-    carry = np.zeros((len(at), len(words)), np.uint64)
-    for b in range(sums.shape[1]):
-        more = b < len(addend)
-        if not more and not carry.any():
-            return
-        old = sums[np.ix_(at, [b], words)][:, 0]
-        new = addend[b] if more else np.zeros(len(words), np.uint64)
-        half = old ^ new
-        sums[np.ix_(at, [b], words)] = (half ^ carry)[:, None]
-        carry = (old & new) | (carry & half)
-    if carry.any():
-        raise OverflowError("a sum has more bits than its slices")
-
-
-def best(sums: np.ndarray, k: int) -> list[list[int]]:
-    """For each item the places of its k greatest sums above 0, of equal ones the first; from slices (items, bits, words), most significant first."""
-    sure = np.zeros((sums.shape[0], sums.shape[2]), np.uint64)
-    maybe = np.bitwise_or.reduce(sums, axis=1)
-    open_ = np.ones(len(sums), bool)
-    for b in range(sums.shape[1] - 1, -1, -1):
-        ones = maybe & sums[:, b]
-        n = np.bitwise_count(sure | ones).sum(axis=1, dtype=np.int64)
-        few, many = open_ & (n < k), open_ & (n > k)
-        done = open_ & (n == k)
-        sure[few | done] |= ones[few | done]
-        maybe[few] &= ~sums[few, b]
-        maybe[many] = ones[many]
-        maybe[done] = 0
-        open_ &= ~done
+def add_into(sums: list[int], addend: list[int]) -> None:
+    """Add one number a document to another, in place, bit by bit with carries. Both are slices, least first; a slice is a bitmap of documents, held as one integer."""
+    sums += [0] * (len(addend) - len(sums))
+    carry = 0
+    for b, y in enumerate(addend):
+        x = sums[b]
+        half = x ^ y
+        sums[b] = half ^ carry
+        carry = x & y | carry & half
+    b = len(addend)
+    while carry:
+        if b == len(sums):
+            sums.append(0)
+        x = sums[b]
+        sums[b] = x ^ carry
+        carry &= x
+        b += 1
+
+
+def best(sums: list[int], k: int) -> list[int]:
+    """The documents of the k greatest sums above 0, of equal ones the first; from slices, most significant first."""
+    sure, maybe, n = 0, 0, 0
+    for x in sums:
+        maybe |= x
+    for x in reversed(sums):
+        ones = maybe & x
+        found = n + ones.bit_count()
+        if found > k:
+            maybe = ones
+            continue
+        sure, n = sure | ones, found
+        maybe &= ~x
+        if n == k:
+            break
+    return _places(sure, n) + _places(maybe, k - n)
+
+
+def _places(bitmap: int, most: int) -> list[int]:
+    """The first set bits of a bitmap."""
     out = []
-    for s, m in zip(sure, maybe):
-        certain = _places(s)
-        out.append(certain + _places(m)[: k - len(certain)])
+    while bitmap and len(out) < most:
+        low = bitmap & -bitmap
+        out.append(low.bit_length() - 1)
+        bitmap ^= low
     return out
 
 
-def _places(bitmap: np.ndarray) -> list[int]:
-    return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")).tolist()
+def score(sums: list[int], place: int) -> int:
+    return sum((x >> place & 1) << b for b, x in enumerate(sums))
 
 
-def spread(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a block's bitmaps that hold the places, and the values' slices in them."""
-    words, which = np.unique(places >> 6, return_inverse=True)
+def spread(places: np.ndarray, values: np.ndarray, n: int) -> list[int]:
+    """Slices of the values over a block of n documents, by place."""
     bits = int(values.max()).bit_length()
-    flat = np.zeros((bits, len(words) * 64), np.uint8)
-    flat[:, which * 64 + (places & 63)] = values >> np.arange(bits)[:, None] & 1
-    return words, np.packbits(flat, axis=1, bitorder="little").view(np.uint64)
+    if len(places) < 16:
+        out = [0] * bits
+        for p, v in zip(places.tolist(), values.tolist()):
+            one, b = 1 << p, 0
+            while v:
+                if v & 1:
+                    out[b] |= one
+                v >>= 1
+                b += 1
+        return out
+    flat = np.zeros((bits, n), bool)
+    flat[:, places] = values >> np.arange(bits)[:, None] & 1
+    return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(flat, axis=1, bitorder="little")]
 
 
 def _small(df: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -266,27 +284,20 @@ def search(index: Index, items: DataFrame, k: int = 20, item_col: str = "item_id
         rows = g[~head]
         if rows.empty:
             return pd.DataFrame(columns=kinds.names)
-        slots = sorted({s["_slot"] for x in rows["slots"] for s in x})
-        row_of = {s: i for i, s in enumerate(slots)}
-        # The greatest sum there can be.
-        most = max(1, sum(int(w) * max(s["tf"] for s in x) for w, x in zip(rows["weight"], rows["slots"]))) << BITS
-        sums = np.zeros((len(slots), most.bit_length(), -(-n // 64)), np.uint64)
+        sums: dict[int, list[int]] = defaultdict(list)
         for w, x, df, where, raw in zip(rows["weight"], rows["slots"], rows["df"], rows["places"], rows["slices"]):
             values = unsliced(raw, int(df)) * int(w)
             places = np.frombuffer(where, "<u4").astype(np.int64)
             if not values.any():
                 continue
-            for tf in sorted({s["tf"] for s in x}):
-                at = np.array([row_of[s["_slot"]] for s in x if s["tf"] == tf])
-                words, slices = spread(places, values * int(tf))
-                add_into(sums, at, words, slices)
-        power = 1 << np.arange(sums.shape[1], dtype=np.int64)
-        out: list[tuple] = []
-        for s, item, found in zip(slots, sums, best(sums, k)):
-            at = np.array(found, np.int64)
-            scores = ((item[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64).T @ power
-            out += [(int(g["_group"].iloc[0]), s, ids[p], int(v)) for p, v in zip(found, scores)]
-        return pd.DataFrame(out, columns=kinds.names)
+            slices: dict[int, list[int]] = {}
+            for s in x:
+                tf = int(s["tf"])
+                if tf not in slices:
+                    slices[tf] = spread(places, values * tf, n)
+                add_into(sums[s["_slot"]], slices[tf])
+        group = int(g["_group"].iloc[0])
+        return pd.DataFrame([(group, s, ids[p], score(item, p)) for s, item in sums.items() for p in best(item, k)], columns=kinds.names)
 
     top = met.unionByName(every).groupBy("block", "_group").applyInPandas(run, kinds)
     rank = F.row_number().over(Window.partitionBy("_group", "_slot").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))

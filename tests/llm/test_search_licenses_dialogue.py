@@ -73,21 +73,21 @@ def test_slices_and_carries():
     rows, first = lexical.sliced(values, starts)
     for i, (a, z) in enumerate(zip(starts, np.append(starts[1:], 400))):
         assert (lexical.unsliced(rows[first[i] : first[i + 1]].tobytes(), z - a) == values[a:z]).all()
-    sums, plain = np.zeros((3, 40, 5), np.uint64), np.zeros((3, 320), np.int64)
+    sums, plain = [], np.zeros(320, np.int64)
     for _ in range(60):
-        at = np.sort(r.choice(3, r.integers(1, 4), replace=False))
         places = np.sort(r.choice(320, r.integers(1, 200), replace=False))
         v = r.integers(1, 10**9, len(places))
-        lexical.add_into(sums, at, *lexical.spread(places, v))
-        plain[np.ix_(at, places)] += v
-    plain[1] //= 10**9
-    tied = np.zeros((1, 40, 5), np.uint64)
-    lexical.add_into(tied, np.array([0]), *lexical.spread(np.arange(320), plain[1] + 1))
+        lexical.add_into(sums, lexical.spread(places, v, 320))
+        plain[places] += v
+    tied = plain // 10**9 + 1
+    low: list[int] = []
+    lexical.add_into(low, lexical.spread(np.arange(320), tied, 320))
+    lexical.add_into(low, [])
     for k in (1, 7, 64, 320, 500):
-        for got, p in zip([*lexical.best(sums, k)[:1], *lexical.best(tied, k)], (plain[0], plain[1] + 1)):
-            assert sorted(got) == sorted([i for i in np.lexsort((np.arange(320), -p)) if p[i] > 0][:k])
-    with pytest.raises(OverflowError):
-        lexical.add_into(np.full((1, 2, 1), ~np.uint64(0)), np.array([0]), np.array([0]), np.full((1, 1), ~np.uint64(0)))
+        for got, p in ((sums, plain), (low, tied)):
+            want = [i for i in np.lexsort((np.arange(320), -p)) if p[i] > 0][:k]
+            assert sorted(lexical.best(got, k)) == sorted(want) and [lexical.score(got, int(i)) for i in want] == p[want].tolist()
+    assert lexical.best([], 5) == []
 
 
 def test_impacts_beyond_64_bits():

@@ -195,3 +195,13 @@ def complement(merged: DataFrame, lengths: DataFrame, key: str, start: str, end:
 
 def both(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def greedy_disjoint(df: DataFrame, key: str, first: list[str], on: str = "chrom") -> DataFrame:
+    """Rows in the order of (``first``, ``key``) that overlap none taken before; ranges are the columns first and last, keys are unique."""
+    from . import rounds
+
+    side = lambda x: df.select(on, F.col(key).alias(x), F.col("first").alias(f"{x}_from"), F.col("last").alias(f"{x}_to"), *[F.col(c).alias(f"{x}_{c}") for c in first])
+    met = range_join(side("a"), side("b"), [on], ("a_from", "a_to"), ("b_from", "b_to")).where("a <> b")
+    gone = rounds.dropped(met, [on], first)
+    return df.join(gone.withColumnRenamed("id", key), [on, key], "left_anti")

@@ -12,22 +12,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+from . import rounds
 
-def candidates(truth: DataFrame, calls: DataFrame, distance: int = 500, size: float = 0.7, truth_len: tuple[int, int] = (50, 50_000), call_len: int = 30) -> DataFrame:
-    """Pairs of truth (variant_id, chrom, pos, svtype, len) and calls (call_id, ..., others) within distance and size ratio; d is the distance."""
+
+def candidates(truth: DataFrame, calls: DataFrame, distance: int = 500, size: float = 0.7, truth_len: tuple[int, int] = (50, 50_000), call_len: int = 30, similarity: float | None = None) -> DataFrame:
+    """Pairs of truth (variant_id, chrom, pos, svtype, len) and calls (call_id, ..., others) within distance and size ratio; d is the distance.
+
+    With ``similarity``, truth has ``t_seq`` and calls ``c_seq``, and the edit distance of a pair's
+    sequences is at most the part of the longer one that is left (``alike``).
+    """
     rest = [c for c in truth.columns if c.startswith("t_")]
     t = truth.where(F.col("len").between(*truth_len)).select("variant_id", "chrom", "svtype", *rest, F.col("pos").alias("t_pos"), F.col("len").alias("t_len"), F.explode(F.array(*[F.floor(F.col("pos") / distance) + k for k in (-1, 0, 1)])).alias("_bin"))
     c = calls.where((F.col("len") >= call_len) & (F.col("len") <= truth_len[1])).withColumnRenamed("pos", "c_pos").withColumnRenamed("len", "c_len").withColumn("_bin", F.floor(F.col("c_pos") / distance))
     tenths = round(size * 10)
     near = (F.abs(F.col("t_pos") - F.col("c_pos")) <= distance) & (F.least("t_len", "c_len") * 10 >= F.greatest("t_len", "c_len") * tenths)
-    return t.join(c, ["chrom", "svtype", "_bin"]).where(near).withColumn("d", F.abs(F.col("t_pos") - F.col("c_pos"))).drop("_bin")
+    pairs = t.join(c, ["chrom", "svtype", "_bin"]).where(near).withColumn("d", F.abs(F.col("t_pos") - F.col("c_pos"))).drop("_bin")
+    return pairs if similarity is None else pairs.where(alike("t_seq", "c_seq", similarity))
+
 
+def alike(a: str, b: str, similarity: float) -> Column:
+    """Whether edits for at most 1 - ``similarity`` of the longer sequence turn one into the other. Only the band that such a distance can reach is computed; sequences whose lengths alone differ more are not compared. A null sequence is like none."""
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - round(similarity * 100)) / 100).cast("int")
+    fits = F.abs(F.length(a) - F.length(b)) <= most
+    return F.coalesce(F.when(fits, F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0), F.lit(False))
 
-def mutual_best(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """One-to-one: pairs that are nearest (then of least id) from both sides. Deterministic; another matcher may assign otherwise."""
-    a = F.row_number().over(Window.partitionBy(*group, "variant_id").orderBy("d", "call_id"))
-    b = F.row_number().over(Window.partitionBy(*group, "call_id").orderBy("d", "variant_id"))
-    return pairs.withColumn("_a", a).withColumn("_b", b).where("_a = 1 and _b = 1").drop("_a", "_b")
+
+def one_to_one(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Greedy matching by (d, variant_id, call_id) in each group, until no pair is left whose sides are both free."""
+    return rounds.match(pairs, group, "variant_id", "call_id", "d")
 
 
 def scores(n_truth: Column, n_calls: Column, tp: Column) -> list[Column]:
@@ -39,7 +52,7 @@ def scores(n_truth: Column, n_calls: Column, tp: Column) -> list[Column]:
 
 def bench(truth: DataFrame, calls: DataFrame, group: str, **rule) -> DataFrame:
     """Scores per group of calls (a caller) against one truth set."""
-    tp = mutual_best(candidates(truth, calls, **rule), [group]).groupBy(group).agg(F.count(F.lit(1)).alias("_tp"))
+    tp = one_to_one(candidates(truth, calls, **rule), [group]).groupBy(group).agg(F.count(F.lit(1)).alias("_tp"))
     n = calls.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).join(tp, group, "left").crossJoin(truth.agg(F.count(F.lit(1)).alias("_t")))
     return n.select(group, *scores(F.col("_t"), F.col("_c"), F.coalesce("_tp", F.lit(0))))
 
@@ -55,11 +68,22 @@ def exact_merge(calls: DataFrame, keys: list[str], sample: str) -> DataFrame:
 
 
 def collapse(calls: DataFrame, support: str, distance: int = 500, size: float = 0.95, least: int = 40) -> DataFrame:
-    """Near-duplicates fold into the call of largest support (then least id) that they are within reach of: call_id, kept_id."""
-    c = calls.where(F.col("len") >= least)
-    pairs = candidates(c.select(F.col("call_id").alias("variant_id"), "chrom", "pos", "svtype", "len", F.col(support).alias("t_n")), c.select("call_id", "chrom", "pos", "svtype", "len", F.col(support).alias("c_n")), distance, size, (least, 50_000), least)
-    best = pairs.groupBy("call_id").agg(F.max(F.struct("t_n", (-F.col("variant_id")).alias("m"))).alias("b"))
-    return best.select("call_id", (-F.col("b.m")).alias("kept_id"))
+    """Near-duplicates fold into kept calls: call_id, kept_id, of every call in the length window.
+
+    In the order of support (largest first, then least id) a call that is not folded yet is
+    kept and what is within its reach folds into it. So a kept call is its own and
+    is never folded, and of several kept calls in reach the first takes a call.
+    """
+    c = calls.where(F.col("len").between(least, 50_000))
+    a = c.select(F.col("call_id").alias("variant_id"), "chrom", "pos", "svtype", "len", (-F.col(support)).alias("t_n"))
+    b = c.select("call_id", "chrom", "pos", "svtype", "len", (-F.col(support)).alias("c_n"))
+    pairs = candidates(a, b, distance, size, (least, 50_000), least).where("variant_id <> call_id")
+    # Both ways already: either side of a pair is a truth and a call.
+    pairs = materialize(pairs.select(F.col("variant_id").alias("a"), F.col("call_id").alias("b"), F.col("t_n").alias("a_n"), F.col("c_n").alias("b_n")), "near")
+    folded = materialize(rounds.dropped(pairs, [], ["n"]), "folded")
+    met = pairs.join(folded.withColumnRenamed("id", "b"), "b").join(folded.withColumnRenamed("id", "a"), "a", "left_anti")
+    into = met.groupBy("b").agg(F.min(F.struct("a_n", "a")).alias("k")).select(F.col("b").alias("call_id"), F.col("k.a").alias("kept_id"))
+    return c.select("call_id").distinct().join(into, "call_id", "left").withColumn("kept_id", F.coalesce("kept_id", "call_id"))
 
 
 def genotypes(carriers: DataFrame) -> DataFrame:
@@ -85,10 +109,11 @@ def neighbours(on_haplotype: DataFrame, reach: int = 5, width: int = 4096) -> Da
 
 
 def trio_truth(child: DataFrame, *parents: DataFrame, **rule) -> DataFrame:
-    """Calls of a child that match a call of either parent: one matching against the union of theirs."""
+    """Calls of a child with the parents (0, 1, ...) whose calls they match: call_id, parents. One matching a parent, merged on the call."""
     t = child.select(F.col("call_id").alias("variant_id"), "chrom", "pos", "svtype", "len")
-    every = reduce(DataFrame.unionByName, [p.select("call_id", "chrom", "pos", "svtype", "len") for p in parents])
-    return candidates(t, every, **rule).select(F.col("variant_id").alias("call_id")).distinct()
+    every = reduce(DataFrame.unionByName, [p.select("call_id", "chrom", "pos", "svtype", "len", F.lit(i).alias("parent")) for i, p in enumerate(parents)])
+    best = one_to_one(candidates(t, every, **rule), ["parent"])
+    return exact_merge(best.withColumnRenamed("call_id", "_of").withColumnRenamed("variant_id", "call_id"), ["call_id"], "parent").select("call_id", F.col("samples").alias("parents"))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
@@ -98,12 +123,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame
     return got.withColumn(value, F.when(F.col("_there").isNull(), missing).otherwise(F.col("_v"))).drop("_v", "_there")
 
 
-def genotype_concordance(truth: DataFrame, calls: DataFrame, keys: list[str], **rule) -> DataFrame:
-    """Per ``keys`` (columns of calls): recall, true variants that it implies, share of matches with equal genotypes, and recall of those. truth and calls have a genotype, ``t_gt`` and ``gt``."""
-    best = mutual_best(candidates(truth, calls, **rule), ["caller"])
-    tp = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"), F.count_if(F.col("t_gt") == F.col("gt")).alias("same"))
-    n = truth.groupBy(*[k for k in keys if k in truth.columns]).agg(F.count(F.lit(1)).alias("n"))
-    on = [k for k in keys if k in truth.columns]
-    x = tp.join(n, on) if on else tp.join(F.broadcast(n))
-    r = F.col("tp") / F.col("n")
-    return x.select(*keys, "tp", r.alias("recall"), (F.col("tp") / r).alias("n_true"), (F.col("same") / F.col("tp")).alias("concordance"), (F.col("same") / F.col("n")).alias("exact_recall"))
+def genotype_matches(truth: DataFrame, calls: DataFrame, kinds: list[str], runs: list[str], **rule) -> DataFrame:
+    """Per ``kinds`` (columns of truth) and ``runs`` (columns of calls): tp, same (matches of equal genotype) and measured (recall). Each run is matched for itself; truth and calls have a genotype, ``t_gt`` and ``gt``."""
+    best = one_to_one(candidates(truth, calls, **rule), runs)
+    tp = best.groupBy(*kinds, *runs).agg(F.count(F.lit(1)).alias("tp"), F.count_if(F.col("t_gt") == F.col("gt")).alias("same"))
+    n = truth.groupBy(*kinds).agg(F.count(F.lit(1)).alias("_n"))
+    return tp.join(n, kinds).select(*kinds, *runs, "tp", "same", (F.col("tp") / F.col("_n")).alias("measured"))
+
+
+def genotype_concordance(matches: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """Of ``genotype_matches``: n_true, the true variants that matches and recall imply at the largest ``level``; and against it recall, share of matches of equal genotype, and recall of those."""
+    top = F.first(F.col("tp") / F.col("measured")).over(Window.partitionBy(*keys).orderBy(F.desc(level)))
+    d = matches.withColumn("n_true", top)
+    return d.select(*keys, level, "tp", "n_true", (F.col("tp") / F.col("n_true")).alias("recall"), (F.col("same") / F.col("tp")).alias("concordance"), (F.col("same") / F.col("n_true")).alias("exact_recall"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from .intervals import running
 
 
@@ -19,14 +20,13 @@ def uniform(seed: int, slot: int, *keys: Column | str) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def ordinals(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """0-based position in key order (non-negative integer keys): counts of key ranges, their prefix, then order inside a range. No task sorts the whole."""
-    top = df.agg(F.max(key).alias("_m")).withColumn("_w", F.greatest(F.lit(1), F.ceil((F.col("_m") + 1) / buckets)))
-    d = df.join(F.broadcast(top)).withColumn("_b", F.floor(F.col(key) / F.col("_w")))
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return d.withColumn("_i", inside).join(before, "_b").withColumn("ordinal", F.col("_before") + F.col("_i")).drop("_b", "_m", "_w", "_i", "_before")
+def ordinals(df: DataFrame, key: str) -> DataFrame:
+    """0-based position in key order: a range sort whose bounds come from the rows, counts of its partitions, their prefix, and places in a partition. No task sorts the whole, whatever the keys; of equal keys the order is any. One row a partition is broadcast."""
+    d = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    d = materialize(d.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)), "ordinals")
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(F.broadcast(counts.select("_p", before.alias("_before"))), "_p").withColumn("ordinal", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 
 
 def ranks(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], name: str = "rank") -> DataFrame:
@@ -40,9 +40,10 @@ def ranks(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | s
 
 
 def shuffled(df: DataFrame, keys: list[str], by: str, seed: int) -> DataFrame:
-    """Rank of each row in a hashed order within its key (a Fisher-Yates shuffle's counterpart), by 1024 ranges of the hash."""
+    """Rank of each row in a hashed order within its key (a Fisher-Yates shuffle's counterpart), by ranges of the hash: as many as the rows need for some 65536 each if one key has them all, 1024 at least."""
+    bits = max(10, (df.count() >> 16).bit_length())
     d = df.withColumn("_h", F.xxhash64(F.lit(seed), by))
-    return ranks(d, keys, F.shiftright("_h", 54), ["_h", by]).drop("_h")
+    return ranks(d, keys, F.shiftright("_h", 64 - bits), ["_h", by]).drop("_h")
 
 
 def take_until(df: DataFrame, order: list[Column], amount: str, target: int, keys: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
@@ -70,18 +71,47 @@ def normal_mass(bins: DataFrame, mean_col: str, sd_col: str, width: int) -> Data
     return bins.mapInPandas(run, schema + ", p double")
 
 
-def bimodal_reads(reads: DataFrame, cdf: DataFrame, draws: int, target: int, seed: int = 1, width: int = 500, bins: int = 70) -> DataFrame:
+def prefix_levels(reads: DataFrame, order: list[Column], amount: str, quantum: float, levels: int, bucket: Column | None = None) -> DataFrame:
+    """level, n, bp: rows until ``level * quantum`` of the amount, in an order, for levels from 1 on. A row belongs to the first level that is not reached before it."""
+    d = reads.withColumn("_b", order[0] if bucket is None else bucket)
+    d = running(d, [], "_b", order, {"_cum": (F.col(amount), "sum")})
+    at = F.floor((F.col("_cum") - F.col(amount)) / quantum) + 1
+    per = d.select(at.alias("level"), F.col(amount).alias("_a")).where(F.col("level") <= levels).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("bp"))
+    every = reads.sparkSession.range(1, levels + 1).withColumnRenamed("id", "level").join(per, "level", "left")
+    run = Window.partitionBy(F.lit(0)).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)  # a row a level
+    return every.select("level", F.sum("n").over(run).alias("n"), F.sum("bp").over(run).alias("bp"))
+
+
+def bimodal_reads(reads: DataFrame, cdf: DataFrame, draws: int, target: int, seed: int = 1, width: int = 500, bins: int = 70, attempts: int = 50) -> DataFrame:
     """Reads without replacement: the k-th draw of a bin takes its k-th read in hashed order, until ``target`` bases.
 
-    cdf: bin, cum. Draws on a bin that has no read left take none. If the reads taken
-    fall short of the target, the caller lowers it (``feasible_target``).
+    cdf: bin, cum. ``draws`` is a first guess: while the reads fall short of the target there are four
+    times as many, the first ones staying as they were. A draw on a bin that has no read left
+    takes none. If the bins have too few reads for the target, or ``attempts`` draws a read
+    do not reach it, that is an error with the figures.
     """
-    spark = reads.sparkSession
-    table = cdf.agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("t"))  # one row of ``bins``
-    d = spark.range(draws).withColumn("u", uniform(seed, 0, "id")).join(F.broadcast(table))
+    binned = materialize(reads.withColumn("bin", F.least(F.floor(F.col("len") / width), F.lit(bins - 1))), "binned")
+    before = F.coalesce(F.lag("cum").over(Window.partitionBy(F.lit(0)).orderBy("bin")), F.lit(0.0))  # a row a bin
+    drawn = cdf.withColumn("_p", F.col("cum") - before).where("_p > 0").select("bin")
+    left, most = binned.join(F.broadcast(drawn), "bin", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    if most < target:
+        raise ValueError(f"the bins have {most} of {target} bases")
+    while True:
+        got = materialize(_drawn_reads(binned, cdf, draws, target, seed), "drawn")
+        n, total = got.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        if total >= target:
+            return got
+        if draws > attempts * max(left, 1):
+            raise ValueError(f"{draws} draws took {n} of {left} reads, {total} of {target} bases")
+        draws *= 4
+
+
+def _drawn_reads(binned: DataFrame, cdf: DataFrame, draws: int, target: int, seed: int) -> DataFrame:
+    table = cdf.agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("t"))  # one row of bins
+    d = binned.sparkSession.range(draws).withColumn("u", uniform(seed, 0, "id")).join(F.broadcast(table))
     d = d.select(F.col("id").alias("draw"), F.get(F.filter("t", lambda x: x["cum"] > F.col("u")), F.lit(0))["bin"].alias("bin")).where("bin is not null")
     d = ranks(d, ["bin"], F.floor(F.col("draw") / 65536), ["draw"])
-    r = shuffled(reads.withColumn("bin", F.least(F.floor(F.col("len") / width), F.lit(bins - 1))), ["bin"], "read_id", seed)
+    r = shuffled(binned, ["bin"], "read_id", seed)
     return take_until(d.join(r, ["bin", "rank"]), [F.col("draw")], "len", target, bucket=F.floor(F.col("draw") / 65536)).select("draw", "read_id", "bin", "len", "cum")
 
 
@@ -127,44 +157,17 @@ def sample_variants(spark, types: DataFrame, lengths: DataFrame, afs: DataFrame,
 
 
 def without_collisions(on_haplotype: DataFrame, reach: int = 5) -> DataFrame:
-    """Variants of each haplotype that are left by greedy removal: the least-degree variant (then least id) stays, its neighbours go.
+    """Variants of each haplotype that are left: in rounds, one that has the fewest colliding variants left of all that it collides with (then the least id) stays, and those go.
 
-    haplotype_id, variant_id, first, last. A haplotype is a few thousand variants; one
-    group is one haplotype.
+    haplotype_id, variant_id, first, last, and chrom unless all rows are of one. A group is the
+    variants that one collides with.
     """
+    from . import rounds
+    from .matching import neighbours
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        g = g.sort_values(["first", "variant_id"]).reset_index(drop=True)
-        first, last, ids = g["first"].to_numpy(), g["last"].to_numpy(), g["variant_id"].to_numpy()
-        near: list[set[int]] = [set() for _ in range(len(g))]
-        live: list[int] = []
-        for i in range(len(g)):
-            live = [j for j in live if last[j] + reach >= first[i]]
-            for j in live:
-                near[i].add(j)
-                near[j].add(i)
-            live.append(i)
-        heap = [(len(near[i]), ids[i], i) for i in range(len(g))]
-        heapq.heapify(heap)
-        state = np.zeros(len(g), int)
-        while heap:
-            d, _, i = heapq.heappop(heap)
-            if state[i] or d != len(near[i]):
-                continue
-            state[i] = 1
-            for j in list(near[i]):
-                if state[j]:
-                    continue
-                state[j] = 2
-                for k in near[j]:
-                    if k != j and not state[k]:
-                        near[k].discard(j)
-                        heapq.heappush(heap, (len(near[k]), ids[k], k))
-        return g[state == 1][["haplotype_id", "variant_id"]]
-
-    return on_haplotype.select("haplotype_id", "variant_id", "first", "last").groupBy("haplotype_id").applyInPandas(run, "haplotype_id long, variant_id long")
+    keys = [c for c in ("chrom", "haplotype_id") if c in on_haplotype.columns]
+    gone = rounds.dropped(rounds.both_ways(neighbours(on_haplotype, reach), keys, []), keys)
+    return on_haplotype.select(*keys, "variant_id").join(gone.withColumnRenamed("id", "variant_id"), [*keys, "variant_id"], "left_anti")
 
 
 def apply_variants(reference: str | DataFrame, on_haplotype: DataFrame) -> DataFrame:

@@ -95,3 +95,12 @@ def project_arms(hist: DataFrame, arms: DataFrame, target_p: int, target_q: int,
     t = b.withColumn("target", F.explode(F.sequence(F.floor(F.col("ts") / width), F.floor((F.col("te") - 1e-9) / width))))
     share = (F.least(F.col("te"), (F.col("target") + 1) * width) - F.greatest(F.col("ts"), F.col("target") * width)) / (F.col("te") - F.col("ts"))
     return t.groupBy(F.col("target").alias("bin")).agg(F.sum(F.col("n") * share).alias("mass"))
+
+
+def read_profile(reads: DataFrame) -> DataFrame:
+    """One row: number of reads, lengths (total, shortest, longest, mean, sd) and accuracies of their qualities (mean, sd, least, largest)."""
+    from ..functions.variants import accuracy
+
+    d = reads.select(F.length("sequence").cast("long").alias("n"), accuracy(F.col("quality")).alias("a"))
+    lengths = [F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd")]
+    return d.agg(*lengths, F.avg("a").alias("accuracy"), F.stddev_pop("a").alias("accuracy_sd"), F.min("a").alias("accuracy_min"), F.max("a").alias("accuracy_max"))

@@ -25,20 +25,21 @@ def query(views: str, sql: str | None = None):
         _QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in names])
         if sql is not None:
             body = sql.strip()
-            _SQL[name] = f"WITH {with_views(*names)}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {with_views(*names)} {body}"
+            word = next((w for w in ("WITH RECURSIVE", "WITH") if body.upper().startswith(w)), "")
+            _SQL[name] = f"{word or 'WITH'} {with_views(*names)}{',' * bool(word)} {body[len(word):].lstrip()}"
         return f
 
     return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more, round_trips  # noqa: F401  register their own
+    from . import catalog_more, genome, profiles, round_trips  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more, round_trips  # noqa: F401
+    from . import catalog_more, genome, profiles, round_trips  # noqa: F401
 
     return dict(_SQL)
 
@@ -65,6 +66,14 @@ def context_sql(name: str, source: str, lo: str, hi: str, slo: str, shi: str) ->
  {n} AS (SELECT DISTINCT w.variant_id, CAST(coalesce(t, CASE WHEN s.variant_id IS NOT NULL THEN 3 END, 4) AS INTEGER) AS ctx FROM {n}w w LEFT JOIN {n}r r ON w.variant_id=r.variant_id LEFT JOIN {n}s s ON w.variant_id=s.variant_id)"""
 
 
+_ISLANDS = "im AS (SELECT *, max(rend) OVER (PARTITION BY chrom ORDER BY rstart,rend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM repeats), ig AS (SELECT *, sum(CASE WHEN pe IS NULL OR rstart>pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY rstart,rend ROWS UNBOUNDED PRECEDING) AS g FROM im), il AS (SELECT chrom, min(rstart) AS s, max(rend) AS e FROM ig GROUP BY chrom, g), ib AS (SELECT *, " + _BINS.format("s", "e") + " FROM il)"
+
+
+def covered_sql(spans: str, key: str) -> str:
+    """CTEs ending in cov (key, covered): bases of spans (key, chrom, first, last) under merged repeats."""
+    return f"{_ISLANDS}, cs AS (SELECT *, {_BINS.format('first', 'last')} FROM {spans}), cov AS (SELECT {key}, CAST(sum(least(last,e)-greatest(first,s)+1) AS BIGINT) AS covered FROM cs JOIN ib ON cs.chrom=ib.chrom AND cs.b=ib.b WHERE s<=last AND e>=first AND cs.b=CAST(floor(greatest(first,s)/4096.0) AS BIGINT) GROUP BY 1)"
+
+
 _T = "(CASE evidence WHEN 'SR' THEN 25 WHEN 'PE' THEN 250 ELSE 1000 END)"
 #: First and second breakpoint; insertions have the first alone.
 FIRST = context_sql("c1", "variants", f"pos-{_T}", f"pos+{_T}", "pos-25", "pos+25")
@@ -186,7 +195,13 @@ def jn9_genotypes(genotypes):
 
 
 _PAIRS = "p AS (SELECT t.variant_id,c.call_id,c.caller,abs(t.pos-c.pos) AS d FROM truth t JOIN calls c ON t.chrom=c.chrom AND t.svtype=c.svtype AND abs(t.pos-c.pos)<=500 AND least(t.len,c.len)*10>=greatest(t.len,c.len)*7 AND t.len BETWEEN 50 AND 50000 AND c.len BETWEEN 30 AND 50000)"
-_BEST = "r AS (SELECT *,row_number() OVER (PARTITION BY caller,variant_id ORDER BY d,call_id) AS a,row_number() OVER (PARTITION BY caller,call_id ORDER BY d,variant_id) AS b FROM p), b AS (SELECT * FROM r WHERE a=1 AND b=1)"
+def matching_sql(pairs: str, group: str) -> str:
+    """CTEs r and b: greedy matching as rounds; b has the pairs. A round takes what is first on both sides; the next one drops what that rules out."""
+    return f"""r AS (SELECT {group}, variant_id, call_id, d, false AS m FROM {pairs} UNION ALL SELECT {group}, variant_id, call_id, d, m FROM (SELECT *, max(m) OVER (PARTITION BY {group}, call_id) AS t FROM (SELECT {group}, variant_id, call_id, d, a AND row_number() OVER (PARTITION BY {group}, call_id ORDER BY d, variant_id, a DESC)=1 AS m FROM (
+ SELECT *, row_number() OVER (PARTITION BY {group}, variant_id ORDER BY d, call_id)=1 AS a FROM (SELECT *, max(m) OVER (PARTITION BY {group}, variant_id) AS t FROM r) WHERE NOT t))) WHERE m OR NOT t), b AS (SELECT {group}, variant_id, call_id, d FROM r WHERE m)"""
+
+
+_BEST = matching_sql("p", "caller")
 
 
 @query("truth calls", f"WITH {_PAIRS} SELECT caller, count(*) AS pairs, count(DISTINCT variant_id) AS tp_base, count(DISTINCT call_id) AS tp_call FROM p GROUP BY caller")
@@ -195,37 +210,38 @@ def jn10_candidates(truth, calls):
     return matching.candidates(truth, calls).groupBy("caller").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("variant_id").alias("tp_base"), F.countDistinct("call_id").alias("tp_call"))
 
 
-@query("truth calls", f"WITH {_PAIRS}, {_BEST} SELECT caller, variant_id, call_id, d FROM b")
+@query("truth calls", f"WITH RECURSIVE {_PAIRS}, {_BEST} SELECT caller, variant_id, call_id, d FROM b")
 def jn10_mutual_best(truth, calls):
     """JN10: one-to-one matches."""
-    return matching.mutual_best(matching.candidates(truth, calls), ["caller"]).select("caller", "variant_id", "call_id", "d")
+    return matching.one_to_one(matching.candidates(truth, calls), ["caller"]).select("caller", "variant_id", "call_id", "d")
 
 
 @query("truth calls", f"""
-WITH {_PAIRS}, {_BEST}, n AS (SELECT c.caller, count(*) AS c, (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM b WHERE b.caller=c.caller) AS tp FROM calls c GROUP BY c.caller)
+WITH RECURSIVE {_PAIRS}, {_BEST}, n AS (SELECT c.caller, count(*) AS c, (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM b WHERE b.caller=c.caller) AS tp FROM calls c GROUP BY c.caller)
 SELECT caller, tp, c-tp AS fp, t-tp AS fn, tp/c AS "precision", tp/t AS recall, 2*(tp/c)*(tp/t)/nullif(tp/c+tp/t,0) AS f1 FROM n""")
 def agg10_bench(truth, calls):
     """AGG10, SRC21: scores of each caller."""
     return matching.bench(truth, calls, "caller")
 
 
-@query("truth calls", f"WITH {_PAIRS}, {_BEST} SELECT t.variant_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.variant_id=t.variant_id)")
+@query("truth calls", f"WITH RECURSIVE {_PAIRS}, {_BEST} SELECT t.variant_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.variant_id=t.variant_id)")
 def jn10_false_negatives(truth, calls):
-    return matching.unmatched(truth, matching.mutual_best(matching.candidates(truth, calls), ["caller"]), "variant_id").select("variant_id")
+    return matching.unmatched(truth, matching.one_to_one(matching.candidates(truth, calls), ["caller"]), "variant_id").select("variant_id")
 
 
-@query("truth calls", f"WITH {_PAIRS}, {_BEST} SELECT c.call_id, c.caller FROM calls c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.call_id=c.call_id)")
+@query("truth calls", f"WITH RECURSIVE {_PAIRS}, {_BEST} SELECT c.call_id, c.caller FROM calls c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.call_id=c.call_id)")
 def jn10_false_positives(truth, calls):
-    return matching.unmatched(calls, matching.mutual_best(matching.candidates(truth, calls), ["caller"]), "call_id").select("call_id", "caller")
+    return matching.unmatched(calls, matching.one_to_one(matching.candidates(truth, calls), ["caller"]), "call_id").select("call_id", "caller")
 
 
-@query("calls", """
-WITH k AS (SELECT * FROM calls WHERE abs(call_id)%4 IN (0,3)), p AS (SELECT * FROM calls WHERE abs(call_id)%4=1 UNION ALL SELECT * FROM calls WHERE abs(call_id)%4=2)
-SELECT DISTINCT k.call_id FROM k JOIN p ON k.chrom=p.chrom AND k.svtype=p.svtype AND abs(k.pos-p.pos)<=500 AND least(k.len,p.len)*10>=greatest(k.len,p.len)*7 AND k.len BETWEEN 50 AND 50000 AND p.len BETWEEN 30 AND 50000""")
+@query("calls", f"""
+WITH RECURSIVE k AS (SELECT * FROM calls WHERE abs(call_id)%4 IN (0,3)), q AS (SELECT *, abs(call_id)%4-1 AS parent FROM calls WHERE abs(call_id)%4 IN (1,2)),
+ p AS (SELECT q.parent, k.call_id AS variant_id, q.call_id, abs(k.pos-q.pos) AS d FROM k JOIN q ON k.chrom=q.chrom AND k.svtype=q.svtype AND abs(k.pos-q.pos)<=500 AND least(k.len,q.len)*10>=greatest(k.len,q.len)*7 AND k.len BETWEEN 50 AND 50000 AND q.len BETWEEN 30 AND 50000),
+ {matching_sql("p", "parent")} SELECT variant_id AS call_id, string_agg(DISTINCT CAST(parent AS VARCHAR), ',' ORDER BY CAST(parent AS VARCHAR)) AS parents FROM b GROUP BY 1""")
 def jn11_inherited_calls(calls):
-    """JN11: calls of a child that match a call of either of two parents."""
+    """JN11: calls of a child with the parents that have them: one matching a parent, merged."""
     of = lambda *k: calls.where((F.abs("call_id") % 4).isin(*k))
-    return matching.trio_truth(of(0, 3), of(1), of(2))
+    return matching.trio_truth(of(0, 3), of(1), of(2)).select("call_id", F.concat_ws(",", F.transform("parents", lambda x: x.cast("string"))).alias("parents"))
 
 
 _ALLELES = "concat('N', CASE WHEN svtype='DEL' THEN CAST(len%3 AS VARCHAR) ELSE '' END) AS ref, CASE svtype WHEN 'DEL' THEN 'N' ELSE concat('<',svtype,'>') END AS alt"
@@ -243,13 +259,21 @@ def jn12_exact_merge(calls):
     return matching.exact_merge(a, ["chrom", "pos", "ref", "alt"], "caller").withColumn("samples", F.concat_ws(",", "samples"))
 
 
-@query("calls", """
-WITH c AS (SELECT call_id, chrom, pos, svtype, len, abs(call_id)%7 AS n FROM calls WHERE len>=40),
- p AS (SELECT b.call_id, a.call_id AS other, a.n FROM c a JOIN c b ON a.chrom=b.chrom AND a.svtype=b.svtype AND abs(a.pos-b.pos)<=500 AND a.len BETWEEN 40 AND 50000 AND b.len BETWEEN 40 AND 50000 AND least(a.len,b.len)*10>=greatest(a.len,b.len)*9),
- r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY n DESC, other) AS rn FROM p)
-SELECT call_id, other AS kept_id FROM r WHERE rn=1""")
+def greedy_sql(pairs: str, keys: str = "", fewest: bool = False) -> str:
+    """CTEs r and gone: rows (a) that greedy choice by (a_n, a) leaves out, as rounds over pairs both ways. ``fewest``: a_n and b_n are the pairs left of each, counted anew in every round."""
+    k = f"{keys}, " if keys else ""
+    left = f"(SELECT {k}a, b, count(*) OVER (PARTITION BY {k}a) AS a_n, count(*) OVER (PARTITION BY {k}b) AS b_n FROM r WHERE NOT over)" if fewest else "r WHERE NOT over"
+    return f"""r AS (SELECT {k}a, b, a_n, b_n, false AS gone, false AS over FROM {pairs} UNION ALL SELECT {k}a, b, a_n, b_n, gone, gone OR x OR y OR off FROM (SELECT *, bool_or(x) OVER (PARTITION BY {k}b) AS off FROM (
+ SELECT *, (a_n, a) < min((b_n, b)) OVER (PARTITION BY {k}a) AS x, bool_or(y) OVER (PARTITION BY {k}a) AS gone FROM (SELECT {k}a, b, a_n, b_n, (b_n, b) < min((a_n, a)) OVER (PARTITION BY {k}b) AS y FROM {left})))), gone AS (SELECT DISTINCT {k}a FROM r WHERE gone)"""
+
+
+@query("calls", f"""
+WITH RECURSIVE c AS (SELECT call_id, chrom, pos, svtype, len, -(abs(call_id)%7) AS n FROM calls WHERE len BETWEEN 40 AND 50000),
+ p AS (SELECT DISTINCT x.call_id AS a, y.call_id AS b, x.n AS a_n, y.n AS b_n FROM c x JOIN c y ON x.chrom=y.chrom AND x.svtype=y.svtype AND x.call_id<>y.call_id AND abs(x.pos-y.pos)<=500 AND least(x.len,y.len)*10>=greatest(x.len,y.len)*9),
+ {greedy_sql("p")}, k AS (SELECT b, a, row_number() OVER (PARTITION BY b ORDER BY a_n, a) AS rn FROM p WHERE b IN (SELECT a FROM gone) AND a NOT IN (SELECT a FROM gone))
+SELECT DISTINCT c.call_id, coalesce(k.a, c.call_id) AS kept_id FROM c LEFT JOIN k ON c.call_id=k.b AND rn=1""")
 def jn13_collapse(calls):
-    """JN13: near-duplicates of all callers fold into the best supported."""
+    """JN13: near-duplicates of all callers fold into kept calls, the best supported first; a kept call is never folded."""
     return matching.collapse(calls.withColumn("support", F.abs("call_id") % 7), "support", size=0.9)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import variants as fn
-from ..operators import intervals, matching, sampling, statistics
+from ..operators import call_files, intervals, matching, sampling, statistics
 from ..session import materialize
-from .catalog import _BEST, _PAIRS, FIRST, RB, RB_ALONE, SECOND, first_context, query, second_context, spanned
+from .catalog import _BEST, _PAIRS, FIRST, RB, SECOND, context_sql, covered_sql, first_context, greedy_sql, matching_sql, query, second_context, spanned
 
 # --- aggregations ------------------------------------------------------------
 
@@ -130,16 +130,16 @@ def agg16_annotation_totals(repeats):
 
 
 @query("variants repeats", f"""
-WITH {RB_ALONE}, s AS (SELECT DISTINCT variant_id, chrom, svtype, pos AS first, CASE WHEN svtype='INS' THEN pos ELSE pos+len-1 END AS last FROM variants), y AS (SELECT *, unnest(range(CAST(floor(first/4096.0) AS BIGINT), CAST(floor(last/4096.0) AS BIGINT)+1)) AS b FROM s WHERE svtype<>'INS'),
- c AS (SELECT DISTINCT variant_id, greatest(first,rstart) AS a, least(last,rend) AS z FROM y JOIN rb ON y.chrom=rb.chrom AND y.b=rb.b WHERE rstart<=last AND rend>=first),
- m AS (SELECT *, max(z) OVER (PARTITION BY variant_id ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c), f AS (SELECT variant_id, CAST(sum(greatest(0,z-greatest(a,coalesce(e,-1)+1)+1)) AS BIGINT) AS covered FROM m GROUP BY 1)
-SELECT s.variant_id, svtype, coalesce(covered,0) AS covered, round_even(coalesce(covered,0)/(last-first+1),4) AS fraction FROM s LEFT JOIN f ON s.variant_id=f.variant_id""")
+WITH s AS (SELECT DISTINCT variant_id, chrom, svtype, pos AS first, CASE WHEN svtype='INS' THEN pos ELSE pos+len-1 END AS last FROM variants), sp AS (SELECT * FROM s WHERE svtype<>'INS'), {covered_sql("sp", "variant_id")}
+SELECT s.variant_id, svtype, coalesce(covered,0) AS covered, round_even(coalesce(covered,0)/(last-first+1),4) AS fraction FROM s LEFT JOIN cov ON s.variant_id=cov.variant_id""")
 def agg17_to_19_repeat_fraction(variants, repeats):
-    """AGG17-19, SNK5: bases of a variant under merged repeats, and their fraction to four decimals. One that meets no repeat has 0, and so has an insertion, which spans nothing."""
+    """AGG17-19, SNK5: bases of a variant under merged repeats, and their fraction to four decimals. One that meets no repeat has 0, and so has an insertion, which spans nothing.
+
+    Repeats are merged first, so that a base counts once without an order within a variant.
+    """
     s = spanned(variants).select("variant_id", "chrom", "svtype", "first", "last").distinct()
-    met = intervals.clipped_overlaps(s.where("svtype <> 'INS'"), repeats, ["chrom"], ("first", "last"), ("rstart", "rend"))
-    keys = ["variant_id", "chrom", "svtype", "first", "last"]
-    c = s.join(intervals.covered(met, keys, "from_pos", "to_pos"), keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    merged = intervals.merge(repeats.select("chrom", F.col("rstart").alias("s"), F.col("rend").alias("e")), ["chrom"], "s", "e", 0, tile=1 << 18)
+    c = s.join(call_files.covered_share(s.where("svtype <> 'INS'"), merged, "variant_id"), "variant_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return c.select("variant_id", "svtype", "covered", F.bround(F.col("covered") / (F.col("last") - F.col("first") + 1), 4).alias("fraction"))
 
 
@@ -149,13 +149,60 @@ def agg20_ana6_series_totals(reads):
     return x.groupBy("flowcell").agg(F.sum("n").alias("total"), (100.0 * (F.max("n") - F.min("n")) / F.min("n")).alias("delta"))
 
 
-@query("truth calls", f"""
-WITH {_PAIRS}, {_BEST}, x AS (SELECT t.svtype, b.caller, count(*) AS tp, count(CASE WHEN t.variant_id%3=abs(b.call_id)%7%3 THEN 1 END) AS gt FROM b JOIN truth t ON b.variant_id=t.variant_id GROUP BY 1,2), n AS (SELECT svtype, count(*) AS n FROM truth GROUP BY 1)
-SELECT x.svtype, caller, tp, tp/n AS recall, tp/(tp/n) AS n_true, gt/tp AS concordance, gt/n AS exact_recall FROM x JOIN n ON x.svtype=n.svtype""")
-def agg21_ana5_concordance(truth, calls):
-    """AGG21, AGG10, ANA5: matches of each type and caller, and those of equal genotype."""
+_SWEEP = f"""cc AS (SELECT c.*, v AS coverage, concat(c.caller, '_', CAST(v AS VARCHAR)) AS run FROM calls c, (VALUES (4),(8),(16)) x(v) WHERE abs(call_id)%16<v),
+ p AS (SELECT cc.run, t.variant_id, cc.call_id, abs(t.pos-cc.pos) AS d FROM truth t JOIN cc ON t.chrom=cc.chrom AND t.svtype=cc.svtype AND abs(t.pos-cc.pos)<=500 AND least(t.len,cc.len)*10>=greatest(t.len,cc.len)*7 AND t.len BETWEEN 50 AND 50000 AND cc.len BETWEEN 30 AND 50000), {matching_sql("p", "run")},
+ x AS (SELECT t.svtype, regexp_extract(run,'^[^_]*') AS caller, CAST(regexp_extract(run,'[0-9]+$') AS INTEGER) AS coverage, count(*) AS tp, count(CASE WHEN t.variant_id%3=abs(b.call_id)%7%3 THEN 1 END) AS gt FROM b JOIN truth t ON b.variant_id=t.variant_id GROUP BY 1,2,3), n AS (SELECT svtype, count(*) AS n FROM truth GROUP BY 1),
+ y AS (SELECT x.*, tp/n AS measured FROM x JOIN n ON x.svtype=n.svtype), z AS (SELECT *, first_value(tp/measured) OVER (PARTITION BY svtype, caller ORDER BY coverage DESC) AS n_true FROM y)"""
+
+
+def _by_coverage(truth, calls):
+    """Matches, those of equal genotype, and the recall measured, of each type, caller and coverage: a call counts at the coverages that it needs."""
     t = truth.withColumn("t_gt", F.col("variant_id") % 3)
-    return matching.genotype_concordance(t, calls.withColumn("gt", F.abs("call_id") % 7 % 3), ["svtype", "caller"])
+    need = F.filter(F.array(*map(F.lit, (4, 8, 16))), lambda v: F.abs("call_id") % 16 < v)
+    c = calls.withColumn("gt", F.abs("call_id") % 7 % 3).withColumn("coverage", F.explode(need))
+    return matching.genotype_matches(t, c, ["svtype"], ["caller", "coverage"])
+
+
+@query("truth calls", f"WITH RECURSIVE {_SWEEP} SELECT svtype, caller, coverage, tp, n_true, tp/n_true AS recall, gt/tp AS concordance, gt/n_true AS exact_recall FROM z")
+def agg21_ana5_concordance(truth, calls):
+    """AGG21, AGG10, ANA5: the number of true variants is what matches and recall imply at the largest coverage; recall, genotype concordance and exact recall of every coverage are against it."""
+    return matching.genotype_concordance(_by_coverage(truth, calls), ["svtype", "caller"], "coverage")
+
+
+@query("truth calls", f"WITH RECURSIVE {_SWEEP} SELECT caller, coverage, sum(tp)/sum(n_true) AS recall, 100.0::DOUBLE*(first_value(sum(tp)) OVER (PARTITION BY caller ORDER BY coverage DESC)-first_value(sum(tp)) OVER (PARTITION BY caller ORDER BY coverage))/first_value(sum(tp)) OVER (PARTITION BY caller ORDER BY coverage) AS delta FROM z GROUP BY 1,2")
+def ana4_recall_by_coverage(truth, calls):
+    """ANA4, ANA7: recall of all types at every coverage, and its change in percent from the least coverage to the largest."""
+    d = matching.genotype_concordance(_by_coverage(truth, calls), ["svtype", "caller"], "coverage").groupBy("caller", "coverage").agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("n"))
+    low, high = (F.first("tp").over(Window.partitionBy("caller").orderBy(o)) for o in (F.asc("coverage"), F.desc("coverage")))
+    return d.select("caller", "coverage", (F.col("tp") / F.col("n")).alias("recall"), (100.0 * (high - low) / low).alias("delta"))
+
+
+_FACETS = ("svtype", "length", "frequency", "contexts", "share")
+
+
+def _facet_sql(rows: str, lengths: str) -> str:
+    sets = ", ".join(["(callset)", *[f"(callset, {f})" for f in _FACETS]])
+    return f"""SELECT callset, {", ".join(_FACETS)}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(c)-sum(hit) AS BIGINT) AS fp, CAST(sum(t)-sum(tp) AS BIGINT) AS fn, sum(hit)/nullif(sum(c),0) AS "precision", sum(tp)/nullif(sum(t),0) AS recall, 2*(sum(hit)/nullif(sum(c),0))*(sum(tp)/nullif(sum(t),0))/nullif(sum(hit)/nullif(sum(c),0)+sum(tp)/nullif(sum(t),0),0) AS f1 FROM {rows} GROUP BY GROUPING SETS ({sets})"""
+
+
+_LENGTH = "CASE WHEN len<500 THEN 50 WHEN len<1000 THEN 500 WHEN len<5000 THEN 1000 ELSE 5000 END"
+
+
+@query("truth calls repeats segdups", f"""
+WITH RECURSIVE k AS (SELECT *, caller AS callset FROM calls UNION ALL SELECT * EXCLUDE rn, 'merged' FROM (SELECT *, row_number() OVER (PARTITION BY chrom, svtype, floor(pos/100) ORDER BY call_id) AS rn FROM calls) WHERE rn=1 UNION ALL SELECT *, 'joint' FROM calls),
+ p AS (SELECT k.callset, t.variant_id, k.call_id, abs(t.pos-k.pos) AS d FROM truth t JOIN k ON t.chrom=k.chrom AND t.svtype=k.svtype AND abs(t.pos-k.pos)<=500 AND least(t.len,k.len)*10>=greatest(t.len,k.len)*7 AND t.len BETWEEN 50 AND 50000 AND k.len BETWEEN 30 AND 50000), {matching_sql("p", "callset")},
+ every AS (SELECT variant_id, chrom, pos, svtype, len, af FROM truth UNION ALL SELECT call_id, chrom, pos, svtype, len, NULL FROM calls), {RB},
+ {context_sql("f1", "every", "pos-100", "pos+100", "pos-25", "pos+25")}, {context_sql("f2", "(SELECT variant_id, chrom, pos+len-1 AS pos FROM every WHERE svtype<>'INS') y", "pos-100", "pos+100", "pos-25", "pos+25")},
+ sp AS (SELECT DISTINCT variant_id, chrom, pos AS first, pos+len-1 AS last FROM every WHERE svtype<>'INS'), {covered_sql("sp", "variant_id")},
+ e AS (SELECT DISTINCT every.variant_id, every.svtype, CAST({_LENGTH} AS BIGINT) AS length, CAST(floor(af*10) AS BIGINT) AS frequency, concat(CAST(f1.ctx AS VARCHAR),'-',CAST(coalesce(f2.ctx,f1.ctx) AS VARCHAR)) AS contexts, CAST(floor(5*coalesce(covered,0)/len) AS BIGINT) AS share FROM every JOIN f1 ON every.variant_id=f1.variant_id LEFT JOIN f2 ON every.variant_id=f2.variant_id LEFT JOIN cov ON every.variant_id=cov.variant_id),
+ u AS (SELECT s.callset, t.variant_id AS id, 1 AS t, 0 AS c, CASE WHEN b.variant_id IS NULL THEN 0 ELSE 1 END AS tp, 0 AS hit FROM (SELECT DISTINCT callset FROM k) s CROSS JOIN truth t LEFT JOIN b ON b.callset=s.callset AND b.variant_id=t.variant_id UNION ALL SELECT k.callset, k.call_id, 0, 1, 0, CASE WHEN b.call_id IS NULL THEN 0 ELSE 1 END FROM k LEFT JOIN b ON b.callset=k.callset AND b.call_id=k.call_id),
+ w AS (SELECT u.*, e.* EXCLUDE variant_id FROM u JOIN e ON u.id=e.variant_id)
+{_facet_sql("w", _LENGTH)}""")
+def ana2_set6_facets(truth, calls, repeats, segdups):
+    """ANA2, ANA7, PRJ5, SET6: six measures of individual, merged and joint call sets by type, length, frequency (of the truth), context pair and repeat share, as grouping sets of one plan."""
+    from . import studies
+
+    return studies.facets(truth, studies.call_sets(calls), repeats, segdups)
 
 
 # --- ordered operators -----------------------------------------------------------
@@ -241,28 +288,13 @@ def win13_prefix_unions(reads):
     return per.select(F.col("c").cast("int").alias("coverage"), F.sum("n").over(run).alias("n"), F.sum("bp").over(run).alias("bp"))
 
 
-@query("variants")
+@query("variants", f"""
+WITH RECURSIVE i AS (SELECT DISTINCT chrom, variant_id, pos AS first, pos+len-1 AS last, len*10000000+pos AS n FROM variants WHERE svtype='INV'),
+ p AS (SELECT x.chrom, x.variant_id AS a, y.variant_id AS b, x.n AS a_n, y.n AS b_n FROM i x JOIN i y ON x.chrom=y.chrom AND x.variant_id<>y.variant_id AND x.first<=y.last AND y.first<=x.last),
+ {greedy_sql("p", "chrom")} SELECT chrom, variant_id FROM i WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.chrom=i.chrom AND g.a=i.variant_id)""")
 def win14_greedy_inversions(variants):
     """WIN14: per chromosome, inversions by (length, position) that overlap none taken before."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        starts: list[int] = []
-        ends: list[int] = []
-        taken = []
-        for r in g.sort_values(["len", "pos", "variant_id"]).itertuples():
-            i = bisect.bisect_right(starts, r.last)
-            if i and ends[i - 1] >= r.first:
-                continue
-            j = bisect.bisect_left(starts, r.first)
-            starts.insert(j, r.first)
-            ends.insert(j, r.last)
-            taken.append(r.Index)
-        return g.loc[taken, ["chrom", "variant_id"]]
-
-    return spanned(variants.where("svtype = 'INV'")).groupBy("chrom").applyInPandas(run, "chrom string, variant_id long")
+    return intervals.greedy_disjoint(spanned(variants.where("svtype = 'INV'")).select("chrom", "variant_id", "first", "last", "len", "pos").distinct(), "variant_id", ["len", "pos"]).select("chrom", "variant_id")
 
 
 @query("variants", "SELECT chrom, pos, variant_id, row_number() OVER (ORDER BY chrom, pos, variant_id, len) AS place FROM variants WHERE filter='PASS'")
@@ -542,10 +574,13 @@ def sim4_insertions(variants, dna):
     return sampling.insertion_choice(variants.where("svtype = 'INS'").select("variant_id", (F.col("len") % 9 + 1).alias("len")).distinct(), dna, 4)
 
 
-@query("variants")
+@query("variants", f"""
+WITH RECURSIVE h AS (SELECT DISTINCT chrom, abs(variant_id)%64 AS haplotype_id, variant_id, pos AS first, CASE WHEN svtype='INS' THEN pos ELSE pos+len-1 END AS last FROM variants),
+ p AS (SELECT x.chrom, x.haplotype_id, x.variant_id AS a, y.variant_id AS b, 0 AS a_n, 0 AS b_n FROM h x JOIN h y ON x.chrom=y.chrom AND x.haplotype_id=y.haplotype_id AND x.variant_id<>y.variant_id AND y.first<=x.last+5 AND x.first<=y.last+5), {greedy_sql("p", "chrom, haplotype_id", True)}
+SELECT chrom, haplotype_id, variant_id FROM h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.chrom=h.chrom AND g.haplotype_id=h.haplotype_id AND g.a=h.variant_id)""")
 def sim5_without_collisions(variants):
-    """SIM5: an independent set on each haplotype."""
-    h = spanned(variants).select((F.abs("variant_id") % 64).alias("haplotype_id"), "variant_id", "first", "last").distinct()
+    """SIM5, ORD9: an independent set on each haplotype and chromosome, those with the fewest collisions left first."""
+    h = spanned(variants).select("chrom", (F.abs("variant_id") % 64).alias("haplotype_id"), "variant_id", "first", "last").distinct()
     return sampling.without_collisions(h)
 
 
@@ -642,12 +677,12 @@ def win4_with_tandem(repeats, segdups):
 # --- studies --------------------------------------------------------------------------------
 
 
-@query("truth calls", """
-WITH g AS (SELECT concat(t,'_',CAST(n AS VARCHAR),'_',CASE a WHEN 1 THEN '1' ELSE '0.3' END) AS package, t, n, CAST(a AS DOUBLE) AS a FROM (VALUES ('DEL'),('INS')) x(t), (VALUES (50),(1000)) y(n), (VALUES (0.3),(1.0)) z(a)),
+@query("truth calls", f"""
+WITH RECURSIVE g AS (SELECT concat(t,'_',CAST(n AS VARCHAR),'_',CASE a WHEN 1 THEN '1' ELSE '0.3' END) AS package, t, n, CAST(a AS DOUBLE) AS a FROM (VALUES ('DEL'),('INS')) x(t), (VALUES (50),(1000)) y(n), (VALUES (0.3),(1.0)) z(a)),
  tt AS (SELECT g.package, v.* FROM truth v JOIN g ON v.svtype=t AND v.len>=n AND v.af<=a), cc AS (SELECT g.package, c.* FROM calls c JOIN g ON c.svtype=t AND c.len>=n),
  p AS (SELECT tt.package, c.caller, tt.variant_id, c.call_id, abs(tt.pos-c.pos) AS d FROM tt JOIN cc c ON tt.package=c.package AND tt.chrom=c.chrom AND abs(tt.pos-c.pos)<=500 AND least(tt.len,c.len)*10>=greatest(tt.len,c.len)*7 AND tt.len BETWEEN 50 AND 50000 AND c.len BETWEEN 30 AND 50000),
- r AS (SELECT *, row_number() OVER (PARTITION BY package,caller,variant_id ORDER BY d,call_id) AS x, row_number() OVER (PARTITION BY package,caller,call_id ORDER BY d,variant_id) AS y FROM p),
- n AS (SELECT package, caller, count(*) AS c, (SELECT count(*) FROM tt WHERE tt.package=cc.package) AS t, (SELECT count(*) FROM r WHERE x=1 AND y=1 AND r.package=cc.package AND r.caller=cc.caller) AS tp FROM cc GROUP BY 1,2)
+ {matching_sql("p", "package, caller")},
+ n AS (SELECT package, caller, count(*) AS c, (SELECT count(*) FROM tt WHERE tt.package=cc.package) AS t, (SELECT count(*) FROM b WHERE b.package=cc.package AND b.caller=cc.caller) AS tp FROM cc GROUP BY 1,2)
 SELECT package, caller, tp, c-tp AS fp, t-tp AS fn, tp/c AS "precision", tp/t AS recall, 2*(tp/c)*(tp/t)/nullif(tp/c+tp/t,0) AS f1 FROM n""")
 def study_performance_matrices(truth, calls):
     """The benchmark workflow: all work packages and callers in one plan."""

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import records
+
 
 def fasta(spark: SparkSession, path: str, least: int = 100, most: int = 10**9) -> DataFrame:
     """name, sequence; one row per record. Sequences outside [least, most] are left out."""
@@ -22,32 +24,9 @@ def fasta(spark: SparkSession, path: str, least: int = 100, most: int = 10**9) -
     return out.where(F.length("sequence").between(least, most))
 
 
-def fasta_chunks(seqs: DataFrame, size: int = 4096) -> DataFrame:
-    """name, chunk, bases: for joins by position."""
-    k = F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / size).cast("int"))
-    return seqs.select("name", "sequence", F.explode(k).alias("chunk")).select("name", "chunk", F.col("sequence").substr(F.col("chunk") * size + 1, F.lit(size)).alias("bases"))
-
-
-def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, header, sequence, quality. Records are four lines; a file is one task's work, as a gzip file must be."""
-    schema = "file string, header string, sequence string, quality string"
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        import gzip
-
-        import pandas as pd
-
-        for b in batches:
-            for name, raw in zip(b["path"], b["content"]):
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
-                lines = text.split("\n")
-                n = len(lines) // 4
-                for i in range(0, n, 50_000):
-                    part = [lines[4 * k : 4 * k + 4] for k in range(i, min(n, i + 50_000))]
-                    yield pd.DataFrame({"file": name, "header": [p[0] for p in part], "sequence": [p[1] for p in part], "quality": [p[3] for p in part]})
-
-    return files.mapInPandas(run, schema)
+def fastq(spark: SparkSession, path: str | list[str], size: int = records.RANGE) -> DataFrame:
+    """file, header, sequence, quality. Files are read by ranges of ``size`` bytes, block-wise gzip too; other gzip is one range that streams."""
+    return records.fastq(spark, path, size)
 
 
 VCF = T.StructType([T.StructField(n, t) for n, t in (("chrom", T.StringType()), ("pos", T.LongType()), ("id", T.StringType()), ("ref", T.StringType()), ("alt", T.StringType()), ("qual", T.StringType()), ("filter", T.StringType()), ("info", T.StringType()), ("format", T.StringType()), ("samples", T.ArrayType(T.StringType())))])
@@ -158,6 +137,29 @@ def model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+#: Statistics of a text model: number of dimensions, and of the columns before the values.
+TEXT_MODEL = {"types": (1, 0), "contexts": (2, 0), "lengths": (3, 0), "frequencies": (2, 2), "positions": (2, 0)}
+
+
+def text_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The statistics of a model in text files: i, j, k as far as there are dimensions, value, and low and high where bounds come before the values. A file whose lines do not fit its dimensions is an error when it is read."""
+    out = {}
+    for name, (n, lead) in TEXT_MODEL.items():
+        lines = numbered_lines(spark, f"{path}/{name}.txt").where("line <> ''")
+        dims = F.transform(F.split("line", ","), lambda x: x.cast("long"))
+        head = lines.where("no = 0").select(dims.alias("dims"), F.aggregate(F.slice(dims, 1, n - 1), F.lit(1).cast("long"), lambda a, x: a * x).alias("rows"))
+        p = F.split("line", ",")
+        d = lines.where("no > 0").join(F.broadcast(head))  # one row
+        values = F.slice(p, lead + 1, F.greatest(F.size(p) - lead, F.lit(0)))
+        good = (F.size("dims") == n) & (F.col("no") <= F.col("rows")) & (F.size(values) == F.element_at("dims", -1))
+        row = F.when(good, F.col("no") - 1).otherwise(F.raise_error(F.concat(F.lit(f"{name}: line does not fit the dimensions: "), F.substring("line", 1, 80))).cast("long"))
+        d = d.select(row.alias("row"), "dims", *[p[i].cast("double").alias(c) for i, c in enumerate(("low", "high")[:lead])], F.posexplode(values).alias("at", "value"))
+        last = F.col("at").cast("long")
+        at = {1: [last], 2: [F.col("row"), last], 3: [F.floor(F.col("row") / F.col("dims")[1]), F.col("row") % F.col("dims")[1], last]}[n]
+        out[name] = d.select(*[c.alias(k) for k, c in zip("ijk", at)], *("low", "high")[:lead], F.col("value").cast("double").alias("value"))
+    return out
+
+
 def graph_segments(spark: SparkSession, path: str) -> DataFrame:
     """S lines of an assembly graph: name, sequence."""
     p = F.split("value", "\t")
@@ -175,18 +177,9 @@ def finished(spark: SparkSession, packages: DataFrame, path: str, keys: list[str
     return packages.join(done, keys, "left_anti")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line number (0-based) and text of one file, for importers of line-counted formats. A model or a population index is small beside the reads."""
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            for raw in b["content"]:
-                lines = raw.decode().split("\n")
-                yield pd.DataFrame({"no": range(len(lines)), "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "no long, line string")
+def numbered_lines(spark: SparkSession, path: str, size: int = records.RANGE) -> DataFrame:
+    """Line number (0-based) and text of one file, read by ranges, for importers of line-counted formats."""
+    return records.numbered(spark, path, size).select("no", "line")
 
 
 def carriers(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, scratch, ship
+from .records import store_of
+
 #: Ids, numbers and types of the header of a truth VCF; descriptions are ours.
 VCF_FIELDS = {
     "ALT": {"INS": "Inserted sequence", "DEL": "Deleted sequence", "DUP": "Copied sequence", "INV": "Inverted sequence"},
@@ -26,13 +31,15 @@ def vcf_record(base: Column, before: Column, span: Column, inserted: Column, mor
     """One line from chrom, 0-based pos, variant_id, svtype, len and letters of the reference: at pos, before it, and from pos over len.
 
     A deletion starts at the base before it and spells REF; an insertion goes after the
-    base at pos and spells ALT; others are symbolic. ``more``: INFO keys after SVTYPE.
+    base at pos and spells ALT; others are symbolic. At pos 0 no base is before a deletion:
+    ``before`` is the one behind it, which then ends REF, and POS is 1. ``more``: INFO keys after SVTYPE.
     """
     one, n = F.col("pos") + 1, F.col("len").cast("string")
     sv = F.col("svtype")
     gone, added = sv == "DEL", sv == "INS"
-    pos = F.when(gone, F.col("pos")).otherwise(one)
-    ref = F.when(gone, F.concat(before, span)).otherwise(base)
+    start = F.col("pos") == 0
+    pos = F.when(gone & ~start, F.col("pos")).otherwise(one)
+    ref = F.when(gone & start, F.concat(span, before)).when(gone, F.concat(before, span)).otherwise(base)
     alt = F.when(gone, before).when(added, F.concat(base, inserted)).otherwise(F.concat(F.lit("<"), sv, F.lit(">")))
     fields = [("END", F.when(added, one).otherwise(F.col("pos") + F.col("len"))), ("SVLEN", F.when(gone, F.concat(F.lit("-"), n)).when(added, n)), ("SVTYPE", sv), *(more or [])]
     info = F.concat_ws(";", *[F.concat(F.lit(k + "="), v.cast("string")) for k, v in fields])
@@ -47,6 +54,40 @@ def add_info(line: Column, fields: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\t", F.slice(p, 1, 7), info, F.slice(p, 9, F.greatest(F.size(p) - 8, F.lit(0))))
 
 
+def allele_length_record(line: Column, least: int = 40) -> Column:
+    """A record of explicit alleles with FILTER PASS and SVTYPE, SVLEN and END before its INFO; null unless one allele is a base and the other at least ``least`` bases longer."""
+    p = F.split(line, "\t")
+    r, a = F.length(p[3]), F.length(p[4])
+    kind = F.when((r == 1) & (a >= least + 1), "INS").when((r >= least + 1) & (a == 1), "DEL")
+    n = F.greatest(r, a) - 1
+    end = p[1].cast("long") + F.when(kind == "INS", 1).otherwise(n)
+    info = F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), F.when(kind == "DEL", "-").otherwise(""), n.cast("string"), F.lit(";END="), end.cast("string"), F.lit(";"), p[7])
+    return F.when(kind.isNotNull(), F.concat_ws("\t", F.slice(p, 1, 6), F.lit("PASS"), info, F.slice(p, 9, 2)))
+
+
+def write_text_model(tables: dict[str, tuple[DataFrame, tuple[int, ...], DataFrame | None]], path: str, spark) -> None:
+    """One text file a statistic (``<name>.txt``): a line of its dimensions, then the values of the last dimension on a line for each of the others.
+
+    tables: name to (values by i, j, k; dimensions; bounds by i, or none: low and high before the values).
+    What has no value is 0. Models have thousands of values.
+    """
+    parts = []
+    for name, (values, dims, bounds) in tables.items():
+        keys = "ijk"[: len(dims)]
+        grid = spark.range(reduce(lambda a, b: a * b, dims))
+        rest = F.col("id")
+        for k, n in list(zip(keys, dims))[:0:-1]:
+            grid, rest = grid.withColumn(k, rest % n), F.floor(rest / n)
+        grid = grid.withColumn(keys[0], rest)
+        d = grid.join(values, list(keys), "left").select("id", F.floor(F.col("id") / dims[-1]).alias("no"), F.col("i"), F.coalesce("value", F.lit(0.0)).cast("string").alias("v"))
+        lines = d.groupBy("no").agg(F.first("i").alias("i"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]), ",").alias("line"))
+        if bounds is not None:
+            lines = lines.join(bounds, "i", "left").withColumn("line", F.concat_ws(",", F.coalesce("low", F.lit(0.0)).cast("string"), F.coalesce("high", F.lit(0.0)).cast("string"), "line"))
+        head = spark.range(1).select(F.lit(-1).cast("long").alias("no"), F.lit(",".join(map(str, dims))).alias("line"))
+        parts.append(head.unionByName(lines.select("no", "line")).withColumn("file", F.lit(f"{name}.txt")))
+    write_files(reduce(DataFrame.unionByName, parts), path, ["no"]).count()
+
+
 def vcf_header(sample: str | None = None, contigs: dict[str, int] | None = None) -> str:
     out = ["##fileformat=VCFv4.2", *[f"##contig=<ID={c},length={n}>" for c, n in (contigs or {}).items()]]
     for kind, fields in VCF_FIELDS.items():
@@ -77,6 +118,69 @@ def write_population(carriers: DataFrame, variants: DataFrame, path: str) -> Non
     variants.repartitionByRange("variant_id").sortWithinPartitions("variant_id").write.mode("overwrite").parquet(f"{path}/variants")
 
 
+def write_files(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """One text file a name, its lines in order: rows have file (a name without folders), line, and the columns of ``order``. Returns file, n_lines, n_bytes.
+
+    Rows are range-sorted by (file, order), so a file of any length is many tasks' work. Each
+    task writes its part of a file beside; then the parts of a file are moved, or appended in
+    order as they stream, to its place. Only parts of attempts that ended are listed, and a
+    file appears whole or not at all.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    beside = scratch(spark, "parts")
+    d = rows.select("file", *order, "line").repartitionByRange("file", *order).sortWithinPartitions("file", *order).select("file", "line")
+
+    def write(batches):
+        import uuid
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        at, mark, out, name, n = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], None, None, 0
+        store, base = store_of(beside)
+        store.create_dir(base, recursive=True)
+
+        def close():
+            size = out.tell()
+            out.close()
+            return pd.DataFrame([(name, at, part, n, size)], columns=["file", "at", "part", "n_lines", "n_bytes"])
+
+        for b in batches:
+            for file, lines in b.groupby("file", sort=False)["line"]:
+                if file != name:
+                    if out is not None:
+                        yield close()
+                    part, name, n = f"{at:08d}-{uuid.uuid4().hex[:8]}-{mark}", file, 0
+                    out = store.open_output_stream(f"{base}/{part}")
+                out.write(("\n".join(lines) + "\n").encode())
+                n += len(lines)
+        if out is not None:
+            yield close()
+
+    parts = materialize(d.mapInPandas(write, "file string, at int, part string, n_lines long, n_bytes long"), "parts")
+
+    def place(g):
+        import uuid
+
+        import pandas as pd
+
+        g = g.sort_values("at")
+        name = g["file"].iloc[0]
+        (store, base), (to, folder) = store_of(beside), store_of(path)
+        to.create_dir(folder, recursive=True)
+        temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with to.open_output_stream(temp) as out:
+            for part in g["part"]:
+                with store.open_input_stream(f"{base}/{part}") as f:
+                    while data := f.read(1 << 20):
+                        out.write(data)
+        to.move(temp, f"{folder}/{name}")
+        return pd.DataFrame([(name, g["n_lines"].sum(), g["n_bytes"].sum())], columns=["file", "n_lines", "n_bytes"])
+
+    return materialize(parts.groupBy("file").applyInPandas(place, "file string, n_lines long, n_bytes long"), "files")
+
+
 def write_individuals(records: DataFrame, path: str) -> None:
     """One folder per individual."""
     records.repartition("individual").sortWithinPartitions("individual", "pos").select("individual", "line").write.mode("overwrite").partitionBy("individual").text(path)
@@ -87,6 +191,13 @@ def write_fasta(seqs: DataFrame, path: str, name: str = "name", seq: str = "sequ
     seqs.where(~F.col(seq).contains("NNNNN")).select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_split(calls: DataFrame, path: str) -> None:
+    """BED tables (``bed``) and FASTA (``fasta``) in a folder a size and type: calls have size, svtype, chrom, pos, end, id and seq, which is in the FASTA alone."""
+    calls.drop("seq").repartition("size", "svtype", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("size", "svtype", "chrom", "pos", "id").write.mode("overwrite").partitionBy("size", "svtype").option("sep", "\t").option("header", True).csv(f"{path}/bed")
+    fasta = calls.select("size", "svtype", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), "seq").alias("value"))
+    fasta.write.mode("overwrite").partitionBy("size", "svtype").text(f"{path}/fasta")
+
+
 def write_fastq(reads: DataFrame, path: str) -> None:
     reads.select(F.concat_ws("\n", "header", "sequence", F.lit("+"), "quality").alias("value")).write.mode("overwrite").text(path)
 

@@ -140,7 +140,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     step = materialize(docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).mapInArrow(first, schema), "pack-0")
     out, level = step.where("_final"), 0
-    tasks = max(1, docs.rdd.getNumPartitions())
+    # Not the input's plan, which may still have shuffles to run: the first step's files.
+    tasks = max(1, len(step.inputFiles()))
     while True:
         tasks, level = -(-tasks // fan_in), level + 1
         last = tasks == 1

@@ -22,8 +22,9 @@ Hashes only bring candidates together. Whether segments of a chunk or windows of
 equal is decided on words numbered by their bytes (``hashing.numbered``), so ``hashed`` may be
 weak.
 
-An anchor of more than ``hot`` segments would fill its shard: its windows go one by one to
-the shard of their own 13 words instead, which is as exact.
+An anchor of more than ``hot`` segments would fill its shard: its windows are compared one by
+one instead, by their own words, in groups of chunks and then all together (``later_windows``),
+which is as exact.
 """
 
 from __future__ import annotations
@@ -227,6 +228,50 @@ def _join(parts: list[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(p or b"" for p in parts), dtype)
 
 
+def stretches(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of each stretch of equal keys in sorted ``keys``: as many as keys occur, however many there are."""
+    if not len(keys):
+        return []
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return list(zip(keys[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]))
+
+
+#: The shard that stands for windows of hot anchors, one a row.
+HOT = -2
+
+
+def later_windows(windows: DataFrame, salts: int = 64) -> DataFrame:
+    """chunk, gone: of windows (chunk, head, words), a row for each distinct one of a chunk, those that an earlier document has.
+
+    The least document of a window is found in steps, in groups of chunks first, and comes
+    back to them the same way: a window of all chunks is ``salts`` groups' work, and what
+    joins is the words themselves.
+    """
+    rows = windows.select("chunk", "head", "words", F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("_salt"))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = [int(np.frombuffer(x.as_py(), HEAD, 1)["doc"][0]) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int64())], ["chunk", "head", "words", "_salt", "_doc"])
+
+    rows = rows.mapInArrow(documents, "chunk string, head binary, words binary, _salt long, _doc long")
+    local = rows.groupBy("words", "_salt").agg(F.min("_doc").alias("_low"))
+    least = local.groupBy("words").agg(F.min("_low").alias("_least"))
+    known = local.select("words", "_salt").join(least, "words")
+    later = rows.join(known, ["words", "_salt"]).where("_doc > _least").select("chunk", "head")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for x in b.column(1):
+                h = np.frombuffer(x.as_py(), HEAD)
+                w = np.unique(np.c_[h["text"].astype(np.int64), h["first"].astype(np.int64)], axis=0)
+                gone.append(_intervals(w[:, 0], w[:, 1]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.binary())], ["chunk", "gone"])
+
+    return later.mapInArrow(places, "chunk string, gone binary")
+
+
 HEAD = np.dtype([("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("segment", "<u4"), ("n", "<u4")])
 
 
@@ -276,9 +321,8 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             a = a[k]
             shard = (a % U(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1))
             out = [(-1, name, b"", b"")]
-            out += [(s, name, a[by[i:j]].astype("<u8").tobytes(), info[by[i:j]].tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            out += [(s, name, a[by[i:j]].astype("<u8").tobytes(), info[by[i:j]].tobytes()) for s, i, j in stretches(shard[by])]
             ids, held, no = [], 0, no + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "anchors", "info"])
 
@@ -320,7 +364,7 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             f = np.r_[first[cold], one]
             n = np.r_[size[cold], np.ones(len(one), np.int64)] + width - 1
             k = np.r_[text[cold], np.repeat(text[warm], size[warm])]
-            route = np.r_[anchor[cold], sequence_hash(keys, one, one + width)] % U(shards)
+            route = np.r_[(anchor[cold] % U(shards)).astype(np.int64), np.full(len(one), HOT)]
             doc = np.array([0 if i is None else i for i in ids], np.int64)[k]
             del keys, anchor, first, size, text
             # Groups of equal segments, in order of document and place. What a hash brought together is compared word by word with the first; what differs stays alone.
@@ -347,15 +391,15 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             edges = np.searchsorted(to[twins], np.arange(len(f) + 1))
             go = order[go]
             go = go[np.argsort(route[go], kind="stable")]
-            cuts = np.searchsorted(route[go], np.arange(shards + 1).astype(np.uint64))
-            for s in np.flatnonzero(np.diff(cuts)):
-                g = go[cuts[s] : cuts[s + 1]]
+            parts = [(s, go[i:j]) for s, i, j in stretches(route[go]) if s != HOT]
+            parts += [(HOT, go[i : i + 1]) for s, a, z in stretches(route[go]) if s == HOT for i in range(a, z)]
+            for s, g in parts:
                 many = edges[g + 1] - edges[g]
                 t = order[twins[flat(edges[g], many)]]
                 row = np.zeros(len(t), HEAD)
                 row["doc"], row["text"], row["first"], row["segment"], row["n"] = doc[t], k[t], f[t] - base[k[t]], np.repeat(np.arange(len(g)), many), n[t]
-                blob = b"\n".join(map(w.piece, f[g].tolist(), n[g].tolist()))
-                out.append((int(s), path, row.tobytes(), blob))
+                pieces = map(w.piece, f[g].tolist(), n[g].tolist())
+                out.append((s, path, row.tobytes(), b"\n".join(pieces) if s != HOT else b" ".join(next(pieces).split())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "head", "words"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +458,9 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
 
     met = grouped(listed.where("shard >= 0"), "shard").mapInArrow(meet, "chunk string, again binary, hot binary")
     sent = grouped(met, "chunk").mapInArrow(send, "shard int, chunk string, head binary, words binary")
-    found = grouped(sent, "shard").mapInArrow(index, "chunk string, gone binary")
+    sent = materialize(sent, "substring-segments")
+    found = grouped(sent.where(F.col("shard") >= 0), "shard").mapInArrow(index, "chunk string, gone binary")
+    found = found.unionByName(later_windows(sent.where(F.col("shard") == HOT)))
     gone = found.unionByName(listed.where("shard < 0").select("chunk", F.col("anchors").alias("gone")))
     out = grouped(gone, "chunk").mapInArrow(finish, "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")

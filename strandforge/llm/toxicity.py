@@ -120,7 +120,7 @@ def held_out(doc_id: Column, mod: int = 5, at: int = 0) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 8000, max_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
-    """Weights and bias. Labelled rows that are not held out, in order of a hash of their id, as long as they are at most ``max_train`` and ``max_bytes`` of text; bounded, so they are broadcast to the texts. Of several texts of one id, the least counts."""
+    """Weights and bias. Labelled rows that are not held out, in order of a hash of their id, at most ``max_train`` and ``max_bytes`` of text: a text that does not fit any more is passed over, and if none fits the shortest is taken; bounded, so they are broadcast to the texts. Of several texts of one id, the least counts."""
     spark = docs.sparkSession
     ship(spark)
     key = labels[id_col]
@@ -130,9 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = materialize(rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")), "toxicity-train")
     sizes = rows.select("_id", F.xxhash64("_id").alias("_h"), F.octet_length("_text").alias("_n")).collect()
     sizes.sort(key=lambda r: (r[1], str(r[0])))
-    taken = [(r[0],) for r, until in zip(sizes, np.cumsum([r[2] for r in sizes])) if until <= max_bytes]
-    if not taken:
+    if not sizes:
         return np.zeros(1 << BITS, np.float32), -1e-12
+    taken, room = [], max_bytes
+    for r in sizes:
+        if r[2] <= room:
+            taken.append((r[0],))
+            room -= r[2]
+    taken = taken or [(min(sizes, key=lambda r: (r[2], r[1], str(r[0])))[0],)]
     id_field = T.StructField("_id", docs.schema[id_col].dataType)
     rows = rows.join(F.broadcast(spark.createDataFrame(taken, T.StructType([id_field]))), "_id").select("_id", "_y", "_text")
 

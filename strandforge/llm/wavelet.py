@@ -165,8 +165,9 @@ def _key(id, ids: bytes, u: int) -> tuple:
 
 
 def _bounds(rows: DataFrame, encoded, schema: T.StructType, n: int, buckets: int) -> list[tuple]:
-    """At most ``buckets`` - 1 keys that cut the documents about evenly, from a sample of 64 rows a bucket: ids and the heads of their packed ids."""
-    part = rows if n <= 64 * buckets else rows.sample(64 * buckets / n, seed=7)
+    """At most ``buckets`` - 1 keys that cut the documents about evenly, from a sample of 64 rows a bucket, 262144 rows at most: ids and the heads of their packed ids."""
+    most = min(64 * buckets, 1 << 18)
+    part = rows if n <= most else rows.sample(most / n, seed=7)
     got = part.mapInArrow(encoded, schema).select("_id", F.substring("_ids", 1, 64).alias("_ids"), "_u", F.length("_ids").alias("_n")).collect()
     keys = sorted((_key(d, bytes(x), u), size) for d, x, u, size in got)
     until = np.cumsum([size + 64 for _, size in keys])
@@ -178,7 +179,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
 
     Documents go in ascending id order, null ids first, ties by their ids as bytes. A
     null text counts as empty. ``end_id`` ends each document. Buckets hold about
-    ``bucket_mb`` of text, and are 4096 at most. A retried task writes files of other
+    ``bucket_mb`` of text, and are 65536 at most, beyond which they grow; what a task holds is a shard. A retried task writes files of other
     names, and only those of the attempt that ended are listed.
     """
     spark = docs.sparkSession
@@ -197,7 +198,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
 
     packed = [T.StructField("_id", id_type), T.StructField("_ids", T.BinaryType())]
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    buckets = int(min(4096, max(spark.sparkContext.defaultParallelism, total // (bucket_mb << 20) + 1)))
+    buckets = int(min(65536, max(spark.sparkContext.defaultParallelism, total // (bucket_mb << 20) + 1)))
     bounds = _bounds(rows, encoded, T.StructType([*packed, T.StructField("_u", T.IntegerType())]), n, buckets)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,4 +264,4 @@ def read_shards(index: DataFrame, id_name: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.values if hasattr(ids, "values") else pa.array(ids), pa.array(at[:-1] + before), pa.array(lengths), pa.array(crc, pa.int64())], [id_name, "start", "n_tokens", "ids_crc32"])
 
     # A number of its own, or the few bytes of the paths would be read by one task.
-    return rows.repartition(max(1, min(4096, index.count())), "path").mapInArrow(run, schema)
+    return rows.repartition(max(1, min(65536, index.count())), "path").mapInArrow(run, schema)

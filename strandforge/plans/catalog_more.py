@@ -180,9 +180,10 @@ def ana4_recall_by_coverage(truth, calls):
 _FACETS = ("svtype", "length", "frequency", "contexts", "share")
 
 
-def _facet_sql(rows: str, lengths: str) -> str:
+def _facet_sql(rows: str) -> str:
     sets = ", ".join(["(callset)", *[f"(callset, {f})" for f in _FACETS]])
-    return f"""SELECT callset, {", ".join(_FACETS)}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(c)-sum(hit) AS BIGINT) AS fp, CAST(sum(t)-sum(tp) AS BIGINT) AS fn, sum(hit)/nullif(sum(c),0) AS "precision", sum(tp)/nullif(sum(t),0) AS recall, 2*(sum(hit)/nullif(sum(c),0))*(sum(tp)/nullif(sum(t),0))/nullif(sum(hit)/nullif(sum(c),0)+sum(tp)/nullif(sum(t),0),0) AS f1 FROM {rows} GROUP BY GROUPING SETS ({sets})"""
+    of = " ".join(f"WHEN grouping({f})=0 THEN '{f}'" for f in _FACETS)
+    return f"""SELECT callset, CASE {of} ELSE 'all' END AS facet, {", ".join(_FACETS)}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(c)-sum(hit) AS BIGINT) AS fp, CAST(sum(t)-sum(tp) AS BIGINT) AS fn, sum(hit)/nullif(sum(c),0) AS "precision", sum(tp)/nullif(sum(t),0) AS recall, 2*(sum(hit)/nullif(sum(c),0))*(sum(tp)/nullif(sum(t),0))/nullif(sum(hit)/nullif(sum(c),0)+sum(tp)/nullif(sum(t),0),0) AS f1 FROM {rows} GROUP BY GROUPING SETS ({sets})"""
 
 
 _LENGTH = "CASE WHEN len<500 THEN 50 WHEN len<1000 THEN 500 WHEN len<5000 THEN 1000 ELSE 5000 END"
@@ -197,7 +198,7 @@ WITH RECURSIVE k AS (SELECT *, caller AS callset FROM calls UNION ALL SELECT * E
  e AS (SELECT DISTINCT every.variant_id, every.svtype, CAST({_LENGTH} AS BIGINT) AS length, CAST(floor(af*10) AS BIGINT) AS frequency, concat(CAST(f1.ctx AS VARCHAR),'-',CAST(coalesce(f2.ctx,f1.ctx) AS VARCHAR)) AS contexts, CAST(floor(5*coalesce(covered,0)/len) AS BIGINT) AS share FROM every JOIN f1 ON every.variant_id=f1.variant_id LEFT JOIN f2 ON every.variant_id=f2.variant_id LEFT JOIN cov ON every.variant_id=cov.variant_id),
  u AS (SELECT s.callset, t.variant_id AS id, 1 AS t, 0 AS c, CASE WHEN b.variant_id IS NULL THEN 0 ELSE 1 END AS tp, 0 AS hit FROM (SELECT DISTINCT callset FROM k) s CROSS JOIN truth t LEFT JOIN b ON b.callset=s.callset AND b.variant_id=t.variant_id UNION ALL SELECT k.callset, k.call_id, 0, 1, 0, CASE WHEN b.call_id IS NULL THEN 0 ELSE 1 END FROM k LEFT JOIN b ON b.callset=k.callset AND b.call_id=k.call_id),
  w AS (SELECT u.*, e.* EXCLUDE variant_id FROM u JOIN e ON u.id=e.variant_id)
-{_facet_sql("w", _LENGTH)}""")
+{_facet_sql("w")}""")
 def ana2_set6_facets(truth, calls, repeats, segdups):
     """ANA2, ANA7, PRJ5, SET6: six measures of individual, merged and joint call sets by type, length, frequency (of the truth), context pair and repeat share, as grouping sets of one plan."""
     from . import studies

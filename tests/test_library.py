@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandforge.functions import variants as fn
-from strandforge.operators import annotations, families, intervals, matching, reads, sampling, statistics
+from strandforge.operators import annotations, families, intervals, matching, reads, reference, sampling, statistics
 from strandforge.sources import formats, sinks
 
 
@@ -88,7 +88,7 @@ def test_coverage_stops_at_target(spark):
 
 def test_ordinals(spark):
     df = spark.createDataFrame([(i * 37,) for i in range(200)], "k long")
-    assert rows(sampling.ordinals(df, "k", 7), "k", "ordinal") == [(i * 37, i) for i in range(200)]
+    assert rows(sampling.ordinals(df, "k"), "k", "ordinal") == [(i * 37, i) for i in range(200)]
 
 
 def test_independent_set_and_haplotype(spark):
@@ -365,7 +365,7 @@ def test_readers(spark, tmp_path):
 
     seq = "ACGT" * 30
     assert rows(formats.fasta(spark, put("a.fa", f">s1 x\n{seq[:50]}\n{seq[50:]}\n>s2\nAC\n"))) == [("s1", seq)]
-    assert rows(formats.fasta_chunks(spark.createDataFrame([("s", "ACGTAC")], "name string, sequence string"), 4)) == [("s", 0, "ACGT"), ("s", 1, "AC")]
+    assert rows(reference.chunks(spark.createDataFrame([("s", "ACGTAC"), ("e", ""), ("n", None)], "name string, sequence string"), 4, 1)) == [("s", 0, "ACGTA"), ("s", 1, "AC")]
     assert rows(formats.fastq(spark, [put("a.fastq", "@r1\nACG\n+\nIII\n"), put("b.fastq.gz", "@r2\nAC\n+\nII\n@r3\nA\n+\nI\n")]), "header", "sequence", "quality") == [("@r1", "ACG", "III"), ("@r2", "AC", "II"), ("@r3", "A", "I")]
     v = formats.named_vcf(spark, put("pbsv_i12_l10000_c8.vcf", "##x\n#CHROM\nchr1\t5\ta\tN\t<DEL>\t.\tPASS\tEND=9\tGT\t0|1\n"))
     assert rows(v, "chrom", "pos", "info", "samples", "caller", "individual", "read_length", "coverage") == [("chr1", 5, "END=9", ["0|1"], "pbsv", "12", 10000, 8)]

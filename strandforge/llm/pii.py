@@ -4,8 +4,9 @@ Base kinds (email, ip, card, phone) are found by fixed patterns with checks. Bey
 them, loose candidates are proposed (phone numbers without a plus, written-out email
 addresses, secrets, names after a title), of any length, by patterns that take linear
 time. Labelers of three sorts vote on every candidate: patterns of its shape, gazetteers,
-and words before it. The gazetteers are learned from all texts (last labels of e-mail
-domains, names after a title) beside a few fixed entries. Votes and features
+and words before it, in English, German, French and Spanish. The gazetteers, one a kind, are
+learned from all texts in one job (digit groups of phone numbers, last labels of e-mail domains,
+names that long quoted strings are assigned to, names after a title) beside a few fixed entries. Votes and features
 are small discrete patterns, counted over all texts; expectation-maximisation on the
 counts estimates each labeler's reliability, and a logistic span classifier is fitted
 to the posteriors, weighted by the counts. What reaches the driver is bounded by the
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import ship
 
@@ -85,39 +87,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Titles before names, in English, German, French and Spanish.
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Hr|Fr|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señor|Señora"
+_NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++"
 # Each starts at the head of its run of characters and never gives back what it took: linear time without a limit on length.
 _CANDIDATES = {
     4: re.compile(r"(?<![0-9.+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{3,4})?(?![0-9])"),
-    5: re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ (?:at|\(at\)|\[at\]) [A-Za-z0-9-]++(?: (?:dot|\(dot\)|\[dot\]) [A-Za-z0-9-]++)++", re.I),
+    5: re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ (?:at|\(at\)|\[at\]|ät|arobase|arroba) [A-Za-z0-9-]++(?: (?:dot|\(dot\)|\[dot\]|punkt|point|punto) [A-Za-z0-9-]++)++", re.I),
     6: re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"),
-    7: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)*+"),
+    7: re.compile(rf"\b(?:{_TITLES})\.? {_NAME}(?: {_NAME})*+"),
 }
+_WRITTEN = re.compile(r"dot|punkt|point|punto", re.I)
 # Entries that every gazetteer starts from; others are learned.
 _TLDS = frozenset("com org net edu gov io de fr es uk eu info".split())
 _GIVEN = frozenset("james mary john anna peter maria david laura thomas sarah paul julia martin emma daniel sofia michael lucas".split())
-SEEDS = {5: _TLDS, 7: _GIVEN}
+SEEDS = {4: frozenset({"555"}), 5: _TLDS, 6: frozenset("token secret key password passwd api_key apikey credential bearer".split()), 7: _GIVEN}
 
 
 def gazetteers(docs: DataFrame, text_col: str = "text", least: int = 3, most: int = 5000) -> dict[int, frozenset[str]]:
-    """Last labels of e-mail domains and names after a title, of all texts: those found ``least`` times or more, the ``most`` frequent of each; and the seeds."""
+    """Four lists learned from all texts in one job: groups of three digits in phone numbers, last labels of e-mail domains, names to which long quoted strings are assigned, and names after a title. Of each those found ``least`` times or more, the ``most`` frequent; and the seeds."""
     text = docs[text_col].cast("string")
-    at = F.substring_index(F.rtrim(F.col("x"), F.lit(".-")), ".", -1)
-    found = {5: (r"@[A-Za-z0-9.-]++", 0, at), 7: (r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ([A-Z][a-z]++)", 1, F.col("x"))}
-    parts = [docs.select(F.explode(F.regexp_extract_all(text, F.lit(rx), F.lit(group))).alias("x")).select(F.lit(kind).alias("kind"), F.lower(entry).alias("x")).where(F.length("x").between(2, 24) & F.col("x").rlike("^[a-z]+$")) for kind, (rx, group, entry) in found.items()]
-    counts = parts[0].unionByName(parts[1]).groupBy("kind", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    out = {}
-    for kind, seed in SEEDS.items():
-        out[kind] = seed.union(r[0] for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "x").limit(most).select("x").collect())
-    return out
+    found = lambda rx, group=0, of=text: F.regexp_extract_all(of, F.lit(rx), F.lit(group))
+    entries = {
+        4: F.flatten(F.transform(found(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda x: found("(?<![0-9])[0-9]{3}(?![0-9])", 0, x))),
+        5: F.transform(found(r"@[A-Za-z0-9.-]++"), lambda x: F.substring_index(F.rtrim(x, F.lit(".-")), ".", -1)),
+        6: found(r"""([A-Za-z_]++) ?[=:] ?["'][A-Za-z0-9_/+-]{20,}+""", 1),
+        7: found(rf"\b(?:{_TITLES})\.? ({_NAME})", 1),
+    }
+
+    def of_kind(kind: int, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("x")))
+
+    every = F.concat(*[of_kind(k, x) for k, x in entries.items()])
+    counts = docs.where(text.isNotNull()).select(F.explode(every).alias("e")).where("e.x <> ''").groupBy("e.kind", "e.x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "x"))
+    out = {k: set(v) for k, v in SEEDS.items()}
+    for r in counts.withColumn("_rank", rank).where(F.col("_rank") <= most).select("kind", "x").collect():
+        out[r[0]].add(r[1])
+    return {k: frozenset(v) for k, v in out.items()}
 
 
 _NEAR = {
-    4: re.compile(r"(?:phone|tel|call|mobile|fax|cell|contact|whatsapp|ring)\W*(?:\w+\W+)?$", re.I),
-    5: re.compile(r"(?:e-?mail|mail|write|reach|contact|address)\W*(?:\w+\W+)?$", re.I),
-    6: re.compile(r"(?:token|secret|key|password|passwd|api_?key|credential|bearer)\W*$", re.I),
-    7: re.compile(r"(?:name|dear|by|with|from|contact|signed)\W*(?:\w+\W+)?$", re.I),
+    4: re.compile(r"(?:phone|tel|call|mobile|fax|cell|contact|whatsapp|ring|telefon|anrufen|rufen|handy|téléphone|appele[rz]|portable|teléfono|llam[ae]r?|móvil)\W*(?:\w+\W+){0,2}$", re.I),
+    5: re.compile(r"(?:e-?mail|mail|write|reach|contact|address|schreiben|adresse|écri(?:re|vez)|courriel|correo|escrib[ae]r?)\W*(?:\w+\W+){0,2}$", re.I),
+    6: re.compile(r"(?:token|secret|key|password|passwd|api_?key|credential|bearer|passwort|kennwort|schlüssel|mot de passe|clé|contraseña|clave)\W*$", re.I),
+    7: re.compile(r"(?:name|dear|by|with|from|contact|signed|von|mit|liebe[r]?|geehrter?|par|avec|cher|chère|con|estimad[oa]|firmado)\W*(?:\w+\W+)?$", re.I),
 }
-_AWAY = re.compile(r"(?:version|page|year|section|no|nr|figure|table|sha\d*|md5|commit|digest|since|in)\W*$", re.I)
+_DIGEST = re.compile(r"\b(?:commit|revision|checksum|digest|hash|md5|sha[0-9]*)\W*$", re.I)
+_ASSIGNED = re.compile(r"([A-Za-z_]+) ?[=:] ?[\"']?$")
+_AWAY = re.compile(r"\b(?:version|page|year|section|no|nr|figure|table|seite|abschnitt|jahr|sección|página|año|sha\d*|md5|commit|digest|since|in)\W*$", re.I)
 
 
 def candidates(text: str, listed: dict[int, frozenset[str]] = SEEDS) -> list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
@@ -127,7 +145,7 @@ def candidates(text: str, listed: dict[int, frozenset[str]] = SEEDS) -> list[tup
         if kind == 4 and not _DIGIT.search(text):
             continue
         if kind == 5:
-            if "dot" not in text.lower():
+            if not _WRITTEN.search(text):
                 continue
         for m in rx.finditer(text):
             s, e = m.span()
@@ -143,9 +161,9 @@ def candidates(text: str, listed: dict[int, frozenset[str]] = SEEDS) -> list[tup
             }[kind]
             last = re.split(r"[ .()\[\]-]+", span.lower())
             gazetteer = {
-                4: 1 if "555" in last else 2,
+                4: 1 if not listed[4].isdisjoint(last) else 2,
                 5: 1 if last[-1] in listed[5] else 0,
-                6: 1 if re.fullmatch(r"[0-9a-f]{32,64}", span) else 2,
+                6: 0 if _DIGEST.search(before) else 1 if (name := _ASSIGNED.search(before)) and name[1].lower() in listed[6] else 2,
                 7: 1 if not listed[7].isdisjoint(last[1:]) else 2,
             }[kind]
             context = 1 if _NEAR[kind].search(before) else 0 if _AWAY.search(before) else 2

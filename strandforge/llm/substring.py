@@ -241,37 +241,35 @@ HOT = -2
 
 
 def later_windows(windows: DataFrame, salts: int = 64) -> DataFrame:
-    """chunk, gone: of windows (chunk, head, words), a row for each distinct one of a chunk, those that an earlier document has.
+    """chunk, gone: of windows (chunk, head, words, doc), a row for each distinct one of a chunk with its least document, those that an earlier document has.
 
     The least document of a window is found in steps, in groups of chunks first, and comes
     back to them the same way: a window of all chunks is ``salts`` groups' work, and what
     joins is the words themselves.
     """
-    rows = windows.select("chunk", "head", "words", F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("_salt"))
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            first = [int(np.frombuffer(x.as_py(), HEAD, 1)["doc"][0]) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int64())], ["chunk", "head", "words", "_salt", "_doc"])
-
-    rows = rows.mapInArrow(documents, "chunk string, head binary, words binary, _salt long, _doc long")
-    local = rows.groupBy("words", "_salt").agg(F.min("_doc").alias("_low"))
+    rows = windows.select("chunk", "head", "words", "doc", F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("_salt"))
+    local = rows.groupBy("words", "_salt").agg(F.min("doc").alias("_low"))
     least = local.groupBy("words").agg(F.min("_low").alias("_least"))
     known = local.select("words", "_salt").join(least, "words")
-    later = rows.join(known, ["words", "_salt"]).where("_doc > _least").select("chunk", "head")
+    later = rows.join(known, ["words", "_salt"]).where("doc > _least").select("chunk", "head")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = []
-            for x in b.column(1):
-                h = np.frombuffer(x.as_py(), HEAD)
-                w = np.unique(np.c_[h["text"].astype(np.int64), h["first"].astype(np.int64)], axis=0)
-                gone.append(_intervals(w[:, 0], w[:, 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.binary())], ["chunk", "gone"])
+            heads = b.column(1).to_pylist()
+            h = np.frombuffer(b"".join(heads), HEAD)
+            gone = np.c_[h["text"], h["first"], np.ones(len(h))].astype("<u4")
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(gone, [len(x) // HEAD.itemsize for x in heads])], ["chunk", "gone"])
 
     return later.mapInArrow(places, "chunk string, gone binary")
 
 
+def _binary(rows: np.ndarray, sizes) -> pa.Array:
+    """A value for each of ``sizes``: the bytes of so many of ``rows``, in order."""
+    width = rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    edges = np.r_[0, np.cumsum(sizes)] * width
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
+
 HEAD = np.dtype([("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("segment", "<u4"), ("n", "<u4")])
 
 
@@ -351,6 +349,8 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array([rows[k][0]]), pa.array([a[i:j][keep & ~busy].tobytes()], pa.binary()), pa.array([a[i:j][keep & busy].tobytes()], pa.binary())], ["chunk", "again", "hot"])
 
+    names = ["shard", "chunk", "head", "words", "doc"]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, rows in _by_key(batches):
             ids, texts = _read_chunk(f"{folder}/{path}")
@@ -391,16 +391,27 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
             edges = np.searchsorted(to[twins], np.arange(len(f) + 1))
             go = order[go]
             go = go[np.argsort(route[go], kind="stable")]
-            parts = [(s, go[i:j]) for s, i, j in stretches(route[go]) if s != HOT]
-            parts += [(HOT, go[i : i + 1]) for s, a, z in stretches(route[go]) if s == HOT for i in range(a, z)]
-            for s, g in parts:
+
+            def rows_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Twins of segments, and how many each has."""
                 many = edges[g + 1] - edges[g]
                 t = order[twins[flat(edges[g], many)]]
                 row = np.zeros(len(t), HEAD)
                 row["doc"], row["text"], row["first"], row["segment"], row["n"] = doc[t], k[t], f[t] - base[k[t]], np.repeat(np.arange(len(g)), many), n[t]
-                pieces = map(w.piece, f[g].tolist(), n[g].tolist())
-                out.append((s, path, row.tobytes(), b"\n".join(pieces) if s != HOT else b" ".join(next(pieces).split())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["shard", "chunk", "head", "words"])
+                return row, many
+
+            parts = stretches(route[go])
+            for s, i, j in parts:
+                if s != HOT:
+                    g = go[i:j]
+                    out.append((s, path, rows_of(g)[0].tobytes(), b"\n".join(map(w.piece, f[g].tolist(), n[g].tolist()))))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))), pa.nulls(len(out), pa.int64())], names)
+            for s, i, j in parts:
+                if s == HOT:
+                    row, many = rows_of(go[i:j])
+                    pieces = [b" ".join(w.piece(a, width).split()) for a in f[go[i:j]].tolist()]
+                    first = np.cumsum(many) - many
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, HOT), pa.int32()), pa.array([path] * (j - i)), _binary(row, many), pa.array(pieces, pa.binary()), pa.array(row["doc"][first])], names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches):
@@ -457,9 +468,9 @@ def dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
         return df.repartition(key).sortWithinPartitions(key)
 
     met = grouped(listed.where("shard >= 0"), "shard").mapInArrow(meet, "chunk string, again binary, hot binary")
-    sent = grouped(met, "chunk").mapInArrow(send, "shard int, chunk string, head binary, words binary")
+    sent = grouped(met, "chunk").mapInArrow(send, "shard int, chunk string, head binary, words binary, doc long")
     sent = materialize(sent, "substring-segments")
-    found = grouped(sent.where(F.col("shard") >= 0), "shard").mapInArrow(index, "chunk string, gone binary")
+    found = grouped(sent.where(F.col("shard") >= 0).drop("doc"), "shard").mapInArrow(index, "chunk string, gone binary")
     found = found.unionByName(later_windows(sent.where(F.col("shard") == HOT)))
     gone = found.unionByName(listed.where("shard < 0").select("chunk", F.col("anchors").alias("gone")))
     out = grouped(gone, "chunk").mapInArrow(finish, "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

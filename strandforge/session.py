@@ -47,9 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
 _own: str | None = None
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one. The driver's file system deletes it, with all that failed attempts left in it, when the driver ends; ``clean`` does so before."""
+    context = spark.sparkContext
+    if not getattr(context, "_strandforge_run", None):
+        path = f"{shared_dir(spark)}/strandforge/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        fs, at = _file_system(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        context._strandforge_run = path
+    return context._strandforge_run
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. DataFrames that read it can't be used any more; the next one starts a new folder."""
+    context = spark.sparkContext
+    if path := getattr(context, "_strandforge_run", None):
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+        context._strandforge_run = None
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/strandforge/{name}-{uuid.uuid4().hex}"
+    """A new path in ``run_dir``, for what a plan writes and reads again. Results that are to stay need a path of their own."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -16,18 +16,19 @@ from ..session import materialize
 from . import rounds
 
 
-def candidates(truth: DataFrame, calls: DataFrame, distance: int = 500, size: float = 0.7, truth_len: tuple[int, int] = (50, 50_000), call_len: int = 30, similarity: float | None = None) -> DataFrame:
+def candidates(truth: DataFrame, calls: DataFrame, distance: int = 500, size: float = 0.7, truth_len: tuple[int, int] = (50, 50_000), call_len: int = 30, similarity: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of truth (variant_id, chrom, pos, svtype, len) and calls (call_id, ..., others) within distance and size ratio; d is the distance.
 
     With ``similarity``, truth has ``t_seq`` and calls ``c_seq``, and the edit distance of a pair's
-    sequences is at most the part of the longer one that is left (``alike``).
+    sequences is at most the part of the longer one that is left (``alike``). ``on``: columns of
+    both sides that a pair has to share.
     """
     rest = [c for c in truth.columns if c.startswith("t_")]
-    t = truth.where(F.col("len").between(*truth_len)).select("variant_id", "chrom", "svtype", *rest, F.col("pos").alias("t_pos"), F.col("len").alias("t_len"), F.explode(F.array(*[F.floor(F.col("pos") / distance) + k for k in (-1, 0, 1)])).alias("_bin"))
+    t = truth.where(F.col("len").between(*truth_len)).select(*on, "variant_id", "chrom", "svtype", *rest, F.col("pos").alias("t_pos"), F.col("len").alias("t_len"), F.explode(F.array(*[F.floor(F.col("pos") / distance) + k for k in (-1, 0, 1)])).alias("_bin"))
     c = calls.where((F.col("len") >= call_len) & (F.col("len") <= truth_len[1])).withColumnRenamed("pos", "c_pos").withColumnRenamed("len", "c_len").withColumn("_bin", F.floor(F.col("c_pos") / distance))
     tenths = round(size * 10)
     near = (F.abs(F.col("t_pos") - F.col("c_pos")) <= distance) & (F.least("t_len", "c_len") * 10 >= F.greatest("t_len", "c_len") * tenths)
-    pairs = t.join(c, ["chrom", "svtype", "_bin"]).where(near).withColumn("d", F.abs(F.col("t_pos") - F.col("c_pos"))).drop("_bin")
+    pairs = t.join(c, [*on, "chrom", "svtype", "_bin"]).where(near).withColumn("d", F.abs(F.col("t_pos") - F.col("c_pos"))).drop("_bin")
     return pairs if similarity is None else pairs.where(alike("t_seq", "c_seq", similarity))
 
 

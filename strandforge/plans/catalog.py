@@ -195,10 +195,10 @@ def jn9_genotypes(genotypes):
 
 
 _PAIRS = "p AS (SELECT t.variant_id,c.call_id,c.caller,abs(t.pos-c.pos) AS d FROM truth t JOIN calls c ON t.chrom=c.chrom AND t.svtype=c.svtype AND abs(t.pos-c.pos)<=500 AND least(t.len,c.len)*10>=greatest(t.len,c.len)*7 AND t.len BETWEEN 50 AND 50000 AND c.len BETWEEN 30 AND 50000)"
-def matching_sql(pairs: str, group: str) -> str:
-    """CTEs r and b: greedy matching as rounds; b has the pairs. A round takes what is first on both sides; the next one drops what that rules out."""
-    return f"""r AS (SELECT {group}, variant_id, call_id, d, false AS m FROM {pairs} UNION ALL SELECT {group}, variant_id, call_id, d, m FROM (SELECT *, max(m) OVER (PARTITION BY {group}, call_id) AS t FROM (SELECT {group}, variant_id, call_id, d, a AND row_number() OVER (PARTITION BY {group}, call_id ORDER BY d, variant_id, a DESC)=1 AS m FROM (
- SELECT *, row_number() OVER (PARTITION BY {group}, variant_id ORDER BY d, call_id)=1 AS a FROM (SELECT *, max(m) OVER (PARTITION BY {group}, variant_id) AS t FROM r) WHERE NOT t))) WHERE m OR NOT t), b AS (SELECT {group}, variant_id, call_id, d FROM r WHERE m)"""
+def matching_sql(pairs: str, group: str, r: str = "r", b: str = "b") -> str:
+    """CTEs ``r`` and ``b``: greedy matching as rounds; ``b`` has the pairs. A round takes what is first on both sides; the next one drops what that rules out."""
+    return f"""{r} AS (SELECT {group}, variant_id, call_id, d, false AS m FROM {pairs} UNION ALL SELECT {group}, variant_id, call_id, d, m FROM (SELECT *, max(m) OVER (PARTITION BY {group}, call_id) AS t FROM (SELECT {group}, variant_id, call_id, d, a AND row_number() OVER (PARTITION BY {group}, call_id ORDER BY d, variant_id, a DESC)=1 AS m FROM (
+ SELECT *, row_number() OVER (PARTITION BY {group}, variant_id ORDER BY d, call_id)=1 AS a FROM (SELECT *, max(m) OVER (PARTITION BY {group}, variant_id) AS t FROM {r}) WHERE NOT t))) WHERE m OR NOT t), {b} AS (SELECT {group}, variant_id, call_id, d FROM {r} WHERE m)"""
 
 
 _BEST = matching_sql("p", "caller")

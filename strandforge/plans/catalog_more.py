@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import variants as fn
 from ..operators import call_files, intervals, matching, sampling, statistics
 from ..session import materialize
-from .catalog import _BEST, _PAIRS, FIRST, RB, SECOND, context_sql, covered_sql, first_context, greedy_sql, matching_sql, query, second_context, spanned
+from .catalog import _BEST, _PAIRS, _TRIOS, FIRST, RB, SECOND, context_sql, covered_sql, first_context, greedy_sql, matching_sql, query, second_context, spanned
 
 # --- aggregations ------------------------------------------------------------
 
@@ -734,3 +734,43 @@ def ord5_haplotype_chunks(genotypes):
 def win11_family_runs(individuals):
     """WIN11: members grouped by family."""
     return individuals.groupBy("family_id").agg(F.count(F.lit(1)).alias("members"), F.min("birth_year").alias("eldest"))
+
+
+_NEAR = "abs(x.pos-y.pos)<=500 AND least(x.len,y.len)*10>=greatest(x.len,y.len)*7 AND x.len BETWEEN 50 AND 50000 AND y.len BETWEEN 30 AND 50000"
+_TRIO_TRUTH = f"""{_TRIOS}, pc AS (SELECT research_id, calls.* FROM individuals JOIN calls ON abs(call_id)%101=CAST(substr(research_id,2) AS BIGINT)%101),
+ tp1 AS (SELECT t.child, k AS parent, x.call_id AS variant_id, y.call_id, abs(x.pos-y.pos) AS d FROM t JOIN (VALUES (0),(1)) z(k) ON true JOIN pc x ON x.research_id=t.child JOIN pc y ON y.research_id=CASE WHEN k=0 THEN t.p1 ELSE t.p2 END AND x.chrom=y.chrom AND x.svtype=y.svtype WHERE {_NEAR}), {matching_sql("tp1", "child, parent", "r1", "b1")},
+ tt AS (SELECT child, variant_id, string_agg(CAST(parent AS VARCHAR), '' ORDER BY parent) AS parents FROM b1 GROUP BY 1,2)"""
+
+
+def _person_calls(individuals, calls):
+    """Calls dealt to people by numbers."""
+    people = individuals.select("research_id", (F.expr("substring(research_id, 2)").cast("long") % 101).alias("k"))
+    return calls.withColumn("k", F.abs("call_id") % 101).join(people, "k").drop("k")
+
+
+@query("individuals calls", f"WITH RECURSIVE {_TRIO_TRUTH} SELECT child, call_id, parents, CAST(floor(len/500) AS BIGINT) AS bin FROM tt JOIN calls ON tt.variant_id=call_id")
+def study_trio_truth(individuals, calls):
+    """The truth sets of the trio workflows, with the bins of their length histograms: calls of each child that a parent has."""
+    from ..operators import families
+    from . import studies
+
+    t = studies.trio_truth(families.children(individuals).select("child", "p1", "p2"), _person_calls(individuals, calls))
+    return t.select("child", "call_id", F.concat_ws("", F.transform("parents", lambda x: x.cast("string"))).alias("parents"), F.floor(F.col("len") / 500).alias("bin"))
+
+
+@query("individuals calls", f"""
+WITH RECURSIVE {_TRIO_TRUTH}, o AS (SELECT research_id AS child, pc.*, v AS coverage FROM pc JOIN (SELECT DISTINCT child FROM t) c ON research_id=c.child, (VALUES (4),(8),(16)) x(v) WHERE abs(call_id)%16<v), tr AS (SELECT tt.child, calls.* FROM tt JOIN calls ON variant_id=call_id),
+ tp2 AS (SELECT x.child, y.caller, y.coverage, x.call_id AS variant_id, y.call_id, abs(x.pos-y.pos) AS d FROM tr x JOIN o y ON x.child=y.child AND x.chrom=y.chrom AND x.svtype=y.svtype WHERE {_NEAR}), {matching_sql("tp2", "child, caller, coverage", "r2", "b2")},
+ n AS (SELECT child, caller, coverage, count(*) AS c, (SELECT count(*) FROM tr WHERE tr.child=o.child) AS t, (SELECT count(*) FROM b2 WHERE b2.child=o.child AND b2.caller=o.caller AND b2.coverage=o.coverage) AS tp FROM o GROUP BY 1,2,3)
+SELECT child, caller, coverage, tp, c-tp AS fp, t-tp AS fn, tp/c AS "precision", tp/nullif(t,0) AS recall, 2*(tp/c)*(tp/nullif(t,0))/nullif(tp/c+tp/nullif(t,0),0) AS f1 FROM n""")
+def study_trio_matrices(individuals, calls):
+    """The trio matrices: scores of every child, caller and coverage against the child's truth set."""
+    from ..operators import families
+    from . import studies
+
+    every = materialize(_person_calls(individuals, calls), "person-calls")
+    truth = materialize(studies.trio_truth(families.children(individuals).select("child", "p1", "p2"), every), "trio-truth")
+    need = F.filter(F.array(*map(F.lit, (4, 8, 16))), lambda v: F.abs("call_id") % 16 < v)
+    children = families.children(individuals).select(F.col("child").alias("research_id")).distinct()
+    own = every.join(children, "research_id", "left_semi").withColumnRenamed("research_id", "child").withColumn("coverage", F.explode(need))
+    return studies.trio_matrices(truth, own, ["caller", "coverage"])

@@ -97,7 +97,7 @@ class ByteCNN:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 2000, per_doc: int = 3) -> tuple[ByteCNN, list[str]]:
-    """Network and languages. Of documents with a language that are not held out, at most ``max_train`` by a hash of their id, ``per_doc`` windows of each, evenly spread."""
+    """Network and languages. Of documents with a language that are not held out, at most ``max_train`` by a hash of their id, ``per_doc`` windows of each, evenly spread. A null id is not held out and hashes like any other value."""
     ship(docs.sparkSession)
     key = docs[id_col].cast("string")
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col], 4, 2)).select(key.alias("_id"), docs[lang_col].cast("string").alias("_lang"), docs[text_col].cast("string").alias("_text"))
@@ -160,6 +160,9 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Null texts and those without a letter are ``und`` with score 0. Null and repeated
     ids stay as they are. If no document has a language, all others are ``und`` too.
+    A text is read whole, however long, as windows of fixed length whose probabilities are
+    averaged; of equal probabilities the language first in the alphabet counts; an empty
+    table gives none. Columns of other names are ignored.
     """
     model, langs = train(docs, id_col, text_col, lang_col, max_train)
     return predict(docs, model, langs, id_col, text_col)

@@ -245,9 +245,9 @@ def spread(places: np.ndarray, values: np.ndarray, n: int) -> list[int]:
     return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(flat, axis=1, bitorder="little")]
 
 
-def _small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """To be broadcast if it has at most ``limit`` rows; else Spark joins by a shuffle."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+def _small(df: DataFrame, weight: Column, limit: int = 1_000_000) -> DataFrame:
+    """To be broadcast if the weights of its rows (a few dozen bytes each) are at most ``limit`` together; else Spark joins by a shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= limit else df
 
 
 def search(index: Index, items: DataFrame, k: int = 20, item_col: str = "item_id", text_col: str = "text", at_once: int = 128) -> DataFrame:
@@ -268,12 +268,12 @@ def search(index: Index, items: DataFrame, k: int = 20, item_col: str = "item_id
 
     postings = index.rows.where("term is not null")
     asked = materialize(asked, "asked")
-    df = postings.select("term", "df").join(_small(asked.select("term").distinct()), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    df = postings.select("term", "df").join(_small(asked.select("term").distinct(), F.lit(1)), "term").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * index.n_docs + 2)) / (2 * F.col("df") + 1))).cast("long")
     asked = materialize(asked.join(df.select("term", weight.alias("weight")), "term").where("weight > 0"), "weighted")
 
     nothing = F.lit(None)
-    met = postings.join(_small(asked), "term").select("block", "_group", "weight", "slots", "df", "places", "slices", nothing.cast(index.rows.schema["ids"].dataType).alias("ids"))
+    met = postings.join(_small(asked, F.size("slots") + 1), "term").select("block", "_group", "weight", "slots", "df", "places", "slices", nothing.cast(index.rows.schema["ids"].dataType).alias("ids"))
     every = index.rows.where("term is null").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     every = every.select("block", "_group", nothing.cast("long").alias("weight"), nothing.cast(asked.schema["slots"].dataType).alias("slots"), "df", "places", "slices", "ids")
     kinds = T.StructType([T.StructField("_group", T.LongType()), T.StructField("_slot", T.IntegerType()), T.StructField("doc_id", index.rows.schema["ids"].dataType.elementType), T.StructField("score", T.LongType())])

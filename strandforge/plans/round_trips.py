@@ -45,11 +45,13 @@ def src2_snk9_fastq(dna):
 
 @query("vcf_lines", "WITH p AS (SELECT string_split(line, chr(9)) AS f FROM vcf_lines) SELECT f[1] AS chrom, CAST(f[2] AS BIGINT) AS pos, f[3] AS id, f[4] AS ref, f[5] AS alt, f[6] AS qual, f[7] AS filter, f[8] AS info, '0|1' AS sample FROM p")
 def src3_src4_vcf(vcf_lines):
-    """SRC3, SRC4: VCF of several files, header lines skipped."""
+    """SRC3, SRC4: VCF of several files named in a file of paths, header lines skipped."""
     spark = vcf_lines.sparkSession
     head = spark.createDataFrame([(x,) for x in sinks.vcf_header("S").split("\n")], "line string")
+    # The paths go to a file of paths, as a list of inputs comes.
     paths = [_lines(head.unionByName(part), c("line")) for part in (vcf_lines.where("length(line) % 2 = 0").withColumn("line", F.concat("line", F.lit("\tGT\t0|1"))), vcf_lines.where("length(line) % 2 = 1").withColumn("line", F.concat("line", F.lit("\tGT\t0|1"))))]
-    return formats.vcf(spark, paths).select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", F.get("samples", F.lit(0)).alias("sample"))
+    named = _lines(spark.createDataFrame([(x,) for x in paths], "path string"), c("path"))
+    return formats.vcf(spark, formats.listed(spark, named)).select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", F.get("samples", F.lit(0)).alias("sample"))
 
 
 @query("repeats", """SELECT chrom, rstart AS start, rend AS "end", CASE WHEN rstart%3=0 THEN rstart%500+1 ELSE rstart%7 END AS rep_start, rstart%500+rend-rstart AS rep_end, rstart%3=0 AS fwd,

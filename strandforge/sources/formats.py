@@ -32,6 +32,11 @@ def fastq(spark: SparkSession, path: str | list[str], size: int = records.RANGE)
 VCF = T.StructType([T.StructField(n, t) for n, t in (("chrom", T.StringType()), ("pos", T.LongType()), ("id", T.StringType()), ("ref", T.StringType()), ("alt", T.StringType()), ("qual", T.StringType()), ("filter", T.StringType()), ("info", T.StringType()), ("format", T.StringType()), ("samples", T.ArrayType(T.StringType())))])
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The paths in a file of paths, one a line; empty lines are none. A plan names its files on the driver anyway."""
+    return [r[0] for r in spark.read.text(path).where("trim(value) <> ''").select(F.trim("value")).collect()]
+
+
 def vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The fixed columns, FORMAT, samples and the file of every record; header lines are skipped."""
     p = F.split("value", "\t")

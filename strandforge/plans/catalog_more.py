@@ -774,3 +774,27 @@ def study_trio_matrices(individuals, calls):
     children = families.children(individuals).select(F.col("child").alias("research_id")).distinct()
     own = every.join(children, "research_id", "left_semi").withColumnRenamed("research_id", "child").withColumn("coverage", F.explode(need))
     return studies.trio_matrices(truth, own, ["caller", "coverage"])
+
+
+def _previous(values: list) -> str:
+    return ", ".join(f"({v}, {p})" for p, v in zip([0, *values], values))
+
+
+@query("calls", f"""
+WITH c AS (SELECT DISTINCT caller FROM calls), g AS (SELECT caller, concat('_svt', t) AS name, t AS svtype, CAST(NULL AS BIGINT) AS least, CAST(NULL AS BIGINT) AS least_before, CAST(NULL AS DOUBLE) AS most_af, CAST(NULL AS DOUBLE) AS af_before, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS DOUBLE) AS share_before, CAST(NULL AS INTEGER) AS ctx, CAST(NULL AS INTEGER) AS ctx_end FROM c, (VALUES ('DEL'),('INS')) x(t)
+ UNION ALL SELECT caller, concat('_svl', CAST(v AS VARCHAR)), NULL, v, p, NULL, NULL, NULL, NULL, NULL, NULL FROM c, (VALUES {_previous([50, 500, 5000])}) x(v, p) UNION ALL SELECT caller, concat('_svf', CAST(v AS VARCHAR)), NULL, NULL, NULL, v, p, NULL, NULL, NULL, NULL FROM c, (VALUES {_previous([0.1, 0.5])}) x(v, p)
+ UNION ALL SELECT caller, concat('_rf', CAST(v AS VARCHAR)), NULL, NULL, NULL, NULL, NULL, v, p, NULL, NULL FROM c, (VALUES {_previous([0.2, 0.8])}) x(v, p) UNION ALL SELECT caller, concat('_rs', CAST(a AS VARCHAR), '_re', CAST(b AS VARCHAR)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, a, b FROM c, unnest(range(0,5)) x(a), unnest(range(0,5)) y(b) UNION ALL SELECT caller, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c)
+SELECT concat(caller, name, '_pass') AS package, * EXCLUDE name FROM g""")
+def jn14_set6_prj5_packages(calls):
+    """JN14, SET6, PRJ5, WIN8: the work packages of every caller: each filter's values with the one before, all pairs of contexts, none; named by what is set."""
+    from . import studies
+
+    return studies.work_packages(calls, ["DEL", "INS"], [50, 500, 5000], [0.1, 0.5], [0, 1, 2, 3, 4], [0.2, 0.8])
+
+
+@query("individuals", "SELECT DISTINCT research_id, CAST(l AS INTEGER) AS read_length, CAST(c AS INTEGER) AS coverage FROM individuals, (VALUES (10000),(15000),(20000)) x(l), (VALUES (4),(8),(16)) y(c)")
+def jn14_sequencing_grid(individuals):
+    """JN14: every person with every read length and coverage."""
+    from . import studies
+
+    return studies.sequencing_grid(individuals, [10_000, 15_000, 20_000], [4, 8, 16], "research_id")

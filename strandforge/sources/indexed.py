@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,14 @@ def write_indexed(records: DataFrame, path: str, header: str | None = None, room
 
     index = d.mapInPandas(run, "file string, part int, offset long, length long, chrom string, low long, high long, n long")
     index.write.mode("overwrite").parquet(f"{path}/index")
-    return read_index(spark, path)
+    index = read_index(spark, path)
+    # What failed attempts or an earlier run left is in no row of the index: a file a task.
+    store, base = store_of(path)
+    named = {r[0] for r in index.select("file").distinct().collect()}
+    for x in store.get_file_info(pafs.FileSelector(f"{base}/blocks", allow_not_found=True)):
+        if x.base_name not in named:
+            store.delete_file(x.path)
+    return index
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

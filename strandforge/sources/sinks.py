@@ -175,6 +175,8 @@ def write_files(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
                 with store.open_input_stream(f"{base}/{part}") as f:
                     while data := f.read(1 << 20):
                         out.write(data)
+        if to.get_file_info(f"{folder}/{name}").type.name != "NotFound":  # of an attempt or a run before: not every store moves onto a file
+            to.delete_file(f"{folder}/{name}")
         to.move(temp, f"{folder}/{name}")
         return pd.DataFrame([(name, g["n_lines"].sum(), g["n_bytes"].sum())], columns=["file", "n_lines", "n_bytes"])
 

@@ -142,6 +142,7 @@ def test_one_file_an_input(spark, tmp_path):
     df = spark.createDataFrame(data, "file string, no long, line string").repartition(7)
     told = {x.file: (x.n_lines, x.n_bytes) for x in sinks.write_files(df, str(tmp_path / "out"), ["no"]).collect()}
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(files)
+    sinks.write_files(df, str(tmp_path / "out"), ["no"]).count()  # again, onto what is there
     for n, lines in files.items():
         raw = (tmp_path / "out" / n).read_bytes()
         assert raw == ("\n".join(lines) + "\n").encode() and told[n] == (len(lines), len(raw))
@@ -172,6 +173,8 @@ def test_regions_open_only_their_blocks(spark, tmp_path):
     df = spark.createDataFrame(data, "chrom string, pos long, last long, info string").repartition(5)
     line = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), F.lit("N"), F.lit("<DEL>"), F.lit("."), F.lit("PASS"), "info")
     path = str(tmp_path / "calls")
+    (tmp_path / "calls" / "blocks").mkdir(parents=True)
+    (tmp_path / "calls" / "blocks" / "part-00000000-left.vcf.gz").write_bytes(b"of an attempt that failed")
     index = indexed.write_indexed(df.withColumn("line", line), path, "##fileformat=VCFv4.2", room=1500)
     asked = [("a", "chr1", 0, 999), ("b", "chr10", 500_000, 500_000), ("c", "chr2", 0, 2_000_000), ("d", "chr3", 0, 10**9), ("e", "chr1", 990, 1500)]
     regions = spark.createDataFrame(asked, "region string, chrom string, lo long, hi long")

@@ -161,3 +161,23 @@ def test_counts_of_the_sweep(spark):
     for x in matching.genotype_concordance(matching.genotype_matches(t, c, ["svtype"], ["caller", "level"]), ["svtype", "caller"], "level").collect():
         by[x.level] = (x.tp, x.n_true, x.recall, x.concordance, x.exact_recall)
     assert by == {1: (3, 8.0, 3 / 8, 2 / 3, 2 / 8), 2: (6, 8.0, 6 / 8, 3 / 6, 3 / 8)}
+
+
+def test_pairs_share_what_they_have_to(spark):
+    t = spark.createDataFrame([(i, k, "chr1", 1000, "DEL", 100) for i, k in ((1, "a"), (2, "b"))], "variant_id long, child string, chrom string, pos long, svtype string, len long")
+    c = spark.createDataFrame([(7, "b", "chr1", 1400, "DEL", 90)], "call_id long, child string, chrom string, pos long, svtype string, len long")
+    assert rows(matching.candidates(t, c, on=("child",)), "child", "variant_id", "call_id", "d") == [("b", 2, 7, 400)]
+    assert matching.candidates(t, c.drop("child")).count() == 2
+
+
+def test_trio_studies(spark):
+    from strandforge.plans import studies
+
+    trios = spark.createDataFrame([("c", "p", "q"), ("d", "p", "q")], "child string, p1 string, p2 string")
+    data = [("c", 1, 1000), ("c", 2, 5000), ("c", 3, 9000), ("d", 4, 9001), ("p", 11, 1010), ("q", 21, 1005), ("q", 22, 5600), ("q", 23, 9100)]
+    calls = spark.createDataFrame([(who, i, "chr1", at, "DEL", 100) for who, i, at in data], "research_id string, call_id long, chrom string, pos long, svtype string, len long")
+    truth = studies.trio_truth(trios, calls)
+    assert rows(truth, "child", "call_id", "parents") == [("c", 1, [0, 1]), ("c", 3, [1]), ("d", 4, [1])]
+    seen = spark.createDataFrame([("c", 1, "chr1", 1000, "DEL", 100, "x"), ("c", 2, "chr1", 5000, "DEL", 100, "x"), ("d", 9, "chr1", 70_000, "DEL", 100, "x")], "child string, call_id long, chrom string, pos long, svtype string, len long, caller string")
+    got = {x.child: (x.tp, x.fp, x.fn, x.precision, x.recall) for x in studies.trio_matrices(truth, seen, ["caller"]).collect()}
+    assert got == {"c": (1, 1, 1, 0.5, 0.5), "d": (0, 1, 1, 0.0, 0.0)}

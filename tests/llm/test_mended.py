@@ -117,14 +117,25 @@ TALK = {
 }
 
 
-def planted(n=400, seed=5):
+#: The same in words that were written down after the labelers, and are in none of their lists.
+OTHER = {
+    "en": ("dial", "reply to", "the passphrase reads", "yours truly,", ("at", "dot"), ("Mr.", "Prof."), ("Okonkwo", "Brill", "Tamsin")),
+    "de": ("erreichbar unter", "Antwort an", "das Losungswort lautet", "gezeichnet", ("ät", "punkt"), ("Herr", "Frau"), ("Sönke", "Grüber", "Ilse")),
+    "fr": ("joignable au", "répondre à", "le code secret serait", "amitiés,", ("arobase", "point"), ("Mme", "Monsieur"), ("Gaëlle", "Hébert", "Yves")),
+    "es": ("marque el", "responda a", "la palabra de paso es", "saludos de", ("arroba", "punto"), ("Sr.", "Señora"), ("Begoña", "Ibáñez", "Rocío")),
+}
+LIKE = (("page", "Seite", "página", "section"), ("commit", "md5", "sha256", "digest"))
+OTHER_LIKE = (("mile", "Blatt", "folio", "verse"), ("etag", "build", "Prüfsumme", "objeto"))
+
+
+def planted(n=400, seed=5, talk=TALK, like=LIKE):
     """Texts in four languages with personal data at known places, and things that look like it."""
     r = random.Random(seed)
     filler = {"en": "the of and river walked", "de": "der und Fluss ging über", "fr": "le des rivière allait été", "es": "el los río iba según"}
     rows, truth = [], []
     for i in range(n):
-        lang = r.choice(sorted(TALK))
-        phone, mail, secret, name, (at, dot), titles, names = TALK[lang]
+        lang = r.choice(sorted(talk))
+        phone, mail, secret, name, (at, dot), titles, names = talk[lang]
         out, spans = "", []
 
         def say(lead, what, kind=None):
@@ -142,16 +153,16 @@ def planted(n=400, seed=5):
             say(secret, key, 6)
         say(name, f"{r.choice(titles)} {r.choice(names)} {r.choice(names)}", 7) if r.random() < 0.5 else None
         # Not personal: pages and years, hashes of commits, plain mail-like prose.
-        say(r.choice(["page", "Seite", "página", "section"]), f"{r.randint(10, 99)} {r.randint(100, 999)} km") if r.random() < 0.5 else None
-        say(r.choice(["commit", "md5", "sha256", "digest"]), "".join(r.choices("0123456789abcdef", k=40))) if r.random() < 0.5 else None
+        say(r.choice(like[0]), f"{r.randint(10, 99)} {r.randint(100, 999)} km") if r.random() < 0.5 else None
+        say(r.choice(like[1]), "".join(r.choices("0123456789abcdef", k=40))) if r.random() < 0.5 else None
         say("", f"+1 ({r.choice(['555', '212'])}) {r.randint(200, 999)}-{r.randint(1000, 9999)}") if r.random() < 0.3 else None
         rows.append((i, out, lang))
         truth.append(spans)
     return rows, truth
 
 
-def test_planted_personal_data(spark):
-    rows, truth = planted()
+def measured(spark, rows, truth):
+    """Recall and precision of each added kind."""
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {x.doc_id: [(int(p[1]), pii.KINDS.index(p[0]), int(p[2])) for p in (s.rsplit(":", 2) for s in x.spans.split(",") if s)] for x in pii.find(docs).collect()}
     hit, meant, said = Counter(), Counter(), Counter()
@@ -161,6 +172,18 @@ def test_planted_personal_data(spark):
             meant[s[1]] += 1
             hit[s[1]] += s in added
         said.update(x[1] for x in added)
-    figures = {pii.KINDS[k]: (round(hit[k] / meant[k], 3), round(hit[k] / max(said[k], 1), 3)) for k in meant}
+    return {pii.KINDS[k]: (round(hit[k] / meant[k], 3), round(hit[k] / max(said[k], 1), 3)) for k in sorted(meant)}
+
+
+def test_planted_personal_data(spark):
+    """The labelers' words were chosen with these cases in view, so this holds what they do, and is no estimate of other texts."""
+    figures = measured(spark, *planted())
     print("recall and precision", figures)
     assert all(a >= 0.9 and b >= 0.9 for a, b in figures.values()), figures
+
+
+def test_planted_in_other_words(spark):
+    figures = measured(spark, *planted(seed=77, talk=OTHER, like=OTHER_LIKE))
+    print("recall and precision in other words", figures)
+    # Long hex strings behind a word that no list has are taken for secrets: precision 0.48 when this was written.
+    assert all(a >= 0.9 for a, _ in figures.values()) and all(b >= 0.9 for k, (_, b) in figures.items() if k != "secret"), figures
